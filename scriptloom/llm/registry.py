@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import quality
+from scriptloom.llm import bpe, quality
 
 _QUERIES = {
+    "op6_bpe": bpe.op6_bpe,
     "op10_quality": quality.op10_quality,
 }
 _ORACLES: dict[str, str] = {}
