@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import bpe, quality
+from scriptloom.llm import bpe, exact, quality
 
 _QUERIES = {
+    "op5_exact": exact.op5_exact,
     "op6_bpe": bpe.op6_bpe,
     "op10_quality": quality.op10_quality,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op5_exact": exact.ORACLE,
+}
 
 
 def queries() -> dict:
