@@ -73,32 +73,37 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, max_bytes: int = 4 << 2
             yield batch.slice(at, step)
 
 
+def agreed(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """key and label, narrow, one row per key; keys with null or two different labels are left out."""
+    one = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key"))
+    one = one.agg(F.min(label).alias("label"), F.max(label).alias("most"))
+    return one.filter(F.col("label") == F.col("most")).select("key", "label")
+
+
 def labelled_sample(
-    docs: DataFrame, label: str, per_label: int, max_chars: int, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, agreed_labels: DataFrame, values: list, per_label: int, max_chars: int, text: str = "text", key: str = "doc_id"
 ) -> list[tuple]:
-    """At most ``per_label`` (label, text) rows of each label, the same ones at every run.
+    """At most ``per_label`` (label, key, text) rows of each label, the same ones at every run.
 
-    Rows are taken in the order of a hash of key and text. ``max_chars`` leaves out longer texts from *learning* only, which
-    bounds what reaches the driver: per_label x labels x max_chars. The rank is found on narrow rows.
+    The keys are chosen on the narrow label rows, in the order of a hash; only their texts are read. Texts over
+    ``max_chars`` are not learned from. What reaches the driver is at most per_label x values x max_chars.
     """
-    from pyspark.sql import Window as W
-
-    body = F.col(text)
-    rows = docs.filter(F.col(label).isNotNull() & body.isNotNull() & (F.length(body) <= max_chars) & (F.length(body) > 0))
-    rows = rows.select(F.col(label).alias("label"), F.xxhash64(F.col(key).cast("string"), body).alias("h"), body.alias("body"))
-    # a narrow pass finds the hash bound of each label; a second one fetches the few texts below it
-    w = W.partitionBy("label").orderBy("h")
-    bounds = (
-        rows.select("label", "h").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_label)
-        .groupBy("label").agg(F.max("h").alias("bound")).collect()
+    from functools import reduce
+
+    if not values:
+        return []
+    picked = reduce(
+        DataFrame.union,
+        (
+            agreed_labels.filter(F.col("label") == F.lit(v)).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(per_label)
+            for v in values
+        ),
     )
-    if not bounds:
+    ids = picked.collect()
+    if not ids:
         return []
-    if len(bounds) > 500:
-        raise ValueError("more than 500 labels")
-    under = None
-    for r in bounds:
-        one = (F.col("label") == F.lit(r["label"])) & (F.col("h") <= r["bound"])
-        under = one if under is None else under | one
-    got = rows.filter(under).dropDuplicates(["label", "h"]).collect()
-    return sorted(((r["label"], r["h"], r["body"]) for r in got), key=lambda x: (str(x[0]), x[1]))
+    spark = docs.sparkSession
+    side = F.broadcast(spark.createDataFrame(ids, agreed_labels.schema))  # at most per_label x values rows
+    rows = docs.filter(F.length(text).between(1, max_chars)).select(F.col(key).alias("key"), F.col(text).alias("body"))
+    got = rows.join(side, "key").select("label", "key", "body").collect()
+    return sorted(((r["label"], r["key"], r["body"]) for r in got), key=lambda r: (str(r[0]), r[1], r[2]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import fold, labelled_sample, read, slices
+from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices
 
 #: Learning takes at most this many rows of each label, of at most this many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
@@ -78,11 +78,12 @@ def _content(texts: list[bytes]) -> bytes:
     return b"\n".join(t[-PIECE:] for t in texts)[-DICT_BYTES:]
 
 
-def fit(docs: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> QualityModel:
     """Learn from labelled rows (label 1 good, 0 bad), a bounded sample of them (see SAMPLE_ROWS)."""
-    rows = labelled_sample(docs.filter(F.col(label).isin(0, 1)), label, SAMPLE_ROWS, SAMPLE_CHARS, text, key)
+    known = agreed(labels.filter(F.col(label).isin(0, 1)), label, key)
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = labelled_sample(docs, known, sorted(n), SAMPLE_ROWS, SAMPLE_CHARS, text, key)
     by = {k: [r[2].encode("utf-8", "surrogatepass") for r in rows if r[0] == k] for k in (0, 1)}
-    n = {r["label"]: r["n"] for r in docs.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
     prior = math.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5)) if n else 0.0
     if len(by[0]) < 4 or len(by[1]) < 4:
         return QualityModel(b"", b"", 0.0, prior)
@@ -130,16 +131,9 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
     return rows.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and label of the labelled documents; a document with two labels counts as unlabelled."""
-    one = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most"))
-    one = one.filter(F.col("label") == F.col("most")).select("doc_id", "label")
-    return docs.select("doc_id", "text").join(one, "doc_id")
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(5) == 0
-    model = fit(labelled(docs.filter(~held), read(spark, sf_dir, "labels"), "quality"), "label")
+    model = fit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held))
     out = score_quality(docs.withColumn("held_out", held), model)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
