@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import bpe, exact, quality
+from scriptloom.llm import bpe, exact, quality, secrets, urls
 
 _QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op9_urls": urls.op9_urls,
     "op5_exact": exact.op5_exact,
     "op6_bpe": bpe.op6_bpe,
     "op10_quality": quality.op10_quality,
 }
 _ORACLES: dict[str, str] = {
+    "op1_secrets": secrets.ORACLE,
+    "op9_urls": urls.ORACLE,
     "op5_exact": exact.ORACLE,
 }
 
