@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import bpe, exact, quality, secrets, urls
+from scriptloom.llm import bpe, exact, language, quality, secrets, urls
 
 _QUERIES = {
+    "op4_language": language.op4_language,
     "op1_secrets": secrets.op1_secrets,
     "op9_urls": urls.op9_urls,
     "op5_exact": exact.op5_exact,
