@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import bpe, exact, language, quality, secrets, urls
+from scriptloom.llm import bpe, exact, language, quality, secrets, toxicity, urls
 
 _QUERIES = {
+    "op7_toxicity": toxicity.op7_toxicity,
     "op4_language": language.op4_language,
     "op1_secrets": secrets.op1_secrets,
     "op9_urls": urls.op9_urls,
