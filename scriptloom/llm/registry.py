@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import bpe, decontam, exact, language, quality, secrets, toxicity, urls
+from scriptloom.llm import bpe, decontam, exact, language, quality, secrets, substrings, toxicity, urls
 
 _QUERIES = {
+    "op3_substrings": substrings.op3_substrings,
     "op8_decontamination": decontam.op8_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op4_language": language.op4_language,
@@ -15,6 +16,7 @@ _QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 _ORACLES: dict[str, str] = {
+    "op3_substrings": substrings.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op1_secrets": secrets.ORACLE,
     "op9_urls": urls.ORACLE,
