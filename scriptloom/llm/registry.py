@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import bpe, decontam, exact, language, quality, secrets, substrings, toxicity, urls
+from scriptloom.llm import bpe, decontam, exact, language, near, quality, secrets, substrings, toxicity, urls
 
 _QUERIES = {
+    "op2_near": near.op2_near,
     "op3_substrings": substrings.op3_substrings,
     "op8_decontamination": decontam.op8_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,6 +17,7 @@ _QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 _ORACLES: dict[str, str] = {
+    "op2_near": near.ORACLE,
     "op3_substrings": substrings.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op1_secrets": secrets.ORACLE,
