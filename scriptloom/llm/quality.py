@@ -131,6 +131,19 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
     return rows.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = shared.value.scorer()
+        for b in slices(batches, at):
+            yield b.filter(pa.array(score(b.column(at).to_pylist())[0] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(5) == 0
