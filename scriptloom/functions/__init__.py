@@ -1 +1 @@
-"""scriptloom.functions"""
+"""Column functions: text forms and parsers."""

@@ -1 +1 @@
-"""scriptloom.operators"""
+"""Operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""scriptloom.streaming"""
+"""Streams: windowed usage with watermarks."""
