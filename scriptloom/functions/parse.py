@@ -62,7 +62,7 @@ def section(text: Column, name: str) -> Column:
 def normalize_headers(text: Column) -> Column:
     """Headings of the known sections in their one canonical form."""
     for name in ("Topics", "Interpretive Themes", "Key Terms"):
-        text = F.regexp_replace(text, rf"(?im)^(?:#+[ \t]*)?(?:\*\*)?(?:\d+[.)][ \t]*)?{name}(?:\*\*)?:?[ \t]*$", f"## {name}")
+        text = F.regexp_replace(text, rf"(?im)^(?:#+[ \t]*)?(?:\*\*)?(?:\d+[.)][ \t]*)?{name}:?(?:\*\*)?:?[ \t]*$", f"## {name}")
     return text
 
 
