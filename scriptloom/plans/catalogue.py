@@ -105,7 +105,7 @@ def normalized_documents(spark, sf_dir):
     "sentence_context",
     r"""
     WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+([A-Z"''(])', '\1' || chr(31) || '\2', 'g'), chr(31)) AS s FROM documents),
-    r AS (SELECT doc_id, unnest(range(len(s))) AS i, trim(unnest(s)) AS sentence FROM s),
+    r AS (SELECT doc_id, unnest(range(len(s))) AS i, trim(unnest(s), E' \t\n\r\f\v') AS sentence FROM s),
     k AS (SELECT * FROM r WHERE sentence <> '')
     SELECT doc_id, row_number() OVER w - 1 AS ordinal, sentence, coalesce(lag(sentence) OVER w, '') AS before, coalesce(lead(sentence) OVER w, '') AS after
     FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)
@@ -119,7 +119,7 @@ def sentence_context(spark, sf_dir):
     "emphasis_sentences",
     r"""
     WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+([A-Z"''(])', '\1' || chr(31) || '\2', 'g'), chr(31)) AS s FROM documents),
-    r AS (SELECT doc_id, unnest(range(len(s))) AS i, trim(unnest(s)) AS sentence FROM s),
+    r AS (SELECT doc_id, unnest(range(len(s))) AS i, trim(unnest(s), E' \t\n\r\f\v') AS sentence FROM s),
     k AS (SELECT * FROM r WHERE sentence <> ''),
     c AS (SELECT *, coalesce(lag(sentence) OVER w, '') AS before, coalesce(lead(sentence) OVER w, '') AS after FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i))
     SELECT doc_id, sentence, before, after, CASE WHEN regexp_matches(sentence, '(?i)(?:licensed|license)') THEN '1' WHEN regexp_matches(sentence, '(?i)that[ ,]+this') THEN '2' ELSE '3' END AS tier
