@@ -38,7 +38,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-9
 HASHES = BANDS * ROWS
-BLOCK, EXACT_BLOCK = 1024, 256
+BLOCK, EXACT_BLOCK, STRIPE = 1024, 256, 64
 BROADCAST_KEYS = 200_000
 _MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -86,24 +86,32 @@ def least_matches() -> tuple[tuple[int, int], ...]:
 
 def surviving(a: np.ndarray, b: np.ndarray, band: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of ``a`` and ``b`` (signatures) that first agree in ``band`` and are not dropped; of one block, each pair once."""
-    if same:
-        i, j = np.triu_indices(len(a), 1)
-    else:
-        i, j = (x.ravel() for x in np.indices((len(a), len(b))))
     ka, kb = (np.ascontiguousarray(x).view(np.uint64).reshape(len(x), BANDS) for x in (a, b))
-    for t in range(band):
-        if not len(i):
-            break
-        new = ka[i, t] != kb[j, t]
-        i, j = i[new], j[new]
-    matches, at = np.zeros(len(i), dtype=np.int64), 0
-    for k, least in least_matches():
-        if not len(i):
-            break
-        matches += (a[i, at:k] == b[j, at:k]).sum(axis=1)
-        keep = matches >= least
-        i, j, matches, at = i[keep], j[keep], matches[keep], k
-    return i, j
+    found = []
+    for lo in range(0, len(a), STRIPE):  # some rows at a time, for little memory
+        i, j = (x.ravel() for x in np.indices((min(STRIPE, len(a) - lo), len(b)), dtype=np.int32))
+        i = i + np.int32(lo)
+        keep = ka[i, band] == kb[j, band]
+        if same:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        for t in range(band):
+            if not len(i):
+                break
+            new = ka[i, t] != kb[j, t]
+            i, j = i[new], j[new]
+        matches, at = np.zeros(len(i), dtype=np.int32), 0
+        for k, least in least_matches():
+            if not len(i):
+                break
+            matches += (a[i, at:k] == b[j, at:k]).sum(axis=1, dtype=np.int32)
+            keep = matches >= least
+            i, j, matches, at = i[keep], j[keep], matches[keep], k
+        if len(i):
+            found.append((i, j))
+    if not found:
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

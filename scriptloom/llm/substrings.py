@@ -33,7 +33,8 @@ WINDOW, SEED = 50, 25
 BROADCAST_KEYS = 200_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-MEMO = 500_000
+#: Word hashes that a worker remembers, about 200 bytes each.
+MEMO = 150_000
 
 
 class _Words(dict):
