@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import read, slices, text_of
+from scriptloom.llm.common import read, slices, text_of, tidy
 
 #: Pieces up to this many characters are memoised, up to this many of them; then the memo starts anew.
-MEMO_CHARS, MEMO_SIZE = 48, 400_000
-PAIR_MEMO = 1_000_000
+MEMO_CHARS, MEMO_SIZE = 48, 150_000
+#: Compatible or incompatible pairs that are remembered, about 200 bytes each.
+PAIR_MEMO = 150_000
 
 
 class _Memo(dict):
@@ -150,6 +151,11 @@ class BytePairCodec:
             self.memo.clear()
         return b"".join(map(self.memo.__getitem__, self.split_pattern.findall(text)))
 
+    def forget(self) -> None:
+        """Drop what was memoised; the worker lives on after the task."""
+        self.memo.clear()
+        self.fits.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -176,7 +182,7 @@ def _mapped(df: DataFrame, source: str, out: str, work, kind: str) -> DataFrame:
             got = pa.array([f(x) for x in b.column(0).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], got], names=[*kept, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField(out, T.BinaryType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields[1:], T.StructField(out, T.BinaryType())]))
 
 
 def _vocabulary(df: DataFrame, path: str, pattern: str):
@@ -206,10 +212,22 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return _mapped(df, ids, out, work, "binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of ``docs`` but the text, with ``ids`` and ``decoded``."""
-    ids = encode(docs, path, pattern).drop("text")
-    return decode(ids, path, pattern)
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` but the text, with ``ids`` and ``decoded``: both steps in one worker, with one vocabulary in memory."""
+    v = _vocabulary(docs, path, pattern)
+    kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+    rows = docs.select(F.col(text).cast("string").alias("\x00in"), *kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(*v.value)
+        for b in slices(batches, 0):
+            ids = [codec.encode(t) if t else b"" for t in b.column(0).to_pylist()]
+            both = [pa.array(ids, type=pa.binary()), pa.array([codec.decode(x) for x in ids], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *both], names=[*kept, "ids", "decoded"])
+        codec.forget()
+
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields[1:], *added]))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices
+from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices, tidy
 
 #: Learning takes at most this many texts a language, of at most this many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 20_000
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, type=pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"])
 
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import read, settle, slices, text_of
+from scriptloom.llm.common import read, settle, slices, text_of, tidy
 from scriptloom.llm.components import components
 from scriptloom.llm.substrings import Roller
 
@@ -204,7 +204,7 @@ def _mapped(rows: DataFrame, work: Callable[[pa.Table, int, int, int], tuple | N
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 names=["key", "print", "row", "set", "sig"],
             )
 
-    signed = settle(rows.mapInArrow(sign, "key long, print long, row long, set binary, sig binary"))
+    signed = settle(rows.mapInArrow(tidy(sign), "key long, print long, row long, set binary, sig binary"))
     whole = signed.filter("set IS NOT NULL")
     # one node a class, named by its least row
     classes = settle(
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                     names=["bucket", "band", "node"],
                 )
 
-    banded = classes.select("node", "sig").mapInArrow(band, "bucket long, band int, node long")
+    banded = classes.select("node", "sig").mapInArrow(tidy(band), "bucket long, band int, node long")
     shared = banded.groupBy("bucket", "band").agg(F.count("*").alias("n")).filter("n > 1")
     postings = settle(banded.join(shared, ["bucket", "band"]))
 
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             )
 
     each = texts.select("text", "print").groupBy("print").agg(F.min("text").alias("text")).select("text", "print")
-    each = each.mapInArrow(sets_of, "print long, set binary, shingles binary")
+    each = each.mapInArrow(tidy(sets_of), "print long, set binary, shingles binary")
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
     exact = chosen.join(sizes, "root").join(each, ["print", "set"]).select("root", "node", "size", "shingles", "n")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices
+from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices, tidy
 
 #: Learning takes at most this many rows of each label, of at most this many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
@@ -128,7 +128,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
 
     rows = docs.select(F.col(text).cast("string"), *kept)
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -141,7 +141,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
         for b in slices(batches, at):
             yield b.filter(pa.array(score(b.column(at).to_pylist())[0] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

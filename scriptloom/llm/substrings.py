@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import read, settle, slices, text_of
+from scriptloom.llm.common import read, settle, slices, text_of, tidy
 
 WINDOW, SEED = 50, 25
 #: Keys up to this many, or intervals of so many documents, are broadcast; beyond, both sides are shuffled.
@@ -117,7 +117,7 @@ def _seed_rows(rows: DataFrame) -> DataFrame:
             take = pa.array(doc[first])
             yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(seed[first].view(np.int64))], names=["key", "print", "seed"])
 
-    return rows.select("text", "key", "print").mapInArrow(run, "key long, print long, seed long")
+    return rows.select("text", "key", "print").mapInArrow(tidy(run), "key long, print long, seed long")
 
 
 def _window_rows(rows: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _window_rows(rows: DataFrame) -> DataFrame:
                 names=["key", "print", "place", "h1", "h2"],
             )
 
-    return rows.select("text", "key", "print", "seeds").mapInArrow(run, "key long, print long, place int, h1 long, h2 int")
+    return rows.select("text", "key", "print", "seeds").mapInArrow(tidy(run), "key long, print long, place int, h1 long, h2 int")
 
 
 def merged(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def _intervals(repeated: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in both], type=kind), pa.array([x[1] for x in both], type=kind)],
                                              names=["key", "print", "starts", "ends"])
 
-    return lists.mapInArrow(run, "key long, print long, starts array<int>, ends array<int>")
+    return lists.mapInArrow(tidy(run), "key long, print long, starts array<int>, ends array<int>")
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             )
 
     fields = [T.StructField(text, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    return own.mapInArrow(run, T.StructType([*fields, *own.schema.fields[1:]]))
+    return own.mapInArrow(tidy(run), T.StructType([*fields, *own.schema.fields[1:]]))
 
 
 ORACLE = r"""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices
+from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices, tidy
 from scriptloom.llm.quality import _logistic
 
 #: Learning takes at most this many texts of each label, of at most this many characters each.
@@ -32,7 +32,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5, 6)
 WINDOW, ROUNDS, EPOCHS, BATCH, RATE = 2, 4, 3, 256, 0.3
 THRESHOLD = 0.7
-MEMO = 500_000
+#: Words whose evidence a worker remembers, about 200 bytes each.
+MEMO = 200_000
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +197,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s), pa.array(x)], names=[*kept, "score", "evidence"])
 
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

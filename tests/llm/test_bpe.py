@@ -63,6 +63,13 @@ def test_round_trip_over_a_table(docs, corpus, library):
         assert bytes(got[r[0]].decoded) == t.encode()
 
 
+def test_the_two_steps_apart(docs, corpus):
+    ids = bpe.encode(docs.select("doc_id", "text", "lang"), PATH, P.PATTERN)
+    assert ids.columns == ["doc_id", "text", "lang", "ids"]
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(ids, PATH, P.PATTERN).collect()}
+    assert got == {r[0]: (r[1] or "").encode() for r in corpus}
+
+
 def test_empty_table(no_docs):
     assert bpe.round_trip(no_docs, PATH, P.PATTERN).count() == 0
 
