@@ -616,7 +616,7 @@ def highlighted_documents(spark, sf_dir):
 @query("offline_completion")
 def offline_completion(spark, sf_dir):
     """A prompt for each document to the offline backend, with the answer's first fault."""
-    docs = _docs(spark, sf_dir).select("doc_id", X.fill(F.lit("Summarise {{ name }}.\n\n{{ text }}"), {"name": F.col("doc_id"), "text": F.left("text", F.lit(1000))}).alias("prompt"))
+    docs = _docs(spark, sf_dir).select("doc_id", X.fill(F.lit("Summarise {{ name }}.\n\n{{ text }}"), {"name": F.col("doc_id"), "text": F.col("text")}).alias("prompt"))
     got = completion.completed(docs, "prompt")
     return got.select("doc_id", "answer.output_tokens", F.coalesce(completion.answer_fault(F.col("answer")), F.lit("valid")).alias("state"))
 
