@@ -29,6 +29,11 @@ CHARS_PER_TOKEN, BUDGET_SHARE, LARGE_TEXT = 4, 0.8, 10_000
 _BLANK = r"(?U)\s+"
 
 
+def pieces(text: Column) -> Column:
+    """What white space (Unicode) parts, with an empty piece before it at the start and after it at the end."""
+    return F.split(text, _BLANK, -1)
+
+
 def words(text: Column) -> Column:
     """Maximal runs without white space (Unicode)."""
     return F.filter(F.split(text, _BLANK), lambda w: w != "")

@@ -34,12 +34,18 @@ def match(claims: DataFrame, docs: DataFrame, claim: str, doc: str = "doc_id", t
 def exact_grounding(claims: DataFrame, docs: DataFrame, claim: str, text: str = "text") -> DataFrame:
     """Pairs of claims and documents that contain them word for word.
 
-    A claim's first word keys the join, so that claims meet only documents that have it; both sides stay distributed.
+    A claim's longest word with white space on both sides is a whole word of every text that contains the claim, and keys the
+    join, so that claims meet only documents that have it; both sides stay distributed. Claims without such a word are broadcast and looked
+    for in every text.
     """
-    keyed = claims.withColumn("w_", F.get(X.words(F.col(claim)), F.lit(0))).filter("w_ IS NOT NULL")
-    wanted = keyed.select("w_").distinct()
-    have = docs.withColumn("w_", F.explode(F.array_distinct(X.words(F.col(text))))).join(wanted, "w_", "left_semi")
-    return have.join(keyed, "w_").filter(F.contains(F.col(text), F.col(claim))).drop("w_")
+    inner = F.filter(F.slice(X.pieces(F.col(claim)), 2, F.greatest(F.size(X.pieces(F.col(claim))) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = claims.withColumn("w_", longest)
+    inside = F.contains(F.col(text), F.col(claim))
+    key = keyed.filter("w_ IS NOT NULL")
+    have = docs.withColumn("w_", F.explode(F.array_distinct(X.words(F.col(text))))).join(key.select("w_").distinct(), "w_", "left_semi")
+    by_word = have.join(key, "w_").filter(inside).drop("w_")
+    return by_word.unionByName(docs.join(F.broadcast(keyed.filter("w_ IS NULL").drop("w_")), inside))
 
 
 def band(first: Column, second: Column, bands: tuple) -> Column:
