@@ -7,7 +7,9 @@ consistent: a value of the item always stands for the same value of the document
 consistent occurrences cover ``COVER`` of the item's windows; where values differ, the item was re-parameterised.
 
 A number is a word with a digit before any letter; a unit is a word of ``UNITS`` after a number; a name is a capitalised
-word that follows a word ending in a lower-case letter, comma or semicolon.
+word that follows a word ending in a lower-case letter, comma or semicolon. In a second, wide form every capitalised word
+is a name, wherever it stands, and number words are numbers too. Pairs that the first form doesn't find are found by windows of either form, whose
+slots are compared without punctuation; a window left with fewer than ``LITERALS`` plain words must keep its names.
 
 Defined results: null and short texts have no windows and hold nothing; items without an eligible window are
 never found; a null key is a key like any other; equal rows count once; items of equal text are each found; extra columns
@@ -26,6 +28,13 @@ UNITS = "km|m|cm|mm|kg|g|mg|l|ml|h|min|s|ms|mph|kmh|hours?|minutes?|seconds?|day
 #: Windows up to this many are broadcast (about 100 bytes each); beyond, both sides are shuffled by the hash.
 BROADCAST_WINDOWS, BROADCAST_KEYS = 100_000, 200_000
 
+_ONES = "one|two|three|four|five|six|seven|eight|nine"
+#: Number words of the wide form.
+NUMBERS = (
+    f"zero|{_ONES}|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion|"
+    f"(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:-(?:{_ONES}))?"
+)
+
 _NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
 # every word stands between two spaces of its own, so that neighbouring matches don't share one
 _STEPS = (
@@ -36,6 +45,11 @@ _STEPS = (
     ("([\\p{Ll},;]  )(\\p{Lu}\\p{Ll}+[^ \\p{L}]*) ", f"$1{_NAME}$2 "),
     ("([\\p{Ll},;]  )(\\p{Lu}\\p{Ll}+[^ \\p{L}]*) ", f"$1{_NAME}$2 "),  # the second of neighbouring names
 )
+_WIDE_STEPS = (
+    (f" [\x01]?([^ \\p{{L}}\\p{{N}}\x01-\x03]*(?i:{NUMBERS})[^ \\p{{L}}\\p{{N}}]*) ", f" {_NUMBER}$1 "),
+    (f"( {_NUMBER}[^ ]*  )((?:{UNITS})[^ \\p{{L}}\\p{{N}}]*) ", f"$1{_UNIT}$2 "),
+    (" ([^ \\p{L}\\p{N}\x01-\x03]*\\p{Lu}\\p{Ll}+(?:['\u2019]s)?[^ \\p{L}]*) ", f" {_NAME}$1 "),
+)
 
 
 def marked(text: Column) -> Column:
@@ -48,6 +62,13 @@ def marked(text: Column) -> Column:
     return t
 
 
+def widened(mark: Column) -> Column:
+    """Marked text with marks of the wide form too."""
+    for step in _WIDE_STEPS:
+        mark = F.regexp_replace(mark, *step)
+    return mark
+
+
 def _words(joined: Column) -> Column:
     return F.split(F.regexp_replace(joined, "^ | $", ""), "  ", -1)
 
@@ -61,22 +82,42 @@ def canonical(mark: Column) -> Column:
 def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).alias("key"), text_of(text).alias("text"))
     rows = rows.select("key", F.xxhash64("text").alias("print"), marked(F.col("text")).alias("mark"))
-    rows = rows.select("key", "print", _words(F.col("mark")).alias("raw"), _words(canonical(F.col("mark"))).alias("canon"))
+    rows = rows.select("key", "print", "mark", _words(F.col("mark")).alias("raw"), _words(canonical(F.col("mark"))).alias("canon"),
+                       _words(canonical(widened(F.col("mark")))).alias("wide"))
     at = F.sequence(F.lit(1), F.size("canon") - (SIZE - 1))
-    hashes = F.when(F.size("canon") >= SIZE, F.transform(at, lambda i: F.xxhash64(F.slice("canon", i, SIZE))))
-    return rows.withColumn("hashes", hashes)
+    hashes = lambda c: F.when(F.size("canon") >= SIZE, F.transform(at, lambda i: F.xxhash64(F.slice(c, i, SIZE))))
+    return rows.withColumns({"hashes": hashes("canon"), "wide_hashes": hashes("wide")})
+
+
+def _forms(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each window and form: ``columns``, at, hash, form (0, or 1 for the wide one where it differs), own (canonical words)."""
+    both = F.arrays_zip(F.col("hashes").alias("h"), F.col("wide_hashes").alias("w"))
+    each = rows.select(*columns, "canon", "wide", F.posexplode(both).alias("at", "x"))
+    form = F.explode(F.when(F.col("x.h") == F.col("x.w"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    each = each.select("*", form.alias("form"))
+    words = F.when(F.col("form") == 0, F.col("canon")).otherwise(F.col("wide"))
+    return each.select(*columns, "at", F.when(F.col("form") == 0, F.col("x.h")).otherwise(F.col("x.w")).alias("hash"), "form", F.slice(words, F.col("at") + 1, SIZE).alias("own"))
+
+
+def _literals(canon: str | Column) -> Column:
+    return F.size(F.filter(canon, lambda w: (w != "") & ~w.isin(_NAME, _NUMBER, _UNIT)))
+
+
+def value(raw: Column) -> Column:
+    """A slot's word without marks, punctuation at its ends, and possessive."""
+    return F.regexp_replace(raw, "^[^\\p{L}\\p{N}]+|(?:['\u2019]s)?[^\\p{L}\\p{N}]*$", "")
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """Eligible windows of the items: item, its number of them, place, hash, canonical and raw words."""
-    rows = _prepared(items, key, text).select("key", "print", "raw", "canon", F.posexplode("hashes").alias("at", "hash"))
+    rows = _forms(_prepared(items, key, text), "key", "print", "raw", "canon")
     rows = rows.select(
-        F.col("key").alias("item"), "print", F.col("at").alias("item_at"), "hash",
-        F.slice("canon", F.col("at") + 1, SIZE).alias("item_canon"), F.slice("raw", F.col("at") + 1, SIZE).alias("item_raw"),
+        F.col("key").alias("item"), "print", F.col("at").alias("item_at"), "hash", F.col("form").alias("item_form"),
+        F.slice("canon", F.col("at") + 1, SIZE).alias("item_plain"), F.col("own").alias("item_canon"), F.slice("raw", F.col("at") + 1, SIZE).alias("item_raw"),
     ).distinct()
-    literal = F.size(F.filter("item_canon", lambda w: (w != "") & ~w.isin(_NAME, _NUMBER, _UNIT)))
-    rows = settle(rows.filter(literal >= LITERALS))
-    return rows.join(rows.groupBy("item", "print").agg(F.count("*").alias("windows")).withColumnRenamed("item", "i").withColumnRenamed("print", "p"),
+    rows = settle(rows.filter(_literals("item_plain") >= LITERALS).drop("item_plain"))
+    count = rows.filter("item_form = 0").groupBy("item", "print").agg(F.count("*").alias("windows"))
+    return rows.join(count.withColumnRenamed("item", "i").withColumnRenamed("print", "p"),
                      F.col("item").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))).drop("i", "p")
 
 
@@ -90,7 +131,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
 
     # 1. by hashes alone: the pairs that share enough of the item's windows, on narrow rows
     # (outer: else the optimiser repeats the hashing in a filter)
-    hashed = _prepared(docs, key, text).select("key", "print", F.explode_outer("hashes").alias("hash"))
+    hashed = _prepared(docs, key, text).select("key", "print", F.explode_outer(F.array_distinct(F.concat("hashes", "wide_hashes"))).alias("hash"))
     keyed = side(of_items.select("hash", "item", "item_print", "item_at", "windows"), few)
     shared = hashed.join(keyed, "hash").drop("hash").distinct()
     pairs = shared.groupBy("key", "print", "item", "item_print", "windows").agg(F.count("*").alias("n"))
@@ -100,8 +141,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     suspects = pairs.select(F.col("key").alias("k"), F.col("print").alias("p")).distinct()
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     own = own.join(side(suspects, small), own["key"].eqNullSafe(F.col("k")) & (F.xxhash64(text_of("text")) == F.col("p")), "left_semi")
-    rows = _prepared(own, "key", "text").select("key", "print", "raw", "canon", F.posexplode_outer("hashes").alias("at", "hash"))
-    hit = rows.join(side(of_items, few), "hash").filter(F.slice("canon", F.col("at") + 1, SIZE) == F.col("item_canon"))
+    rows = _forms(_prepared(own, "key", "text"), "key", "print", "raw")
+    hit = rows.join(side(of_items, few), "hash").filter(F.col("own") == F.col("item_canon"))
     chosen = pairs.select(*(F.col(c).alias(f"c_{c}") for c in ("key", "print", "item", "item_print")))
     same = [hit["key"].eqNullSafe(F.col("c_key")), hit["print"] == F.col("c_print"), hit["item"].eqNullSafe(F.col("c_item")), hit["item_print"] == F.col("c_item_print")]
     hit = hit.join(side(chosen, small), same, "left_semi")
@@ -109,8 +150,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
         F.arrays_zip(F.col("item_canon").alias("c"), F.col("item_raw").alias("a"), F.slice("raw", F.col("at") + 1, SIZE).alias("b")),
         lambda x: x["c"].isin(_NAME, _NUMBER, _UNIT),
     )
-    hit = hit.select("key", "print", "item", "item_print", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"),
-                     F.transform(slot, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("slots"))
+    hit = settle(hit.select("key", "print", "item", "item_print", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"),
+                            ((F.col("form") == 0) & (F.col("item_form") == 0)).alias("strict"), (_literals("item_canon") >= LITERALS).alias("plain"), slot.alias("slots")))
+    first = _held(hit.filter("strict").withColumn("slots", F.transform("slots", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))))
+    bare = hit.withColumn("slots", F.transform("slots", lambda x: F.struct(value(x["a"]).alias("a"), value(x["b"]).alias("b"), x["c"].alias("c"))))
+    renamed = F.exists("slots", lambda x: (x["c"] == _NAME) & (x["a"] != x["b"]))
+    bare = bare.filter(F.col("strict") | F.col("plain") | ~renamed)
+    either = _held(bare.withColumn("slots", F.transform("slots", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))))
+    known = first.select(*(F.col(c).alias(f"k_{c}") for c in ("key", "print", "item", "item_print")))
+    again = [either["key"].eqNullSafe(F.col("k_key")), either["print"] == F.col("k_print"), either["item"].eqNullSafe(F.col("k_item")), either["item_print"] == F.col("k_item_print")]
+    return first.unionByName(either.join(known, again, "left_anti")).drop("item_print")
+
+
+def _held(hit: DataFrame) -> DataFrame:
+    """Pairs whose consistent occurrences cover enough windows, from windows that agree."""
     one = hit.groupBy("key", "print", "item", "item_print", "windows", "shift").agg(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")  # of one item
     )
@@ -122,7 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     )
     changed = F.exists("slots", lambda x: x["a"] != x["b"])
     return every.filter(F.col("matched") >= COVER * F.col("windows")).select(
-        "key", "print", "item", "windows", "matched", (F.col("matched") / F.col("windows")).alias("cover"),
+        "key", "print", "item", "item_print", "windows", "matched", (F.col("matched") / F.col("windows")).alias("cover"),
         F.size("slots").cast("long").alias("slots"), F.when(changed, "reparameterised").otherwise("verbatim").alias("kind"),
     )
 
