@@ -11,8 +11,10 @@ word that follows a word ending in a lower-case letter, comma or semicolon. In a
 is a name, wherever it stands, and number words are numbers too. Pairs that the first form doesn't find are found by windows of either form, whose
 slots are compared without punctuation; a window left with fewer than ``LITERALS`` plain words must keep its names.
 
-Defined results: null and short texts have no windows and hold nothing; items without an eligible window are
-never found; a null key is a key like any other; equal rows count once; items of equal text are each found; extra columns
+Items without an eligible window, short ones among them, are one window of all their words, found word for word without
+case and punctuation.
+
+Defined results: null texts hold nothing; items without any plain word (numbers alone, empty) are never found; a null key is a key like any other; equal rows count once; items of equal text are each found; extra columns
 take no part.
 """
 
@@ -121,6 +123,34 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
                      F.col("item").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))).drop("i", "p")
 
 
+def _whole(text: str = "text") -> Column:
+    return _words(F.lower(F.regexp_replace(marked(text_of(text)), "[^\\p{L}\\p{N} ]+", "")))
+
+
+def short_items(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """Items of plain words without an eligible window: item, item_print, n (of words), item_words."""
+    rows = items.select(F.col(key).alias("item"), F.xxhash64(text_of(text)).alias("item_print"), _whole(text).alias("item_words"),
+                        _words(canonical(marked(text_of(text)))).alias("canon")).distinct()
+    at = F.sequence(F.lit(1), F.size("canon") - (SIZE - 1))
+    eligible = F.when(F.size("canon") >= SIZE, F.exists(at, lambda i: _literals(F.slice("canon", i, SIZE)) >= LITERALS)).otherwise(False)
+    return settle(rows.filter(~eligible & (_literals("canon") >= 1)).select("item", "item_print", F.size("item_words").alias("n"), "item_words"))
+
+
+def _verbatim(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame | None:
+    """Rows of ``leaks`` for short items, None if there are none."""
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # a few different numbers of words
+    if not lengths:
+        return None
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("print"), _whole(text).alias("words"))
+    rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(F.size("words") >= F.col("n"))
+    at = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
+    each = rows.select("key", "print", "n", F.explode(F.array_distinct(F.transform(at, lambda i: F.slice("words", i, F.col("n"))))).alias("item_words"))
+    few = items.count() <= BROADCAST_WINDOWS
+    found = each.join(F.broadcast(items) if few else items, ["n", "item_words"]).select("key", "print", "item", "item_print").distinct()
+    one = F.lit(1).cast("long")
+    return found.select("key", "print", "item", one.alias("windows"), one.alias("matched"), F.lit(1.0).alias("cover"), F.lit(0).cast("long").alias("slots"), F.lit("verbatim").alias("kind"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """key, print (hash of the text), item, windows, matched, cover, slots, kind: a row for each document and item that it holds."""
     of_items = item_windows(items, item_key, text).withColumnRenamed("print", "item_print")
@@ -159,7 +189,9 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     either = _held(bare.withColumn("slots", F.transform("slots", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))))
     known = first.select(*(F.col(c).alias(f"k_{c}") for c in ("key", "print", "item", "item_print")))
     again = [either["key"].eqNullSafe(F.col("k_key")), either["print"] == F.col("k_print"), either["item"].eqNullSafe(F.col("k_item")), either["item_print"] == F.col("k_item_print")]
-    return first.unionByName(either.join(known, again, "left_anti")).drop("item_print")
+    found = first.unionByName(either.join(known, again, "left_anti")).drop("item_print")
+    short = _verbatim(docs, short_items(items, item_key, text), key, text)
+    return found if short is None else found.unionByName(short)
 
 
 def _held(hit: DataFrame) -> DataFrame:

@@ -51,3 +51,11 @@ def test_names_that_open_sentences_and_number_words_are_slots(spark):
 def test_copies_after_any_word_are_found(spark):
     found = leaks_of(spark, ANSWERS, QUESTIONS)
     assert [x for x in found if x[0] in (4, 5, 6)] == [(4, 3, "verbatim"), (5, 4, "verbatim"), (6, 5, "verbatim")]
+
+
+def test_items_without_a_window_are_found_word_for_word(spark):
+    items = [(1, "Who was Ada?"), (2, "is 7 8 9 10 11"), (3, "1 2 3"), (4, ""), (5, None), (6, "Who was Ada?")]
+    docs = [(1, 'They ask: "who was Ada" again'), (2, "Who was Adam?"), (3, "he is 7 8 9 10 11."), (4, "is 7 8 9 10 12"), (5, "1 2 3"), (6, ""), (7, None), (None, "who was ada")]
+    found = leaks_of(spark, [d for d in docs if d[0]], items)
+    assert found == [(1, 1, "verbatim"), (1, 6, "verbatim"), (3, 2, "verbatim")]
+    assert decontam.leaks(spark.createDataFrame(docs[-1:], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 2
