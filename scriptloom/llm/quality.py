@@ -27,8 +27,8 @@ from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices, t
 
 #: Learning takes at most this many rows of each label, of at most this many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
-#: Each learning text gives its last PIECE bytes to a dictionary of at most DICT_BYTES; texts are compressed in blocks.
-DICT_BYTES, PIECE, LEVEL, BLOCK = 1 << 19, 600, 6, 4 << 10
+#: All learning texts of a label share its dictionary of at most DICT_BYTES, each in PIECES spread over it; texts are compressed in blocks.
+DICT_BYTES, PIECES, LEVEL, BLOCK = 1 << 19, 3, 6, 4 << 10
 THRESHOLD = 0.3
 
 
@@ -74,8 +74,20 @@ def _evidence(text: str | None, sides: list) -> float:
 
 
 def _content(texts: list[bytes]) -> bytes:
-    """Raw dictionary content: the end of each text, where openings shared by good and bad texts are left behind."""
-    return b"\n".join(t[-PIECE:] for t in texts)[-DICT_BYTES:]
+    """Raw dictionary content of all texts: short ones whole, of longer ones as many bytes each as fit, in pieces from start to end."""
+    left, share = DICT_BYTES, 0
+    for done, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - done) - 1  # less the line end
+        left -= min(n, share) + 1
+    return b"\n".join(_spread(t, share) for t in texts)
+
+
+def _spread(text: bytes, size: int) -> bytes:
+    if len(text) <= size:
+        return text
+    piece = size // PIECES
+    step = (len(text) - piece) / (PIECES - 1)
+    return b"".join(text[at : at + piece] for at in (round(i * step) for i in range(PIECES)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> QualityModel:

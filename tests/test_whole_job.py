@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import decontam
+from scriptloom.llm import decontam, quality
 from scriptloom.operators import grounding
 from scriptloom.plans import catalogue
 
@@ -59,3 +59,11 @@ def test_items_without_a_window_are_found_word_for_word(spark):
     found = leaks_of(spark, [d for d in docs if d[0]], items)
     assert found == [(1, 1, "verbatim"), (1, 6, "verbatim"), (3, 2, "verbatim")]
     assert decontam.leaks(spark.createDataFrame(docs[-1:], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 2
+
+
+def test_dictionaries_hold_all_learning_texts():
+    texts = [b"start%06d" % i + b"x" * 900 + b"middle%06d" % i + b"y" * 900 + b"end%06d" % i for i in range(1125)] + [b"short one", b""]
+    got = quality._content(texts)
+    assert len(got) <= quality.DICT_BYTES and b"short one" in got
+    assert all(b"start%06d" % i in got and b"middle%06d" % i in got and b"end%06d" % i in got for i in range(1125))
+    assert quality._content([b"whole " * 500, b"text"]) == b"whole " * 500 + b"\ntext"
