@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import decontam, quality
 from scriptloom.operators import grounding
 from scriptloom.plans import catalogue
 
@@ -21,49 +20,3 @@ def test_claims_are_found_wherever_texts_hold_them(spark):
     right = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r.item_id, r.doc_id) for r in grounding.exact_grounding(left, right, "claim").collect())
     assert got == sorted((i, j) for i, c in enumerate(claims) for j, t in enumerate(texts) if c is not None and t is not None and c in t)
-
-
-QUESTIONS = [
-    (1, "Yesterday the shop sold 12 red apples to its customers. Anna bought 3 of them and gave 2 away. How many apples did Anna keep for herself?"),
-    (2, "Three girls share twelve plums in the yard. \"Anna took two of them,\" says the oldest. How many plums are left in the yard?"),
-    (3, "What is 7 times 8 plus 4?"), (4, "How many legs do spiders have?"), (5, "Anna is 7 8 9"),
-]
-ANSWERS = [
-    (1, "Intro. Yesterday the shop sold 15 red apples to its customers. Maria bought 7 of them and gave 4 away. How many apples did Maria keep for herself? End."),
-    (2, "Yesterday the shop sold 15 red apples to its customers. Maria bought 7 of them and gave 4 away. How many apples did Eva keep for herself?"),
-    (3, "so 5 girls share 20 plums in the yard. \"Eva took seven of them,\" says the oldest. How many plums are left in the yard?"),
-    (4, "and then. The next question What is 7 times 8 plus 4? is hard"), (5, "as asked here How many legs do spiders have? and more"),
-    (6, "they say Anna is 7 8 9 here"), (7, "they say Maria is 1 2 3 here"),
-]
-
-
-def leaks_of(spark, docs, items):
-    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    return sorted((r.key, r.item, r.kind) for r in found.collect())
-
-
-def test_names_that_open_sentences_and_number_words_are_slots(spark):
-    found = leaks_of(spark, ANSWERS, QUESTIONS)
-    assert (1, 1, "reparameterised") in found and (3, 2, "reparameterised") in found
-    assert not [x for x in found if x[0] in (2, 7)]  # Anna is both Maria and Eva; and another name in a window of one plain word
-
-
-def test_copies_after_any_word_are_found(spark):
-    found = leaks_of(spark, ANSWERS, QUESTIONS)
-    assert [x for x in found if x[0] in (4, 5, 6)] == [(4, 3, "verbatim"), (5, 4, "verbatim"), (6, 5, "verbatim")]
-
-
-def test_items_without_a_window_are_found_word_for_word(spark):
-    items = [(1, "Who was Ada?"), (2, "is 7 8 9 10 11"), (3, "1 2 3"), (4, ""), (5, None), (6, "Who was Ada?")]
-    docs = [(1, 'They ask: "who was Ada" again'), (2, "Who was Adam?"), (3, "he is 7 8 9 10 11."), (4, "is 7 8 9 10 12"), (5, "1 2 3"), (6, ""), (7, None), (None, "who was ada")]
-    found = leaks_of(spark, [d for d in docs if d[0]], items)
-    assert found == [(1, 1, "verbatim"), (1, 6, "verbatim"), (3, 2, "verbatim")]
-    assert decontam.leaks(spark.createDataFrame(docs[-1:], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 2
-
-
-def test_dictionaries_hold_all_learning_texts():
-    texts = [b"start%06d" % i + b"x" * 900 + b"middle%06d" % i + b"y" * 900 + b"end%06d" % i for i in range(1125)] + [b"short one", b""]
-    got = quality._content(texts)
-    assert len(got) <= quality.DICT_BYTES and b"short one" in got
-    assert all(b"start%06d" % i in got and b"middle%06d" % i in got and b"end%06d" % i in got for i in range(1125))
-    assert quality._content([b"whole " * 500, b"text"]) == b"whole " * 500 + b"\ntext"
