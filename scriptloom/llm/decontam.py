@@ -27,68 +27,85 @@ from scriptloom.llm.common import read, settle, text_of
 
 SIZE, LITERALS, COVER = 5, 2, 0.8
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|h|min|s|ms|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|metres?|meters?|grams?|litres?|liters?|dollars?|euros?|cents?|percent|degrees?"
-#: Windows up to this many are broadcast (about 100 bytes each); beyond, both sides are shuffled by the hash.
+#: Windows up to this many are broadcast (about 100 bytes each); beyond, a bitmap of their hashes sieves the documents' ones, and what is left is shuffled.
 BROADCAST_WINDOWS, BROADCAST_KEYS = 100_000, 200_000
 
 _ONES = "one|two|three|four|five|six|seven|eight|nine"
-#: Number words of the wide form.
-NUMBERS = (
-    f"zero|{_ONES}|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion|"
-    f"(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:-(?:{_ONES}))?"
+_TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
+_NAME, _NUMBER, _UNIT, _CAPITAL = "\x01", "\x02", "\x03", "\x04"
+_NUMBER_WORDS = tuple(
+    ["zero", *_ONES.split("|"), "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+     "hundred", "thousand", "million", "billion"] + [t + o for t in _TENS.split("|") for o in ("", *_ONES.split("|"))]
 )
-
-_NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
-# every word stands between two spaces of its own, so that neighbouring matches don't share one
-_STEPS = (
-    ("[\x01-\x03]+", ""),
-    ("[\x20\x09-\x0D]+", "  "),
-    (" ([^ \\p{L}\\p{N}]*[0-9][^ ]*) ", f" {_NUMBER}$1 "),
-    (f"( {_NUMBER}[^ ]*  )((?:{UNITS})[^ \\p{{L}}\\p{{N}}]*) ", f"$1{_UNIT}$2 "),
-    ("([\\p{Ll},;]  )(\\p{Lu}\\p{Ll}+[^ \\p{L}]*) ", f"$1{_NAME}$2 "),
-    ("([\\p{Ll},;]  )(\\p{Lu}\\p{Ll}+[^ \\p{L}]*) ", f"$1{_NAME}$2 "),  # the second of neighbouring names
-)
-_WIDE_STEPS = (
-    (f" [\x01]?([^ \\p{{L}}\\p{{N}}\x01-\x03]*(?i:{NUMBERS})[^ \\p{{L}}\\p{{N}}]*) ", f" {_NUMBER}$1 "),
-    (f"( {_NUMBER}[^ ]*  )((?:{UNITS})[^ \\p{{L}}\\p{{N}}]*) ", f"$1{_UNIT}$2 "),
-    (" ([^ \\p{L}\\p{N}\x01-\x03]*\\p{Lu}\\p{Ll}+(?:['\u2019]s)?[^ \\p{L}]*) ", f" {_NAME}$1 "),
+_UNIT_WORDS = tuple(x for u in UNITS.split("|") for x in ((u[:-2], u[:-1]) if u.endswith("s?") else (u,)))
+# marks are put before words by what stands around them; nothing is consumed, so that neighbours don't share a blank
+_MARKS = (
+    ("(?<= )(?=[^ \\p{L}\\p{N}]*[0-9])", _NUMBER),
+    (f"( {_NUMBER}[^ ]* )(?=(?:{UNITS})[^ \\p{{L}}\\p{{N}}]* )", f"$1{_UNIT}"),
+    ("(?<=[\\p{Ll},;] )(?=\\p{Lu}\\p{Ll}+[^ \\p{L}]* )", _NAME),
+    ("(?<= )(?=[^ \\p{L}\\p{N}\x01-\x03]*\\p{Lu}\\p{Ll}+(?:['\u2019]s)?[^ \\p{L}]* )", _CAPITAL),
 )
 
 
 def marked(text: Column) -> Column:
-    """The text's words, two spaces apart, with a mark before numbers, units and names."""
-    t = F.regexp_replace(text, _STEPS[0][0], _STEPS[0][1])
-    t = F.concat(F.lit(" "), F.regexp_replace(t, *_STEPS[1]), F.lit(" "))
-    t = F.regexp_replace(t, "^ +| +$", " ")
-    for step in _STEPS[2:]:
-        t = F.regexp_replace(t, *step)
+    """The text's words between single blanks, with a mark before numbers, units, names, and other capitalised words."""
+    t = F.regexp_replace(F.translate(text, "\x01\x02\x03\x04", ""), "[\x20\x09-\x0D]+", " ")
+    t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
+    for pattern, mark in _MARKS:
+        t = F.regexp_replace(t, pattern, mark)
     return t
 
 
-def widened(mark: Column) -> Column:
-    """Marked text with marks of the wide form too."""
-    for step in _WIDE_STEPS:
-        mark = F.regexp_replace(mark, *step)
-    return mark
+def _words(joined: Column) -> Column:
+    return F.split(F.substring(joined, F.lit(2), F.length(joined) - 2), " ", -1)
+
 
+def _bare(mark: Column) -> Column:
+    """Words of marked text, lower-cased and without punctuation, behind their marks. Words keep their places."""
+    return _words(F.lower(F.regexp_replace(mark, "[^\\p{L}\\p{N} \x01-\x04]+", "")))
 
-def _words(joined: Column) -> Column:
-    return F.split(F.regexp_replace(joined, "^ | $", ""), "  ", -1)
+
+def _plain(word: Column) -> Column:
+    return F.ltrim(word, F.lit("\x01\x02\x03\x04"))
+
+
+def _first_form(word: Column) -> Column:
+    """A placeholder for a slot, else the word."""
+    return F.when(word < _CAPITAL, F.left(word, F.lit(1))).otherwise(F.ltrim(word, F.lit(_CAPITAL)))
+
+
+def _wide_form(words: str) -> Column:
+    """The words with placeholders of the wide form: number words and their units, and every capitalised word, too."""
+    number = lambda w: w.startswith(_NUMBER) | (~w.startswith(_UNIT) & _plain(w).isin(*_NUMBER_WORDS))
+    return F.transform(
+        words,
+        lambda w, i: F.when(number(w), _NUMBER).when(w.startswith(_CAPITAL), _NAME)
+        .when(w.isin(*_UNIT_WORDS) & F.coalesce(number(F.get(words, i - 1)), F.lit(False)), _UNIT).otherwise(_first_form(w)),
+    )
 
 
-def canonical(mark: Column) -> Column:
-    """Marked text with placeholders for slots; other words lower-cased, without punctuation. Words keep their places."""
-    t = F.regexp_replace(mark, "([\x01-\x03])[^ ]*", "$1")
-    return F.lower(F.regexp_replace(t, "[^\\p{L}\\p{N} \x01-\x03]+", ""))
+def _hashes(word_hashes: str) -> Column:
+    """Hash of each window of ``SIZE`` words, from the words' hashes."""
+    at = F.sequence(F.lit(0), F.size(word_hashes) - SIZE)
+    each = F.transform(at, lambda i: F.xxhash64(*(F.get(word_hashes, i + k) for k in range(SIZE))))
+    return F.when(F.size(word_hashes) >= SIZE, each)
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column bare (see ``_bare``), and window hashes in both forms: hashes and wide_hashes."""
+    rows = rows.withColumns({"h1": F.transform("bare", lambda w: F.xxhash64(_first_form(w))), "h2": F.transform(_wide_form("bare"), lambda w: F.xxhash64(w))})
+    return rows.withColumns({"hashes": _hashes("h1"), "wide_hashes": _hashes("h2")}).drop("h1", "h2")
 
 
 def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).alias("key"), text_of(text).alias("text"))
     rows = rows.select("key", F.xxhash64("text").alias("print"), marked(F.col("text")).alias("mark"))
-    rows = rows.select("key", "print", "mark", _words(F.col("mark")).alias("raw"), _words(canonical(F.col("mark"))).alias("canon"),
-                       _words(canonical(widened(F.col("mark")))).alias("wide"))
-    at = F.sequence(F.lit(1), F.size("canon") - (SIZE - 1))
-    hashes = lambda c: F.when(F.size("canon") >= SIZE, F.transform(at, lambda i: F.xxhash64(F.slice(c, i, SIZE))))
-    return rows.withColumns({"hashes": hashes("canon"), "wide_hashes": hashes("wide")})
+    return _hashed(rows.select("key", "print", "mark", _bare(F.col("mark")).alias("bare")))
+
+
+def _worded(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``_prepared`` with their words as they are (raw) and in both forms (canon, wide)."""
+    return rows.withColumns({"raw": _words(F.col("mark")), "canon": F.transform("bare", _first_form), "wide": _wide_form("bare")})
 
 
 def _forms(rows: DataFrame, *columns: str) -> DataFrame:
@@ -112,7 +129,7 @@ def value(raw: Column) -> Column:
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """Eligible windows of the items: item, its number of them, place, hash, canonical and raw words."""
-    rows = _forms(_prepared(items, key, text), "key", "print", "raw", "canon")
+    rows = _forms(_worded(_prepared(items, key, text)), "key", "print", "raw", "canon")
     rows = rows.select(
         F.col("key").alias("item"), "print", F.col("at").alias("item_at"), "hash", F.col("form").alias("item_form"),
         F.slice("canon", F.col("at") + 1, SIZE).alias("item_plain"), F.col("own").alias("item_canon"), F.slice("raw", F.col("at") + 1, SIZE).alias("item_raw"),
@@ -124,13 +141,13 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
 
 
 def _whole(text: str = "text") -> Column:
-    return _words(F.lower(F.regexp_replace(marked(text_of(text)), "[^\\p{L}\\p{N} ]+", "")))
+    return F.transform(_bare(marked(text_of(text))), _plain)
 
 
 def short_items(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """Items of plain words without an eligible window: item, item_print, n (of words), item_words."""
     rows = items.select(F.col(key).alias("item"), F.xxhash64(text_of(text)).alias("item_print"), _whole(text).alias("item_words"),
-                        _words(canonical(marked(text_of(text)))).alias("canon")).distinct()
+                        F.transform(_bare(marked(text_of(text))), _first_form).alias("canon")).distinct()
     at = F.sequence(F.lit(1), F.size("canon") - (SIZE - 1))
     eligible = F.when(F.size("canon") >= SIZE, F.exists(at, lambda i: _literals(F.slice("canon", i, SIZE)) >= LITERALS)).otherwise(False)
     return settle(rows.filter(~eligible & (_literals("canon") >= 1)).select("item", "item_print", F.size("item_words").alias("n"), "item_words"))
@@ -151,6 +168,19 @@ def _verbatim(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFra
     return found.select("key", "print", "item", one.alias("windows"), one.alias("matched"), F.lit(1.0).alias("cover"), F.lit(0).cast("long").alias("slots"), F.lit("verbatim").alias("kind"))
 
 
+def _sieved(hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose hash may be among ``known``, before any shuffle: its first 28 bits are looked up in a bitmap.
+
+    The bitmap is broadcast, in 2^14 rows of 256 longs: 32 MB, however many hashes are known.
+    """
+    slot, word, bit = "shiftrightunsigned(hash, 50)", "cast(shiftrightunsigned(hash, 42) & 255 AS int)", "cast(shiftrightunsigned(hash, 36) & 63 AS int)"
+    words = known.groupBy(F.expr(slot).alias("slot"), F.expr(word).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("bits"))
+    maps = words.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # 256 entries at most
+    bitmap = maps.select("slot", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("bitmap"))
+    left = hashed.withColumn("slot", F.expr(slot)).join(F.broadcast(bitmap), "slot")
+    return left.filter(F.expr(f"getbit(bitmap[{word}], {bit}) = 1")).drop("slot", "bitmap")
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """key, print (hash of the text), item, windows, matched, cover, slots, kind: a row for each document and item that it holds."""
     of_items = item_windows(items, item_key, text).withColumnRenamed("print", "item_print")
@@ -162,6 +192,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     # 1. by hashes alone: the pairs that share enough of the item's windows, on narrow rows
     # (outer: else the optimiser repeats the hashing in a filter)
     hashed = _prepared(docs, key, text).select("key", "print", F.explode_outer(F.array_distinct(F.concat("hashes", "wide_hashes"))).alias("hash"))
+    if not few:
+        hashed = _sieved(hashed, of_items)
     keyed = side(of_items.select("hash", "item", "item_print", "item_at", "windows"), few)
     shared = hashed.join(keyed, "hash").drop("hash").distinct()
     pairs = shared.groupBy("key", "print", "item", "item_print", "windows").agg(F.count("*").alias("n"))
@@ -171,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     suspects = pairs.select(F.col("key").alias("k"), F.col("print").alias("p")).distinct()
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     own = own.join(side(suspects, small), own["key"].eqNullSafe(F.col("k")) & (F.xxhash64(text_of("text")) == F.col("p")), "left_semi")
-    rows = _forms(_prepared(own, "key", "text"), "key", "print", "raw")
+    rows = _forms(_worded(_prepared(own, "key", "text")), "key", "print", "raw")
     hit = rows.join(side(of_items, few), "hash").filter(F.col("own") == F.col("item_canon"))
     chosen = pairs.select(*(F.col(c).alias(f"c_{c}") for c in ("key", "print", "item", "item_print")))
     same = [hit["key"].eqNullSafe(F.col("c_key")), hit["print"] == F.col("c_print"), hit["item"].eqNullSafe(F.col("c_item")), hit["item_print"] == F.col("c_item_print")]
@@ -227,13 +259,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    # the first form by consuming matches, since that dialect looks neither ahead nor behind: two blanks part words
+    steps = (
+        (" ([^ \\p{L}\\p{N}]*[0-9][^ ]*) ", " \x02\\1 "), (f"( \x02[^ ]*  )((?:{UNITS})[^ \\p{{L}}\\p{{N}}]*) ", "\\1\x03\\2 "),
+        *((("([\\p{Ll},;]  )(\\p{Lu}\\p{Ll}+[^ \\p{L}]*) ", "\\1\x01\\2 "),) * 2),  # twice, for the second of neighbouring names
+    )
+
     def mark(column: str) -> str:
-        q = lambda s: s.replace("'", "''")
-        t = f"regexp_replace({column}, '{q(_STEPS[0][0])}', '', 'g')"
-        t = f"' ' || regexp_replace({t}, '{q(_STEPS[1][0])}', '  ', 'g') || ' '"
-        t = f"regexp_replace({t}, '^ +| +$', ' ', 'g')"
-        for pattern, out in _STEPS[2:]:
-            t = f"regexp_replace({t}, '{q(pattern)}', '{q(out.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2'))}', 'g')"
+        t = f"regexp_replace({column}, '[\x01-\x04]+', '', 'g')"
+        t = f"regexp_replace(' ' || regexp_replace({t}, '[\x20\x09-\x0D]+', '  ', 'g') || ' ', '^ +| +$', ' ', 'g')"
+        for pattern, out in steps:
+            t = f"regexp_replace({t}, '{pattern}', '{out}', 'g')"
         return t
 
     def windows(table: str, key: str) -> str:
