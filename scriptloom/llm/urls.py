@@ -1,17 +1,19 @@
 """URL filter: rules of hosts and paths, and for the rest a tree of path templates with labelled purity.
 
 The rules decide the urls that they fit and label them for the method. For each host a tree is built over all
-urls: a segment of digits, of hex digits, or digits with an ending becomes a typed wildcard; so does any segment of a host with
-more than ``MAX_CHILDREN`` different ones that is seen in less than one of ``MAX_CHILDREN`` urls. Sibling branches whose
-distribution of children is close (Hellinger) to that of all siblings together, and whose labels don't speak against
-it, merge into one. A template is rejected when its smoothed share of blocked urls reaches ``REJECT``: the merged
-branch's labels, smoothed with the host's, which are smoothed with those of the whole table.
-
-DataFrame functions only; counts are aggregated before they are shuffled, and the tree is joined, not collected.
-
-Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict of that template;
-an empty table gives no rows; repeated rows each get a row; extra columns are kept out of the
-way by selecting the key and the url.
+urls, segment by segment to the full depth of the paths: a segment of digits, of hex digits, or digits with an ending becomes a typed wildcard;
+so does any segment of a node with more than ``MAX_CHILDREN`` different ones that is seen in less than one of ``MAX_CHILDREN`` of the node's urls.
+Sibling branches whose distribution of next segments is close (Hellinger) to that of all siblings together, and whose labels
+don't speak against it, merge into one, and their children are pooled. A branch of one path is not followed further. The purity of a node is its share of blocked
+urls, smoothed with its parent's; a host's is smoothed with that of the whole table. A url without a rule is blocked when its own template holds
+labelled urls and its purity reaches ``REJECT``: without labels of its own a template passes, whatever its parents hold.
+
+DataFrame functions only; equal templates are counted before anything is shuffled, the tree is joined level by level and never collected,
+and the number of levels is that of the longest path that two urls share. Nodes are named by 64-bit hashes of their templates.
+
+Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict of that template (allow, as no rule labels it);
+of rules of equal length the first declared wins; an empty table gives no rows; repeated rows each get a row and count each; very long urls are followed
+only as far as others share their way; extra columns are kept out of the way by selecting the key and the url.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import read
+from scriptloom.llm.common import read, settle
 
 #: (verdict, host, path)
 RULES = (
@@ -32,6 +34,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 MAX_CHILDREN, CLOSE, PURITY_GAP, WEIGHT, REJECT = 50, 0.25, 0.25, 2.0, 0.5
+#: Templates are broadcast up to so many characters of hosts and paths; beyond, both sides are shuffled.
+BROADCAST_CHARS = 16 << 20
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
@@ -62,100 +66,133 @@ def typed(segment: Column) -> Column:
     )
 
 
-def template_tree(urls: DataFrame) -> DataFrame:
-    """Purity of each (host, a, b): ``urls`` has host, a and b (first two segments, typed) and block (true, false or null)."""
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
-    leaf = urls.groupBy("host", "a", "b").agg(
-        F.count("*").alias("n"), count(F.col("block"))("bad"), count(F.col("block").isNotNull())("known")
-    )
-    branch = leaf.groupBy("host", "a").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    hosts = branch.groupBy("host").agg(
-        F.sum("n").alias("hn"), F.sum("bad").alias("hbad"), F.sum("known").alias("hknown"), F.count("*").alias("children")
+def segments(path: Column) -> Column:
+    """Typed segments of a path; none for the empty path."""
+    return F.transform(F.slice(F.split(path, "/", -1), F.lit(2), F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0))), typed)
+
+
+def _grown(now: DataFrame, depth: int) -> DataFrame:
+    """``now`` (paths with the node they have reached) one level further down."""
+    ahead = now.withColumns({"s": F.get("segments", F.lit(depth)), "b": F.coalesce(F.concat(F.lit("/"), F.get("segments", F.lit(depth + 1))), F.lit(""))})
+    kids = ahead.groupBy("node", "s").agg(F.sum("n").alias("n"))
+    tops = kids.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("children"))
+    rare = (F.col("children") > MAX_CHILDREN) & (F.col("n") * MAX_CHILDREN < F.col("total"))
+    named = kids.join(tops, "node").select("node", "s", "total", F.when(rare, "{*}").otherwise(F.col("s")).alias("t"))
+    spread = settle(
+        ahead.join(named, ["node", "s"]).groupBy("node", "s", "t", "b", "total")
+        .agg(*(F.sum(c).alias(c) for c in ("n", "bad", "known")), F.count("*").alias("paths"))
     )
-    every = hosts.agg(((F.coalesce(F.sum("hbad"), F.lit(0)) + 1) / (F.coalesce(F.sum("hknown"), F.lit(0)) + 2)).alias("prior"))
-    # rare children of a host with many are variable: one wildcard stands for them
-    variable = (F.col("children") > MAX_CHILDREN) & (F.col("n") * MAX_CHILDREN < F.col("hn"))
-    named = branch.join(hosts, "host").select("host", "a", F.when(variable, F.lit("{*}")).otherwise(F.col("a")).alias("t"))
-    leaves = leaf.join(named, ["host", "a"]).groupBy("host", "t", "b").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    tops = leaves.groupBy("host", "t").agg(F.sum("n").alias("tn"), F.sum("bad").alias("tbad"), F.sum("known").alias("tknown"))
-    pooled = leaves.groupBy("host", "b").agg(F.sum("n").alias("pn"))
-    # Bhattacharyya overlap of a branch's children with the host's: 1 - overlap is the squared Hellinger distance
+    by_end = spread.groupBy("node", "t", "b", "total").agg(F.sum("n").alias("n"))
+    pooled = by_end.groupBy("node", "b").agg(F.sum("n").alias("pooled"))
+    branch = spread.groupBy("node", "t").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "known", "paths")))
+    every = branch.groupBy("node").agg(F.sum("t_bad").alias("all_bad"), F.sum("t_known").alias("all_known"))
+    # Bhattacharyya overlap of a branch's next segments with all siblings': 1 - overlap is the squared Hellinger distance
     overlap = (
-        leaves.join(pooled, ["host", "b"]).join(tops, ["host", "t"]).join(hosts, "host")
-        .groupBy("host", "t").agg(F.sum(F.sqrt(F.col("n") / F.col("tn") * F.col("pn") / F.col("hn"))).alias("overlap"))
+        by_end.join(pooled, ["node", "b"]).join(branch.select("node", "t", "t_n"), ["node", "t"])
+        .groupBy("node", "t").agg(F.sum(F.sqrt(F.col("n") / F.col("t_n") * F.col("pooled") / F.col("total"))).alias("overlap"))
     )
-    gap = F.abs(F.try_divide(F.col("tbad"), F.col("tknown")) - F.try_divide(F.col("hbad"), F.col("hknown")))
-    close = (1 - F.col("overlap") <= CLOSE * CLOSE) & ((F.col("tknown") == 0) | (gap <= PURITY_GAP))
-    merged = (
-        tops.join(overlap, ["host", "t"]).join(hosts, "host")
-        .select("host", "t", "tbad", "tknown", "hbad", "hknown", F.when(close, F.lit("{~}")).otherwise(F.col("t")).alias("m"))
+    gap = F.abs(F.try_divide(F.col("t_bad"), F.col("t_known")) - F.try_divide(F.col("all_bad"), F.col("all_known")))
+    close = (1 - F.col("overlap") <= CLOSE * CLOSE) & ((F.col("t_known") == 0) | (gap <= PURITY_GAP))
+    merged = settle(branch.join(overlap, ["node", "t"]).join(every, "node").withColumn("m", F.when(close, "{~}").otherwise(F.col("t"))))
+    group = merged.groupBy("node", "m").agg(F.count("*").alias("members"), F.min("t").alias("only"), *(F.sum(f"t_{c}").alias(f"m_{c}") for c in ("bad", "known", "paths")))
+    child = merged.select("node", "t", "m").join(group, ["node", "m"]).withColumn("name", F.when(F.col("members") == 1, F.col("only")).otherwise(F.col("m")))
+    child = named.select("node", "s", "t").join(child, ["node", "t"]).select("node", "s", "name", "m_bad", "m_known", "m_paths")
+    return ahead.join(child, ["node", "s"]).select(
+        "host", "segments", "n", "bad", "known", F.xxhash64("node", "name").alias("node"), F.concat_ws("/", "template", "name").alias("template"),
+        ((F.col("m_bad") + WEIGHT * F.col("purity")) / (F.col("m_known") + WEIGHT)).alias("purity"), F.col("m_known").alias("seen"), F.col("m_paths").alias("paths"), F.lit(depth + 1).alias("depth"),
     )
-    group = merged.groupBy("host", "m").agg(F.sum("tbad").alias("mbad"), F.sum("tknown").alias("mknown"))
-    host_purity = (F.col("hbad") + WEIGHT * F.col("prior")) / (F.col("hknown") + WEIGHT)
-    purity = (F.col("mbad") + WEIGHT * host_purity) / (F.col("mknown") + WEIGHT)
-    scored = merged.join(group, ["host", "m"]).crossJoin(F.broadcast(every)).select("host", "t", purity.alias("purity"))  # one row
-    return named.join(scored, ["host", "t"]).select("host", "a", "t", "purity")
+
+
+def template_tree(urls: DataFrame) -> DataFrame:
+    """Template, purity and seen (labelled urls) of each (host, segments): ``urls`` has host, segments (typed) and block (true, false or null)."""
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
+    leaf = settle(urls.groupBy("host", "segments").agg(F.count("*").alias("n"), count(F.col("block"))("bad"), count(F.col("block").isNotNull())("known")))
+    hosts = leaf.groupBy("host").agg(F.sum("bad").alias("all_bad"), F.sum("known").alias("seen"), F.count("*").alias("paths"))
+    total = hosts.agg(F.coalesce(F.sum("all_bad"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()  # two numbers
+    prior = (total[0] + 1) / (total[1] + 2)
+    now = leaf.join(hosts, "host").select(
+        "host", "segments", "n", "bad", "known", F.xxhash64("host").alias("node"), F.col("host").alias("template"),
+        ((F.col("all_bad") + WEIGHT * prior) / (F.col("seen") + WEIGHT)).alias("purity"), "seen", "paths", F.lit(0).alias("depth"),
+    )
+    done, now, depth = [], settle(now), 0
+    while True:
+        ahead = (F.size("segments") > depth) & (F.col("paths") > 1)
+        done.append(now.filter(~ahead))
+        now = now.filter(ahead)
+        if now.isEmpty():
+            break
+        now = settle(_grown(now, depth))
+        depth += 1
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    rest = F.slice("segments", F.col("depth") + 1, F.size("segments"))
+    return whole.select("host", "segments", F.concat_ws("/", "template", rest).alias("template"), "purity", "seen")
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity (null where a rule decides) of every row."""
+    """page_id, host, path, rule, verdict, template, purity and n_labels (of the template) of every row."""
     host, path = parts(url)
     rule, by_rule = rule_of(rules)
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumns({"rule": rule, "by_rule": by_rule})
-    rows = rows.withColumns({
-        "a": typed(F.regexp_extract("path", r"(?s)^/([^/]*)", 1)),
-        "b": F.concat(typed(F.regexp_extract("path", r"(?s)^/[^/]*/([^/]*)", 1)), F.when(F.col("path").rlike(r"(?s)^/[^/]*/[^/]*/."), "/**").otherwise("")),
-        "block": F.col("by_rule") == "block",
-    })
-    tree = template_tree(rows.select("host", "a", "b", "block"))
-    return rows.join(tree, ["host", "a"], "left").select(
-        "page_id", "host", "path", "rule",
-        F.coalesce("by_rule", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"),
-        F.concat_ws("/", "host", "t").alias("template"),
-        F.round("purity", 6).alias("purity"),
+    rows = rows.withColumns({"rule": rule, "by_rule": by_rule, "segments": segments(F.col("path"))})
+    tree = settle(template_tree(rows.select("host", "segments", (F.col("by_rule") == "block").alias("block"))))
+    size = tree.agg(F.sum(F.length("host") + F.length("template") + F.length(F.concat_ws("/", "segments")) + 64)).first()[0]
+    tree = F.broadcast(tree) if (size or 0) <= BROADCAST_CHARS else tree
+    reject = (F.col("seen") > 0) & (F.col("purity") >= REJECT)
+    return rows.join(tree, ["host", "segments"], "left").select(
+        "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(reject, "block").otherwise("allow")).alias("verdict"),
+        "template", F.round("purity", 6).alias("purity"), F.col("seen").alias("n_labels"),
     )
 
 
-ORACLE = r"""
+#: Levels of the tree that the SQL has; more than any path of the test tables.
+SQL_LEVELS = 6
+
+
+def _oracle() -> str:
+    def typed_sql(x: str) -> str:
+        return (f"CASE WHEN regexp_matches({x}, '^[0-9]+$') THEN '{{n}}' WHEN regexp_matches({x}, '^[0-9]+\\.[A-Za-z0-9]+$') THEN '{{n}}' || regexp_extract({x}, '(\\.[A-Za-z0-9]+)$', 1) "
+                f"WHEN regexp_matches({x}, '^[0-9a-f-]{{16,}}$') THEN '{{x}}' ELSE {x} END")
+
+    levels = "".join(
+        f"""
+g{d} AS (SELECT *, segs[{d + 1}] AS s, coalesce('/' || segs[{d + 2}], '') AS b FROM n{d} WHERE len(segs) > {d} AND paths > 1),
+k{d} AS (SELECT node, s, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY node) AS total, count(*) OVER (PARTITION BY node) AS children FROM g{d} GROUP BY node, s),
+c{d} AS (SELECT node, s, total, CASE WHEN children > {MAX_CHILDREN} AND n * {MAX_CHILDREN} < total THEN '{{*}}' ELSE s END AS t FROM k{d}),
+e{d} AS MATERIALIZED (SELECT node, t, b, total, sum(n) AS n, sum(bad) AS bad, sum(known) AS known, count(*) AS paths FROM g{d} JOIN c{d} USING (node, s) GROUP BY ALL),
+f{d} AS (SELECT *, sum(n) OVER (PARTITION BY node, t) AS tn, sum(n) OVER (PARTITION BY node, b) AS pn FROM e{d}),
+o{d} AS (SELECT node, t, sum(sqrt(n / tn * pn / total)) AS overlap, sum(bad) AS tbad, sum(known) AS tknown, sum(paths) AS tpaths FROM f{d} GROUP BY node, t),
+q{d} AS (SELECT *, sum(tbad) OVER (PARTITION BY node) AS abad, sum(tknown) OVER (PARTITION BY node) AS aknown FROM o{d}),
+m{d} AS (SELECT *, CASE WHEN 1 - overlap <= {CLOSE * CLOSE} AND (tknown = 0 OR abs(tbad / tknown - abad / aknown) <= {PURITY_GAP}) THEN '{{~}}' ELSE t END AS m FROM q{d}),
+h{d} AS (SELECT node, t, CASE WHEN count(*) OVER w = 1 THEN t ELSE m END AS name, sum(tbad) OVER w AS gbad, sum(tknown) OVER w AS gknown, sum(tpaths) OVER w AS gpaths FROM m{d} WINDOW w AS (PARTITION BY node, m)),
+n{d + 1} AS MATERIALIZED (SELECT host, segs, n, bad, known, g{d}.node || '/' || name AS node, (gbad + {WEIGHT} * purity) / (gknown + {WEIGHT}) AS purity, gknown AS seen, gpaths AS paths
+     FROM g{d} JOIN c{d} ON g{d}.node = c{d}.node AND g{d}.s = c{d}.s JOIN h{d} ON h{d}.node = c{d}.node AND h{d}.t = c{d}.t),"""
+        for d in range(SQL_LEVELS)
+    )
+    done = "\nUNION ALL ".join(f"SELECT host, segs, array_to_string(list_concat([node], segs[{d + 1}:]), '/') AS template, purity, seen FROM n{d} WHERE NOT (len(segs) > {d} AND paths > 1)" for d in range(SQL_LEVELS + 1))
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return rf"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+rules(verdict, rhost, rpath) AS (VALUES {rules}),
 best AS (
   SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS by_rule
   FROM (SELECT DISTINCT host, path FROM u) x JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
-s AS (
-  SELECT u.*, rule, by_rule, regexp_extract(u.path, '(?s)^/([^/]*)', 1) AS s1, regexp_extract(u.path, '(?s)^/[^/]*/([^/]*)', 1) AS s2,
-         regexp_matches(u.path, '(?s)^/[^/]*/[^/]*/.') AS deep
-  FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path),
-r AS (
-  SELECT page_id, host, path, rule, by_rule,
-    CASE WHEN regexp_matches(s1, '^[0-9]+$') THEN '{n}' WHEN regexp_matches(s1, '^[0-9]+\.[A-Za-z0-9]+$') THEN '{n}' || regexp_extract(s1, '(\.[A-Za-z0-9]+)$', 1)
-         WHEN regexp_matches(s1, '^[0-9a-f-]{16,}$') THEN '{x}' ELSE s1 END AS a,
-    CASE WHEN regexp_matches(s2, '^[0-9]+$') THEN '{n}' WHEN regexp_matches(s2, '^[0-9]+\.[A-Za-z0-9]+$') THEN '{n}' || regexp_extract(s2, '(\.[A-Za-z0-9]+)$', 1)
-         WHEN regexp_matches(s2, '^[0-9a-f-]{16,}$') THEN '{x}' ELSE s2 END || CASE WHEN deep THEN '/**' ELSE '' END AS b
-  FROM s),
-leaf AS (SELECT host, a, b, count(*) AS n, count(*) FILTER (by_rule = 'block') AS bad, count(by_rule) AS known FROM r GROUP BY ALL),
-branch AS (SELECT host, a, sum(n) AS n, sum(bad) AS bad, sum(known) AS known FROM leaf GROUP BY ALL),
-hosts AS (SELECT host, sum(n) AS hn, sum(bad) AS hbad, sum(known) AS hknown, count(*) AS children FROM branch GROUP BY host),
-prior AS (SELECT (coalesce(sum(hbad), 0) + 1) / (coalesce(sum(hknown), 0) + 2) AS prior FROM hosts),
-named AS (SELECT host, a, CASE WHEN children > 50 AND n * 50 < hn THEN '{*}' ELSE a END AS t FROM branch JOIN hosts USING (host)),
-leaves AS (SELECT host, t, b, sum(n) AS n, sum(bad) AS bad, sum(known) AS known FROM leaf JOIN named USING (host, a) GROUP BY host, t, b),
-tops AS (SELECT host, t, sum(n) AS tn, sum(bad) AS tbad, sum(known) AS tknown FROM leaves GROUP BY host, t),
-pooled AS (SELECT host, b, sum(n) AS pn FROM leaves GROUP BY host, b),
-overlap AS (SELECT host, t, sum(sqrt(n / tn * pn / hn)) AS overlap FROM leaves JOIN pooled USING (host, b) JOIN tops USING (host, t) JOIN hosts USING (host) GROUP BY host, t),
-merged AS (
-  SELECT host, t, tbad, tknown, hbad, hknown,
-         CASE WHEN 1 - overlap <= 0.0625 AND (tknown = 0 OR abs(tbad / tknown - hbad / hknown) <= 0.25) THEN '{~}' ELSE t END AS m
-  FROM tops JOIN overlap USING (host, t) JOIN hosts USING (host)),
-grouped AS (SELECT host, m, sum(tbad) AS mbad, sum(tknown) AS mknown FROM merged GROUP BY host, m),
-scored AS (SELECT host, t, (mbad + 2.0 * ((hbad + 2.0 * prior) / (hknown + 2.0))) / (mknown + 2.0) AS purity FROM merged JOIN grouped USING (host, m), prior)
-SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-       r.host || '/' || n.t AS template, round(purity, 6) AS purity
-FROM r JOIN named n ON r.host = n.host AND r.a = n.a JOIN scored s ON n.host = s.host AND n.t = s.t
+r AS (SELECT u.*, rule, by_rule, list_transform(string_split(u.path, '/')[2:], lambda x: {typed_sql('x')}) AS segs FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path),
+leaf AS (SELECT host, segs, count(*) AS n, count(*) FILTER (by_rule = 'block') AS bad, count(by_rule) AS known FROM r GROUP BY ALL),
+prior AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(known), 0) + 2) AS prior FROM leaf),
+hosts AS (SELECT host, (sum(bad) + {WEIGHT} * any_value(prior)) / (sum(known) + {WEIGHT}) AS purity, sum(known) AS seen, count(*) AS paths FROM leaf, prior GROUP BY host),
+n0 AS MATERIALIZED (SELECT host, segs, n, bad, known, host AS node, purity, seen, paths FROM leaf JOIN hosts USING (host)),{levels}
+tree AS ({done})
+SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN seen > 0 AND purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity, seen AS n_labels
+FROM r JOIN tree ON r.host = tree.host AND r.segs = tree.segs
 """
 
 
+ORACLE = _oracle()
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages").select("page_id", "url"))

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import math
+import random
 import re
+from collections import Counter
+
+import pytest
 
 from scriptloom.llm import urls
 
@@ -36,24 +41,111 @@ def test_rules_equal_python(spark):
         assert got[i].verdict == verdict if name else got[i].verdict in ("allow", "block")
 
 
-def test_alike_sections_share_their_labels(spark):
+def typed(s):
+    if re.fullmatch("[0-9]+", s):
+        return "{n}"
+    if m := re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]+)", s):
+        return "{n}" + m[1]
+    return "{x}" if re.fullmatch("[0-9a-f-]{16,}", s) else s
+
+
+def brute(all_urls, rules):
+    """(template, purity, labels, verdict) of each url, by a recursive walk over each host's own tree."""
+    seen = []
+    for u in all_urls:
+        h, p = host_path(u)
+        fits = [(len(x + y), v) for v, x, y in rules if (h == x or h.endswith("." + x)) and p.startswith(y)]
+        seen.append((h, tuple(typed(x) for x in p.split("/")[1:]), max(fits)[1] if fits else None))
+    share = lambda part: (sum(v == "block" for *_, v in part), sum(v is not None for *_, v in part))
+    bad, known = share(seen)
+    prior, out = (bad + 1) / (known + 2), {}
+
+    def walk(part, template, purity, labels, depth):
+        ahead = [r for r in part if len(r[1]) > depth] if len({r[1] for r in part}) > 1 else []
+        for r in part:
+            if r not in ahead:
+                out[r[:2]] = ("/".join([template, *r[1][depth:]]), purity, labels)
+        if not ahead:
+            return
+        kinds = Counter(r[1][depth] for r in ahead)
+        name = {s: "{*}" if len(kinds) > urls.MAX_CHILDREN and n * urls.MAX_CHILDREN < len(ahead) else s for s, n in kinds.items()}
+        ends = lambda rows: Counter(r[1][depth + 1 : depth + 2] for r in rows)
+        pooled, (all_bad, all_known) = ends(ahead), share(ahead)
+        branches = {}
+        for r in ahead:
+            branches.setdefault(name[r[1][depth]], []).append(r)
+        alike = []
+        for rows in branches.values():
+            overlap = sum(math.sqrt(n / len(rows) * pooled[e] / len(ahead)) for e, n in ends(rows).items())
+            b, k = share(rows)
+            if 1 - overlap <= urls.CLOSE**2 and (k == 0 or abs(b / k - all_bad / all_known) <= urls.PURITY_GAP):
+                alike.append(rows)
+        groups = [(t, rows) for t, rows in branches.items() if len(alike) < 2 or not any(rows is x for x in alike)]
+        if len(alike) > 1:
+            groups.append(("{~}", [r for rows in alike for r in rows]))
+        for t, rows in groups:
+            b, k = share(rows)
+            walk(rows, f"{template}/{t}", (b + urls.WEIGHT * purity) / (k + urls.WEIGHT), k, depth + 1)
+
+    for host in {h for h, *_ in seen}:
+        part = [r for r in seen if r[0] == host]
+        b, k = share(part)
+        walk(part, host, (b + urls.WEIGHT * prior) / (k + urls.WEIGHT), k, 0)
+    found = [(*out[r[:2]], r[2]) for r in seen]
+    return [(t, round(x, 6), k, v or ("block" if k and x >= urls.REJECT else "allow")) for t, x, k, v in found]
+
+
+def made(rng, n):
+    host = lambda: rng.choice(["a.com", "b.net", "b.net", "b.net", "c.org", "d.net"])
+    part = [["es", "fr", "de", "en"], ["news", "casino", "12", "7.html", "x1", ""], ["3", "44", "a", "b", "", "5.html"], ["p", "q", ""], ["deep", "9"]]
+    made = ["http://" + "/".join([host(), *(rng.choice(p) for p in part[: rng.randint(0, 5)])]) for _ in range(n)]
+    return made + [f"http://b.net/user{i}x/about" for i in range(70)] + ["http://b.net/static/about"] * 30 + ["http://w.net/" + "/".join(["x"] * 12 + [t]) for t in ("y", "z")]
+
+
+RULES = (("allow", "com", "/"), ("block", "net", "/es/"), ("block", "net", "/fr/casino/"), ("allow", "b.net", "/fr/news/"), ("allow", "org", "/en/"), ("block", "org", "/de/x1/"))
+
+
+@pytest.mark.parametrize("seed, limit", [(1, 16 << 20), (2, 0), (3, 16 << 20)])
+def test_the_tree_equals_a_walk(spark, seed, limit, monkeypatch):
+    monkeypatch.setattr(urls, "BROADCAST_CHARS", limit)
+    rng = random.Random(seed)
+    rows = made(rng, 400) + URLS
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules=RULES).collect()}
+    want = brute(rows, RULES)
+    assert [(got[i].template, got[i].purity, got[i].n_labels, got[i].verdict) for i in range(len(rows))] == want
+    free = [got[i].verdict for i in range(len(rows)) if got[i].rule is None]
+    assert {"allow", "block"} == set(free)
+
+
+def test_labels_below_the_first_segment_decide(spark):
+    rows = [f"http://y.org/en/{s}/{i}{end}" for s, end in (("casino", ""), ("slots", ""), ("news", "/full")) for i in range(20)] + ["http://z.org/en/casino/1"] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {(r.host, r.path.split("/")[2]): r.verdict for r in urls.judge(df, rules=(("block", "y.org", "/en/casino/"),)).collect()}
+    # slots look like the labelled casino pages, news don't, and another host has no labels
+    assert got == {("y.org", "casino"): "block", ("y.org", "slots"): "block", ("y.org", "news"): "allow", ("z.org", "casino"): "allow"}
+
+
+def test_hosts_without_labels_pass(spark):
     rows = [(f"http://y.net/{s}/{i}",) for s in ("es", "fr", "de") for i in range(20)] + [(f"http://w.org/{s}/{i}",) for s in ("es", "de") for i in range(20)]
     df = spark.createDataFrame(rows, "url string").selectExpr("monotonically_increasing_id() AS page_id", "url")
     got = {(r.host, r.path[1:3]): r.verdict for r in urls.judge(df).collect()}
     assert got[("y.net", "de")] == "block"  # like its labelled siblings
-    assert got[("w.org", "es")] == got[("w.org", "de")] == urls_prior(60 - 20, 40)
-
-
-def urls_prior(bad, known):
-    return "block" if (bad + 1) / (known + 2) >= urls.REJECT else "allow"
+    assert got[("w.org", "es")] == got[("w.org", "de")] == "allow"
 
 
 def test_variable_segments_become_wildcards(spark):
     rows = [(i, f"http://v.org/user{i}x/about") for i in range(200)] + [(1000 + i, "http://v.org/static/a.css") for i in range(100)]
     got = {r.template for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert got == {"v.org/{*}", "v.org/static"}
+    assert got == {"v.org/{*}/about", "v.org/static/a.css"}
 
 
 def test_empty_table_and_repeated_rows(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert urls.judge(spark.createDataFrame([(1, "http://a.b/c")] * 3 + [(None, None)], "page_id long, url string")).count() == 4
+
+
+def test_very_long_urls(spark):
+    long = "http://long.org/" + "/".join(f"part{i}" for i in range(3000))
+    df = spark.createDataFrame([(1, long), (2, long + "?q=1"), (3, "http://other.org/" + "x" * 200_000), (4, "http://other.org/y")], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert len(got) == 4 and got[1].template == got[2].template == long[7:] and {r.verdict for r in got.values()} == {"allow"}
