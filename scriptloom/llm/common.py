@@ -32,14 +32,13 @@ def fold(modulus: int, key: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's setting, or a local one where none is set."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: the session's setting, or a local one where none is set and the master is local."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_:
-        jdir = spark.sparkContext.getCheckpointDir()
-        if not jdir:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scriptloom-checkpoint-"))
-            jdir = spark.sparkContext.getCheckpointDir()
-        set_ = jdir
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scriptloom-checkpoint-"))
+        set_ = spark.sparkContext.getCheckpointDir()
     return set_.rstrip("/")
 
 
@@ -62,7 +61,34 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/scriptloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a table of ``settle`` that nothing reads any more."""
+    if path := getattr(table, "settled_at", None):
+        _remove(table.sparkSession, path)
+
+
+#: A key is hot when it has more than one of HOT_SHARE rows, and HOT_ROWS at least; so there are fewer than HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with the one row that ``facts`` has of each key; its column ``n`` is the number of ``rows`` with the key.
+
+    Hot keys, fewer than HOT_SHARE, are broadcast, so that their rows stay where they are; the others are shuffled. ``rows`` is read
+    twice where there are hot keys, and should be a table.
+    """
+    state = facts.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+    cut = max((state["total"] or 0) // HOT_SHARE, HOT_ROWS)
+    if (state["most"] or 0) <= cut:
+        return rows.join(facts, keys)
+    hot = F.broadcast(facts.filter(F.col(n) > cut))
+    rest = rows.join(F.broadcast(facts.filter(F.col(n) > cut).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(facts.filter(F.col(n) <= cut), keys))
 
 
 def release() -> None:
@@ -95,6 +121,10 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, max_bytes: int = 4 << 2
             yield batch.slice(at, step)
 
 
+#: What a sample of labelled texts may bring to the driver at most, in characters.
+SAMPLE_TOTAL = 64_000_000
+
+
 def agreed(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
     """key and label, narrow, one row per key; keys with null or two different labels are left out."""
     one = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key"))
@@ -108,12 +138,14 @@ def labelled_sample(
     """At most ``per_label`` (label, key, text) rows of each label, the same ones at every run.
 
     The keys are chosen on the narrow label rows, in the order of a hash; only their texts are read. Texts over
-    ``max_chars`` are not learned from. What reaches the driver is at most per_label x values x max_chars.
+    ``max_chars`` are not learned from. What reaches the driver is at most per_label x values x max_chars, and SAMPLE_TOTAL characters: with many
+    values each gets fewer rows.
     """
     from functools import reduce
 
     if not values:
         return []
+    per_label = max(1, min(per_label, SAMPLE_TOTAL // (len(values) * max_chars)))
     picked = reduce(
         DataFrame.union,
         (
