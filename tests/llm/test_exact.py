@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scriptloom.llm import exact
+from scriptloom.llm import common, exact
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -22,7 +22,11 @@ def test_golomb_code_is_exact(values):
     assert (exact.golomb_decode(len(v), width, code) == v).all()
 
 
-def test_copies_equal_brute_force(docs, corpus):
+@pytest.mark.parametrize("unit, hot", [(1 << 20, 1000), (3, 0)])
+def test_copies_equal_brute_force(docs, corpus, unit, hot, monkeypatch):
+    monkeypatch.setattr(exact, "UNIT_ROWS", unit)  # one run, or many of a task
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
     groups = defaultdict(list)
     for r in corpus:
         groups[(r[1] or "").translate(LOWER)].append(r[0])
@@ -59,3 +63,32 @@ def test_repeated_rows_null_keys_and_extra_columns(spark):
 def test_empty_table(no_docs):
     assert exact.copies(no_docs).count() == 0
     assert exact.without_copies(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 5, 1000])
+def test_hot_keys_join_alike(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = [(k, v) for k, n in (("a", 30), ("b", 6), ("c", 2), ("d", 1)) for v in range(n)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    facts = df.groupBy("k").count().filter("k <> 'd'")
+    got = common.join_by_key(df, facts, ["k"], "count")
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, {"a": 30, "b": 6, "c": 2}[k]) for k, v in rows if k != "d")
+    assert common.join_by_key(df, facts.limit(0), ["k"], "count").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
