@@ -2,12 +2,12 @@
 
 Every text is scanned for assigned values, access keys, long hexadecimal runs, and for long mixed tokens that no
 pattern names. The hashes of all candidates are aggregated over the corpus by distinct owners and repositories: a
-value held by ``WIDE_OWNERS`` owners or more is a copied example, one of fewer owners that looks live is a
-credential of its own. Mixed tokens of the latter sort are added to the spans as kind ``owned``, unless they overlap
+value held by ``WIDE_OWNERS`` owners or ``WIDE_REPOSITORIES`` repositories or more is a copied example, whoever owns them; any other that looks live is a
+credential of its owner. Mixed tokens of the latter sort are added to the spans as kind ``owned``, unless they overlap
 a span that the patterns found. Values themselves are never stored, only their SHA-256.
 
 Offsets are code points, end exclusive. Defined results: null text is empty and has no spans; null owners and
-repositories count as one value each; repeated rows each get a row; extra columns are left out by selecting what is
+repositories count as one value each; very long texts are scanned whole; repeated rows each get a row and count as one repository; extra columns are left out by selecting what is
 needed; an empty table gives no rows.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import read, settle, text_of
+from scriptloom.llm.common import join_by_key, read, settle, text_of
 
 
 def _either(word: str) -> str:
@@ -36,7 +36,7 @@ KINDS = (
     ("owned", "[A-Za-z0-9+/_=-]{20,}", 0, 20),
 )
 OWNED = len(KINDS) - 1
-WIDE_OWNERS, LEAST_DISTINCT = 3, 8
+WIDE_OWNERS, WIDE_REPOSITORIES, LEAST_DISTINCT = 3, 10, 8
 PLACEHOLDER = "example|sample|dummy|changeme|placeholder|redacted|xxxx|0000|1234567"
 
 
@@ -82,12 +82,16 @@ def candidates(docs: DataFrame, text: str, key: str, owner: str, repository: str
     )
 
 
+def copied(fact: Column) -> Column:
+    """Whether a value (a struct with n_owners and n_repositories) is widely copied."""
+    return (fact["n_owners"] >= WIDE_OWNERS) | (fact["n_repositories"] >= WIDE_REPOSITORIES)
+
+
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_owners, n_repositories of the candidates that count; distinct holders first, so a hot value is one row each."""
-    each = found.filter("ok").select("hash", "owner", "repository").distinct()
-    return each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(
-        F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")
-    )
+    """hash, n_owners, n_repositories and n (matches) of the candidates that count; distinct holders first, so a hot value is one row each."""
+    each = found.filter("ok").groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n"))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -104,9 +108,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, W.unboundedFollowing))
     overlaps = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     spans = spans.withColumn("overlaps", overlaps).filter(base | ~F.col("overlaps"))
-    held = spans.join(ownership(found), "hash")
-    own = (F.col("n_owners") < WIDE_OWNERS) & F.col("live")
-    held = held.filter(base | own)
+    spans = settle(spans.select("row", "kind", "start", "end", "hash", "live"))
+    held = join_by_key(spans, settle(ownership(found)), ["hash"], "n")
+    held = held.filter(base | (F.col("live") & ~copied(F.struct("n_owners", "n_repositories"))))
     span = F.struct("start", "kind", "end", "n_owners", "n_repositories", "live")
     lists = held.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))  # those of one document
     return table.select("row", "key").join(lists, "row", "left").select(
@@ -128,8 +132,9 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(of_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(OWNED)),
         F.sha2(_joined(F.filter("spans", lambda s: s["kind"] < OWNED)).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
-        count(lambda s: s["live"] & (s["n_owners"] < WIDE_OWNERS)).alias("n_live"),
-        count(lambda s: s["n_owners"] >= WIDE_OWNERS).alias("n_copied"),
+        count(lambda s: s["live"] & ~copied(s)).alias("n_live"),
+        count(copied).alias("n_copied"),
+        *(F.coalesce(F.array_max(f"spans.{c}"), F.lit(0)).alias(c.replace("n_", "most_")) for c in ("n_owners", "n_repositories")),
     )
 
 
@@ -149,16 +154,16 @@ o AS (SELECT *, sum(pre + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)
              AND NOT regexp_matches(lower(v), '{PLACEHOLDER}') AS live FROM e),
 s AS (SELECT doc_id, source, kind, stop - length(m) AS start, stop, sha256(v) AS hash, live FROM o
       WHERE length(v) >= shortest AND (kind < {OWNED} OR live)),
-n AS (SELECT hash, count(DISTINCT source) AS owners FROM s GROUP BY hash),
-k AS (SELECT s.*, owners FROM s JOIN n USING (hash)
-      WHERE kind < {OWNED} OR (owners < {WIDE_OWNERS} AND NOT EXISTS (
+n AS (SELECT hash, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM s GROUP BY hash),
+k AS (SELECT s.*, owners, repositories, owners >= {WIDE_OWNERS} OR repositories >= {WIDE_REPOSITORIES} AS wide FROM s JOIN n USING (hash)
+      WHERE kind < {OWNED} OR (owners < {WIDE_OWNERS} AND repositories < {WIDE_REPOSITORIES} AND NOT EXISTS (
         SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind < {OWNED} AND b.start < s.stop AND b.stop > s.start))),
 t AS (SELECT *, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS word FROM k),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
              coalesce(string_agg(word, ',' ORDER BY start, kind) FILTER (kind < {OWNED}), '') AS base, string_agg(word, ',' ORDER BY start, kind) AS spans,
-             count(*) FILTER (live AND owners < {WIDE_OWNERS}) AS n_live, count(*) FILTER (owners >= {WIDE_OWNERS}) AS n_copied FROM t GROUP BY doc_id)
+             count(*) FILTER (live AND NOT wide) AS n_live, count(*) FILTER (wide) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories FROM t GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from scriptloom.llm import common as secrets_common
 from scriptloom.llm import secrets
 
 PATTERNS = (
@@ -63,3 +68,20 @@ def test_query_columns(spark, tmp_path):
 
 def test_empty_table(spark, no_docs):
     assert secrets.scan(no_docs).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_owners_and_repositories_decide_in_a_whole_table(spark, hot, monkeypatch):
+    monkeypatch.setattr(secrets_common, "HOT_ROWS", hot)  # hot values or not
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    source = [r.source for r in docs.groupBy("source").count().orderBy(F.desc("count")).collect()]
+    own, spread, pasted = "Zq8LmP3xTn5RvW7yBc2Kd9", "Ab3Cd5Ef7Gh9Ij1Kl2Mn4Op6", "Qw4Er6Ty8Ui1Op3As5Df7Gh"
+    planted = [own] * 2 + [spread] * 3 + [pasted] * 40
+    owners = [source[0]] * 2 + source[:3] + [source[0]] * 40
+    extra = spark.createDataFrame([(10**6 + i, f"see {t} there", s) for i, (t, s) in enumerate(zip(planted, owners, strict=True))], "doc_id long, text string, source string")
+    found = {r.key: r.spans for r in secrets.scan(docs.unionByName(extra)).collect()}
+    assert len(found) == docs.count() + len(planted)
+    sort = [[s.kind for s in found[10**6 + i]] for i in range(len(planted))]
+    # two documents of one owner hold its own; three owners, or forty documents of one, hold copies
+    assert sort == [[secrets.OWNED]] * 2 + [[]] * 43
