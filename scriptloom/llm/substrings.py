@@ -7,10 +7,11 @@ somewhere in a document with a smaller key; every word that a repeated window co
    representatives, and neighbours mostly share theirs, so a fourteenth of the rows tells which windows can't be
    repeated: those whose representative only one document has. Every window of every document takes part.
 2. The Rabin-Karp hashes (96 bits) of the windows that are left are counted: the smallest key of each, aggregated
-   before the shuffle; windows of larger keys are repeated.
+   before the shuffle; windows of larger keys are repeated. Windows of equal hashes count as equal without a look at their words: of a
+   trillion windows some pair collides with a probability of 6e-6. Windows that very many documents share stay where they lie, and what is known of them goes there.
 3. Overlapping and touching repeated windows of a document merge into maximal intervals, whose words go.
 
-Defined results: null text has no words; texts shorter than a window stay; rows with a null key stay and are no reason for others to
+Defined results: null text has no words, an empty table no rows; very long texts are read whole, one at a time; texts shorter than a window stay; rows with a null key stay and are no reason for others to
 go; rows with the same key don't make each other go; kept words are joined by one space; extra columns stay, and the
 added ones replace columns of the same name.
 """
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import read, settle, slices, text_of, tidy
+from scriptloom.llm.common import join_by_key, read, settle, slices, text_of, tidy
 
 WINDOW, SEED = 50, 25
-#: Keys up to this many, or intervals of so many documents, are broadcast; beyond, both sides are shuffled.
+#: Keys, or ends of intervals, up to this many are broadcast (8 bytes each); beyond, both sides are shuffled.
 BROADCAST_KEYS = 200_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -171,8 +172,10 @@ def _intervals(repeated: DataFrame) -> DataFrame:
     return lists.mapInArrow(tidy(run), "key long, print long, starts array<int>, ends array<int>")
 
 
-def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+def _side(df: DataFrame, values: str | None = None) -> DataFrame:
+    """Broadcast ``df`` up to BROADCAST_KEYS numbers: its rows, and those in its column ``values`` of arrays."""
+    n = df.agg(F.count("*") + (F.coalesce(F.sum(F.size(values)), F.lit(0)) if values else 0)).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_KEYS else df
 
 
 def repeated_intervals(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -180,12 +183,13 @@ def repeated_intervals(docs: DataFrame, text: str = "text", key: str = "doc_id")
     rows = docs.select(text_of(text).alias("text"), F.col(key).cast("long").alias("key")).filter("key IS NOT NULL")
     rows = rows.withColumn("print", F.xxhash64("text"))
     seeds = settle(_seed_rows(rows))
-    shared = seeds.groupBy("seed").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("seed")
-    lists = settle(seeds.join(shared, "seed").groupBy("key", "print").agg(F.collect_set("seed").alias("seeds")))  # of one document
+    shared = settle(seeds.groupBy("seed").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).filter("least < most").select("seed", "n"))
+    lists = settle(join_by_key(seeds, shared, ["seed"], "n").groupBy("key", "print").agg(F.collect_set("seed").alias("seeds")))  # of one document
     ids = _side(lists.select("key", "print"))
     windows = settle(_window_rows(rows.join(ids, ["key", "print"], "left_semi").join(lists, ["key", "print"])))
-    least = windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").drop("most")
-    return settle(_intervals(windows.join(least, ["h1", "h2"]).filter(F.col("least") < F.col("key")).select("key", "print", "place")))
+    least = windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n"))
+    least = settle(least.filter("least < most").drop("most"))
+    return settle(_intervals(join_by_key(windows, least, ["h1", "h2"], "n").filter(F.col("least") < F.col("key")).select("key", "print", "place")))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -195,7 +199,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = repeated_intervals(docs, text, key).select(F.col("key").alias("\x00k"), F.col("print").alias("\x00p"), "starts", "ends")
     body = text_of(text)
     own = docs.select(body.alias("\x00t"), *kept)
-    own = own.join(_side(found), (own[key].cast("long") == F.col("\x00k")) & (F.xxhash64("\x00t") == F.col("\x00p")), "left")
+    own = own.join(_side(found, "starts"), (own[key].cast("long") == F.col("\x00k")) & (F.xxhash64("\x00t") == F.col("\x00p")), "left")
     own = own.select("\x00t", "starts", "ends", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
