@@ -1,7 +1,7 @@
 """Byte-level BPE by backtracking over longest matches.
 
-The bytes of a piece are mapped to Latin-1, so that one Aho-Corasick automaton finds every vocabulary entry that
-starts at each place. Encoding takes the longest entry that is compatible with the entry before it; where none fits it takes
+The bytes of a piece are mapped to Latin-1, so that one Aho-Corasick automaton finds the longest vocabulary entry that
+starts at each place; the others there are its prefixes, and a table names the next shorter one of each entry. Encoding takes the longest entry that is compatible with the entry before it; where none fits it takes
 back the last entry and goes on with the next shorter one, and a place once left is never entered again, so
 the work is linear in the length. Two entries are compatible when undoing their merges, the later one first, meets no
 earlier merge across the border; the answers are memoised. The ids are those that merging by
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -63,6 +64,7 @@ class BytePairCodec:
         self.merged: dict[tuple[int, int], int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self._undo_merges()
+        self.shorter = [next((self.ranks[t[:cut]] for cut in range(len(t) - 1, 0, -1) if t[:cut] in self.ranks), -1) for t in self.tokens]
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(self.tokens):
             self.automaton.add_word(t.decode("latin-1"), i)
@@ -107,21 +109,18 @@ class BytePairCodec:
             return [whole]
         if not raw:
             return []
-        lengths, fits = self.lengths, self.fits
+        lengths, fits, shorter = self.lengths, self.fits, self.shorter
         if len(fits) > PAIR_MEMO:
             fits.clear()
-        starts: list[list[int]] = [[] for _ in raw]
+        n = len(raw)
+        longest = array("i", bytes(4 * n))  # of each place; the shorter ones are its prefixes
         for end, i in self.automaton.iter(raw.decode("latin-1")):
-            starts[end - lengths[i] + 1].append(i)  # of one start, the shorter come first
-        n, at, out, depth = len(raw), 0, [], []
-        closed = bytearray(n + 1)
-        k = len(starts[0]) - 1
-        while at < n:
-            here = starts[at]
-            last = out[-1] if out else -1
-            while k >= 0:
-                token = here[k]
-                if not closed[at + lengths[token]]:
+            longest[end - lengths[i] + 1] = i  # of one start, the longest comes last
+        at, last, out, closed = 0, -1, [], None
+        token = longest[0]
+        while True:
+            while token >= 0:
+                if closed is None or not closed[at + lengths[token]]:
                     if last < 0:
                         break
                     fit = fits.get((last, token))
@@ -129,17 +128,20 @@ class BytePairCodec:
                         fit = fits[last, token] = self._compatible(last, token)
                     if fit:
                         break
-                k -= 1
-            if k >= 0:
-                out.append(here[k])
-                depth.append(k)
-                at += lengths[here[k]]
-                k = len(starts[at]) - 1 if at < n else -1
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                at += lengths[token]
+                if at == n:
+                    return out
+                last, token = token, longest[at]
             else:  # no entry fits here: never come back, and shorten the one before
+                if closed is None:
+                    closed = bytearray(n + 1)
                 closed[at] = 1
-                at -= lengths[out.pop()]
-                k = depth.pop() - 1
-        return out
+                at -= lengths[last]
+                token = shorter[out.pop()]
+                last = out[-1] if out else -1
 
     def _pack(self, piece: str) -> bytes:
         ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
