@@ -15,20 +15,20 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ACCEPT, STOP, PREFIX = 0.85, 0.98, 20
-_TAGS = re.compile(r"<[^>]+>")
-_TIMES = (re.compile(r"[\[\(]?\b\d+:\d{2}(?:\d{2})?(?:[ap]m)?[\]\)]?", re.I), re.compile(r"(?:^|\s)[\[\(]?:\d{2}\b[\]\)]?"))
-_LABEL, _SPEAKER = re.compile(r"\*\*[^*]+:\*\*\s*"), re.compile(r"(Speaker \d+|Unknown Speaker):\s*", re.I)
-_PUNCTUATION = str.maketrans({c: " " for c in ".,!?;:—-'\"()"})
+ACCEPT, STOP = 0.85, 0.98
+TAGS = re.compile(r"<[^>]+>")
+TIMES = (re.compile(r"[\[\(]?\b\d+:\d{2}(?:\d{2})?(?:[ap]m)?[\]\)]?", re.I), re.compile(r"(?:^|\s)[\[\(]?:\d{2}\b[\]\)]?"))
+LABEL, SPEAKER = re.compile(r"\*\*[^*]+:\*\*\s*"), re.compile(r"(Speaker \d+|Unknown Speaker):\s*", re.I)
+PUNCTUATION = re.compile("[.,!?;:—\\-'\"()]")
 
 
 def normalize(text: str, aggressive: bool = False) -> str:
     """The Python twin of ``functions.text.normalize``, with all entities."""
-    text = _TAGS.sub(" ", html.unescape(text))
-    for pattern in _TIMES:
+    text = TAGS.sub(" ", html.unescape(text))
+    for pattern in TIMES:
         text = pattern.sub(" ", text)
     if aggressive:
-        text = _SPEAKER.sub("", _LABEL.sub("", text)).translate(_PUNCTUATION)
+        text = PUNCTUATION.sub(" ", SPEAKER.sub("", LABEL.sub("", text)))
     return " ".join(text.split()).lower()
 
 
@@ -55,23 +55,20 @@ def best_window(needle: str, words: list[str], accept: float, stop: float, inclu
 
 
 def find(needle: str | None, text: str | None, aggressive: bool = False, accept: float = ACCEPT) -> tuple[int | None, int | None, float]:
-    """(start, end, ratio) of ``needle`` in ``text``: exact after normalising, else the best window of words.
+    """(start, end, ratio) of ``needle`` in ``text``, places of the raw text: where it is contained after normalising, else its best window of words."""
+    from scriptloom.functions.offsets import RawWords, normalized
 
-    An exact hit is placed by the needle's first characters; a fuzzy one has places in the normalised text.
-    """
     if needle is None or text is None:
         return None, None, 0.0
     wanted, have = normalize(needle, aggressive), normalize(text, aggressive)
     if wanted in have:
-        at = text.lower().find(needle[:PREFIX].strip().lower())
-        if at >= 0:
-            return at, at + len(needle), 1.0
-    words = have.split()
-    place, ratio = best_window(wanted, words, accept, STOP)
+        whole = normalized(text, aggressive)
+        at = max(0, whole.text.find(wanted))
+        return *whole.raw(at, at + len(wanted)), 1.0
+    place, ratio = best_window(wanted, have.split(), accept, STOP)
     if place is None:
         return None, None, 0.0
-    start = len(" ".join(words[:place]))
-    return start, start + len(" ".join(words[place : place + len(wanted.split())])), ratio
+    return *RawWords(text, aggressive).span(place, place + len(wanted.split())), ratio
 
 
 FOUND = "start int, end int, ratio double"
@@ -101,17 +98,20 @@ def html_unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else html.unescape(t))
 
 
-def word_span(quote: str, text: str, accept: float = 0.7) -> tuple[int, int, float] | None:
-    """(first word, word after the last, share) of the quote's words in the text: the exact run, else the densest cluster of matching blocks."""
-    want, have = normalize(quote, True).split(), normalize(text, True).split()
+def word_span(quote: str, text: str | list[str], accept: float = 0.7) -> tuple[int, int, float] | None:
+    """(first word, word after the last, share) of the quote's words in the text (or in its normalised words): the exact run, else the densest cluster of matching blocks."""
+    want = normalize(quote, True).split()
+    have = normalize(text, True).split() if isinstance(text, str) else text
     if not want or not have:
         return None
-    for i in range(len(have) - len(want) + 1):
-        if have[i : i + len(want)] == want:
-            return i, i + len(want), 1.0
+    joined = f" {' '.join(have)} "
+    at = joined.find(f" {' '.join(want)} ")  # one search over the joined words
+    if at >= 0:
+        first = joined.count(" ", 0, at)
+        return first, first + len(want), 1.0
     blocks = [b for b in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if b.size]
     best, left, total = (0, 0, 0), 0, 0
-    for right, b in enumerate(blocks):  # two pointers: blocks within three times the quote's length
+    for b in blocks:  # two pointers: blocks within three times the quote's length
         total += b.size
         while b.a + b.size - blocks[left].a > 3 * len(want):
             total -= blocks[left].size

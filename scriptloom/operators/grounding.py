@@ -31,11 +31,11 @@ def match(claims: DataFrame, docs: DataFrame, claim: str, doc: str = "doc_id", t
     return hit.unionByName(rest).drop("text_", "norm_")
 
 
-def exact_grounding(claims: DataFrame, docs: DataFrame, claim: str, text: str = "text") -> DataFrame:
+def exact_grounding(claims: DataFrame, docs: DataFrame, claim: str, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """Pairs of claims and documents that contain them word for word.
 
     A claim's longest word with white space on both sides is a whole word of every text that contains the claim, and keys the
-    join, so that claims meet only documents that have it; both sides stay distributed. Claims without such a word are broadcast and looked
+    join: words meet on rows of key, hash and word alone, and the texts are joined once, for the pairs that are left. Claims without such a word are broadcast and looked
     for in every text.
     """
     inner = F.filter(F.slice(X.pieces(F.col(claim)), 2, F.greatest(F.size(X.pieces(F.col(claim))) - 2, F.lit(0))), lambda w: w != "")
@@ -43,8 +43,10 @@ def exact_grounding(claims: DataFrame, docs: DataFrame, claim: str, text: str =
     keyed = claims.withColumn("w_", longest)
     inside = F.contains(F.col(text), F.col(claim))
     key = keyed.filter("w_ IS NOT NULL")
-    have = docs.withColumn("w_", F.explode(F.array_distinct(X.words(F.col(text))))).join(key.select("w_").distinct(), "w_", "left_semi")
-    by_word = have.join(key, "w_").filter(inside).drop("w_")
+    each = docs.select(F.col(doc).alias("d_"), F.xxhash64(text).alias("h_"), F.explode(F.array_distinct(X.words(F.col(text)))).alias("w_"))
+    pairs = each.join(key.select("w_").distinct(), "w_", "left_semi").distinct().join(key, "w_").drop("w_")
+    have = docs.withColumn("h2_", F.xxhash64(text))
+    by_word = have.join(pairs, have[doc].eqNullSafe(pairs["d_"]) & (have["h2_"] == pairs["h_"])).drop("d_", "h_", "h2_").filter(inside)
     return by_word.unionByName(docs.join(F.broadcast(keyed.filter("w_ IS NULL").drop("w_")), inside))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import similarity
 from scriptloom.functions import text as X
+from scriptloom.functions.offsets import RawWords
 
 CLASSES = ("reference", "emphasis", "sidebar", "metadata", "abstract", "key-terms")
 
@@ -100,18 +101,16 @@ def sampled_coverage(names: Column, found: Column, share: float = 0.3) -> Column
 
 
 def highlight(text: str, quotes: list[tuple[str, str, str]]) -> tuple[str, int]:
-    """(text with marks, how many): (kind, label, quote) spans of words; emphasis beats references, overlapping ones join their labels."""
-    words = text.split(" ")
-    plain = [w for w in words]
-    spans: list[list] = []
-    index = [i for i, w in enumerate(plain) if similarity.normalize(w, True)]
-    flat = " ".join(plain[i] for i in index)
-    order = sorted(quotes, key=lambda q: q[0] != "emphasis")
-    for kind, label, quote in order:
-        got = similarity.word_span(quote, flat)
-        if got is None or got[1] > len(index):
+    """(text with marks, how many): (kind, label, quote) spans of words; emphasis beats references, overlapping ones join their labels.
+
+    Marks are put at raw places; nothing else of the text changes.
+    """
+    known, spans = RawWords(text, True), []
+    for kind, label, quote in sorted(quotes, key=lambda q: q[0] != "emphasis"):
+        got = similarity.word_span(quote, known.words)
+        if got is None:
             continue
-        a, z = index[got[0]], index[got[1] - 1] + 1
+        a, z = known.span(got[0], got[1])
         clash = next((s for s in spans if a < s[1] and s[0] < z), None)
         if clash is None:
             spans.append([a, z, kind, [label]])
@@ -119,9 +118,8 @@ def highlight(text: str, quotes: list[tuple[str, str, str]]) -> tuple[str, int]:
             clash[3].append(label)
     for a, z, kind, labels in sorted(spans, reverse=True):
         title = "; ".join(labels).replace('"', "&quot;")
-        words[a] = f'<mark class="{kind}" title="{title}">{words[a]}'
-        words[z - 1] += "</mark>"
-    return " ".join(words), len(spans)
+        text = f'{text[:a]}<mark class="{kind}" title="{title}">{text[a:z]}</mark>{text[z:]}'
+    return text, len(spans)
 
 
 def highlighted(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

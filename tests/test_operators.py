@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given
+from hypothesis import settings as hypothesis_settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scriptloom.functions import offsets, similarity
 from scriptloom.operators import alignment, completion, coverage, grounding, pages, patching, patterns, questions, settings, usage
 from scriptloom.sources import artifacts
 from scriptloom.streaming import usage as stream
@@ -239,3 +243,58 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.calls, r.total) for r in spark.table("w").collect()) == [(1, 1.0), (2, 2.0)]
+
+
+def test_marks_stand_at_raw_places():
+    text = "I don't know. A well-known fact isn't new. The red fox ran home fast today again."
+    quote = ("reference", "r", "The red fox ran home fast")
+    marked = lambda t: pages.highlight(t, [quote])
+    assert marked(text) == (text.replace("The red fox ran home fast", '<mark class="reference" title="r">The red fox ran home fast</mark>'), 1)
+    lines = "I don't\nknow.\n\nThe red\nfox <b>ran</b> home &amp; fast.\nEnd."
+    out, n = pages.highlight(lines, [("emphasis", "e", "red fox ran home")])
+    assert n == 1 and out == lines.replace("red\nfox <b>ran</b> home", '<mark class="emphasis" title="e">red\nfox <b>ran</b> home</mark>')
+    assert marked("nothing of the kind") == ("nothing of the kind", 0) and marked("") == ("", 0)
+
+
+def test_fuzzy_patches_cut_raw_places():
+    text = "[12:30] &quot;Some&quot; <b>some</b> long lead   text here. the quik brown fox jumped over the lazy dog tonight ok."
+    out, n, _ = patching.patch(text, [("the quick brown fox jumped over the lazy dog tonight ok.", "CORRECTED")])
+    assert (out, n) == ("[12:30] &quot;Some&quot; <b>some</b> long lead   text here. CORRECTED", 1)
+    assert patching.patch_in_turn(text, [("the quick brown fox jumped over the lazy dog tonight ok.", "CORRECTED")])[0] == out
+
+
+@given(st.text(alphabet="ab .&;<>\n'İß[]:1234-*", max_size=60), st.booleans())
+@hypothesis_settings(max_examples=400, deadline=None)
+def test_located_text_equals_the_normal_form(text, aggressive):
+    got = offsets.normalized(text, aggressive)
+    assert got.text == similarity.normalize(text, aggressive) and len(got.text) == len(got.start) == len(got.end)
+    assert all(0 <= a < z <= len(text) for a, z in zip(got.start, got.end, strict=True))
+
+
+@pytest.mark.parametrize("quote, keep", [
+    ("As Lee said, all is one", True), ("he was quoting Lee on this", True), ("this was noted by Lee", True), ("Lee's central idea was clear", True), ("Lee was tall", False), (None, False), ("Bradlee said so", False),
+])
+def test_loose_attribution(spark, quote, keep):
+    df = spark.createDataFrame([(quote,)], "q string")
+    assert df.select(patterns.loosely_attributed(F.col("q"), "Lee").alias("x")).first().x is keep
+
+
+@pytest.mark.parametrize("quote, keep", [
+    ("Dr. Lee, in those years, used to talk of it", True), ("Lee " + "x" * 81 + " said", False), ("Lee " + "x" * 70 + " said", True), ("Lee was here. He said no", False),
+    ("Lee's comment was short", True), ("Lee theory says much", False), ("Lee theory, which Ann described", True), ("i remember Ann walking, and then he said no", True), ("leeway said", False),
+])
+def test_attribution_by_sentence(spark, quote, keep):
+    df = spark.createDataFrame([(quote,)], "q string")
+    assert df.select(patterns.attributed(F.col("q"), "Lee", "Ann").alias("x")).first().x is keep
+
+
+def test_cleaned_before_alignment(spark):
+    raw = "Ann Lee  0:12\nWelcome all. [00:01:05] Transcribed by someone\nSpeaker 2: yes, go on"
+    df = spark.createDataFrame([(raw,), (None,)], "t string").select(alignment.cleaned(F.col("t"), phrases=("go on",)).alias("x"))
+    assert [r.x for r in df.collect()] == ["Welcome all. yes,", ""]
+
+
+def test_bands_of_items(spark):
+    items = spark.createDataFrame([("A22", 84, "five words are enough here"), ("B1", 40, "five words are enough here"), (None, 90, "five words are enough here")], "category string, score int, quote string")
+    got = {r.category: r.faults for r in patterns.judged_items(items, patterns.band_table(spark, {"A22": (85, 100), "B1": (30, 50)})).collect()}
+    assert got == {"A22": ["score outside its band"], "B1": [], None: []}
