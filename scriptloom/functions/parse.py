@@ -177,3 +177,17 @@ def opening_body_closing(found: Column) -> Column:
         n >= 3,
         F.struct(F.get(found, F.lit(0)).alias("opening"), F.array_join(F.slice(found, F.lit(2), n - 2), "\n\n").alias("body"), F.element_at(found, -1).alias("closing")),
     ).otherwise(F.struct(F.lit("").alias("opening"), F.array_join(found, "\n\n").alias("body"), F.lit("").alias("closing")))
+
+
+def first_themes(found: Column, most: int = 2) -> Column:
+    """The first themes, as the inputs of an abstract take them."""
+    return F.slice(found, 1, most)
+
+
+#: Shape of an audit of voice.
+VOICE = "overall_score int, strengths array<string>, issues array<struct<quote:string,problem:string>>, verdict string"
+
+
+def voice_audit(answer: Column) -> Column:
+    """The audit in a model's answer, fenced or with text around it; null where there is none."""
+    return json_object(answer, VOICE)

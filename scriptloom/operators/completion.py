@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.functions import text as X
+
 
 class Backend(Protocol):
     def complete(self, prompts: list[str]) -> list[dict]:
@@ -31,20 +33,37 @@ class OfflineBackend:
         return out
 
 
+class EchoBackend(OfflineBackend):
+    """Gives the prompt's last paragraph back, line by line."""
+
+    def complete(self, prompts: list[str]) -> list[dict]:
+        return [{**answer, "text": p.strip().split("\n\n")[-1]} for answer, p in zip(super().complete(prompts), prompts, strict=True)]
+
+
 class Retrying:
-    """A backend around another: waits twice as long after each failure."""
+    """A backend around another: waits twice as long after each failure, and allows half as much time again after each that ran out of it.
+
+    The inner backend's ``timeout``, if it has one, is what grows; it is given back its first value afterwards.
+    """
 
-    def __init__(self, inner: Backend, tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep):
-        self.inner, self.tries, self.wait, self.sleep = inner, tries, wait, sleep
+    def __init__(self, inner: Backend, tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep, growth: float = 1.5):
+        self.inner, self.tries, self.wait, self.sleep, self.growth = inner, tries, wait, sleep, growth
 
     def complete(self, prompts: list[str]) -> list[dict]:
-        for n in range(self.tries):
-            try:
-                return self.inner.complete(prompts)
-            except (TimeoutError, ConnectionError):
-                if n + 1 == self.tries:
-                    raise
-                self.sleep(self.wait * 2**n)
+        first = getattr(self.inner, "timeout", None)
+        try:
+            for n in range(self.tries):
+                try:
+                    return self.inner.complete(prompts)
+                except (TimeoutError, ConnectionError) as failure:
+                    if n + 1 == self.tries:
+                        raise
+                    if first is not None and isinstance(failure, TimeoutError):
+                        self.inner.timeout *= self.growth
+                    self.sleep(self.wait * 2**n)
+        finally:
+            if first is not None:
+                self.inner.timeout = first
         return []
 
 
@@ -68,12 +87,18 @@ def completed(rows: DataFrame, prompt: str, backend: Backend | None = None, key:
     return rows.withColumn("answer", run(prompt))
 
 
-def answer_fault(answer: Column, least_chars: int = 1, models: Column | None = None) -> Column:
-    """The first level at which an answer is invalid, null if it is valid."""
+def answer_fault(answer: Column, least_chars: int = 1, models: Column | None = None, kind: Column | None = None, role: Column | None = None, least_words: int = 0) -> Column:
+    """The first level at which an answer is invalid, null if it is valid: its kind and role (where given), how it ended, content, text, usage, model."""
     text, stop = answer["text"], answer["stop_reason"]
+    out = F.when(answer.isNull(), "no answer")
+    if kind is not None:
+        out = out.when(kind.isNull() | (kind != "message"), "no message")
+    if role is not None:
+        out = out.when(role.isNull() | (role != "assistant"), "other role")
     out = (
-        F.when(answer.isNull(), "no answer").when(stop.isNull(), "no stop reason").when(stop == "max_tokens", "cut off").when(~stop.isin("end_turn", "stop_sequence"), "stopped")
-        .when(text.isNull() | (F.trim(text) == ""), "no text").when(F.length(text) < least_chars, "too short").when(answer["output_tokens"].isNull(), "no usage")
+        out.when(stop.isNull(), "no stop reason").when(stop == "max_tokens", "cut off").when(~stop.isin("end_turn", "stop_sequence"), "stopped")
+        .when(text.isNull() | (F.trim(text) == ""), "no text").when(F.length(text) < least_chars, "too short")
+        .when(F.size(X.words(text)) < least_words, "too few words").when(answer["output_tokens"].isNull(), "no usage")
     )
     return out.when(~F.exists(models, lambda m: answer["model"].startswith(m)), "other model") if models is not None else out
 
@@ -89,7 +114,10 @@ def batches_of(rows: DataFrame, number: str = "number", size: int = 5) -> DataFr
 
 
 def until_valid(rows: DataFrame, ask: Callable[[DataFrame, int], DataFrame], valid: Column, tries: int = 3) -> DataFrame:
-    """Ask again for the rows whose answer isn't valid, ``tries`` times at most; the last answer stays, with ``accepted``."""
+    """Ask again for the rows whose answer isn't valid, ``tries`` times at most; the last answer stays, with ``accepted``.
+
+    Each round is a checkpoint, so the session needs a checkpoint folder that all executors share.
+    """
     done, left = None, rows
     for n in range(tries):
         asked = ask(left, n).withColumn("accepted", F.coalesce(valid, F.lit(False))).checkpoint()

@@ -117,3 +117,26 @@ def missing_kinds(artifacts: DataFrame, stems: DataFrame, kinds: Sequence[tuple[
     have = artifacts.groupBy(stem, F.col("kind").alias("alias_")).agg(F.max(F.length(F.trim("text"))).alias("n_"))
     best = wanted.join(have, [stem, "alias_"], "left").groupBy(stem, "kind").agg(F.max("n_").alias("n_"))
     return best.select(stem, "kind", F.when(F.col("n_").isNull(), "missing").when(F.col("n_") < least, "too short").otherwise("ok").alias("status"))
+
+
+def missing_labels(source: DataFrame, found: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
+    """Labels of the source that are not among those found of the same document."""
+    return source.select(key, label).distinct().join(found.select(key, label).distinct(), [key, label], "left_anti")
+
+
+def review_list(checked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ordinal and what is to be looked at by a person: items that are missing or uncertain, with the beginning of their source and keywords."""
+    got = F.coalesce(F.col("covered"), F.lit(False))
+    source = F.when(F.length("source_text") > 100, F.concat(F.left("source_text", F.lit(100)), F.lit("..."))).otherwise(F.coalesce("source_text", F.lit("")))
+    return checked.filter(~got | F.col("confidence").isin("low", "medium")).select(
+        key, "ordinal", F.when(got, "uncertain").otherwise("missing").alias("state"), "required", "label", source.alias("source"), F.array_join(F.slice("keywords", 1, 5), ", ").alias("keywords"),
+    )
+
+
+def verdict_line(checked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, summary: one line on each document; the first three required items that are missing are named."""
+    got = F.coalesce(F.col("covered"), F.lit(False))
+    lost = F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.when(F.col("required") & ~got, F.col("label")).alias("l")))), lambda x: x["l"]))
+    rows = checked.groupBy(key).agg(F.bool_and(got | ~F.col("required")).alias("passes"), F.count_if(F.col("confidence").isin("low", "medium")).alias("weak"), lost.alias("lost"))
+    passed = F.when(F.col("weak") > 0, F.format_string("PASSED with %d low-confidence items - human review recommended", "weak")).otherwise("PASSED - all required items covered")
+    return rows.select(key, F.when(F.col("passes"), passed).otherwise(F.concat(F.lit("FAILED - missing required: "), F.array_join(F.slice("lost", 1, 3), ", "))).alias("summary"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.functions import similarity
+from scriptloom.functions import parse, similarity
 from scriptloom.functions import text as X
 from scriptloom.functions.offsets import RawWords
 
@@ -93,6 +93,30 @@ def audit(pages: DataFrame, expected: DataFrame, key: str = "page_id", html: str
     return both.select(key, F.inline(checks))
 
 
+QUOTE_RATIO, RATE_FLOOR = 0.85, 0.5
+
+
+def quotes_present(pages: DataFrame, quotes: DataFrame, key: str = "page_id", html: str = "html", quote: str = "quote") -> DataFrame:
+    """Rows of quotes with ``ratio`` on their page and ``present`` (from QUOTE_RATIO on): contained quotes by Spark, the others by similarity."""
+    both = quotes.join(pages.select(key, page_text(F.col(html)).alias("body_")), key)
+    exact = F.contains("body_", X.normalize(F.col(quote)))
+    hit = both.filter(exact).withColumn("ratio", F.lit(1.0))
+    rest = both.filter(F.coalesce(~exact, F.lit(True))).withColumn("ratio", similarity.find_text()(quote, "body_")["ratio"])
+    return hit.unionByName(rest).drop("body_").withColumn("present", F.col("ratio") >= QUOTE_RATIO)
+
+
+def audit_rates(found: DataFrame, key: str = "page_id", group: str = "kind", floor: float = RATE_FLOOR) -> DataFrame:
+    """key, group, n, rate and ``low``: the share of the quotes of a kind that are present is below ``floor``."""
+    rates = found.groupBy(key, group).agg(F.count("*").alias("n"), F.avg(F.col("present").cast("double")).alias("rate"))
+    return rates.withColumn("low", F.col("rate") < floor)
+
+
+def sections_agree(text: Column, html: Column) -> Column:
+    """Struct of the numbers of second-level headings of a text and its page, and whether they are equal."""
+    a, b = F.size(parse.headed_sections(text)).cast("long"), tag_count(html, "h2")
+    return F.struct(a.alias("text"), b.alias("page"), (a == b).alias("agree"))
+
+
 def sampled_coverage(names: Column, found: Column, share: float = 0.3) -> Column:
     """Share of the first ``share`` of names that equal, contain or are part of one found."""
     head = F.slice(names, F.lit(1), F.ceil(F.size(names) * share).cast("int"))
@@ -139,6 +163,14 @@ def highlighted(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text: s
 PAGE = "<!DOCTYPE html><html><head><meta charset='utf-8'><title>{{title}}</title><style>{{style}}</style></head><body>{{sidebar}}<main><h1>{{title}}</h1>{{body}}</main></body></html>"
 
 
+PRINT_STYLE = "@page{margin:2cm} main{font:12pt serif} mark{background:none;font-weight:bold}"
+
+
+def printable(docs: DataFrame, title: str, body: str, out: str = "page") -> DataFrame:
+    """``docs`` with a page for print: no sidebar, and marks that need no colour."""
+    return rendered(docs, title, body, None, PRINT_STYLE, out)
+
+
 def rendered(docs: DataFrame, title: str, body: str, sidebar: str | None = None, style: str = "mark{background:#fe8}", out: str = "page") -> DataFrame:
     """``docs`` with a page in ``out``: Markdown as HTML in a template, with or without a sidebar."""
     side = F.concat(F.lit("<aside>"), X.markdown_to_html(F.col(sidebar)), F.lit("</aside>")) if sidebar else F.lit("")

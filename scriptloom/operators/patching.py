@@ -155,3 +155,22 @@ def until_settled(docs: DataFrame, find: Callable[[DataFrame], DataFrame], round
         new = patched(docs, found.filter("route = 'apply'"), doc, text)
         docs = settle(new.withColumn(text, F.col("patched.text")).drop("patched"))
     return docs, history
+
+
+def fixed_rounds(docs: DataFrame, find: Callable[[DataFrame], DataFrame], rounds: int = 2, doc: str = "doc_id", text: str = "text", settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The older loop: ``rounds`` rounds of finding and patching in turn, each text kept as a version (0 is the text given)."""
+    settle = settle or (lambda df: df.checkpoint())
+    now, versions = docs, docs.withColumn("version", F.lit(0))
+    for n in range(1, rounds + 1):
+        new = patched(now, first_findings(find(now), doc), doc, text, rule=patch_in_turn)
+        now = settle(new.withColumn(text, F.col("patched.text")).drop("patched"))
+        versions = versions.unionByName(now.withColumn("version", F.lit(n)))
+    return versions
+
+
+def change_log(docs: DataFrame, findings: DataFrame, doc: str = "doc_id", order: str = "ordinal") -> DataFrame:
+    """doc, changes, review: what was applied and what a person has to look at, as Markdown lists in order."""
+    line = F.concat(F.lit("- "), F.coalesce("original_text", F.lit("")), F.lit(" -> "), F.coalesce("suggested_correction", F.lit("")))
+    rows = findings.select(doc, order, route().alias("r_"), line.alias("l_"))
+    lines = lambda r: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r_") == r, F.struct(order, "l_")))), lambda x: x["l_"]), "\n")
+    return docs.select(doc).join(rows.groupBy(doc).agg(lines("apply").alias("changes"), lines("review").alias("review")), doc, "left").na.fill("", ["changes", "review"])

@@ -11,6 +11,10 @@ from scriptloom.functions import parse
 PURPOSE = (r"my intent[^.]+is[^.]+\.", r"I'm going to[^.]+\.", r"today[^.]+explore[^.]+\.", r"purpose[^.]+is[^.]+\.", r"goal[^.]+is[^.]+\.", r"I want to[^.]+\.")
 CONCLUSION = (r"I think we can safely say[^.]+\.", r"in conclusion[^.]+\.", r"to conclude[^.]+\.", r"the answer[^.]+\.", r"I conclude[^.]+\.", r"this suggests[^.]+\.")
 ASKS = (r"\*\*[A-Z][a-z]+\s*:\*\*", r"\*\*Dr[.\s]+\w+:\*\*", r"\*\*Audience", r"question", r"comment")
+#: Cues of a summary's closing, of questions left open, and of what is to come.
+CLOSING = (r"I think we can safely say[^.]+\.", r"In conclusion[^.]+\.", r"To conclude[^.]+\.", r"So[,]? (?:the |my )?(?:answer|conclusion|point)[^.]+\.")
+OPEN = (r"Question[^.]+\?", r"Whether[^.]+\.", r"I don't know[^.]+\.", r"Remains to be seen[^.]+\.")
+FUTURE = (r"Future[^.]+\.", r"Next[^.]+\.", r"Path forward[^.]+\.", r"Will (?:ultimately |eventually )?[^.]+\.")
 NO_PURPOSE, NO_CONCLUSION = "Not explicitly stated", "No explicit conclusion stated"
 #: Words that say nothing in a topic phrase.
 QUIET = (
@@ -45,6 +49,27 @@ def conclusion(text: Column) -> Column:
     return first_cue(_joined(sections, lambda s: s["number"] >= start), CONCLUSION, NO_CONCLUSION)
 
 
+def _either_case(cue: str) -> str:
+    """The cue with its first letter in either case, and nothing else."""
+    return f"[{cue[0].upper()}{cue[0].lower()}]{cue[1:]}"
+
+
+def closing(text: Column) -> Column:
+    """Struct of conclusion, open_question and direction, each by the first of its cues that fits.
+
+    The closing begins at the later of the last tenth and the fourth section from the end.
+    """
+    sections = parse.numbered_sections(text)
+    n = F.size(sections)
+    start = F.greatest(n - F.floor(n / 10), n - 3)
+    body = F.array_join(F.transform(F.filter(sections, lambda s: s["number"] >= start), lambda s: F.concat(s["content"], F.lit(" "))), "")
+
+    def cue(cues: tuple[str, ...], default: str) -> Column:
+        return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(body, _either_case(c), 0)), F.lit("")) for c in cues), F.lit(default))
+
+    return F.struct(cue(CLOSING, NO_CONCLUSION).alias("conclusion"), cue(OPEN, "").alias("open_question"), cue(FUTURE, "").alias("direction"))
+
+
 def _asks(content: Column) -> Column:
     total = F.lit(0)
     for p in ASKS:

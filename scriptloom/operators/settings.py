@@ -52,6 +52,45 @@ ORDERS = (
 )
 
 
+#: (name, low, high): beyond, a setting is allowed but doubtful
+DOUBTS = (("chunk_size", 500, 10_000), ("transcript_min_words", 100, 100_000), ("blog_min_words", 100, 10_000), ("abstract_min_words", 50, 1_000), ("summary_words", 100, 5_000))
+#: settings that count something
+WHOLE = ("fuzzy_prefix", "chunk_size", "chunk_overlap", "context_min_words", "context_max_words", "unique_words", "max_iterations", "lookahead", "abstract_min_words", "summary_words",
+         "transcript_min_words", "blog_min_words", "chars_per_token")
+MOST_TOKENS, LEAST_TIMEOUT = 200_000, 10
+
+
+def model_violations(models: DataFrame, book: DataFrame) -> DataFrame:
+    """rule, severity, name, message: models (name, model, max_tokens, timeout) that the price book lacks, and limits that can't be or are doubtful."""
+    known = models.join(F.broadcast(book.select(F.col("model").alias("m_")).distinct().limit(10_000)), F.col("model") == F.col("m_"), "left")
+    row = lambda rule, severity, bad, message: F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message")))
+    tokens, timeout = F.col("max_tokens"), F.col("timeout")
+    found = F.array_compact(F.array(
+        row("model", "error", F.col("m_").isNull(), F.concat(F.lit("no price for "), F.coalesce("model", F.lit("null")))),
+        row("tokens", "error", tokens.isNull() | (tokens <= 0), F.lit("not above 0")), row("tokens", "warning", tokens > MOST_TOKENS, F.lit("above what models take")),
+        row("timeout", "error", timeout.isNull() | (timeout <= 0), F.lit("not above 0")), row("timeout", "warning", (timeout > 0) & (timeout < LEAST_TIMEOUT), F.lit("very short")),
+    ))
+    return known.select("name", F.inline(found))
+
+
+def path_violations(paths: DataFrame) -> DataFrame:
+    """rule, severity, name, message of paths (name, exists, folder, writable, needed): a needed one that is missing or no folder is an error."""
+    bad = (F.when(~F.col("exists"), F.struct(F.when(F.col("needed"), "error").otherwise("warning").alias("severity"), F.lit("missing").alias("message")))
+           .when(~F.col("folder"), F.struct(F.lit("error").alias("severity"), F.lit("no folder").alias("message")))
+           .when(~F.col("writable"), F.struct(F.lit("warning").alias("severity"), F.lit("not writable").alias("message"))))
+    return paths.withColumn("b_", bad).filter("b_ IS NOT NULL").select(F.lit("path").alias("rule"), "b_.severity", "name", "b_.message")
+
+
+def doubts(spark: SparkSession, settings: Settings | dict) -> DataFrame:
+    """rule, name, message of settings that are allowed but unusual, and of counts that aren't whole numbers."""
+    given = settings if isinstance(settings, dict) else asdict(settings)
+    number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+    values = spark.createDataFrame([(n, number(v)) for n, v in given.items()], "name string, value double")
+    usual = spark.createDataFrame([(n, float(a), float(z)) for n, a, z in DOUBTS], "name string, low double, high double")
+    out = values.join(F.broadcast(usual), "name").filter(~F.col("value").between(F.col("low"), F.col("high"))).select(F.lit("usual").alias("rule"), "name", F.format_string("outside [%s, %s]", "low", "high").alias("message"))
+    return out.unionByName(values.filter(F.col("name").isin(*WHOLE) & (F.col("value") != F.floor("value"))).select(F.lit("whole").alias("rule"), "name", F.lit("not a whole number").alias("message")))
+
+
 def violations(spark: SparkSession, settings: Settings | dict) -> DataFrame:
     """rule, name, message of every rule that the settings break."""
     given = settings if isinstance(settings, dict) else asdict(settings)

@@ -93,3 +93,23 @@ def allocate(total: Column, shares: Column) -> Column:
     """Array of whole numbers of ``total`` in proportion to ``shares`` (an array), cut off; equal parts where they sum to 0."""
     whole = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
     return F.transform(shares, lambda x: F.when(whole > 0, (total * x / whole).cast("int")).otherwise((total / F.size(shares)).cast("int")))
+
+
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+
+def log_rows(calls: DataFrame, at: Column | None = None) -> DataFrame:
+    """Calls (script, model, status, tokens and rates) as rows of the usage log: time of writing as text, cost on the full input with four digits."""
+    c = F.col
+    full = cost(c("tokens_in"), c("tokens_out"), c("created"), c("read"), net=False)
+    return calls.select(
+        F.date_format(at if at is not None else F.current_timestamp(), TIME_FORMAT).alias("Timestamp"), c("script").alias("Script Name"), c("model").alias("Items"), c("status").alias("Status"),
+        F.when(c("read") > 0, F.format_string("Yes (Read %d)", c("read").cast("long"))).when(c("created") > 0, F.format_string("Yes (Created %d)", c("created").cast("long"))).otherwise("No").alias("Cache"),
+        *(c(x).cast("long").cast("string").alias(n) for x, n in (("tokens_in", "Tokens Sent"), ("tokens_out", "Tokens Response"), ("created", "Cache Creation Tokens"), ("read", "Cache Read Tokens"))),
+        F.format_string("%.4f", full).alias("Estimated Cost ($)"),
+    )
+
+
+def since(usage: DataFrame, start: Column, ts: str = "ts") -> DataFrame:
+    """Rows from ``start`` on; rows without a time are dropped."""
+    return usage.filter(F.col(ts).isNotNull() & (F.col(ts) >= start))

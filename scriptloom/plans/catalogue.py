@@ -626,3 +626,6 @@ def settings_violations(spark, sf_dir):
     """What is wrong with settings out of range and order."""
     broken = settings.asdict(settings.Settings()) | {"fuzzy_threshold": 1.5, "chunk_overlap": 2000, "abstract_min_words": -1, "lookahead": "ten"}
     return settings.violations(spark, broken)
+
+
+from scriptloom.plans import derived  # noqa: E402, F401  (registers its queries here)

@@ -6,7 +6,7 @@ store that it knows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -119,3 +119,21 @@ def moves(files: DataFrame, target: str, taken: DataFrame, name: str = "name") -
     rows = files.withColumns({"s_": stem, "e_": ending}).join(used, "s_", "left")
     free = F.when(F.col("c_").isNull(), F.col("s_")).otherwise(F.concat_ws("_", "s_", F.col("c_").cast("string")))
     return rows.select("path", F.concat(F.lit(target.rstrip("/") + "/"), free, F.col("e_")).alias("target"))
+
+
+def outdated(files: DataFrame, name: str = "name") -> DataFrame:
+    """path and name of the versions below the highest of each base name: what a cleanup would delete."""
+    stem = F.regexp_replace(F.col(name), r"\.[A-Za-z0-9]+$", "")
+    rows = files.withColumns({"base_": F.regexp_replace(stem, r"_v\d+$", ""), "v_": X.version(stem), "s_": stem}).filter(~F.col("s_").endswith("_validated"))
+    top = rows.groupBy("base_").agg(F.max("v_").alias("top_"))
+    return rows.join(top, "base_").filter("v_ < top_").select("path", name)
+
+
+def write_audits(audits: DataFrame, path: str, mode: str = "append") -> None:
+    """One JSON line a row: its key and audit."""
+    audits.select(F.to_json(F.struct(*audits.columns)).alias("value")).write.mode(mode).text(path)
+
+
+def report_header(title: Column, counts: Mapping[str, Column]) -> Column:
+    """The head of a Markdown report: its title and counters, a line each."""
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), F.concat_ws("\n", *(F.concat(F.lit(f"- {k}: "), v.cast("string")) for k, v in counts.items())), F.lit("\n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,3 +13,24 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """The table ``name`` of ``folder``, pruned to ``columns`` when given."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that go when the driver ends: in the checkpoint folder that all executors share, or a local one where the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scriptloom-checkpoint-"))
+        shared = spark.sparkContext.getCheckpointDir()
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has gone; the folder's owner cleans it
+        pass
