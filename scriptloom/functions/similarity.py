@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,21 +33,47 @@ def normalize(text: str, aggressive: bool = False) -> str:
     return " ".join(text.split()).lower()
 
 
+#: Words whose characters are counted at a time.
+COUNTED = 50_000
+
+
+def _bounds(needle: str, words: list[str], size: int) -> np.ndarray:
+    """An upper bound of the ratio of ``needle`` to each window of ``size`` words: the share of characters that both could have in common.
+
+    It is what ``SequenceMatcher.quick_ratio`` gives, for all windows at once from running counts of the needle's characters in the words.
+    """
+    kinds = np.array(sorted(set(map(ord, needle))), dtype=np.uint32)
+    wanted = np.bincount(np.searchsorted(kinds, np.frombuffer(needle.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)), minlength=len(kinds))
+    blank, out = np.flatnonzero(kinds == 32), []
+    for at in range(0, len(words) - size + 1, COUNTED):
+        part = words[at : at + COUNTED + size - 1]
+        lengths = np.array([len(w) for w in part])
+        code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = np.minimum(np.searchsorted(kinds, code), len(kinds) - 1)
+        known = kinds[kind] == code
+        counts = np.bincount((np.repeat(np.arange(len(part)), lengths) * len(kinds) + kind)[known], minlength=len(part) * len(kinds)).reshape(len(part), -1)
+        total = np.concatenate([np.zeros((1, len(kinds)), dtype=np.int64), np.cumsum(counts, axis=0)])
+        have = total[size:] - total[:-size]
+        have[:, blank] += size - 1
+        run = np.concatenate([[0], np.cumsum(lengths)])
+        out.append(2 * np.minimum(have, wanted).sum(axis=1) / (len(needle) + run[size:] - run[:-size] + size - 1))
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def best_window(needle: str, words: list[str], accept: float, stop: float, inclusive: bool = True) -> tuple[int | None, float]:
     """(first word, ratio) of the best window of as many words as ``needle`` has; the first of equal ones, stopping at ``stop``.
 
-    Windows whose cheap upper bounds can't beat what is known are passed over, which changes nothing in the result.
+    Windows whose upper bound can't beat what is known are never compared, which changes nothing in the result.
     """
     size = len(needle.split())
     best, place = 0.0, None
-    if not size:
+    if not size or len(words) < size:
         return None, 0.0
-    for i in range(len(words) - size + 1):
-        m = SequenceMatcher(None, needle, " ".join(words[i : i + size]))
-        floor = max(best, accept if place is None else best)
-        if m.real_quick_ratio() < floor or m.quick_ratio() < floor:
+    bounds = _bounds(needle, words, size)
+    for i in np.flatnonzero(bounds >= accept - 1e-9).tolist():
+        if bounds[i] < best - 1e-9:
             continue
-        ratio = m.ratio()
+        ratio = SequenceMatcher(None, needle, " ".join(words[i : i + size])).ratio()
         if ratio > best and ratio >= accept:
             best, place = ratio, i
             if ratio >= stop if inclusive else ratio > stop:

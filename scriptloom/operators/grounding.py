@@ -6,6 +6,7 @@ Exact hits are found by Spark; only what is left goes through similarity, one do
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptloom.functions import similarity
@@ -25,10 +26,9 @@ def match(claims: DataFrame, docs: DataFrame, claim: str, doc: str = "doc_id", t
     """``claims`` joined to their documents, with the ratio of ``claim`` in the text: 1 where it is contained after normalising."""
     have = docs.select(doc, F.col(text).alias("text_"), X.normalize(F.col(text)).alias("norm_"))
     both = claims.join(have, doc)
-    exact = F.contains(F.col("norm_"), X.normalize(F.col(claim)))
-    hit = both.filter(exact).withColumn(out, F.lit(1.0))
-    rest = both.filter(F.coalesce(~exact, F.lit(True))).withColumn(out, similarity.find_text()(claim, "text_")["ratio"])
-    return hit.unionByName(rest).drop("text_", "norm_")
+    exact = F.coalesce(F.contains(F.col("norm_"), X.normalize(F.col(claim))), F.lit(False))
+    probed = similarity.find_text()(claim, F.when(~exact, F.col("text_")))["ratio"]  # texts of exact hits don't travel
+    return both.withColumn(out, F.when(exact, 1.0).otherwise(probed)).drop("text_", "norm_")
 
 
 def exact_grounding(claims: DataFrame, docs: DataFrame, claim: str, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -105,3 +105,20 @@ def references_kept(references: DataFrame, docs: DataFrame, doc: str = "doc_id",
 def anti_quotes(quotes: DataFrame, known: DataFrame, quote: str = "quote", known_quote: str = "quote") -> DataFrame:
     """Quotes that equal none of the known ones after normalising."""
     return quotes.withColumn("n_", X.normalize(F.col(quote))).join(known.select(X.normalize(F.col(known_quote)).alias("n_")).distinct(), "n_", "left_anti").drop("n_")
+
+
+def keyword_pairs(docs: DataFrame, items: DataFrame, least: float = 0.5, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """doc, item, ratio: pairs where the document has at least the share ``least`` of the item's keywords.
+
+    Such a document has one of the item's rarest keywords, as many of them as it may lack and one more; only pairs that share one of
+    those are compared, so that common keywords make no pairs.
+    """
+    wanted = items.select(item, X.keywords(F.col(text)).alias("w_")).filter(F.size("w_") > 0)
+    have = docs.select(doc, X.keywords(F.col(text)).alias("k_"))
+    each = have.select(doc, F.explode("k_").alias("k"))
+    words = wanted.select(item, F.size("w_").alias("n_"), F.explode("w_").alias("k"))
+    often = each.join(words.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("f_"))
+    rank = F.row_number().over(W.partitionBy(item).orderBy(F.coalesce("f_", F.lit(0)), "k"))
+    rare = words.join(often, "k", "left").withColumn("r_", rank).filter(F.col("r_") <= F.col("n_") - F.ceil(F.col("n_") * least) + 1).select(item, "k")
+    pairs = each.join(rare, "k").select(doc, item).distinct().join(wanted, item).join(have, doc)
+    return pairs.select(doc, item, X.grounded_share(F.col("w_"), F.col("k_")).alias("ratio")).filter(F.col("ratio") >= least)

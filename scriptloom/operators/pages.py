@@ -36,13 +36,20 @@ def missing_classes(html: Column, names=CLASSES) -> Column:
 
 
 class _Selector(HTMLParser):
-    """Text of elements with a tag, a class or an attribute's value, nested ones included."""
+    """Text of elements with a tag, a class or an attribute's value, nested ones included; a paragraph ends where the next one begins, and all end with the page."""
 
     def __init__(self, tag: str | None, css: str | None):
         super().__init__(convert_charrefs=True)
         self.tag, self.css, self.open, self.found = tag, css, [], []
 
+    def _ended(self, done) -> None:
+        for entry in [e for e in self.open if done(e)]:
+            self.open.remove(entry)
+            self.found.append(" ".join("".join(entry[2]).split()))
+
     def handle_starttag(self, tag, attrs):
+        if tag == "p":
+            self._ended(lambda e: e[0] == "p")
         classes = (dict(attrs).get("class") or "").split()
         for entry in self.open:
             entry[1] += tag == entry[0]
@@ -52,14 +59,16 @@ class _Selector(HTMLParser):
     def handle_endtag(self, tag):
         for entry in self.open:
             entry[1] -= tag == entry[0]
-        for entry in [e for e in self.open if e[1] == 0]:
-            self.open.remove(entry)
-            self.found.append(" ".join("".join(entry[2]).split()))
+        self._ended(lambda e: e[1] == 0)
 
     def handle_data(self, data):
         for entry in self.open:
             entry[2].append(data)
 
+    def close(self):
+        super().close()
+        self._ended(lambda e: True)
+
 
 def select(tag: str | None = None, css: str | None = None):
     """A function of the page that gives the texts of the elements chosen."""
@@ -70,6 +79,7 @@ def select(tag: str | None = None, css: str | None = None):
         for p in pages:
             parser = _Selector(tag, css)
             parser.feed(p or "")
+            parser.close()
             out.append(parser.found)
         return pd.Series(out)
 

@@ -44,10 +44,9 @@ def route() -> Column:
 def grounded(findings: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text", accept: float = HALLUCINATION) -> DataFrame:
     """Findings whose original occurs in its document, with ``hallucination_score``; exact hits by Spark, the rest by similarity."""
     both = findings.filter(F.coalesce(F.col("original_text"), F.lit("")) != "").join(docs.select(doc, F.col(text).alias("text_")), doc)
-    exact = F.col("text_").contains(F.col("original_text"))
-    hit = both.filter(exact).withColumn("hallucination_score", F.lit(1.0))
-    rest = both.filter(~exact).withColumn("hallucination_score", similarity.find_text()("original_text", "text_")["ratio"]).filter(F.col("hallucination_score") >= accept)
-    return hit.unionByName(rest).drop("text_")
+    exact = F.coalesce(F.col("text_").contains(F.col("original_text")), F.lit(False))
+    probed = similarity.find_text()("original_text", F.when(~exact, F.col("text_")))["ratio"]  # texts of exact hits don't travel
+    return both.withColumn("hallucination_score", F.when(exact, 1.0).otherwise(probed)).filter(F.col("hallucination_score") >= accept).drop("text_")
 
 
 # -- patching: rows of (text, findings) in, (text, applied, skipped) out; places are found per row, no shuffle

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import parse
 from scriptloom.functions import text as X
-from scriptloom.operators import alignment, completion, coverage, grounding, pages, patching, patterns, questions, settings, usage
+from scriptloom.operators import completion, coverage, grounding, pages, patching, patterns, questions, settings, usage
 from scriptloom.sources import artifacts
 from scriptloom.sources.tables import table
 
@@ -73,7 +73,7 @@ def document_quality(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     cut = F.exists(F.array(*(F.lit(m.lower()) for m in X.TRUNCATION_MARKERS)), lambda m: F.contains(F.lower(text), m))
     return _docs(spark, sf_dir).select(
-        "doc_id", F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda x: x != "")).cast("long").alias("n_words"), X.token_estimate(text).alias("n_tokens"), X.over_budget(text, 8000).alias("over_budget"),
+        "doc_id", X.word_count(text).alias("n_words"), X.token_estimate(text).alias("n_tokens"), X.over_budget(text, 8000).alias("over_budget"),
         (F.length(text) > X.LARGE_TEXT).alias("large"), F.trim(F.right(text, F.lit(100))).rlike(r"""[.!?"']\z""").alias("ends_well"), cut.alias("cut_off"),
     )
 
@@ -96,9 +96,9 @@ def abstract_target_words(spark, sf_dir):
     return docs.select("doc_id", X.target_words(F.col("n")).alias("target"), X.lens_count(F.col("n")).alias("lenses"))
 
 
-@query("normalized_documents", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS form FROM documents")
+@query("normalized_documents", r"SELECT doc_id, regexp_replace(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\f\v]+', ' ', 'g')), '[,;:.!?]', '', 'g') AS form FROM documents")
 def normalized_documents(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("form"))
+    return _docs(spark, sf_dir).select("doc_id", X.normalize_comparison(F.coalesce("text", F.lit(""))).alias("form"))
 
 
 @query(
@@ -159,11 +159,8 @@ def keyword_document_frequency(spark, sf_dir):
     """,
 )
 def keyword_overlap_pairs(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.keywords(F.col("text"))).alias("k"))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
-    docs = _docs(spark, sf_dir).select("doc_id", F.explode(X.keywords(F.col("text"))).alias("k"))
-    shared = docs.join(items, "k").groupBy("doc_id", "item_id").agg(F.count("*").alias("c")).join(sizes, "item_id")
-    return shared.filter(F.col("c") / F.col("n") >= 0.5).select("doc_id", "item_id", F.round(F.col("c") / F.col("n"), 6).alias("ratio"))
+    pairs = grounding.keyword_pairs(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return pairs.withColumn("ratio", F.round("ratio", 6))
 
 
 @query(
@@ -204,14 +201,16 @@ def finding_dedup(spark, sf_dir):
 @query(
     "finding_validity",
     f"""
-    SELECT doc_id, CASE WHEN n < 5 THEN 'context too short' WHEN n > 30 THEN 'context too long' ELSE 'ok' END AS fault, CASE doc_id % 3 WHEN 0 THEN 'apply' WHEN 1 THEN 'review' ELSE 'drop' END AS route
-    FROM (SELECT doc_id, len({_WORDS.format("split_part(text, '.', 1)")}) AS n FROM documents)
+    WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(31), 'g'), chr(31))) AS s FROM documents)
+    SELECT doc_id, CASE WHEN n < 5 THEN 'context too short' WHEN n > 30 THEN 'context too long' ELSE 'ok' END AS fault, CASE doc_id % 3 WHEN 0 THEN 'apply' WHEN 1 THEN 'review' ELSE 'drop' END AS route, count(*) AS n
+    FROM (SELECT doc_id, len({_WORDS.format("s")}) AS n FROM s) GROUP BY ALL
     """,
 )
 def finding_validity(spark, sf_dir):
+    """Every sentence as a finding."""
     level = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("doc_id") % 3 + 1).cast("int"))
-    found = _docs(spark, sf_dir).select("doc_id", F.lit("spelling").alias("error_type"), F.split_part("text", F.lit("."), F.lit(1)).alias("original_text"), F.lit("").alias("suggested_correction"), level.alias("confidence"))
-    return found.select("doc_id", F.coalesce(F.when(F.trim("original_text") == "", "context too short"), patching.fault(), F.lit("ok")).alias("fault"), patching.route().alias("route"))
+    found = _docs(spark, sf_dir).select("doc_id", F.explode(X.sentences(F.coalesce("text", F.lit("")))).alias("original_text"), F.lit("spelling").alias("error_type"), F.lit("☃").alias("suggested_correction"), level.alias("confidence"))
+    return found.groupBy("doc_id", F.coalesce(patching.fault(), F.lit("ok")).alias("fault"), patching.route().alias("route")).agg(F.count("*").alias("n"))
 
 
 # -- grounding and joins
@@ -223,12 +222,18 @@ def exact_grounding(spark, sf_dir):
     return grounding.exact_grounding(items, _docs(spark, sf_dir), "claim").select("item_id", "doc_id")
 
 
-@query("left_anti_quotes", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id < d.doc_id AND lower(e.text) = lower(d.text))")
+@query(
+    "left_anti_quotes",
+    r"""
+    WITH q AS (SELECT doc_id, coalesce(source, 'none') || ' says: "' || (doc_id % 5) || '"' AS quote FROM documents), k AS (SELECT 'SRC0  says:  "1"' AS quote UNION ALL SELECT 'src1 says: "2" [12:30]')
+    SELECT doc_id FROM q WHERE NOT EXISTS (SELECT 1 FROM k WHERE lower(trim(regexp_replace(regexp_replace(k.quote, '\[12:30\]', '', 'g'), ' +', ' ', 'g'))) = lower(q.quote))
+    """,
+)
 def left_anti_quotes(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("k", F.lower("text"))
-    first = docs.groupBy("k").agg(F.min("doc_id").alias("least"))
-    later = docs.join(first, "k").filter("doc_id > least").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select("doc_id")
+    """Quotes that are none of the known ones, by their normal form."""
+    quotes = _docs(spark, sf_dir, "doc_id", "source").select("doc_id", F.concat(F.coalesce("source", F.lit("none")), F.lit(' says: "'), (F.col("doc_id") % 5).cast("string"), F.lit('"')).alias("quote"))
+    known = spark.createDataFrame([('SRC0  says:  "1"',), ('src1 says: "2" [12:30]',)], "quote string")
+    return grounding.anti_quotes(quotes, known).select("doc_id")
 
 
 @query("fuzzy_grounding")
@@ -241,29 +246,21 @@ def fuzzy_grounding(spark, sf_dir):
     return got.select("item_id", "doc_id", F.round("ratio", 6).alias("ratio"), "result")
 
 
-@query("term_grounding")
-def term_grounding(spark, sf_dir):
-    """The first keyword of each document with its first sentence as definition, looked for in the document."""
-    docs = _docs(spark, sf_dir)
-    terms = docs.select("doc_id", F.get(X.keywords(F.col("text")), F.lit(0)).alias("term"), F.split_part("text", F.lit("."), F.lit(1)).alias("definition")).filter("term IS NOT NULL")
-    return grounding.counts(grounding.terms_grounded(terms, docs), "result", ("EXACT", "PARTIAL", "WEAK", "FAIL")).select("result", "exact", "partial", "weak", "fail", "accuracy")
-
-
 @query(
     "coverage_rollup",
     f"""
-    WITH b AS (SELECT item_id, list_slice({_DISTINCT_KEYS.format('text')}, 1, 10) AS k FROM benchmark),
-    i AS (SELECT doc_id, item_id, j, k, lower(text) AS t FROM (SELECT doc_id, text, unnest([0, 7, 13]) AS j FROM documents) d JOIN b ON item_id = (doc_id + j) % 40),
-    h AS (SELECT doc_id, j = 0 AS required, len(list_filter(k, lambda x: contains(t, x))) AS n, len(k) AS m FROM i),
-    c AS (SELECT *, m = 0 OR n >= 2 OR n / m >= 0.5 AS high, n >= 1 AS medium FROM h)
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p, length(coalesce(text, '')) AS n FROM documents), e AS (SELECT doc_id, lower(p[1]) AS t, n, unnest(p) AS line FROM d),
+    i AS (SELECT doc_id, t, length(line) * 100 >= n * 15 AS required, list_slice({_DISTINCT_KEYS.format('line')}, 1, 10) AS k FROM e),
+    h AS (SELECT doc_id, required, len(list_filter(k, lambda x: contains(t, x))) AS n, len(k) AS m FROM i), c AS (SELECT *, m = 0 OR n >= 2 OR n / m >= 0.5 AS high, n >= 1 AS medium FROM h)
     SELECT doc_id, bool_and(high OR medium OR NOT required) AS passes, count(*) FILTER (required AND (high OR medium)) || '/' || count(*) FILTER (required) AS required_coverage,
            count(*) FILTER (NOT required AND (high OR medium)) || '/' || count(*) FILTER (NOT required) AS optional_coverage, count(*) FILTER (NOT high AND NOT medium) AS to_review FROM c GROUP BY doc_id
     """,
 )
 def coverage_rollup(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(X.keywords(F.col("text")), 1, 10).alias("k"))
-    docs = _docs(spark, sf_dir).select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(7), F.lit(13))).alias("j")).withColumn("item_id", (F.col("doc_id") + F.col("j")) % 40)
-    got = docs.join(items, "item_id").select("doc_id", (F.col("j") == 0).alias("required"), coverage.covered(F.col("text"), F.col("k")).alias("c"))
+    """Does a document's first line cover what all its lines are about? Lines of 15 % of the text or more have to be covered."""
+    text = F.coalesce("text", F.lit(""))
+    lines = _docs(spark, sf_dir).select("doc_id", F.length(text).alias("n"), F.split(text, "\n").alias("p")).select("doc_id", "n", F.get("p", F.lit(0)).alias("first"), F.explode("p").alias("line"))
+    got = lines.select("doc_id", (F.length("line") * 100 >= F.col("n") * 15).alias("required"), coverage.covered(F.col("first"), F.slice(X.keywords(F.col("line")), 1, 10)).alias("c"))
     return coverage.rollup(got.select("doc_id", "required", "c.*"))
 
 
@@ -384,12 +381,15 @@ def question_share(spark, sf_dir):
     return _sectioned(spark, sf_dir).select("doc_id", questions.qa_percentage(F.col("text")).alias("qa_percentage"))
 
 
-@query("labelled_quotes", """SELECT doc_id, source AS label, trim(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS quote FROM documents WHERE NOT contains(split_part(text, ' ', 1) || split_part(text, ' ', 2), chr(10)) AND NOT contains(split_part(text, ' ', 1) || split_part(text, ' ', 2), '"')""")
+@query(
+    "labelled_quotes",
+    f"SELECT doc_id, coalesce(source, '') AS label, trim(p, E' \\t\\r\\f\\v') AS quote FROM (SELECT doc_id, source, unnest({_PARTS}) AS p FROM documents) WHERE trim(p, E' \\t\\r\\f\\v') <> '' AND coalesce(source, '') <> ''",
+)
 def labelled_quotes(spark, sf_dir):
-    two = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
-    docs = _docs(spark, sf_dir, "doc_id", "text", "source").withColumn("two", two).filter(~F.contains("two", F.lit("\n")) & ~F.contains("two", F.lit('"')))
-    line = F.concat(F.lit("# Quotes\n\n> **"), "source", F.lit(':** "'), "two", F.lit('"\n\nno **bold:** here\n'))
-    return docs.select("doc_id", F.inline(parse.labelled_quotes(line)))
+    """Every line of a text as a quote that its source labels."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(" \t\r\f\x0b"))), lambda x: x != "")
+    block = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("> **"), F.col("source"), F.lit(':** "'), x, F.lit('"'))), "\n")
+    return _docs(spark, sf_dir, "doc_id", "text", "source").select("doc_id", F.inline(parse.labelled_quotes(F.concat(F.lit("# Quotes\n\n"), block, F.lit("\n\nno **bold:** here\n")))))
 
 
 @query(
@@ -486,7 +486,7 @@ def usage_totals(spark, sf_dir):
 def usage_since(spark, sf_dir):
     rows = _costed(spark, sf_dir)
     start = table(spark, sf_dir, "events", "ts").agg((F.min("ts") + F.expr("INTERVAL 10 DAYS")).alias("start"))
-    return usage.rollup(rows.join(F.broadcast(start), F.col("ts") >= F.col("start")), [["script"]], ["cost"], 4)  # one row
+    return usage.rollup(usage.since(rows.crossJoin(F.broadcast(start)), F.col("start")), [["script"]], ["cost"], 4)  # the start is one row
 
 
 @query("usage_rollup", f"WITH {_USAGE_SQL} SELECT script, model, count(*) AS calls, round(sum(cost), 4) AS cost FROM x GROUP BY GROUPING SETS ((script), (model), ())")
@@ -575,45 +575,30 @@ def page_audit(spark, sf_dir):
     return pages.audit(p, expected).select("page_id", "check", "severity")
 
 
-@query("page_elements")
+_P = r"string_split_regex(html, '(?i)<p(?:[ \t\n\r][^>]*)?>')[2:]"
+_INNER = "p"
+for _entity, _char in X.ENTITIES.items():
+    _INNER = f"replace({_INNER}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("page_elements", rf"SELECT page_id, ordinal, trim(regexp_replace(replace({_INNER}, '&amp;', '&'), '[ \t\n\r\f\v\x{{A0}}]+', ' ', 'g')) AS body FROM (SELECT page_id, generate_subscripts({_P}, 1) - 1 AS ordinal, regexp_replace(string_split_regex(unnest({_P}), '(?i)</p>')[1], '<[^>]*>', '', 'g') AS p FROM pages)")
 def page_elements(spark, sf_dir):
     """Texts of paragraphs, nested markup included."""
     p = table(spark, sf_dir, "pages", "page_id", "html")
-    return p.select("page_id", F.posexplode(pages.select(tag="p")("html")).alias("ordinal", "body"))
+    return p.select("page_id", F.posexplode(pages.select(tag="p")("html")).alias("ordinal", "body")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 # -- text against text: no SQL for these
 
 
-@query("alignment_report")
-def alignment_report(spark, sf_dir):
-    """Every document against its lower-cased self without its first word."""
-    docs = _docs(spark, sf_dir).select("doc_id", "text", F.lower(F.regexp_replace("text", r"^\S+\s*", "")).alias("other"))
-    return alignment.alignment_report(docs, "text", "other").select("doc_id", "alignment.checked", "alignment.mismatch_count", "passes")
-
-
-@query("correction_patching")
-def correction_patching(spark, sf_dir):
-    """In each document its first sentence is corrected, and a part of it too, which overlaps."""
-    docs = _docs(spark, sf_dir)
-    first = F.split_part("text", F.lit("."), F.lit(1))
-    some = docs.filter(F.length(F.trim(first)) > 0)
-    found = some.select("doc_id", F.lit(0).alias("ordinal"), first.alias("original_text"), F.concat(F.lit("<"), first, F.lit(">")).alias("suggested_correction"))
-    part = some.select("doc_id", F.lit(1).alias("ordinal"), F.get(F.split(first, " "), F.lit(0)).alias("original_text"), F.lit("X").alias("suggested_correction"))
-    return patching.patched(docs, found.unionByName(part)).select("doc_id", "patched.applied", F.size("patched.skipped").alias("n_skipped"), F.md5(F.col("patched.text").cast("binary")).alias("text_md5"))
-
-
-@query("highlighted_documents")
-def highlighted_documents(spark, sf_dir):
-    """Each document with its first sentence as an emphasis and its first words as a reference."""
-    docs = _docs(spark, sf_dir)
-    first = F.split_part("text", F.lit("."), F.lit(1))
-    quotes = docs.select("doc_id", F.lit(0).alias("ordinal"), F.lit("emphasis").alias("kind"), F.lit("first").alias("label"), first.alias("quote")).unionByName(
-        docs.select("doc_id", F.lit(1).alias("ordinal"), F.lit("reference").alias("kind"), F.lit("opening").alias("label"), grounding.first_words(F.col("text"), 5).alias("quote")))
-    return pages.highlighted(docs, quotes).select("doc_id", "highlighted.marks", F.length("highlighted.text").alias("n_chars"))
-
-
-@query("offline_completion")
+@query(
+    "offline_completion",
+    r"""
+    WITH p AS (SELECT doc_id, trim('Summarise ' || doc_id || '.' || chr(10) || chr(10) || coalesce(text, ''), E' \t\n\r\f\v') AS p FROM documents),
+    a AS (SELECT doc_id, list_filter(string_split_regex(string_split(p, chr(10) || chr(10))[-1], '[ \t\n\r\f\v]+'), lambda w: w <> '')[1:50] AS w FROM p)
+    SELECT doc_id, coalesce(list_sum([length(x) for x in w]), 0) // 4 AS output_tokens, CASE WHEN len(w) = 0 THEN 'no text' ELSE 'valid' END AS state FROM a
+    """,
+)
 def offline_completion(spark, sf_dir):
     """A prompt for each document to the offline backend, with the answer's first fault."""
     docs = _docs(spark, sf_dir).select("doc_id", X.fill(F.lit("Summarise {{ name }}.\n\n{{ text }}"), {"name": F.col("doc_id"), "text": F.col("text")}).alias("prompt"))
@@ -621,7 +606,13 @@ def offline_completion(spark, sf_dir):
     return got.select("doc_id", "answer.output_tokens", F.coalesce(completion.answer_fault(F.col("answer")), F.lit("valid")).alias("state"))
 
 
-@query("settings_violations")
+@query(
+    "settings_violations",
+    """
+    SELECT * FROM (VALUES ('number', 'lookahead', 'not a number'), ('range', 'fuzzy_threshold', '1.5 is not in [0.0, 1.0]'), ('positive', 'abstract_min_words', '-1.0'), ('order', 'fuzzy_threshold', 'not below fuzzy_early_stop'),
+                          ('order', 'chunk_overlap', 'not below chunk_size')) v(rule, name, message)
+    """,
+)
 def settings_violations(spark, sf_dir):
     """What is wrong with settings out of range and order."""
     broken = settings.asdict(settings.Settings()) | {"fuzzy_threshold": 1.5, "chunk_overlap": 2000, "abstract_min_words": -1, "lookahead": "ten"}

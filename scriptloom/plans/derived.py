@@ -160,8 +160,7 @@ def stated_aims(spark, sf_dir):
     rf"""
     SELECT doc_id, doc_id % 3 = 0 AS refused, doc_id % 2 = 0 AS topics_valid, TRUE AS terms_valid, doc_id % 4 IN (0, 2) AS strict, doc_id % 4 IN (0, 1, 2) AS loose, 'misc,' || l AS lexicon,
            CASE WHEN doc_id % 2 = 0 THEN 'section reference;list' ELSE '' END AS issues, CASE doc_id % 6 WHEN 0 THEN 'no message' WHEN 1 THEN 'other role' WHEN 2 THEN 'cut off' WHEN 3 THEN 'too few words' WHEN 4 THEN 'other model' ELSE 'valid' END AS answer,
-           '.abstract,.key-terms' AS classes, CASE WHEN doc_id % 2 = 0 THEN 'starts with a vague pronoun' WHEN doc_id % 10 < 5 THEN 'score outside its band' ELSE '' END AS item, doc_id % 5 < 2 AS proportional,
-           'title' AS rows_of
+           '.abstract,.key-terms' AS classes, CASE WHEN doc_id % 2 = 0 THEN 'starts with a vague pronoun' WHEN doc_id % 10 < 5 THEN 'score outside its band' ELSE '' END AS item, doc_id % 5 < 2 AS proportional
     FROM {_D}
     """,
 )
@@ -185,18 +184,18 @@ def validity_flags(spark, sf_dir):
         patterns.attributed(quote, "Lee").alias("strict"), patterns.loosely_attributed(quote, "Lee").alias("loose"),
         F.array_join(F.concat(patterns.lexicon_hits(_text("Miscellaneous ", _l()), ["misc", "other"]), F.array(_l())), ",").alias("lexicon"), F.array_join(issues, ";").alias("issues"),
         F.coalesce(fault, F.lit("valid")).alias("answer"), F.array_join(pages.missing_classes(page), ",").alias("classes"), F.array_join("faults", ";").alias("item"),
-        coverage.proportion(F.lit(100), 100 + (n % 5) * 40, F.lit(False))["within"].alias("proportional"), F.lit("title").alias("rows_of"),
+        coverage.proportion(F.lit(100), 100 + (n % 5) * 40, F.lit(False))["within"].alias("proportional"),
     )
 
 
 @query(
-    "placed_quotes",
+    "highlighted_documents",
     rf"""
     WITH t AS (SELECT doc_id, i, 'It isn''t so, ' || i || ': ' AS lead, 'the well-known' || chr(10) || '<b>mark</b> of source' AS part, text FROM {_D})
     SELECT doc_id, length(lead)::INTEGER AS start, length(lead || part)::INTEGER AS stop, 1.0::DOUBLE AS ratio, md5(lead || '<mark class="emphasis" title="e; r">' || part || '</mark> &amp; more. ' || text) AS marked, 1 AS marks FROM t
     """,
 )
-def placed_quotes(spark, sf_dir):
+def highlighted_documents(spark, sf_dir):
     """FUZ-1 and marks at raw places, over whole texts."""
     docs = _docs(spark, sf_dir).withColumn("t", _text("It isn't so, ", _i(), ": the well-known\n<b>mark</b> of source &amp; more. ", F.coalesce("text", F.lit(""))))
     found = docs.withColumn("f", similarity.find_text(aggressive=True)(F.lit("The well known mark of source"), "t")).select("doc_id", "t", "f.*")
@@ -206,15 +205,14 @@ def placed_quotes(spark, sf_dir):
 
 
 @query(
-    "placed_patches",
+    "correction_patching",
     rf"""
     WITH t AS (SELECT doc_id, i, text, 'It isn''t so, ' || i || ':' || chr(10) || chr(10) AS lead, ' <i>End</i> of it. ' AS tail FROM {_D})
-    SELECT doc_id, 2 AS applied, 1 AS skipped, md5(lead || 'CORRECTED now CHANGED' || tail || replace(text, 'qqqq', 'qqqq')) AS patched, 2 AS in_turn,
-           'the quik brown fox jumped over the lazy dog and never looked back again' AS first, '- a -> b' AS changes, '- c -> ' || i AS review
+    SELECT doc_id, 2 AS applied, 1 AS skipped, md5(lead || 'CORRECTED now CHANGED' || tail || text) AS patched, 2 AS in_turn, '- a -> b' AS changes, '- c -> ' || i AS review
     FROM t
     """,
 )
-def placed_patches(spark, sf_dir):
+def correction_patching(spark, sf_dir):
     """INT-1 and INT-3 with a misspelt original at its raw place, one that occurs word for word, and one that isn't there; change log and routes."""
     passage = "the quik brown fox jumped over the lazy dog and never looked back again"
     docs = _docs(spark, sf_dir).withColumn("t", _text("It isn't so, ", _i(), f":\n\n{passage} now zz<qq>zz <i>End</i> of it. ", F.coalesce("text", F.lit(""))))
@@ -223,12 +221,12 @@ def placed_patches(spark, sf_dir):
     both = patching.patched(both, found, text="t", rule=patching.patch_in_turn)
     routed = docs.select("doc_id", F.inline(_rows("ordinal confidence original_text suggested_correction", (0, "High", "a", "b"), (1, "medium", "c", _i()), (2, "low", "d", "e"))))
     return both.join(patching.change_log(docs, routed), "doc_id").select(
-        "doc_id", "p.applied", F.size("p.skipped").alias("skipped"), F.md5(F.col("p.text").cast("binary")).alias("patched"), F.col("patched.applied").alias("in_turn"), F.lit(passage).alias("first"), "changes", "review",
+        "doc_id", "p.applied", F.size("p.skipped").alias("skipped"), F.md5(F.col("p.text").cast("binary")).alias("patched"), F.col("patched.applied").alias("in_turn"), "changes", "review",
     )
 
 
 @query(
-    "aligned_copies",
+    "alignment_report",
     rf"""
     WITH n AS (SELECT *, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))) AS n FROM {_D})
     SELECT doc_id, n AS same_checked, 0 AS same_mismatches, CASE WHEN n > 0 THEN n + 1 ELSE 0 END AS inserted_checked, 0 AS inserted_mismatches, n + 1 AS deleted_checked, 1 AS deleted_mismatches,
@@ -236,7 +234,7 @@ def placed_patches(spark, sf_dir):
     FROM (SELECT *, coalesce(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))[1], '') AS first FROM n)
     """,
 )
-def aligned_copies(spark, sf_dir):
+def alignment_report(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     docs = _docs(spark, sf_dir).select("doc_id", text.alias("a"), _text("ωωextra ", text).alias("b"), alignment.cleaned(_text("Ann Lee  0:12\nWelcome ", _s(), " [00:01:05] and all.\nTranscribed by someone"), phrases=alignment.PROCEDURE).alias("cleaned"))
     out = docs

@@ -39,17 +39,27 @@ def test_query_equals_its_oracle(spark, tables, name):
     assert rows(catalogue.queries()[name](spark, DATA).toPandas()) == rows(tables.sql(catalogue.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_without_oracle_runs(spark, name):
-    got = catalogue.queries()[name](spark, DATA)
-    assert got.columns and got.count() >= 0
-
-
-def test_results_of_queries_without_oracle(spark):
-    run = lambda name: catalogue.queries()[name](spark, DATA).toPandas()
-    assert set(run("fuzzy_grounding").result) <= {"VALID", "PARTIAL"}  # one word of fifteen is changed
-    patched = run("correction_patching")
-    assert ((patched.applied <= 1) | (patched.n_skipped >= 0)).all()
-    assert (run("offline_completion").state == "valid").mean() > 0.9
-    aligned = run("alignment_report")
-    assert (aligned.mismatch_count >= 0).all() and aligned.passes.mean() > 0.5
+def test_only_similarity_of_found_passages_has_no_oracle():
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"fuzzy_grounding"}
+
+
+def test_passages_with_a_changed_word(spark, tables):
+    """Against difflib, window by window."""
+    from difflib import SequenceMatcher
+
+    from scriptloom.functions.similarity import normalize
+
+    got = {(r.item_id, r.doc_id): (round(r.ratio, 6), r.result) for r in catalogue.queries()["fuzzy_grounding"](spark, DATA).collect()}
+    want = {}
+    for item, doc, claim, text in tables.sql("SELECT item_id, doc_id, b.text, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text)").fetchall():
+        words = claim.split()[:15]
+        probe = normalize(" ".join([*words[:4], "changed", *words[5:]]))
+        have, n, best = normalize(text).split(), len(words), 0.0
+        for i in range(len(have) - n + 1):
+            r = SequenceMatcher(None, probe, " ".join(have[i : i + n])).ratio()
+            if r > best and r >= 0.85:
+                best = r
+                if r >= 0.98:
+                    break
+        want[(item, doc)] = (round(best, 6), "VALID" if best >= 0.95 else "PARTIAL" if best >= 0.8 else "INVALID")
+    assert got == want and got
