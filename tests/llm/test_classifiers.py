@@ -1,3 +1,237 @@
+from __future__ import annotations
+
+import math
+import os
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scriptloom.llm import common, language, quality, toxicity
+
+DATA = "/root/testdata/sf0.01"
+with_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+ODD = [(1, None, 1), (2, "", 2), (3, " \n", 3), (4, "1234 %% !!", 4), (None, "word", 5), (4, "ß" * 300_000, 6), (4, "ß", 6)]
+
+
+def test_fold_is_crc32(spark):
+    df = spark.createDataFrame([(i,) for i in [0, 1, 77, -5, 123456789012]] + [(None,)], "doc_id long").withColumn("f", common.fold(3))
+    for r in df.collect():
+        assert r.f == zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 3
+
+
+def bits(texts, text, order=language.MAX_ORDER):
+    """Exact code length by a walk over dictionaries."""
+    seen = [{} for _ in range(order + 1)]
+    for t in texts:
+        t = b"\n" * order + t
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                seen[k].setdefault(t[i - k : i], Counter())[t[i]] += 1
+    total, t = 0.0, b"\n" * order + text
+    for i in range(order, len(t)):
+        for k in range(order, -1, -1):
+            c = seen[k].get(t[i - k : i])
+            if not c:
+                continue
+            n, kinds = sum(c.values()), len(c)
+            if c[t[i]]:
+                total += math.log2((n + kinds) / c[t[i]])
+                break
+            total += math.log2((n + kinds) / kinds)
+        else:
+            total += language.UNKNOWN_BITS
+    return total
+
+
+def test_code_lengths_equal_brute_force():
+    texts = {"a": [b"the cat sat on the mat", b"the hat", b""], "b": ["le chat était sur le tapis".encode(), b"les"]}
+    model = language.learn(texts).ready()
+    probes = ["the", "été", "日本", "z", "the cat était", "\n\n"]
+    raw, starts = language._joined([p.encode() for p in probes])
+    got = model.code_lengths(raw, starts)
+    for row, p in zip(got, probes, strict=True):
+        assert row == pytest.approx([bits(texts[k], p.encode()) for k in model.languages])
+
+
+@with_data
+def test_languages_of_held_out_documents(spark):
+    got = language.op4_language(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
+    r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right"), F.min("score").alias("a"), F.max("score").alias("z")).first()
+    assert r.right > 0.97 and r.a >= 0 and r.z <= 1
+
+
+def test_odd_rows_have_languages(spark):
+    model = language.learn({"de": ["straße und ß".encode()], "en": [b"word and words"]})
+    df = spark.createDataFrame(ODD, "doc_id long, text string, score int")
+    got = [(r.lang_pred, r.score) for r in language.identify(df, model).collect()]
+    assert [x for x, _ in got] == ["und", "und", "und", "und", "en", "de", "de"] and all(0 <= s <= 1 for _, s in got)
+    assert {r.lang_pred for r in language.identify(df, language.LanguageModel([])).collect()} == {"und"}
+
+
+def area(score, truth):
+    """Area under the curve: how often a row of label 1 scores above one of label 0."""
+    ones, zeros = score[truth == 1], score[truth == 0]
+    return float(np.mean([(ones > z).mean() + (ones == z).mean() / 2 for z in zeros]))
+
+
+@with_data
+@pytest.mark.parametrize("query, label, modulus, held_at, rare", [(quality.op10_quality, "quality", 5, 0, 0), (toxicity.op7_toxicity, "toxic", 3, 1, 1)])
+def test_held_out_documents(spark, query, label, modulus, held_at, rare):
+    """Bounds that no constant reaches: its area is 0.5, and it finds all or none of the rarer label."""
+    got = query(spark, DATA)
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert got.count() == n and got.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+    pdf = got.join(spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", label), "doc_id").toPandas()
+    held = pdf.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % modulus == held_at)
+    assert (held == pdf.held_out).all()
+    test = pdf[pdf.held_out]
+    predicted, truth = test.predicted.to_numpy() == rare, test[label].to_numpy() == rare
+    recall, precision = (predicted & truth).sum() / truth.sum(), (predicted & truth).sum() / max(1, predicted.sum())
+    assert area(test.score.to_numpy(), test[label].to_numpy()) >= 0.9
+    assert recall >= (0.75 if query is quality.op10_quality else 0.35) and precision >= 0.75
+
+
+def test_fits_are_equal_at_every_run(spark):
+    texts = [(i, ("fine prose and good words " if i % 2 else "%%% bad vile words ") * 5 + str(i)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    first, again = (quality.fit(x, labels, "label") for x in (docs, docs.repartition(7)))
+    assert first == again
+    first, again = (toxicity.fit(x, labels, "label") for x in (docs, docs.repartition(7)))
+    assert (first.weight == again.weight).all() and (first.slope, first.offset, first.blank) == (again.slope, again.offset, again.blank)
+
+
+def test_quality_scores_equal_plain_sizes():
+    import zstandard
+
+    good, bad = b"fine prose and good words, " * 60, b"%%% ### junk; " * 60
+    model = quality.QualityModel(good, bad, 31.0, -0.4)
+    texts = ["fine prose and junk", "%%% ### " * 3000, "", None, "é" * 9001]
+    got, evidence = model.scorer()(texts)
+    for t, score, x in zip(texts, got, evidence, strict=True):
+        raw, sizes = (t or "").encode(), []
+        for content in (bad, good):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[i : i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK)))
+        assert x == pytest.approx((sizes[0] - sizes[1]) / len(raw) if raw else 0.0, abs=0.02)
+        assert score == pytest.approx(1 / (1 + math.exp(-(31.0 * x - 0.4))))
+
+
+def plain_grams(word):
+    """Buckets of a word's n-grams, one character at a time."""
+    marked, out = [2, *map(ord, word), 3], []
+    for n in toxicity.SIZES:
+        for i in range(len(marked) - n + 1):
+            h = 0
+            for c in marked[i : i + n]:
+                h = (h * 1099511628211 + c + 1) % 2**64
+            out.append(((h + n) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BUCKETS.bit_length() + 1))
+    return out
+
+
+def plain_training(texts, labels, seed=7):
+    """The same training by loops over passages, words and n-grams."""
+    rng = np.random.default_rng(seed)
+    words = list(dict.fromkeys(w for t in texts for w in t))
+    counts = {k: Counter(w for t, y in zip(texts, labels, strict=True) if y == k for w in set(t)) for k in (0, 1)}
+    n = [max(1, sum(labels == k)) for k in (0, 1)]
+    evidence = {w: math.log((counts[1][w] + 0.5) / (n[1] + 1)) - math.log((counts[0][w] + 0.5) / (n[0] + 1)) for w in words}
+    dim = toxicity.DIM
+    vectors, softmax, bias = rng.normal(0, 0.1, (toxicity.BUCKETS, dim)), rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
+    past, past_s, past_b = {}, np.full((dim, 2), 1e-6), np.full(2, 1e-6)
+    for _ in range(toxicity.ROUNDS):
+        bags, ys = [], []
+        for t, y in zip(texts, labels, strict=True):
+            width = min(toxicity.WINDOW, len(t))
+            means = [sum(evidence[w] for w in t[i : i + width]) / width for i in range(len(t) - width + 1)]
+            at = max(range(len(means)), key=lambda i: (round(means[i], 12), -i))
+            bags.append(t[at : at + width])
+            ys.append(y)
+            if y == 0:
+                for at in rng.integers(0, len(t) - width + 1, 3):
+                    bags.append(t[at : at + width])
+                    ys.append(0)
+        share = [len(ys) / (2 * max(1, ys.count(k))) for k in (0, 1)]
+        for _ in range(toxicity.EPOCHS):
+            order = rng.permutation(len(bags))
+            for start in range(0, len(order), toxicity.BATCH):
+                pick = order[start : start + toxicity.BATCH]
+                step, gs, gb = {}, np.zeros((dim, 2)), np.zeros(2)
+                for k in pick:
+                    parts = [(g, 1 / (len(plain_grams(w)) * len(bags[k]))) for w in bags[k] for g in plain_grams(w)]
+                    mean = sum(vectors[g] * p for g, p in parts)
+                    e = np.exp(mean @ softmax + bias - (mean @ softmax + bias).max())
+                    g2 = (e / e.sum() - np.eye(2)[ys[k]]) * share[ys[k]]
+                    back = softmax @ g2
+                    for g, p in parts:
+                        step[g] = step.get(g, 0) + p * back
+                    gs += np.outer(mean, g2) / len(pick)
+                    gb += g2 / len(pick)
+                for g, d in step.items():
+                    past[g] = past.get(g, 1e-6) + (d * d).mean()
+                    vectors[g] -= toxicity.RATE * d / math.sqrt(past[g])
+                past_s += gs * gs
+                past_b += gb * gb
+                softmax -= toxicity.RATE * gs / np.sqrt(past_s)
+                bias -= toxicity.RATE * gb / np.sqrt(past_b)
+        weight = vectors @ (softmax[:, 1] - softmax[:, 0])
+        evidence = {w: sum(weight[g] for g in plain_grams(w)) / len(plain_grams(w)) for w in words}
+    return weight
+
+
+def test_training_and_evidence_equal_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 1 << 9)
+    monkeypatch.setattr(toxicity, "BATCH", 7)
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 8))) for _ in range(30)]
+    texts = [[str(w) for w in rng.choice(vocabulary, rng.integers(1, 9))] + (["vile"] if i % 3 == 0 else []) for i in range(18)]
+    labels = np.array([int(i % 3 == 0) for i in range(18)])
+    got, want = toxicity.train(texts, labels), plain_training(texts, labels)
+    assert np.abs(got - want).max() < 1e-6
+    x = toxicity.ToxicityModel(got, 1.0, 0.0, 0.25).scorer()(["Abc vile  de", "", None, "é"])[1]
+    word = lambda w: sum(got[g] for g in plain_grams(w)) / len(plain_grams(w))
+    assert x == pytest.approx([max((word("abc") + word("vile")) / 2, (word("vile") + word("de")) / 2), 0.25, 0.25, word("é")])
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_odd_rows_have_scores(spark, module):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, score int")
+    texts = [(i, ("fine prose and good words " if i % 2 else "%%% bad vile words ") * 5 + str(i)) for i in range(40)]
+    docs = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string")
+    label = "quality" if module is quality else "toxic"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 1), (900, 1), (901, 0), (None, 1), (5, None), (7000, 1)], f"doc_id long, {label} int")
+    score = quality.score_quality if module is quality else toxicity.score_toxicity
+    for model in (module.fit(docs, labels), module.fit(docs, labels.limit(0)), module.fit(docs.limit(0), labels)):
+        got = score(df, model)
+        assert got.columns == ["doc_id", "score", "evidence"]
+        assert all(0 <= r.score <= 1 for r in got.collect()) and got.count() == len(ODD)
+        assert score(df.limit(0), model).count() == 0
+
+
+def test_filter_keeps_columns(spark):
+    model = quality.QualityModel(b"good prose " * 50, b"%%% ### " * 50, 40.0, 0.0)
+    df = spark.createDataFrame([(1, "good prose good prose", "x"), (2, "%%% ### %%% ###", None), (3, None, None)], "doc_id long, text string, score string")
+    left = quality.keep_good(df, model)
+    assert left.schema == df.schema and sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
+def test_subwords_reach_unseen_spellings():
+    rng = np.random.default_rng(1)
+    clean = ["".join(rng.choice(list("bcdfglmnprst"), 5)) for _ in range(300)]
+    texts = [[str(w) for w in rng.choice(clean, 30)] for _ in range(200)]
+    labels = np.array([i % 2 for i in range(200)])
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            t[int(rng.integers(30))] = "horridious" + str(rng.choice(["a", "en", "ly"]))
+    score = toxicity.ToxicityModel(toxicity.train(texts, labels), 1.0, 0.0, 0.0).scorer()
+    x = score(["bcdfg horridiousness mnprs", "bcdfg lmnpr mnprs"])[1]
+    assert x[0] > x[1]
+
+
 
 
 
