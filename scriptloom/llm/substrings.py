@@ -3,7 +3,8 @@
 A word is a run without ASCII white space, taken as it is. A window of a document is repeated when its words also start
 somewhere in a document with a smaller key; every word that a repeated window covers goes. Windows are judged on the input.
 
-1. Each window is represented by the least hash among its sub-windows of ``SEED`` words. Equal windows have equal
+1. Of texts that are equal as a whole (told by MD5) only the one with the smallest key goes on: it has the windows of all of them, and the others
+   are removed whole if they have a window. Each window is represented by the least hash among its sub-windows of ``SEED`` words. Equal windows have equal
    representatives, and neighbours mostly share theirs, so a fourteenth of the rows tells which windows can't be
    repeated: those whose representative only one document has. Every window of every document takes part.
 2. The Rabin-Karp hashes (96 bits) of the windows that are left are counted: the smallest key of each, aggregated
@@ -178,18 +179,35 @@ def _side(df: DataFrame, values: str | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_KEYS else df
 
 
+#: The end of an interval that stands for the end of the text, however many words it has.
+ALL = (1 << 31) - 1
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """key, print of rows whose whole text a row with a smaller key has too (rows: text, key, print)."""
+    narrow = settle(rows.select("key", "print", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")))
+    groups = narrow.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n"))
+    groups = settle(groups.filter("least < most").select("digest", "least", "n"))
+    return settle(join_by_key(narrow, groups, ["digest"], "n").filter("key > least").select("key", "print").distinct())
+
+
 def repeated_intervals(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, print (hash of the text), starts, ends: the maximal intervals of words to remove of each document that has any."""
+    """key, print (hash of the text), starts, ends: the maximal intervals of words to remove of each document that has any.
+
+    One interval from 0 to ALL is that of a copy, to be removed whole if it has a window at all.
+    """
     rows = docs.select(text_of(text).alias("text"), F.col(key).cast("long").alias("key")).filter("key IS NOT NULL")
     rows = rows.withColumn("print", F.xxhash64("text"))
-    seeds = settle(_seed_rows(rows))
+    copies = _copies(rows)
+    seeds = settle(_seed_rows(rows).join(_side(copies), ["key", "print"], "left_anti"))
     shared = settle(seeds.groupBy("seed").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).filter("least < most").select("seed", "n"))
     lists = settle(join_by_key(seeds, shared, ["seed"], "n").groupBy("key", "print").agg(F.collect_set("seed").alias("seeds")))  # of one document
     ids = _side(lists.select("key", "print"))
     windows = settle(_window_rows(rows.join(ids, ["key", "print"], "left_semi").join(lists, ["key", "print"])))
     least = windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n"))
     least = settle(least.filter("least < most").drop("most"))
-    return settle(_intervals(join_by_key(windows, least, ["h1", "h2"], "n").filter(F.col("least") < F.col("key")).select("key", "print", "place")))
+    found = _intervals(join_by_key(windows, least, ["h1", "h2"], "n").filter(F.col("least") < F.col("key")).select("key", "print", "place"))
+    return settle(found.unionByName(copies.select("key", "print", F.array(F.lit(0)).alias("starts"), F.array(F.lit(ALL)).alias("ends"))))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -204,16 +222,21 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
-            texts, sizes, gone = [], [], []
+            texts, sizes, gone, begun, ended = [], [], [], [], []
             for t, starts, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = t.encode("utf-8", "surrogatepass").split()
                 sizes.append(len(words))
+                if ends == [ALL]:
+                    starts, ends = ([0], [len(words)]) if len(words) >= WINDOW else (None, None)
                 for s, e in zip(reversed(starts or ()), reversed(ends or ()), strict=True):
                     del words[s:e]
                 gone.append(sizes[-1] - len(words))
                 texts.append(b" ".join(words))
+                begun.append(starts)
+                ended.append(ends)
+            kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, type=pa.binary()).cast(pa.string()), pa.array(sizes, type=pa.int64()), pa.array(gone, type=pa.int64()), *b.columns[1:]],
+                [pa.array(texts, type=pa.binary()).cast(pa.string()), pa.array(sizes, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(begun, type=kind), pa.array(ended, type=kind), *b.columns[3:]],
                 names=[text, "n_words", "n_removed", "starts", "ends", *kept],
             )
 
