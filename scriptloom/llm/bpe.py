@@ -8,7 +8,7 @@ earlier merge across the border; the answers are memoised. The ids are those tha
 rank gives; a piece that is itself an entry is that entry.
 
 Ids travel as binary columns of little-endian unsigned 32-bit integers. Defined results: a null or empty text
-has no ids and decodes to no bytes; a piece of any length is one piece; extra columns are kept, and the
+has no ids and decodes to no bytes; a piece of any length is one piece; very long texts are encoded whole; an empty table gives no rows and repeated rows each get one; extra columns are kept, and the
 output column replaces one of the same name.
 """
 

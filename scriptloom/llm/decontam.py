@@ -15,7 +15,7 @@ Items without an eligible window, short ones among them, are one window of all t
 case and punctuation.
 
 Defined results: null texts hold nothing; items without any plain word (numbers alone, empty) are never found; a null key is a key like any other; equal rows count once; items of equal text are each found; extra columns
-take no part.
+take no part; very long texts are read whole; an empty table of either side gives no rows; of equal alignments none is preferred, all count.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ A gram's cost for every language is worked out once, so that scoring is one look
 
 Defined results: null and texts without a letter are ``und`` with score 0; so is every text if nothing could be learned; ties go to the
 first language in order; long texts are scored whole; the added columns replace columns of the same name, others stay.
+An empty table gives no rows, repeated rows each get the same answer; of languages with equal code lengths the first by name wins.
 """
 
 from __future__ import annotations

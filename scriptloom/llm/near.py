@@ -14,7 +14,8 @@ Buckets and components are cut into blocks of ``BLOCK`` and ``EXACT_BLOCK`` clas
 hot bucket nor a large group of copies meets in one task.
 
 Defined results: texts without words are in no class but their own and have no links; null keys are kept and don't name
-a class unless it has no other; repeated rows are copies of each other; extra columns take no part.
+a class unless it has no other; repeated rows are copies of each other; very long texts are shingled whole, one at a time; an empty table gives no rows; extra columns take no part.
+Of classes whose texts share a 64-bit hash without being equal, each keeps its own text.
 """
 
 from __future__ import annotations
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 names=["print", "set", "shingles"],
             )
 
-    each = texts.select("text", "print").groupBy("print").agg(F.min("text").alias("text")).select("text", "print")
+    each = texts.select("text", "print").groupBy("print", F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("text").alias("text")).select("text", "print")
     each = each.mapInArrow(tidy(sets_of), "print long, set binary, shingles binary")
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
     exact = chosen.join(sizes, "root").join(each, ["print", "set"]).select("root", "node", "size", "shingles", "n")

@@ -7,7 +7,7 @@ takes part in a score.
 Defined results: a null or empty text has no evidence and gets the curve's value at zero evidence, as bad as
 the prior makes it; a very long text is compressed in blocks, whole; without labelled rows of both kinds every score
 is the prior (0.5 without any label). Extra columns are left alone; the names that the operator adds replace
-columns of the same name.
+columns of the same name. A score at the threshold counts as good; repeated rows each get the same score; an empty table gives no rows.
 """
 
 from __future__ import annotations

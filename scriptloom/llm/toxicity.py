@@ -8,7 +8,7 @@ and others of clean texts, and a text's evidence is its most toxic passage, over
 learn from turns the evidence into a score.
 
 Defined results: null, empty and blank texts have the evidence of a middling clean text; without labels of both kinds every
-score is the prior, 0.5 without any; the added columns replace columns of the same name, others stay.
+score is the prior, 0.5 without any; the added columns replace columns of the same name, others stay. Very long texts are read whole; a score at the threshold counts as toxic; repeated rows each get the same score; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -241,3 +241,8 @@ def test_dictionaries_hold_all_learning_texts():
     assert len(got) <= quality.DICT_BYTES and b"short one" in got
     assert all(b"start%06d" % i in got and b"middle%06d" % i in got and b"end%06d" % i in got for i in range(1125))
     assert quality._content([b"whole " * 500, b"text"]) == b"whole " * 500 + b"\ntext"
+
+
+def test_languages_of_an_empty_table(spark):
+    model = language.learn({"en": [b"word and words"]})
+    assert language.identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0

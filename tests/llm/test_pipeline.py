@@ -39,3 +39,35 @@ def test_the_run_equals_its_stages_by_brute_force(spark):
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, DATA).collect()}
     assert got == {i: len(library.encode_ordinary(t or "")) for i, t in left}
     assert 0 < len(left) < len(rows)
+
+
+def tables(spark, folder, docs, labels, items, schema):
+    for name, rows, kind in (("documents", docs, schema), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, print int, score string"
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    prose = "the small house stands by the old river where nine boats lie waiting for the morning tide to carry them away"
+    item = "Where do the nine old boats of the quiet river lie when the tide is out?"
+    docs = [(1, prose.upper()), (2, prose), (2, prose), (3, prose + " now"), (4, None), (5, ""), (6, "so " + item + " they ask"), (None, "another text of its own that nobody else has written"), (7, "long " * 60_000), (None, None)]
+    rows = [(i, t, None, None, None, "k", 1, None) for i, t in docs]
+    labels = [(i, 1, 0) for i in range(8)] + [(None, 1, None), (3, None, None)]
+    tables(spark, tmp_path, rows, labels, [(1, item), (2, None), (3, "")], ODD)
+    got = sorted((str(r.doc_id), r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # of the prose and its near copy the class of the smallest key that is left; of the empty texts the largest key; the leak is gone
+    assert [i for i, _ in got] == ["2", "5", "7", "None"] and [n for i, n in got if i == "5"] == [0]
+
+
+def test_empty_tables_give_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    tables(spark, tmp_path, [], [], [], ODD)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    tables(spark, tmp_path, [(1, "some text", None, None, None, None, None, None)], [], [], ODD)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
