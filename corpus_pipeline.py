@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next one reads it. Each works on
 all rows that its predecessor kept; all but the last return the columns of ``documents``.
+
+Defined results: a null or empty text scores what the classifier gives it, equals other empty ones, has no near copy, holds no item and has no tokens; very long
+texts go through whole; of rows with the same key and text one stays, whichever it is of them; extra columns stay until the last stage, whatever their names; empty
+tables of documents, labels or items give what each stage defines, and no documents no rows. Scores at the threshold stay.
 """
 
 from __future__ import annotations
