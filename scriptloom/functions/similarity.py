@@ -69,6 +69,10 @@ def best_window(needle: str, words: list[str], accept: float, stop: float, inclu
     best, place = 0.0, None
     if not size or len(words) < size:
         return None, 0.0
+    known = {" ", *"".join(words)}
+    common = sum(c in known for c in needle)
+    if 2 * common / (len(needle) + common) < accept:  # no window can have enough of the needle's characters
+        return None, 0.0
     bounds = _bounds(needle, words, size)
     for i in np.flatnonzero(bounds >= accept - 1e-9).tolist():
         if bounds[i] < best - 1e-9:
