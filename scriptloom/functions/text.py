@@ -27,6 +27,9 @@ ENTITIES = {
 TRUNCATION_MARKERS = ("...[truncated]", "[content cut off]", "...(continued)", "[OUTPUT LIMIT REACHED]")
 CHARS_PER_TOKEN, BUDGET_SHARE, LARGE_TEXT = 4, 0.8, 10_000
 _BLANK = r"(?U)\s+"
+_STOPS = "[.,!?;:—\\-'\"()]"
+#: Words of speech that mean nothing.
+SPOKEN_FILLERS = ("so", "again", "just", "really", "uh", "um", "you know", "i mean", "like", "actually", "basically")
 
 
 def pieces(text: Column) -> Column:
@@ -68,7 +71,7 @@ def normalize(text: Column, aggressive: bool = False) -> Column:
     if aggressive:
         t = F.regexp_replace(t, r"(?U)\*\*[^*]+:\*\*\s*", "")
         t = F.regexp_replace(t, r"(?iU)(Speaker \d+|Unknown Speaker):\s*", "")
-        t = F.regexp_replace(t, "[.,!?;:—\\-'\"()]", " ")
+        t = F.regexp_replace(t, _STOPS, " ")
     return F.lower(collapse(t))
 
 
@@ -81,6 +84,27 @@ def normalize_comparison(text: Column) -> Column:
     return F.regexp_replace(collapse(F.lower(text)), "[,;:.!?]", "")
 
 
+def comparable(text: Column, form: str) -> Column:
+    """A form of a text for one kind of comparison, lower case; null stays null.
+
+    ``quote``: no names of speakers in markup, ``[sic]`` marks, times of day or punctuation, for quotes that are looked for in a source.
+    ``plain``: no labels before colons, and nothing but words and blanks, for quotes that are looked for in a page.
+    ``spoken``: no names of speakers, punctuation or filler words, for what is said and then written down.
+    """
+    if form == "plain":
+        unlabelled = F.regexp_replace(text, r"(?U)(?<![\w\s.])[\w\s.]++:", "")
+        return F.lower(F.trim(F.regexp_replace(collapse(unlabelled), r"(?U)[^\w\s]", "")))
+    if form == "quote":
+        text = F.regexp_replace(text, r"(?U)(?:\*\*[^*]+:\*\*|(?i:<strong>)[^<]+:(?i:</strong>))\s*", "")
+        text = F.regexp_replace(F.regexp_replace(text, r"(?U)\[sic\](?:\s*\([^)]+\))?", ""), r"\[\d{2}:\d{2}:\d{2}\]", " ")
+    elif form == "spoken":
+        text = F.regexp_replace(text, r"(?U)\*\*[^*]+:\*\*\s*", "")
+    else:
+        raise ValueError(f"no form of comparison: {form}")
+    text = F.regexp_replace(F.lower(text), _STOPS, " ")
+    return collapse(F.regexp_replace(text, rf"(?U)\b(?:{'|'.join(SPOKEN_FILLERS)})\b", " ") if form == "spoken" else text)
+
+
 def strip_annotations(text: Column) -> tuple[Column, Column]:
     """(text without ``[sic]`` marks, their number)."""
     pattern = r"(?i)\s*\[sic\]"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptloom.functions import parse, similarity
@@ -156,6 +158,14 @@ def highlight(text: str, quotes: list[tuple[str, str, str]]) -> tuple[str, int]:
     return text, len(spans)
 
 
+def typed_quotes(lists: Mapping[str, DataFrame], key: str = "doc_id", quote: str = "quote", label: str = "label") -> DataFrame:
+    """Lists of quotes as one: key, ordinal, kind, label, quote. ``lists`` maps kinds to lists; ordinals of a key count through them, list by list."""
+    parts = [q.select(key, F.struct(F.lit(n).alias("list"), F.col("ordinal").cast("long").alias("place")).alias("o_"), F.lit(kind).alias("kind"), label, quote) for n, (kind, q) in enumerate(lists.items())]
+    every = reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(W.partitionBy(key).orderBy("o_", label, quote)) - 1
+    return every.select(key, rank.alias("ordinal"), "kind", F.col(label).alias("label"), F.col(quote).alias("quote"))
+
+
 def highlighted(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with a struct ``highlighted`` (text, marks); quotes (key, ordinal, kind, label, quote) travel with their document."""
     lists = quotes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ordinal", "kind", "label", "quote"))).alias("q_"))

@@ -77,6 +77,26 @@ def _artifact():
              _s(), "**: second\n\n## Interpretive Themes\n\n1. **", _s(), "**: about it\nSource Sections: 2-3\n\n2. **b**: more\n\n3. **c**: most\n")
 
 
+@query(
+    "text_variants",
+    rf"""
+    WITH t AS (SELECT doc_id, s, i, nullif(regexp_replace(lower(text), '[^a-z ]', '', 'g'), '') AS body FROM {_D})
+    SELECT doc_id, 'so it s ' || s || ' no ' || i AS quote, 'well ' || s || '  x yes ' || i AS plain, s || ' it s ' || i || ' sound' AS spoken,
+           coalesce(trim(regexp_replace(regexp_replace(body, '\b(so|again|just|really|uh|um|you know|i mean|like|actually|basically)\b', ' ', 'g'), ' +', ' ', 'g')), '') AS whole FROM t
+    """,
+)
+def text_variants(spark, sf_dir):
+    """Forms for comparison: of composed sentences, and of whole texts, of which letters and blanks are kept."""
+    quote = _text("**Ann:** So <strong>Bob:</strong> it's [sic] (sit) ", _s(), " [00:12:30] (no) [sic] ", _i())
+    plain = _text("Ann Lee: Well, ", _s(), ' - "x" Dr. Kerr: yes; ', _i())
+    spoken = _text("**Ann:** So, ", _s(), " you know, it's just -- like um \"", _i(), '" really; sound')
+    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z ]", "")
+    return _docs(spark, sf_dir).select(
+        "doc_id", X.comparable(quote, "quote").alias("quote"), X.comparable(plain, "plain").alias("plain"), X.comparable(spoken, "spoken").alias("spoken"),
+        X.comparable(letters, "spoken").alias("whole"),
+    )
+
+
 @query(
     "parsed_artifacts",
     rf"""
@@ -199,7 +219,8 @@ def highlighted_documents(spark, sf_dir):
     """FUZ-1 and marks at raw places, over whole texts."""
     docs = _docs(spark, sf_dir).withColumn("t", _text("It isn't so, ", _i(), ": the well-known\n<b>mark</b> of source &amp; more. ", F.coalesce("text", F.lit(""))))
     found = docs.withColumn("f", similarity.find_text(aggressive=True)(F.lit("The well known mark of source"), "t")).select("doc_id", "t", "f.*")
-    quotes = docs.select("doc_id", F.inline(_rows("ordinal kind label quote", (0, "reference", "r", "known mark of"), (1, "emphasis", "e", "the well-known mark of source"))))
+    one, other = (docs.select("doc_id", F.lit(0).alias("ordinal"), F.lit(a).alias("label"), F.lit(q).alias("quote")) for a, q in (("r", "known mark of"), ("e", "the well-known mark of source")))
+    quotes = pages.typed_quotes({"reference": one, "emphasis": other})
     marked = pages.highlighted(found, quotes, text="t")
     return marked.select("doc_id", "start", F.col("end").alias("stop"), "ratio", F.md5(F.col("highlighted.text").cast("binary")).alias("marked"), "highlighted.marks")
 

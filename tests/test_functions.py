@@ -176,3 +176,20 @@ def test_pruned_windows_change_nothing():
                 if r >= 0.98:
                     break
         assert similarity.best_window(needle, words, 0.85, 0.98) == (place, best)
+
+
+@pytest.mark.parametrize(
+    "text, form, want",
+    [
+        ("**A b:** One, <STRONG>C:</STRONG> two [sic] (to) [01:02:03](x)", "quote", "one two x"), ("[SIC] - it's", "quote", "[sic] it s"),
+        ("Dr. Kerr: a-b, Unknown Speaker: c", "plain", "ab c"), ("no label; 1:2", "plain", "no label2"), ("x" * 100_000, "plain", "x" * 100_000),
+        ("So I mean it, you  know; alike", "spoken", "it you know alike"), ("", "plain", ""), ("", "quote", ""), (None, "spoken", None), (None, "plain", None),
+    ],
+)
+def test_comparable_forms(spark, text, form, want):
+    assert one(spark, text, X.comparable(F.col("text"), form)) == want
+
+
+def test_unknown_forms_of_comparison_raise(spark):
+    with pytest.raises(ValueError):
+        X.comparable(F.col("text"), "loud")

@@ -347,3 +347,12 @@ def test_audits_and_report_heads(spark, tmp_path):
 def test_paragraphs_end_where_the_next_begins(spark):
     df = spark.createDataFrame([("<div><p>one<p>two <b>x</b></p><p class='c'>three",), (None,)], "h string")
     assert [r.x for r in df.select(pages.select(tag="p")("h").alias("x")).collect()] == [["one", "two x", "three"], []]
+
+
+def test_lists_of_quotes_become_one_with_kinds(spark):
+    schema = "doc_id long, ordinal int, label string, quote string"
+    told = spark.createDataFrame([(1, 5, "b", "x"), (1, 2, "a", "y"), (2, 0, "c", None)], schema)
+    cited = spark.createDataFrame([(1, 0, "d", "z"), (3, 9, "e", "w")], schema)
+    got = sorted(map(tuple, pages.typed_quotes({"emphasis": told, "reference": cited}).collect()))
+    assert got == [(1, 0, "emphasis", "a", "y"), (1, 1, "emphasis", "b", "x"), (1, 2, "reference", "d", "z"), (2, 0, "emphasis", "c", None), (3, 0, "reference", "e", "w")]
+    assert pages.typed_quotes({"emphasis": told.limit(0), "reference": cited.limit(0)}).count() == 0
