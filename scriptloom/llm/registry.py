@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptloom.llm import bpe, decontam, exact, language, near, quality, secrets, substrings, toxicity, urls
+from scriptloom.llm import bpe, clusters, conversations, decontam, exact, language, near, quality, secrets, substrings, topk, toxicity, urls
 
 _QUERIES = {
     "op2_near": near.op2_near,
@@ -15,6 +15,9 @@ _QUERIES = {
     "op5_exact": exact.op5_exact,
     "op6_bpe": bpe.op6_bpe,
     "op10_quality": quality.op10_quality,
+    "op11_top_products": topk.op11_top_products,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_clusters": clusters.op13_clusters,
 }
 _ORACLES: dict[str, str] = {
     "op2_near": near.ORACLE,
@@ -22,6 +25,9 @@ _ORACLES: dict[str, str] = {
     "op8_decontamination": decontam.ORACLE,
     "op1_secrets": secrets.ORACLE,
     "op9_urls": urls.ORACLE,
+    "op11_top_products": topk.ORACLE,
+    "op12_conversations": conversations.ORACLE,
+    "op13_clusters": clusters.ORACLE,
     "op5_exact": exact.ORACLE,
 }
 
