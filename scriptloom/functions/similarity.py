@@ -10,6 +10,7 @@ import html
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,73 +34,192 @@ def normalize(text: str, aggressive: bool = False) -> str:
     return " ".join(text.split()).lower()
 
 
-#: Words whose characters are counted at a time.
-COUNTED = 50_000
+#: Words whose characters are counted at a time, characters of a text up to whose number counts are kept for all needles, and what is read at a time.
+COUNTED, KINDS, READ = 50_000, 160, 1 << 20
 
 
-def _bounds(needle: str, words: list[str], size: int) -> np.ndarray:
-    """An upper bound of the ratio of ``needle`` to each window of ``size`` words: the share of characters that both could have in common.
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-    It is what ``SequenceMatcher.quick_ratio`` gives, for all windows at once from running counts of the needle's characters in the words.
+
+class Haystack:
+    """A text that many needles are looked for in: normalised once, its words' places, characters and numbers worked out when a needle first asks for them.
+
+    Nothing of it holds an object for each character or word, so that a text takes a few times its own size at most.
     """
-    kinds = np.array(sorted(set(map(ord, needle))), dtype=np.uint32)
-    wanted = np.bincount(np.searchsorted(kinds, np.frombuffer(needle.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)), minlength=len(kinds))
-    blank, out = np.flatnonzero(kinds == 32), []
-    for at in range(0, len(words) - size + 1, COUNTED):
-        part = words[at : at + COUNTED + size - 1]
-        lengths = np.array([len(w) for w in part])
-        code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+    def __init__(self, raw: str, aggressive: bool = False):
+        self.raw, self.aggressive, self.text = raw, aggressive, normalize(raw, aggressive)
+
+    @classmethod
+    def of_words(cls, words: list[str]) -> Haystack:
+        """A text that is normalised already."""
+        self = cls("")
+        self.text = " ".join(words)
+        return self
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where words begin, and where one after the last would."""
+        at = [np.flatnonzero(_codes(self.text[a : a + READ]) == 32) + a for a in range(0, len(self.text), READ)]
+        ends = np.concatenate([np.array([-1]), *at, np.array([len(self.text)])]) if self.text else np.array([-1])
+        return (ends + 1).astype(np.int32)
+
+    @property
+    def size(self) -> int:
+        return len(self.starts) - 1
+
+    def window(self, first: int, size: int) -> str:
+        return self.text[self.starts[first] : self.starts[first + size] - 1]
+
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.text) | {" "}
+
+    @cached_property
+    def located(self):
+        from scriptloom.functions.offsets import normalized
+
+        return normalized(self.raw, self.aggressive)
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        """The raw span of the words [first, last)."""
+        return self.located.raw(int(self.starts[first]), int(self.starts[last]) - 1)
+
+    def _counted(self, kinds: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Running counts of each kind of character in the words [first, last), without the blanks between."""
+        code = _codes(self.text[self.starts[first] : self.starts[last] - 1])
         kind = np.minimum(np.searchsorted(kinds, code), len(kinds) - 1)
-        known = kinds[kind] == code
-        counts = np.bincount((np.repeat(np.arange(len(part)), lengths) * len(kinds) + kind)[known], minlength=len(part) * len(kinds)).reshape(len(part), -1)
-        total = np.concatenate([np.zeros((1, len(kinds)), dtype=np.int64), np.cumsum(counts, axis=0)])
-        have = total[size:] - total[:-size]
-        have[:, blank] += size - 1
-        run = np.concatenate([[0], np.cumsum(lengths)])
-        out.append(2 * np.minimum(have, wanted).sum(axis=1) / (len(needle) + run[size:] - run[:-size] + size - 1))
-    return np.concatenate(out) if out else np.empty(0)
+        known = (kinds[kind] == code) & (code != 32)
+        word = np.cumsum(code == 32)
+        counts = np.bincount((word * len(kinds) + kind)[known], minlength=(last - first) * len(kinds)).reshape(-1, len(kinds))
+        return np.concatenate([np.zeros((1, len(kinds)), dtype=np.int32), np.cumsum(counts, axis=0, dtype=np.int32)])
 
+    @cached_property
+    def _all(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Kinds of characters and their running counts, of texts that are short enough to keep them."""
+        kinds = np.array(sorted(map(ord, self.known)), dtype=np.uint32)
+        return (kinds, self._counted(kinds, 0, self.size)) if 0 < self.size <= COUNTED and len(kinds) <= KINDS else None
 
-def best_window(needle: str, words: list[str], accept: float, stop: float, inclusive: bool = True) -> tuple[int | None, float]:
-    """(first word, ratio) of the best window of as many words as ``needle`` has; the first of equal ones, stopping at ``stop``.
+    def bounds(self, needle: str, size: int) -> np.ndarray:
+        """An upper bound of the ratio of ``needle`` to each window of ``size`` words: the share of characters that both could have in common.
 
-    Windows whose upper bound can't beat what is known are never compared, which changes nothing in the result.
-    """
-    size = len(needle.split())
-    best, place = 0.0, None
-    if not size or len(words) < size:
-        return None, 0.0
-    known = {" ", *"".join(words)}
-    common = sum(c in known for c in needle)
-    if 2 * common / (len(needle) + common) < accept:  # no window can have enough of the needle's characters
-        return None, 0.0
-    bounds = _bounds(needle, words, size)
-    for i in np.flatnonzero(bounds >= accept - 1e-9).tolist():
-        if bounds[i] < best - 1e-9:
-            continue
-        ratio = SequenceMatcher(None, needle, " ".join(words[i : i + size])).ratio()
-        if ratio > best and ratio >= accept:
-            best, place = ratio, i
-            if ratio >= stop if inclusive else ratio > stop:
-                break
-    return place, best
+        It is what ``SequenceMatcher.quick_ratio`` gives, for all windows at once from running counts of the needle's characters in the words.
+        """
+        kinds, wanted = np.unique(_codes(needle), return_counts=True)
+        out = []
+        for at in range(0, self.size - size + 1, COUNTED):
+            last = min(self.size, at + COUNTED + size - 1)
+            if self._all:
+                place = np.minimum(np.searchsorted(self._all[0], kinds), len(self._all[0]) - 1)
+                here = self._all[0][place] == kinds
+                kinds, wanted, total = kinds[here], wanted[here], self._all[1][:, place[here]]
+            else:
+                total = self._counted(kinds, at, last)
+            have = total[size:] - total[:-size]
+            have[:, kinds == 32] += size - 1
+            length = self.starts[at + size : last + 1] - self.starts[at : last + 1 - size] - 1
+            out.append(2 * np.minimum(have, wanted).sum(axis=1) / (len(needle) + length))
+        return np.concatenate(out) if out else np.empty(0)
+
+    def best_window(self, needle: str, accept: float, stop: float, inclusive: bool = True) -> tuple[int | None, float]:
+        """(first word, ratio) of the best window of as many words as ``needle`` has; the first of equal ones, stopping at ``stop``.
+
+        Windows whose upper bound can't beat what is known are never compared, which changes nothing in the result.
+        """
+        size = len(needle.split())
+        best, place = 0.0, None
+        if not size or self.size < size:
+            return None, 0.0
+        common = sum(c in self.known for c in needle)
+        if 2 * common / (len(needle) + common) < accept:  # no window can have enough of the needle's characters
+            return None, 0.0
+        bounds = self.bounds(needle, size)
+        matcher = SequenceMatcher(None, needle)
+        for i in np.flatnonzero(bounds >= accept - 1e-9).tolist():
+            if bounds[i] < best - 1e-9:
+                continue
+            matcher.set_seq2(self.window(i, size))
+            ratio = matcher.ratio()
+            if ratio > best and ratio >= accept:
+                best, place = ratio, i
+                if ratio >= stop if inclusive else ratio > stop:
+                    break
+        return place, best
+
+    def find(self, needle: str | None, accept: float = ACCEPT) -> tuple[int | None, int | None, float]:
+        """(start, end, ratio) of ``needle``, places of the raw text: where it is contained after normalising, else its best window of words. A blank needle is nowhere."""
+        wanted = normalize(needle, self.aggressive) if needle else ""
+        if not wanted:
+            return None, None, 0.0
+        at = self.text.find(wanted)
+        if at >= 0:
+            at = max(0, self.located.text.find(wanted))
+            return *self.located.raw(at, at + len(wanted)), 1.0
+        place, ratio = self.best_window(wanted, accept, STOP)
+        return (None, None, 0.0) if place is None else (*self.span(place, place + len(wanted.split())), ratio)
+
+    def ratio(self, needle: str | None, accept: float = ACCEPT) -> float:
+        """The ratio of ``find``, without its places."""
+        wanted = normalize(needle, self.aggressive) if needle else ""
+        return 0.0 if not wanted else 1.0 if wanted in self.text else self.best_window(wanted, accept, STOP)[1]
+
+    @cached_property
+    def numbered(self) -> tuple[dict[str, int], np.ndarray]:
+        """The words' numbers by their first places, and the text as numbers."""
+        number: dict[str, int] = {}
+        parts, at = [], 0
+        while at < self.size:
+            last = min(self.size, at + COUNTED)
+            words = self.window(at, last - at).split(" ")
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=last - at))
+            at = last
+        return number, np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+    def word_span(self, quote: str, accept: float = 0.7) -> tuple[int, int, float] | None:
+        """(first word, word after the last, share) of the quote's words: the exact run, else the densest cluster of matching blocks.
+
+        Blocks are only looked for where three lengths of the quote hold enough of its words at all.
+        """
+        want = normalize(quote, True).split()
+        if not want or not self.size:
+            return None
+        at = f" {self.text} ".find(f" {' '.join(want)} ")
+        if at >= 0:
+            first = int(np.searchsorted(self.starts, at))
+            return first, first + len(want), 1.0
+        number, ids = self.numbered
+        own = np.array([number.get(w, -1) for w in want], dtype=np.int32)
+        total = np.concatenate([[0], np.cumsum(np.isin(ids, own[own >= 0]))])
+        reach = min(3 * len(want), len(ids))
+        if (total[reach:] - total[:-reach]).max() < accept * len(want) - 1e-9:
+            return None
+        blocks = [b for b in SequenceMatcher(None, ids.tolist(), own.tolist(), autojunk=False).get_matching_blocks() if b.size]
+        best, left, total = (0, 0, 0), 0, 0
+        for b in blocks:  # two pointers: blocks within three times the quote's length
+            total += b.size
+            while b.a + b.size - blocks[left].a > 3 * len(want):
+                total -= blocks[left].size
+                left += 1
+            if total > best[0]:
+                best = (total, blocks[left].a, b.a + b.size)
+        share = best[0] / len(want)
+        return (best[1], best[2], share) if share >= accept else None
+
+
+def best_window(needle: str, words: list[str], accept: float, stop: float, inclusive: bool = True) -> tuple[int | None, float]:
+    """``Haystack.best_window`` in a list of normalised words."""
+    return Haystack.of_words(words).best_window(needle, accept, stop, inclusive)
 
 
 def find(needle: str | None, text: str | None, aggressive: bool = False, accept: float = ACCEPT) -> tuple[int | None, int | None, float]:
-    """(start, end, ratio) of ``needle`` in ``text``, places of the raw text: where it is contained after normalising, else its best window of words."""
-    from scriptloom.functions.offsets import RawWords, normalized
-
-    if needle is None or text is None:
-        return None, None, 0.0
-    wanted, have = normalize(needle, aggressive), normalize(text, aggressive)
-    if wanted in have:
-        whole = normalized(text, aggressive)
-        at = max(0, whole.text.find(wanted))
-        return *whole.raw(at, at + len(wanted)), 1.0
-    place, ratio = best_window(wanted, have.split(), accept, STOP)
-    if place is None:
-        return None, None, 0.0
-    return *RawWords(text, aggressive).span(place, place + len(wanted.split())), ratio
+    """``Haystack.find`` of one needle."""
+    return (None, None, 0.0) if text is None else Haystack(text, aggressive).find(needle, accept)
+
+
+def word_span(quote: str, text: str, accept: float = 0.7) -> tuple[int, int, float] | None:
+    """``Haystack.word_span`` of one quote."""
+    return Haystack(text, True).word_span(quote, accept)
 
 
 FOUND = "start int, end int, ratio double"
@@ -116,6 +236,20 @@ def find_text(aggressive: bool = False, accept: float = ACCEPT) -> Callable:
     return udf
 
 
+def ratios(accept: float = ACCEPT, raw: bool = False) -> Callable:
+    """A function of (needles, text) that gives the ratio of each needle in the text, which is normalised once for all of them; with ``raw`` a needle that stands in the raw text has 1."""
+
+    @F.pandas_udf("array<double>")
+    def udf(needles: pd.Series, text: pd.Series) -> pd.Series:
+        out = []
+        for some, t in zip(needles, text, strict=True):
+            have = None if t is None else Haystack(t)
+            out.append([0.0 if have is None else 1.0 if raw and n and n in t else have.ratio(n, accept) for n in (some if some is not None else [])])
+        return pd.Series(out)
+
+    return udf
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two whole strings; null if either is."""
@@ -127,27 +261,3 @@ def html_unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All entities as characters."""
     for s in batches:
         yield s.map(lambda t: None if t is None else html.unescape(t))
-
-
-def word_span(quote: str, text: str | list[str], accept: float = 0.7) -> tuple[int, int, float] | None:
-    """(first word, word after the last, share) of the quote's words in the text (or in its normalised words): the exact run, else the densest cluster of matching blocks."""
-    want = normalize(quote, True).split()
-    have = normalize(text, True).split() if isinstance(text, str) else text
-    if not want or not have:
-        return None
-    joined = f" {' '.join(have)} "
-    at = joined.find(f" {' '.join(want)} ")  # one search over the joined words
-    if at >= 0:
-        first = joined.count(" ", 0, at)
-        return first, first + len(want), 1.0
-    blocks = [b for b in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if b.size]
-    best, left, total = (0, 0, 0), 0, 0
-    for b in blocks:  # two pointers: blocks within three times the quote's length
-        total += b.size
-        while b.a + b.size - blocks[left].a > 3 * len(want):
-            total -= blocks[left].size
-            left += 1
-        if total > best[0]:
-            best = (total, blocks[left].a, b.a + b.size)
-    share = best[0] / len(want)
-    return (best[1], best[2], share) if share >= accept else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -173,13 +174,16 @@ def output_cap(requested: Column, model: Column, limits: Mapping[str, int], defa
     return F.least(requested, F.coalesce(known[model], F.lit(default)) if limits else F.lit(default))
 
 
-def fill(template: Column, values: Mapping[str, Column]) -> Column:
-    """``{{ name }}`` placeholders, in any case, replaced by values."""
-    for k, v in values.items():
-        pieces = F.split(template, r"(?i)\{\{\s*" + k + r"\s*\}\}", -1)
-        template = F.array_join(pieces, "\x00")
-        template = F.replace(template, F.lit("\x00"), F.coalesce(v.cast("string"), F.lit("")))
-    return template
+def fill(template: str, values: Mapping[str, Column]) -> Column:
+    """``{{ name }}`` placeholders, in any case, replaced by values; those without a value stay.
+
+    The template is cut when the plan is made, so that a value is never read again, whatever it holds.
+    """
+    known = {k.lower(): v for k, v in values.items()}
+    names = "|".join(re.escape(k) for k in sorted(known, key=len, reverse=True))
+    pieces = re.split(rf"\{{\{{\s*({names})\s*\}}\}}", template, flags=re.I) if known else [template]
+    parts = [F.coalesce(known[p.lower()].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)]
+    return F.concat(*parts)
 
 
 def keywords(text: Column, least: int = 4, stopwords: Sequence[str] = STOPWORDS) -> Column:

@@ -1,16 +1,20 @@
 """Grounding: do the terms, topics and quotes of an artifact occur in its source, and how well?
 
-Exact hits are found by Spark; only what is left goes through similarity, one document's text at a time.
+The claims of a document travel together and meet its text once, which is normalised once for all of them. A claim that is null or blank is
+in no text: its ratio is 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptloom.functions import similarity
 from scriptloom.functions import text as X
+from scriptloom.sources.tables import scratch
 
 #: Fixed values: (EXACT, PARTIAL, WEAK) bounds of two ratios each; the third holds if either reaches it.
 TERM_BANDS, TOPIC_BANDS = ((0.95, 0.90), (0.85, 0.75), (0.75, 0.65)), ((0.65, 0.55), (0.45, 0.35), (0.25, 0.20))
@@ -18,17 +22,30 @@ QUOTE_EXACT, QUOTE_PARTIAL = 0.95, 0.80
 QUOTE_WORDS, DEFINITION_WORDS, DESCRIPTION_WORDS, SECTION_OVERLAP, REFERENCE_RATIO = 15, 20, 40, 0.60, 0.90
 
 
+#: Claims of one document that travel as one row; further ones are further rows, so that no row grows without bound.
+TOGETHER = 256
+
+
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(X.words(F.coalesce(text, F.lit(""))), 1, n), " ")
 
 
-def match(claims: DataFrame, docs: DataFrame, claim: str, doc: str = "doc_id", text: str = "text", out: str = "ratio") -> DataFrame:
-    """``claims`` joined to their documents, with the ratio of ``claim`` in the text: 1 where it is contained after normalising."""
-    have = docs.select(doc, F.col(text).alias("text_"), X.normalize(F.col(text)).alias("norm_"))
-    both = claims.join(have, doc)
-    exact = F.coalesce(F.contains(F.col("norm_"), X.normalize(F.col(claim))), F.lit(False))
-    probed = similarity.find_text()(claim, F.when(~exact, F.col("text_")))["ratio"]  # texts of exact hits don't travel
-    return both.withColumn(out, F.when(exact, 1.0).otherwise(probed)).drop("text_", "norm_")
+def match(claims: DataFrame, docs: DataFrame, probes: Mapping[str, Column | str], doc: str = "doc_id", text: str = "text", of_text: Mapping[str, Column] | None = None, raw: bool = False) -> DataFrame:
+    """``claims`` of documents that there are, with a ratio in [0, 1] for each of ``probes`` (names of new columns, and what is looked for): 1 where it is contained after normalising.
+
+    Texts are shuffled once, whatever the number of claims and probes. With ``raw`` what stands in the raw text has 1 too. ``of_text`` are further columns, worked out once a text from the column ``text_``.
+    """
+    names, extra = list(probes), dict(of_text or {})
+    asked = claims.withColumn("probes_", F.array(*(F.col(c) if isinstance(c, str) else c for c in probes.values())))
+    w = W.partitionBy(doc)
+    slot = F.floor((F.row_number().over(w.orderBy(F.lit(0))) - 1) / TOGETHER)
+    lists = asked.withColumn("slot_", slot).groupBy(doc, "slot_").agg(F.collect_list(F.struct(*(c for c in asked.columns if c != doc))).alias("claims_"))
+    both = lists.join(docs.select(doc, F.col(text).alias("text_")), doc)
+    needles = F.flatten(F.transform("claims_", lambda c: c["probes_"]))
+    both = both.select(doc, "claims_", similarity.ratios(raw=raw)(needles, "text_").alias("ratios_"), *(c.alias(n) for n, c in extra.items()))
+    each = both.select(doc, F.posexplode("claims_").alias("n_", "claim_"), "ratios_", *extra)
+    found = {n: F.get("ratios_", F.col("n_") * len(names) + i) for i, n in enumerate(names)}
+    return each.select(*(F.col(doc) if c == doc else F.col("claim_")[c].alias(c) for c in claims.columns), *(c.alias(n) for n, c in found.items()), *extra)
 
 
 def exact_grounding(claims: DataFrame, docs: DataFrame, claim: str, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -62,29 +79,28 @@ def quote_result(ratio: Column) -> Column:
 
 
 def quotes_grounded(quotes: DataFrame, docs: DataFrame, doc: str = "doc_id", quote: str = "quote", text: str = "text") -> DataFrame:
-    """quotes with ratio and result, by their first words."""
-    got = match(quotes.withColumn("probe_", first_words(F.col(quote), QUOTE_WORDS)), docs, "probe_", doc, text)
-    return got.withColumn("result", quote_result(F.col("ratio"))).drop("probe_")
+    """quotes with ratio and result, by their first words; a null or blank one is INVALID."""
+    got = match(quotes, docs, {"ratio": first_words(F.col(quote), QUOTE_WORDS)}, doc, text)
+    return got.withColumn("result", quote_result(F.col("ratio")))
 
 
 def terms_grounded(terms: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """terms (term, definition) with both ratios and EXACT, PARTIAL, WEAK or FAIL."""
-    got = match(terms, docs, "term", doc, text, "term_ratio")
-    got = match(got.withColumn("probe_", first_words(F.col("definition"), DEFINITION_WORDS)), docs, "probe_", doc, text, "definition_ratio").drop("probe_")
+    """terms (term, definition) with both ratios and EXACT, PARTIAL, WEAK or FAIL; what is null or blank has the ratio 0."""
+    got = match(terms, docs, {"term_ratio": "term", "definition_ratio": first_words(F.col("definition"), DEFINITION_WORDS)}, doc, text)
     return got.withColumn("result", band(F.col("term_ratio"), F.col("definition_ratio"), TERM_BANDS))
 
 
 def topics_grounded(topics: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """topics (name, description, section_text) with the better of similarity and shared keywords, the result, and whether the sections fit."""
-    keys = docs.select(doc, X.keywords(F.col(text)).alias("keys_"))
-    got = match(topics, docs, "name", doc, text, "name_ratio")
-    got = match(got.withColumn("probe_", first_words(F.col("description"), DESCRIPTION_WORDS)), docs, "probe_", doc, text, "description_ratio").join(keys, doc)
+    """topics (name, description, section_text) with the better of similarity and shared keywords, the result, and whether the sections fit; what is null or blank has the ratio 0."""
+    probe = first_words(F.col("description"), DESCRIPTION_WORDS)
+    got = match(topics, docs, {"name_ratio": "name", "description_ratio": probe}, doc, text, {"keys_": X.keywords(F.col("text_"))})
+    keys = lambda c: X.keywords(F.coalesce(c, F.lit("")))
     got = got.withColumns({
-        "name_ratio": F.greatest("name_ratio", X.grounded_share(X.keywords(F.col("name")), F.col("keys_"))),
-        "description_ratio": F.greatest("description_ratio", X.grounded_share(X.keywords(F.col("probe_")), F.col("keys_"))),
-        "section_ratio": X.grounded_share(X.keywords(F.col("probe_")), X.keywords(F.coalesce("section_text", F.lit("")))),
+        "name_ratio": F.greatest("name_ratio", X.grounded_share(keys(F.col("name")), F.col("keys_"))),
+        "description_ratio": F.greatest("description_ratio", X.grounded_share(keys(probe), F.col("keys_"))),
+        "section_ratio": X.grounded_share(keys(probe), keys(F.col("section_text"))),
     })
-    return got.drop("keys_", "probe_").withColumns({
+    return got.drop("keys_").withColumns({
         "result": band(F.col("name_ratio"), F.col("description_ratio"), TOPIC_BANDS), "sections_fit": F.col("section_ratio") >= SECTION_OVERLAP,
     })
 
@@ -97,9 +113,9 @@ def counts(results: DataFrame, by: str, names: tuple[str, ...], result: str = "r
 
 def references_kept(references: DataFrame, docs: DataFrame, doc: str = "doc_id", quote: str = "quote") -> DataFrame:
     """References from REFERENCE_RATIO on; of documents where none is left, all of them."""
-    got = match(references, docs, quote, doc)
-    some = got.groupBy(doc).agg(F.bool_or(F.col("ratio") >= REFERENCE_RATIO).alias("any_"))
-    return got.join(some, doc).filter((F.col("ratio") >= REFERENCE_RATIO) | ~F.col("any_")).drop("any_")
+    got = match(references, docs, {"ratio": quote}, doc)
+    some = F.max(F.col("ratio") >= REFERENCE_RATIO).over(W.partitionBy(doc))
+    return got.withColumn("any_", some).filter((F.col("ratio") >= REFERENCE_RATIO) | ~F.col("any_")).drop("any_")
 
 
 def anti_quotes(quotes: DataFrame, known: DataFrame, quote: str = "quote", known_quote: str = "quote") -> DataFrame:
@@ -110,15 +126,19 @@ def anti_quotes(quotes: DataFrame, known: DataFrame, quote: str = "quote", known
 def keyword_pairs(docs: DataFrame, items: DataFrame, least: float = 0.5, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """doc, item, ratio: pairs where the document has at least the share ``least`` of the item's keywords.
 
-    Such a document has one of the item's rarest keywords, as many of them as it may lack and one more; only pairs that share one of
-    those are compared, so that common keywords make no pairs.
+    Texts are read once, into a table of their keywords that items have. Such a document has one of the item's rarest keywords, as many of them as it may lack and
+    one more; pairs that share one of those meet the document's own keywords, so that common keywords make no pairs.
     """
     wanted = items.select(item, X.keywords(F.col(text)).alias("w_")).filter(F.size("w_") > 0)
-    have = docs.select(doc, X.keywords(F.col(text)).alias("k_"))
-    each = have.select(doc, F.explode("k_").alias("k"))
     words = wanted.select(item, F.size("w_").alias("n_"), F.explode("w_").alias("k"))
-    often = each.join(words.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("f_"))
+    every = words.select("k").distinct()
+    each = docs.select(doc, F.explode(X.keywords(F.col(text))).alias("k")).join(every, "k", "left_semi")
+    spark = docs.sparkSession
+    each.write.parquet(path := scratch(spark, "keywords"))
+    each = spark.read.schema(each.schema).parquet(path)
+    often = each.groupBy("k").agg(F.count("*").alias("f_"))
     rank = F.row_number().over(W.partitionBy(item).orderBy(F.coalesce("f_", F.lit(0)), "k"))
     rare = words.join(often, "k", "left").withColumn("r_", rank).filter(F.col("r_") <= F.col("n_") - F.ceil(F.col("n_") * least) + 1).select(item, "k")
-    pairs = each.join(rare, "k").select(doc, item).distinct().join(wanted, item).join(have, doc)
-    return pairs.select(doc, item, X.grounded_share(F.col("w_"), F.col("k_")).alias("ratio")).filter(F.col("ratio") >= least)
+    pairs = each.join(rare, "k").select(doc, item).distinct().join(wanted, item)
+    own = spark.read.schema(each.schema).parquet(path).groupBy(doc).agg(F.collect_set("k").alias("k_"))  # a document's own keywords, no more than items have
+    return pairs.join(own, doc).select(doc, item, X.grounded_share(F.col("w_"), F.col("k_")).alias("ratio")).filter(F.col("ratio") >= least)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 from functools import reduce
 from html.parser import HTMLParser
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import parse, similarity
 from scriptloom.functions import text as X
-from scriptloom.functions.offsets import RawWords
+from scriptloom.functions.similarity import Haystack
+from scriptloom.operators import grounding
 
 CLASSES = ("reference", "emphasis", "sidebar", "metadata", "abstract", "key-terms")
 
@@ -109,12 +111,9 @@ QUOTE_RATIO, RATE_FLOOR = 0.85, 0.5
 
 
 def quotes_present(pages: DataFrame, quotes: DataFrame, key: str = "page_id", html: str = "html", quote: str = "quote") -> DataFrame:
-    """Rows of quotes with ``ratio`` on their page and ``present`` (from QUOTE_RATIO on): contained quotes by Spark, the others by similarity."""
-    both = quotes.join(pages.select(key, page_text(F.col(html)).alias("body_")), key)
-    exact = F.contains("body_", X.normalize(F.col(quote)))
-    hit = both.filter(exact).withColumn("ratio", F.lit(1.0))
-    rest = both.filter(F.coalesce(~exact, F.lit(True))).withColumn("ratio", similarity.find_text()(quote, "body_")["ratio"])
-    return hit.unionByName(rest).drop("body_").withColumn("present", F.col("ratio") >= QUOTE_RATIO)
+    """Rows of quotes with ``ratio`` on their page and ``present`` (from QUOTE_RATIO on); the text of a page is made, shuffled and normalised once for all its quotes."""
+    shown = pages.select(key, page_text(F.col(html)).alias("body_"))
+    return grounding.match(quotes, shown, {"ratio": quote}, key, "body_").withColumn("present", F.col("ratio") >= QUOTE_RATIO)
 
 
 def audit_rates(found: DataFrame, key: str = "page_id", group: str = "kind", floor: float = RATE_FLOOR) -> DataFrame:
@@ -136,26 +135,56 @@ def sampled_coverage(names: Column, found: Column, share: float = 0.3) -> Column
     return F.when(F.size(head) > 0, F.size(hit) / F.size(head))
 
 
+#: From which scores on a mark has a class of its own. A score stands in percent at the end of a label.
+SCORE_CLASSES = ((95, "score-95"), (90, "score-90"))
+_SCORE = re.compile(r"\((\d+)%\)$")
+
+
+def _kept(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, list[str]]]:
+    """Of (start, end, kind, label) the spans that are marked, from the back of the text, without overlaps, each with its labels.
+
+    Of overlapping spans of one kind the one further back stays. Across kinds emphasis stays and takes the reference's label.
+    """
+    out: list[tuple[int, int, str, list[str]]] = []
+    for a, z, kind, label in sorted(spans, key=lambda s: (-s[0], -s[1])):
+        first = len(out)
+        while first and out[first - 1][0] < z:  # those kept are disjoint, so that the ones it overlaps are the last
+            first -= 1
+        labels, beaten = [label], []
+        for other in out[first:]:
+            if other[2] == kind:
+                break
+            if kind != "emphasis":
+                if label not in other[3]:
+                    other[3].append(label)
+                break
+            labels += [x for x in other[3] if x not in labels]
+            beaten.append(other)
+        else:
+            out[first:] = [x for x in out[first:] if x not in beaten]
+            out.append((a, z, kind, labels))
+    return out
+
+
 def highlight(text: str, quotes: list[tuple[str, str, str]]) -> tuple[str, int]:
-    """(text with marks, how many): (kind, label, quote) spans of words; emphasis beats references, overlapping ones join their labels.
+    """(text with marks, how many) of quotes (kind, label, quote), emphasis and references; see ``_kept`` for those that overlap.
 
-    Marks are put at raw places; nothing else of the text changes.
+    Marks are put at raw places; nothing else of the text changes. A mark with a score in its label has a class for it.
     """
-    known, spans = RawWords(text, True), []
-    for kind, label, quote in sorted(quotes, key=lambda q: q[0] != "emphasis"):
-        got = similarity.word_span(quote, known.words)
-        if got is None:
-            continue
-        a, z = known.span(got[0], got[1])
-        clash = next((s for s in spans if a < s[1] and s[0] < z), None)
-        if clash is None:
-            spans.append([a, z, kind, [label]])
-        elif label not in clash[3]:
-            clash[3].append(label)
-    for a, z, kind, labels in sorted(spans, reverse=True):
+    if not quotes:
+        return text, 0
+    known, spans = Haystack(text, True), []
+    for kind, label, quote in quotes:
+        if quote is not None and (got := known.word_span(quote)) is not None:
+            spans.append((*known.span(got[0], got[1]), kind, label or ""))
+    parts, at, kept = [], len(text), _kept(spans)
+    for a, z, kind, labels in kept:
+        score = _SCORE.search(labels[0]) if kind == "emphasis" else None
+        css = " ".join([kind, *[c for least, c in SCORE_CLASSES if score and int(score[1]) >= least][:1]])
         title = "; ".join(labels).replace('"', "&quot;")
-        text = f'{text[:a]}<mark class="{kind}" title="{title}">{text[a:z]}</mark>{text[z:]}'
-    return text, len(spans)
+        parts += [text[z:at], "</mark>", text[a:z], f'<mark class="{css}" title="{title}">']
+        at = a
+    return "".join(reversed([*parts, text[:at]])), len(kept)
 
 
 def typed_quotes(lists: Mapping[str, DataFrame], key: str = "doc_id", quote: str = "quote", label: str = "label") -> DataFrame:
@@ -194,4 +223,4 @@ def printable(docs: DataFrame, title: str, body: str, out: str = "page") -> Data
 def rendered(docs: DataFrame, title: str, body: str, sidebar: str | None = None, style: str = "mark{background:#fe8}", out: str = "page") -> DataFrame:
     """``docs`` with a page in ``out``: Markdown as HTML in a template, with or without a sidebar."""
     side = F.concat(F.lit("<aside>"), X.markdown_to_html(F.col(sidebar)), F.lit("</aside>")) if sidebar else F.lit("")
-    return docs.withColumn(out, X.fill(F.lit(PAGE), {"title": X.escape(F.col(title)), "style": F.lit(style), "sidebar": side, "body": X.markdown_to_html(F.col(body))}))
+    return docs.withColumn(out, X.fill(PAGE, {"title": X.escape(F.col(title)), "style": F.lit(style), "sidebar": side, "body": X.markdown_to_html(F.col(body))}))

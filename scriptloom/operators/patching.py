@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import similarity
 from scriptloom.functions.text import words
+from scriptloom.operators import grounding
+from scriptloom.sources.tables import settled
 
 #: Kinds of errors, and how sure a finding is.
 ERROR_TYPES = ("spelling", "homophone", "proper_noun", "word_boundary", "capitalization", "repetition", "punctuation", "incomplete", "grammar")
@@ -42,11 +46,9 @@ def route() -> Column:
 
 
 def grounded(findings: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text", accept: float = HALLUCINATION) -> DataFrame:
-    """Findings whose original occurs in its document, with ``hallucination_score``; exact hits by Spark, the rest by similarity."""
-    both = findings.filter(F.coalesce(F.col("original_text"), F.lit("")) != "").join(docs.select(doc, F.col(text).alias("text_")), doc)
-    exact = F.coalesce(F.col("text_").contains(F.col("original_text")), F.lit(False))
-    probed = similarity.find_text()("original_text", F.when(~exact, F.col("text_")))["ratio"]  # texts of exact hits don't travel
-    return both.withColumn("hallucination_score", F.when(exact, 1.0).otherwise(probed)).filter(F.col("hallucination_score") >= accept).drop("text_")
+    """Findings whose original occurs in its document, with ``hallucination_score``; the findings of a document meet its text once."""
+    got = grounding.match(findings.filter(F.coalesce(F.col("original_text"), F.lit("")) != ""), docs, {"hallucination_score": "original_text"}, doc, text, raw=True)
+    return got.filter(F.col("hallucination_score") >= accept)
 
 
 # -- patching: rows of (text, findings) in, (text, applied, skipped) out; places are found per row, no shuffle
@@ -66,9 +68,9 @@ def patch(text: str, findings: list[Finding]) -> tuple[str, int, list[str]]:
     """Apply (original, correction) pairs at their places, from the end of the text; of overlapping places the later one stays.
 
     An original that occurs once is replaced; one that occurs more often only with UNIQUE_WORDS words or more, everywhere; one that
-    doesn't occur, at its most similar place from FUZZY_PATCH on.
+    doesn't occur, at its most similar place from FUZZY_PATCH on. The text is normalised once for all that have to be looked for so, and put together once.
     """
-    places, skipped = [], []
+    places, skipped, known = [], [], None
     for original, correction in findings:
         at = _occurrences(text, original)
         if len(at) == 1 or (at and len(original.split()) >= UNIQUE_WORDS):
@@ -76,31 +78,31 @@ def patch(text: str, findings: list[Finding]) -> tuple[str, int, list[str]]:
         elif at:
             skipped.append(f"ambiguous: {original[:20]!r} occurs {len(at)} times")
         else:
-            start, end, ratio = similarity.find(original, text)
-            if ratio >= FUZZY_PATCH:
+            known = known or similarity.Haystack(text)
+            start, end, ratio = known.find(original, FUZZY_PATCH)
+            if start is not None:
                 places.append((start, end, correction))
             else:
                 skipped.append(f"not found: {original[:20]!r} ({ratio:.2f})")
-    kept, border = [], None
+    parts, border, applied = [], len(text), 0
     for start, end, correction in sorted(places, key=lambda p: -p[0]):
-        if border is not None and end > border:
+        if end > border:
             skipped.append(f"overlap at {start}-{end}")
             continue
-        kept.append((start, end, correction))
-        border = start
-    for start, end, correction in kept:
-        text = text[:start] + correction + text[end:]
-    return text, len(kept), skipped
+        parts += [text[end:border], correction]
+        border, applied = start, applied + 1
+    return "".join(reversed([*parts, text[:border]])), applied, skipped
 
 
 def patch_in_turn(text: str, findings: list[Finding]) -> tuple[str, int, list[str]]:
-    """The older rule: one finding after the other on the text as it is by then."""
-    applied, skipped = 0, []
+    """The older rule: one finding after the other on the text as it is by then, which is normalised anew only when it has changed."""
+    applied, skipped, known = 0, [], None
     for original, correction in findings:
         n = len(_occurrences(text, original))
         if n == 0:
-            start, end, ratio = similarity.find(original, text)
-            if ratio < FUZZY_SEQUENTIAL:
+            known = known if known and known.raw is text else similarity.Haystack(text)
+            start, end, _ = known.find(original, FUZZY_SEQUENTIAL)
+            if start is None:
                 skipped.append(f"not found: {original[:20]!r}")
                 continue
             text = text[:start] + correction + text[end:]
@@ -131,34 +133,61 @@ def patched(docs: DataFrame, findings: DataFrame, doc: str = "doc_id", text: str
     return both.withColumn("patched", run(text, pairs)).drop("f_")
 
 
-def until_settled(docs: DataFrame, find: Callable[[DataFrame], DataFrame], rounds: int = 5, stall: float = 0.2, stalled_rounds: int = 2, doc: str = "doc_id", text: str = "text", settle: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[dict]]:
-    """Find, ground and apply until nothing is found, ``stalled_rounds`` rounds improve less than ``stall``, or ``rounds`` are over.
+#: Why the rounds of a document end: nothing left to apply, rounds that improve too little, or as many rounds as there are.
+CONVERGED, STALLED, SPENT = "converged", "stalled", "rounds"
 
-    ``find`` gives the findings of the current texts; ``settle`` cuts the lineage of each round (``checkpoint`` by default). Returns
-    the texts and one row of numbers for each round.
+
+def until_settled(
+    docs: DataFrame, find: Callable[[DataFrame], DataFrame], rounds: int = 5, stall: float = 0.2, stalled_rounds: int = 2, doc: str = "doc_id", text: str = "text",
+    settle: Callable[[DataFrame], DataFrame] = settled, spent: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Find, ground and apply, each document by itself, until it has nothing to apply, ``stalled_rounds`` rounds in a row improve less than ``stall``, or ``rounds`` are over.
+
+    ``find`` gives the findings of the texts that are still in work, and ``spent`` their tokens (doc, tokens_in, tokens_out) if they are counted. A round reads only those
+    texts; a document that has ended leaves with the text that it has. Only findings to apply count for the end. Returns the texts, and a row of numbers for each document and round:
+    findings, to_apply, to_review, applied, skipped, tokens_in, tokens_out, seconds (of the whole round) and ``ended`` in its last. ``settle`` cuts the lineage of each round:
+    by default a table in the shared folder of ``spark.checkpoint.dir``, which has to be set on a cluster. Rows of documents need different keys.
     """
-    settle = settle or (lambda df: df.checkpoint())
-    history, before, stalled = [], None, 0
+    work = docs.withColumns({"before_": F.lit(None).cast("long"), "stalled_": F.lit(0)})
+    done, history = [], []
     for n in range(1, rounds + 1):
-        found = settle(first_findings(grounded(find(docs), docs, doc, text), doc).withColumn("route", route()))
-        counts = {r["route"]: r["n"] for r in found.groupBy("route").agg(F.count("*").alias("n")).collect()}
-        total = sum(counts.values())
-        history.append({"round": n, "findings": total, "apply": counts.get("apply", 0), "review": counts.get("review", 0)})
-        if not total:
+        began = time.monotonic()
+        found = settle(first_findings(grounded(find(work.select(*docs.columns)), work, doc, text), doc).withColumn("route", route()))
+        of = lambda r: F.count_if(F.col("route") == r)
+        counts = found.groupBy(doc).agg(F.count("*").alias("findings_"), of("apply").alias("apply_"), of("review").alias("review_"))
+        step = work.join(counts, doc, "left").na.fill(0, ["findings_", "apply_", "review_"])
+        gain = F.when(F.col("before_").isNull(), 1.0).otherwise((F.col("before_") - F.col("apply_")) / F.col("before_"))
+        step = step.withColumn("stalled_", F.when(gain < stall, F.col("stalled_") + 1).otherwise(0))
+        ended = F.when(F.col("apply_") == 0, CONVERGED).when(F.col("stalled_") >= stalled_rounds, STALLED)
+        step = step.withColumn("ended_", ended)
+        # ended documents have nothing applied; the others' findings meet their texts
+        use = found.filter("route = 'apply'").join(step.filter("ended_ IS NULL").select(doc), doc, "left_semi")
+        step = settle(patched(step, use, doc, text))
+        last = F.coalesce("ended_", F.lit(SPENT)) if n == rounds else F.col("ended_")
+        row = step.select(doc, F.lit(n).alias("round"), F.col("findings_").alias("findings"), F.col("apply_").alias("to_apply"), F.col("review_").alias("to_review"),
+                          F.col("patched.applied").alias("applied"), F.size("patched.skipped").alias("skipped"), last.alias("ended"))
+        if spent:
+            row = row.join(spent(work.select(*docs.columns)), doc, "left")
+        else:
+            row = row.withColumns({"tokens_in": F.lit(None).cast("long"), "tokens_out": F.lit(None).cast("long")})
+        history.append(settle(row.withColumn("seconds", F.lit(round(time.monotonic() - began, 3)))))
+        step = step.withColumn(text, F.when(F.col("ended_").isNull() & F.col(text).isNotNull(), F.col("patched.text")).otherwise(F.col(text)))
+        done.append(step.filter(F.lit(n == rounds) | F.col("ended_").isNotNull()).select(*docs.columns))
+        work = step.filter("ended_ IS NULL").select(*docs.columns, F.col("apply_").alias("before_"), "stalled_")
+        if n == rounds or work.isEmpty():
             break
-        if before:
-            stalled = stalled + 1 if (before - total) / before < stall else 0
-            if stalled >= stalled_rounds:
-                break
-        before = total
-        new = patched(docs, found.filter("route = 'apply'"), doc, text)
-        docs = settle(new.withColumn(text, F.col("patched.text")).drop("patched"))
-    return docs, history
-
-
-def fixed_rounds(docs: DataFrame, find: Callable[[DataFrame], DataFrame], rounds: int = 2, doc: str = "doc_id", text: str = "text", settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The older loop: ``rounds`` rounds of finding and patching in turn, each text kept as a version (0 is the text given)."""
-    settle = settle or (lambda df: df.checkpoint())
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, history)
+
+
+def round_totals(history: DataFrame) -> DataFrame:
+    """round, documents, findings, applied, skipped, tokens and seconds over all documents, and how many ended for each reason."""
+    ends = {e: F.count_if(F.col("ended") == e) for e in (CONVERGED, STALLED, SPENT)}
+    sums = {c: F.sum(c) for c in ("findings", "applied", "skipped", "tokens_in", "tokens_out")}
+    return history.groupBy("round").agg(F.count("*").alias("documents"), *(c.alias(n) for n, c in (sums | ends).items()), F.max("seconds").alias("seconds"))
+
+
+def fixed_rounds(docs: DataFrame, find: Callable[[DataFrame], DataFrame], rounds: int = 2, doc: str = "doc_id", text: str = "text", settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
+    """The older loop: ``rounds`` rounds of finding and patching in turn, each text kept as a version (0 is the text given). See ``until_settled`` for ``settle``."""
     now, versions = docs, docs.withColumn("version", F.lit(0))
     for n in range(1, rounds + 1):
         new = patched(now, first_findings(find(now), doc), doc, text, rule=patch_in_turn)

@@ -601,7 +601,7 @@ def page_elements(spark, sf_dir):
 )
 def offline_completion(spark, sf_dir):
     """A prompt for each document to the offline backend, with the answer's first fault."""
-    docs = _docs(spark, sf_dir).select("doc_id", X.fill(F.lit("Summarise {{ name }}.\n\n{{ text }}"), {"name": F.col("doc_id"), "text": F.col("text")}).alias("prompt"))
+    docs = _docs(spark, sf_dir).select("doc_id", X.fill("Summarise {{ name }}.\n\n{{ text }}", {"name": F.col("doc_id"), "text": F.col("text")}).alias("prompt"))
     got = completion.completed(docs, "prompt")
     return got.select("doc_id", "answer.output_tokens", F.coalesce(completion.answer_fault(F.col("answer")), F.lit("valid")).alias("state"))
 
@@ -619,4 +619,4 @@ def settings_violations(spark, sf_dir):
     return settings.violations(spark, broken)
 
 
-from scriptloom.plans import derived  # noqa: E402, F401  (registers its queries here)
+from scriptloom.plans import derived, varied  # noqa: E402, F401  (they register their queries here)

@@ -61,7 +61,7 @@ def text_forms(spark, sf_dir):
         X.strip_front_matter(_text("---\ntitle: ", _s(), "\n---\n\nBody ", _i())).alias("body"), X.front_matter({"title": _s(), "n": F.col("doc_id")}).alias("front"),
         X.escape(_text("<", _s(), "> & \"x\" 'y'")).alias("escaped"), X.markdown_to_html(_text("# ", _s(), "\n\nA **b** and *c*\n\n## Two")).alias("html"),
         X.safe_file_name(_text("../x/", _s(), "..name.")).alias("safe"), F.concat_ws("|", loose["title"], loose["presenter"], loose["date"]).alias("loose"),
-        X.fill(F.lit("Dear {{ Name }}, {{n}}!"), {"name": _s(), "n": F.col("doc_id")}).alias("filled"),
+        X.fill("Dear {{ Name }}, {{n}}!", {"name": _s(), "n": F.col("doc_id")}).alias("filled"),
         X.size_label((F.length(F.coalesce("text", F.lit(""))) * 1000 + 1).cast("double")).alias("size"),
     )
 
@@ -397,8 +397,9 @@ def artifact_files(spark, sf_dir):
 @query(
     "file_plans",
     r"""
-    WITH f AS (SELECT doc_id, coalesce(source, 'none') AS s, doc_id % 3 AS v FROM documents), m AS (SELECT s, max(v) AS top FROM f GROUP BY s)
-    SELECT 'p/' || doc_id AS path, 'old/' || s || CASE WHEN v = 0 THEN '' ELSE '_v' || v END || '.txt' AS target, v < top AS outdated, CASE WHEN doc_id % 2 = 0 THEN 'project' ELSE 'direct' END AS place FROM f JOIN m USING (s)
+    WITH f AS (SELECT doc_id, coalesce(source, 'none') AS s, doc_id % 3 AS v, row_number() OVER (PARTITION BY coalesce(source, 'none'), doc_id % 3 ORDER BY 'p/' || doc_id) - 1 AS j FROM documents),
+    m AS (SELECT s, max(v) AS top FROM f GROUP BY s)
+    SELECT 'p/' || doc_id AS path, 'old/' || s || CASE WHEN v = 0 THEN '' ELSE '_v' || v END || CASE WHEN j = 0 THEN '' ELSE '_' || j END || '.txt' AS target, v < top AS outdated, CASE WHEN doc_id % 2 = 0 THEN 'project' ELSE 'direct' END AS place FROM f JOIN m USING (s)
     """,
 )
 def file_plans(spark, sf_dir):
@@ -429,17 +430,18 @@ def generated_texts(spark, sf_dir):
 
 @query(
     "generated_parts",
-    rf"""SELECT doc_id, TRUE AS accepted, '### ' || s || ' about it' AS section, '{{"source":"' || s || '","n":' || i || '}}' AS written, '' AS issues, doc_id % 50 AS voice, 7 AS fits, 1 AS doubtful FROM {_D}""",
+    rf"""SELECT doc_id, TRUE AS accepted, '### ' || s || ' about it' AS section, '{{"source":"' || s || '","n":' || i || '}}' AS written, '' AS issues, doc_id % 50 AS voice, (n - (n > 1)::INTEGER - (n > 2)::INTEGER)::INTEGER AS fits, (n > 2)::INTEGER AS doubtful FROM (SELECT *, length(text) % 8 + 1 AS n FROM {_D})""",
 )
 def generated_parts(spark, sf_dir):
-    """A section, a text from a plan, an audit of voice and judged headings, each echoed by the offline backend."""
+    """A section, a text from a plan and an audit of voice, each echoed by the offline backend, and judged headings of as many sections as the text's length says, without the second."""
     docs = _docs(spark, sf_dir)
     section = generation.section_of(docs.select("doc_id", _text("### ", _s(), "\nabout it").alias("text")), "key terms").select("doc_id", "accepted", "section")
     plans = docs.select("doc_id", _s().alias("source"), F.col("doc_id").alias("n"))
     written = generation.structured(plans, ["source", "n"], F.lit(1)).select("doc_id", "written", F.array_join("issues", ";").alias("issues"))
     voice = generation.voice_audited(docs.select("doc_id", _text('{"overall_score": ', (F.col("doc_id") % 50).cast("string"), "}").alias("text"))).select("doc_id", F.col("audit.overall_score").cast("long").alias("voice"))
-    sections = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("number")).withColumn("heading", F.when(F.col("number") == 3, "no").otherwise("yes"))
-    heads = generation.headers_judged(sections, backend=completion.EchoBackend()).groupBy("doc_id").agg(F.count_if("fits").cast("int").alias("fits"), F.count_if(~F.col("fits")).cast("int").alias("doubtful"))
+    sections = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.length(F.coalesce("text", F.lit(""))) % 8 + 1)).alias("number")).filter("number <> 2")
+    sections = sections.withColumns({"heading": F.when(F.col("number") == 3, "No").otherwise("Yes"), "content": F.lit("oh yes\n\nof course")})
+    heads = generation.headers_judged(sections, backend=generation.HeadingBackend()).groupBy("doc_id").agg(F.count_if("fits").cast("int").alias("fits"), F.count_if(~F.col("fits")).cast("int").alias("doubtful"))
     return section.join(written, "doc_id").join(voice, "doc_id").join(heads, "doc_id")
 
 

@@ -74,6 +74,8 @@ def base_names(*listings: DataFrame, name: str = "name") -> DataFrame:
 
 # -- sinks
 
+_ENDING = r"\.[A-Za-z0-9]+$"
+
 
 def write_artifacts(artifacts: DataFrame, path: str, mode: str = "append") -> None:
     """The artifact table, a folder for each kind."""
@@ -113,12 +115,26 @@ def package(artifacts: DataFrame, kinds: Sequence[tuple[str, ...]], stem: str =
 
 
 def moves(files: DataFrame, target: str, taken: DataFrame, name: str = "name") -> DataFrame:
-    """path, target: where files would move; a name that is taken gets a number."""
-    stem, ending = F.regexp_replace(F.col(name), r"\.[A-Za-z0-9]+$", ""), F.regexp_extract(F.col(name), r"(\.[A-Za-z0-9]+)$", 1)
-    used = taken.groupBy(F.regexp_replace(F.regexp_replace(F.col(name), r"\.[A-Za-z0-9]+$", ""), r"_\d+$", "").alias("s_")).agg(F.count("*").alias("c_"))
-    rows = files.withColumns({"s_": stem, "e_": ending}).join(used, "s_", "left")
-    free = F.when(F.col("c_").isNull(), F.col("s_")).otherwise(F.concat_ws("_", "s_", F.col("c_").cast("string")))
-    return rows.select("path", F.concat(F.lit(target.rstrip("/") + "/"), free, F.col("e_")).alias("target"))
+    """path, target: where files would move, one after the other by path, each to the first name that is free; all targets differ and none is taken.
+
+    Of files with one name the first keeps it if it isn't taken; the others get the numbers from 1 on that neither a taken name nor the own name of another
+    file has. A number is found from ranks alone: before the i-th used number u there are u - i free ones, so the j-th free number is j and as many as have fewer than j before them.
+    """
+    split = lambda c: (F.regexp_replace(c, _ENDING, ""), F.regexp_extract(c, f"({_ENDING})", 1))
+    stem, ending = split(F.col(name))
+    rows = files.select("path", F.col(name).alias("name_"), stem.alias("s_"), ending.alias("e_"))
+    known = taken.select(F.col(name).alias("name_")).distinct()
+    reserved = known.unionByName(rows.select("name_")).distinct()
+    number = reserved.select(F.regexp_extract("name_", rf"^(.*)_([1-9]\d{{0,17}})({_ENDING})?$", 1).alias("s_"), F.nullif(F.regexp_extract("name_", rf"_([1-9]\d{{0,17}})(?:{_ENDING})?$", 1), F.lit("")).cast("long").alias("u_"), split(F.col("name_"))[1].alias("e_"))
+    own = W.partitionBy("s_", "e_").orderBy("u_")
+    used = number.filter("u_ IS NOT NULL").select("s_", "e_", (F.col("u_") - F.row_number().over(own) + 1).alias("at_"), F.lit(0).alias("kind_"), F.lit(None).cast("string").alias("path"))
+    rows = rows.join(known.withColumn("t_", F.lit(True)), "name_", "left")
+    j = F.row_number().over(W.partitionBy("s_", "e_").orderBy("path")) - F.when(F.col("t_"), 0).otherwise(1)
+    asked = rows.select("s_", "e_", j.cast("long").alias("at_"), F.lit(1).alias("kind_"), "path")
+    before = F.count_if(F.col("kind_") == 0).over(W.partitionBy("s_", "e_").orderBy("at_", "kind_", "path").rowsBetween(W.unboundedPreceding, 0))
+    both = used.unionByName(asked).withColumn("free_", F.col("at_") + before).filter("kind_ = 1")
+    free = F.when(F.col("at_") == 0, F.col("s_")).otherwise(F.concat_ws("_", "s_", F.col("free_").cast("string")))
+    return both.select("path", F.concat(F.lit(target.rstrip("/") + "/"), free, F.col("e_")).alias("target"))
 
 
 def outdated(files: DataFrame, name: str = "name") -> DataFrame:

@@ -34,3 +34,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     except Exception:  # the session has gone; the folder's owner cleans it
         pass
+
+
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """``df`` written to a table of ``scratch`` and read back: its lineage is cut, and it survives lost executors."""
+    df.write.parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

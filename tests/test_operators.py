@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import html
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import settings as hypothesis_settings
@@ -7,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptloom.functions import offsets, similarity
-from scriptloom.operators import alignment, completion, coverage, grounding, pages, patching, patterns, questions, settings, usage
+from scriptloom.operators import alignment, completion, coverage, generation, grounding, pages, patching, patterns, questions, settings, usage
 from scriptloom.sources import artifacts
 from scriptloom.streaming import usage as stream
 
@@ -61,7 +64,36 @@ def test_rounds_until_settled(spark):
 
     out, history = patching.until_settled(docs, find)
     assert {r.doc_id: r.text for r in out.collect()} == {1: "the cat sat on teh mat today", 2: "fine text stays as it is"}
-    assert [h["findings"] for h in history] == [1, 0]
+    assert sorted((r.doc_id, r.round, r.findings, r.applied, r.ended) for r in history.collect()) == [(1, 1, 1, 1, None), (1, 2, 0, 0, "converged"), (2, 1, 0, 0, "converged")]
+
+
+def test_documents_end_by_themselves(spark):
+    """A document ends as it would alone, whatever the others' findings are."""
+    docs = spark.createDataFrame([(1, "a sentence stands here with 4"), (2, "five six seven eight"), (3, "read this again please"), (4, None), (5, "never never land ahead")], "doc_id long, text string")
+
+    def find(d):
+        """Document 1 has as many findings as its last word says, of which the first halves it; 2 always has 20; 3 one to review."""
+        level = F.element_at(F.split("text", " "), -1)
+        row = lambda rows, n, original, correction, how: rows.select(
+            "doc_id", F.explode(F.sequence(F.lit(1), n)).alias("ordinal"), original.alias("original_text"), correction.alias("suggested_correction"), F.lit(how).alias("confidence"))
+        falling = d.filter("doc_id = 1").filter(level != "0")
+        falling = row(falling, level.cast("int"), F.concat(F.lit("here with "), level), F.concat(F.lit("here with "), F.floor(level.cast("int") / 2).cast("string")), "high")
+        falling = falling.withColumn("suggested_correction", F.when(F.col("ordinal") == 1, F.col("suggested_correction")).otherwise(F.concat(F.lit("none "), F.col("ordinal").cast("string"))))
+        falling = falling.withColumn("original_text", F.when(F.col("ordinal") == 1, F.col("original_text")).otherwise("a sentence stands"))
+        stuck = row(d.filter("doc_id = 2"), F.lit(20), F.lit("six seven eight"), F.lit("six seven eight"), "high").withColumn("suggested_correction", F.concat(F.lit("six seven eight"), F.repeat(F.lit(" "), F.col("ordinal"))))
+        return falling.unionByName(stuck).unionByName(row(d.filter("doc_id = 3"), F.lit(1), F.lit("read this again please"), F.lit("read"), "medium"))
+
+    spent = lambda d: d.select("doc_id", F.lit(10).cast("long").alias("tokens_in"), F.lit(2).cast("long").alias("tokens_out"))
+    alone = patching.until_settled(docs.filter("doc_id = 2"), find)[1]
+    out, history = patching.until_settled(docs, find, spent=spent)
+    ends = {r.doc_id: (r.round, r.ended) for r in history.collect() if r.ended}
+    assert {2: ends[2]} == {r.doc_id: (r.round, r.ended) for r in alone.collect() if r.ended} and ends[2] == (3, "stalled")
+    assert ends[3] == ends[4] == ends[5] == (1, "converged") and ends[1][1] == "converged"
+    assert {r.doc_id: r.text for r in out.filter("doc_id > 2").collect()} == {3: "read this again please", 4: None, 5: "never never land ahead"}
+    first = {r.doc_id: r for r in history.collect() if r.round == 1}
+    assert (first[3].findings, first[3].to_apply, first[3].to_review, first[3].applied, first[3].tokens_in) == (1, 0, 1, 0, 10) and first[2].skipped > 0
+    totals = {r["round"]: r for r in patching.round_totals(history).collect()}
+    assert totals[1].documents == 5 and totals[1].converged == 3 and totals[1].tokens_out == 10
 
 
 EMPHASIS = [
@@ -267,8 +299,171 @@ def test_fuzzy_patches_cut_raw_places():
 @hypothesis_settings(max_examples=400, deadline=None)
 def test_located_text_equals_the_normal_form(text, aggressive):
     got = offsets.normalized(text, aggressive)
-    assert got.text == similarity.normalize(text, aggressive) and len(got.text) == len(got.start) == len(got.end)
-    assert all(0 <= a < z <= len(text) for a, z in zip(got.start, got.end, strict=True))
+    assert got.text == similarity.normalize(text, aggressive)
+    plain = Plain(text)
+    for pattern, by in ([(offsets._ENTITY, html.unescape)] if "&" in text else []) + [(p, " ") for p in (similarity.TAGS, *similarity.TIMES)]:
+        plain.replace(pattern, by)
+    if aggressive:
+        plain.replace(similarity.LABEL, "").replace(similarity.SPEAKER, "").replace(similarity.PUNCTUATION, " ")
+    plain.replace(re.compile(r"\s+"), " ").strip().lower()
+    assert [(got.start(i), got.end(i)) for i in range(len(got.text))] == plain.spans and plain.text == got.text
+
+
+class Plain:
+    """A text with the raw span of each character, one by one."""
+
+    def __init__(self, raw):
+        self.text, self.spans = raw, [(i, i + 1) for i in range(len(raw))]
+
+    def replace(self, pattern, by):
+        text, spans, at = "", [], 0
+        for m in pattern.finditer(self.text):
+            a, z = m.span()
+            new = by if isinstance(by, str) else by(m[0])
+            same = self.spans[a:z] if new == m[0] else [(self.spans[a][0], self.spans[z - 1][1])] * len(new)
+            text, spans, at = text + self.text[at:a] + new, spans + self.spans[at:a] + same, z
+        self.text, self.spans = text + self.text[at:], spans + self.spans[at:]
+        return self
+
+    def strip(self):
+        a, z = len(self.text) - len(self.text.lstrip()), len(self.text.rstrip())
+        self.text, self.spans = self.text[a:z], self.spans[a:z]
+        return self
+
+    def lower(self):
+        low = self.text.lower()
+        if len(low) != len(self.text):
+            self.spans = [s for s, c in zip(self.spans, self.text, strict=True) for _ in c.lower()]
+            low = "".join(c.lower() for c in self.text)
+        self.text = low
+        return self
+
+
+def test_places_of_long_texts_take_little_memory():
+    import tracemalloc
+
+    text = "It isn't so, <b>really</b> not &amp; never.\n\nWords go on and on and on without an end " * 8_000
+    tail = "the red fox ran home at last today"
+    tracemalloc.start()
+    known = similarity.Haystack(text + tail, True)
+    assert known.find("red fox ran home")[:2] == (len(text) + 4, len(text) + 20) and known.word_span("fox ran home at once today now")
+    size = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = sum(x.itemsize * len(x) for x in (known.located.at, known.located.raw_at, known.located.stop))
+    assert kept < 2 * len(text) and size < 25 * len(text), (kept, size)
+
+
+@given(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=60), st.lists(st.sampled_from("abcdefz"), min_size=1, max_size=9))
+@hypothesis_settings(max_examples=300, deadline=None)
+def test_clusters_of_words_equal_a_whole_comparison(have, want):
+    from difflib import SequenceMatcher
+
+    joined, quote = " ".join(have), " ".join(want)
+    run = next((i for i in range(len(have)) if have[i : i + len(want)] == want), None)
+    if run is not None:
+        expected = (run, run + len(want), 1.0)
+    else:
+        blocks = [b for b in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if b.size]
+        best = (0, 0, 0)
+        for j, last in enumerate(blocks):
+            i = min(i for i in range(j + 1) if last.a + last.size - blocks[i].a <= 3 * len(want) or i == j)
+            total = sum(b.size for b in blocks[i : j + 1])
+            best = best if best[0] >= total else (total, blocks[i].a, last.a + last.size)
+        expected = (best[1], best[2], best[0] / len(want)) if best[0] / len(want) >= 0.7 else None
+    assert similarity.word_span(quote, joined) == expected
+
+
+def test_marks_that_overlap():
+    text = "a1 b1 c1 d1 e1 f1 g1"
+    mark = lambda kind, title, part: f'<mark class="{kind}" title="{title}">{part}</mark>'
+    two = [("emphasis", "x", "a1 b1 c1"), ("emphasis", "y", "c1 d1 e1")]
+    assert pages.highlight(text, two) == (f"a1 b1 {mark('emphasis', 'y', 'c1 d1 e1')} f1 g1", 1)
+    assert pages.highlight(text, [("reference", "r", "c1 d1 e1"), ("emphasis", "e", "a1 b1 c1")]) == (f"{mark('emphasis', 'e; r', 'a1 b1 c1')} d1 e1 f1 g1", 1)
+    assert pages.highlight(text, [("emphasis", "e (92%)", "c1 d1 e1"), ("reference", "r", "a1 b1 c1")]) == (f"a1 b1 {mark('emphasis score-90', 'e (92%); r', 'c1 d1 e1')} f1 g1", 1)
+    assert pages.highlight(text, [("emphasis", "e", None), ("emphasis", "e", ""), ("reference", "r", "no such words")]) == (text, 0) and pages.highlight(text, []) == (text, 0)
+
+
+def test_headings_are_judged_by_place_with_their_contents(spark):
+    asked = []
+
+    class Judge:
+        def complete(self, prompts):
+            out = []
+            for p in prompts:
+                asked.append(p)
+                parts = p.split("SECTION ")[1:]
+                out.append({"text": "\n".join("YES" if "good" in x.split("Content: ")[1] else "NO" for x in parts if "lost" not in x), "stop_reason": "end_turn", "model": "m", "input_tokens": 1, "output_tokens": 1})
+            return out
+
+    rows = [(1, 1, "a", "good"), (1, 2, "b", "good"), (1, 4, "c", "bad"), (1, 5, "d", "good"), (2, 7, "e", None), (2, None, None, "good"), (2, 9, "g", "good"), (2, 30, "h", "bad"), (2, 31, "i", "good"), (2, 90, "j", "good\n\nmore")]
+    df = spark.createDataFrame(rows, "doc_id long, number int, heading string, content string")
+    got = generation.headers_judged(df, backend=Judge())
+    assert {(r.doc_id, r.number): r.fits for r in got.collect()} == {(1, 1): True, (1, 2): True, (1, 4): False, (1, 5): True, (2, 7): False, (2, None): True, (2, 9): True, (2, 30): False, (2, 31): True, (2, 90): True}
+    report = {r.doc_id: r.report for r in generation.header_report(got, ["a", "i"]).collect()}
+    assert report[1] == "# Headings\n\n## Terms\n- **Section 1**: a holds a\n\n## Answers\n\n### Batch 1\nYES\nYES\nNO\nYES\n"
+    assert "### Batch 2\nYES\n" in report[2] and "without an answer" not in report[2]
+    lost = generation.headers_judged(df.withColumn("content", F.lit("lost")), backend=Judge())
+    assert generation.header_report(lost).filter("doc_id = 2").first().report.endswith("## Batches without an answer\n1, 2\n")
+    assert generation.headers_judged(df.limit(0), backend=Judge()).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moves_take_the_first_free_names(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    names = lambda n: [rng.choice(["a.txt", "a_1.txt", "a_2.txt", "a_01.txt", "a", "b_3.md", "b.md", "b_3_1.md"]) for _ in range(n)]
+    files, taken = [(f"p{i:02}", x) for i, x in enumerate(names(25))], [*names(4), "a_4.txt", "a_5.txt"]
+    got = {r.path: r.target for r in artifacts.moves(spark.createDataFrame(files, "path string, name string"), "old", spark.createDataFrame([(t,) for t in taken], "name string")).collect()}
+    used, first = set(taken) | {n for _, n in files}, set(taken)
+    for path, name in sorted(files):
+        if name not in first:  # the first file of a name keeps it
+            first.add(name)
+            assert got[path] == f"old/{name}"
+            continue
+        stem, dot, ending = name.rpartition(".") if "." in name else (name, "", "")
+        n = next(n for n in range(1, 99) if f"{stem}_{n}{dot}{ending}" not in used)
+        used.add(f"{stem}_{n}{dot}{ending}")
+        assert got[path] == f"old/{stem}_{n}{dot}{ending}"
+    assert len(set(got.values())) == len(files) and not {t.removeprefix("old/") for t in got.values()} & set(taken)
+
+
+def test_null_and_blank_claims_are_nowhere(spark):
+    docs = spark.createDataFrame([(1, "Some words stand here."), (2, None)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, None), (1, ""), (1, " \n"), (1, "words stand"), (2, "words"), (3, "no document"), (None, "x")], "doc_id long, quote string")
+    got = {(r.doc_id, r.quote): (r.ratio, r.result) for r in grounding.quotes_grounded(quotes, docs).collect()}
+    assert got == {(1, None): (0.0, "INVALID"), (1, ""): (0.0, "INVALID"), (1, " \n"): (0.0, "INVALID"), (1, "words stand"): (1.0, "VALID"), (2, "words"): (0.0, "INVALID")}
+    terms = spark.createDataFrame([(1, None, None), (1, "some words", None)], "doc_id long, term string, definition string")
+    assert {(r.term, r.result) for r in grounding.terms_grounded(terms, docs).collect()} == {(None, "FAIL"), ("some words", "WEAK")}
+    topics = spark.createDataFrame([(1, None, None, None)], "doc_id long, name string, description string, section_text string")
+    assert grounding.topics_grounded(topics, docs).first().result == "FAIL"
+
+
+def test_many_claims_of_a_document_travel_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "TOGETHER", 3)
+    docs = spark.createDataFrame([(1, "one two three four five six seven")], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, i, f"{w} {x}") for i, (w, x) in enumerate([("one", "two"), ("two", "three"), ("nine", "ten"), ("six", "seven")] * 5)], "doc_id long, n int, claim string")
+    got = grounding.match(claims, docs, {"r": "claim", "s": F.lit("three")}, of_text={"size": F.length("text_")}).orderBy("n").collect()
+    assert [r.r for r in got] == [1.0, 1.0, 0.0, 1.0] * 5 and {(r.s, r["size"]) for r in got} == {(1.0, 33)} and got[0].asDict().keys() == {"doc_id", "n", "claim", "r", "s", "size"}
+
+
+def test_patches_of_many_findings_are_put_together_once():
+    import random
+    import time
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    text = " ".join(words)
+    wrong = lambda i: " ".join([*words[i : i + 5], words[i + 5][:-1] + "z", *words[i + 6 : i + 9]])
+    some, many = ([(wrong(i * 25), f"C{i}") for i in range(n)] for n in (3, 100))
+    seconds = []
+    for findings in (some, many):
+        began = time.process_time()
+        out, applied, skipped = patching.patch(text, findings)
+        seconds.append(time.process_time() - began)
+        assert applied == len(findings) and not skipped
+    assert out.split()[:2] == ["C0", words[9]] and out.count("C") == 100
+
 
 
 @pytest.mark.parametrize("quote, keep", [
