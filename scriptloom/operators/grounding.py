@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import similarity
 from scriptloom.functions import text as X
-from scriptloom.sources.tables import scratch
+from scriptloom.sources.tables import by_key, scratch
 
 #: Fixed values: (EXACT, PARTIAL, WEAK) bounds of two ratios each; the third holds if either reaches it.
 TERM_BANDS, TOPIC_BANDS = ((0.95, 0.90), (0.85, 0.75), (0.75, 0.65)), ((0.65, 0.55), (0.45, 0.35), (0.25, 0.20))
@@ -40,7 +40,7 @@ def match(claims: DataFrame, docs: DataFrame, probes: Mapping[str, Column | str]
     w = W.partitionBy(doc)
     slot = F.floor((F.row_number().over(w.orderBy(F.lit(0))) - 1) / TOGETHER)
     lists = asked.withColumn("slot_", slot).groupBy(doc, "slot_").agg(F.collect_list(F.struct(*(c for c in asked.columns if c != doc))).alias("claims_"))
-    both = lists.join(docs.select(doc, F.col(text).alias("text_")), doc)
+    both = lists.join(by_key(docs.select(doc, F.col(text).alias("text_")), doc), doc)
     needles = F.flatten(F.transform("claims_", lambda c: c["probes_"]))
     both = both.select(doc, "claims_", similarity.ratios(raw=raw)(needles, "text_").alias("ratios_"), *(c.alias(n) for n, c in extra.items()))
     each = both.select(doc, F.posexplode("claims_").alias("n_", "claim_"), "ratios_", *extra)

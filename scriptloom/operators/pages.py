@@ -16,6 +16,7 @@ from scriptloom.functions import parse, similarity
 from scriptloom.functions import text as X
 from scriptloom.functions.similarity import Haystack
 from scriptloom.operators import grounding
+from scriptloom.sources.tables import by_key
 
 CLASSES = ("reference", "emphasis", "sidebar", "metadata", "abstract", "key-terms")
 
@@ -198,7 +199,7 @@ def typed_quotes(lists: Mapping[str, DataFrame], key: str = "doc_id", quote: str
 def highlighted(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with a struct ``highlighted`` (text, marks); quotes (key, ordinal, kind, label, quote) travel with their document."""
     lists = quotes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ordinal", "kind", "label", "quote"))).alias("q_"))
-    both = docs.join(lists, key, "left")
+    both = by_key(docs, key).join(lists, key, "left")
 
     @F.pandas_udf("text string, marks int")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

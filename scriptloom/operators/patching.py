@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scriptloom.functions import similarity
 from scriptloom.functions.text import words
 from scriptloom.operators import grounding
-from scriptloom.sources.tables import settled
+from scriptloom.sources.tables import by_key, settled
 
 #: Kinds of errors, and how sure a finding is.
 ERROR_TYPES = ("spelling", "homophone", "proper_noun", "word_boundary", "capitalization", "repetition", "punctuation", "incomplete", "grammar")
@@ -121,7 +121,7 @@ PATCHED = "text string, applied int, skipped array<string>"
 def patched(docs: DataFrame, findings: DataFrame, doc: str = "doc_id", text: str = "text", order: str = "ordinal", rule: Callable = patch) -> DataFrame:
     """``docs`` with a struct ``patched``; the findings of a document travel with it as one array."""
     lists = findings.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(order, "original_text", "suggested_correction"))).alias("f_"))
-    both = docs.join(lists, doc, "left")
+    both = by_key(docs, doc).join(lists, doc, "left")
     pairs = F.transform(F.coalesce("f_", F.array().cast(lists.schema["f_"].dataType)), lambda x: F.struct(x["original_text"].alias("a"), x["suggested_correction"].alias("b")))
 
     @F.pandas_udf(PATCHED)

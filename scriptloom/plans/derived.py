@@ -13,7 +13,7 @@ from scriptloom.functions import text as X
 from scriptloom.operators import alignment, completion, coverage, generation, grounding, pages, patching, patterns, questions, settings, usage
 from scriptloom.plans.catalogue import query
 from scriptloom.sources import artifacts
-from scriptloom.sources.tables import scratch, table
+from scriptloom.sources.tables import scratch, spread, table
 
 #: documents in SQL, as the functions below read them: s and l are source and language, i the number as text
 _D = "(SELECT doc_id, coalesce(source, 'none') AS s, coalesce(lang, 'xx') AS l, doc_id::VARCHAR AS i, coalesce(text, '') AS text, n_chars FROM documents)"
@@ -217,7 +217,7 @@ def validity_flags(spark, sf_dir):
 )
 def highlighted_documents(spark, sf_dir):
     """FUZ-1 and marks at raw places, over whole texts."""
-    docs = _docs(spark, sf_dir).withColumn("t", _text("It isn't so, ", _i(), ": the well-known\n<b>mark</b> of source &amp; more. ", F.coalesce("text", F.lit(""))))
+    docs = spread(_docs(spark, sf_dir)).withColumn("t", _text("It isn't so, ", _i(), ": the well-known\n<b>mark</b> of source &amp; more. ", F.coalesce("text", F.lit(""))))
     found = docs.withColumn("f", similarity.find_text(aggressive=True)(F.lit("The well known mark of source"), "t")).select("doc_id", "t", "f.*")
     one, other = (docs.select("doc_id", F.lit(0).alias("ordinal"), F.lit(a).alias("label"), F.lit(q).alias("quote")) for a, q in (("r", "known mark of"), ("e", "the well-known mark of source")))
     quotes = pages.typed_quotes({"reference": one, "emphasis": other})
@@ -257,7 +257,7 @@ def correction_patching(spark, sf_dir):
 )
 def alignment_report(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
-    docs = _docs(spark, sf_dir).select("doc_id", text.alias("a"), _text("ωωextra ", text).alias("b"), alignment.cleaned(_text("Ann Lee  0:12\nWelcome ", _s(), " [00:01:05] and all.\nTranscribed by someone"), phrases=alignment.PROCEDURE).alias("cleaned"))
+    docs = spread(_docs(spark, sf_dir)).select("doc_id", text.alias("a"), _text("ωωextra ", text).alias("b"), alignment.cleaned(_text("Ann Lee  0:12\nWelcome ", _s(), " [00:01:05] and all.\nTranscribed by someone"), phrases=alignment.PROCEDURE).alias("cleaned"))
     out = docs
     for name, x, y in (("same", "a", "a"), ("inserted", "a", "b"), ("deleted", "b", "a")):
         out = alignment.alignment_report(out, x, y, stop_ratio=1.0).drop("passes").withColumnRenamed("alignment", name)

@@ -15,6 +15,20 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it was read, dealt out anew if it has fewer parts than there are cores, for steps that take long for each row.
+
+    That is a small table; one of more parts stays as it lies.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` to as many parts as the session's setting says, before a join on it: the join needs the same exchange, but small parts aren't put together, so that long steps after it use all cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for tables that go when the driver ends: in the checkpoint folder that all executors share, or a local one where the master is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
