@@ -44,6 +44,25 @@ def headed_sections(text: Column) -> Column:
     return F.transform(found, lambda s: F.struct(F.trim(F.regexp_replace(s["heading"], r"[*_#]|^\d+[.)]\s*", "")).alias("heading"), s["content"].alias("content")))
 
 
+def all_sections(text: Column) -> Column:
+    """Array of (ordinal, level, heading, parent, body, whole) of all headings with one to six hashes, in one scan of the text.
+
+    ``parent`` is the ordinal of the nearest heading before with fewer hashes, null if there is none; ``body`` ends at the next heading, ``whole`` at the next one of as many hashes or fewer.
+    What stands before the first heading isn't in it. The text is cut at its headings once; levels and parents come from the heads of the pieces alone.
+    """
+    pieces = F.filter(F.split(text, r"(?m)^(?=#{1,6}[ \t]+\S)"), lambda p: p.rlike(r"\A#{1,6}[ \t]+\S"))
+    level = lambda p: F.length(F.regexp_extract(p, r"\A(#{1,6})", 1))
+    heads = F.transform(pieces, lambda p, i: F.struct(
+        i.alias("ordinal"), level(p).alias("level"), F.trim(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("heading"), F.regexp_replace(p, r"\A[^\n]*\n?", "").alias("body")))
+    levels = F.transform(pieces, level)
+    before = lambda s: F.filter(F.sequence(F.lit(0), s["ordinal"]), lambda j: F.get(levels, j) < s["level"])
+    after = lambda s: F.filter(F.sequence(s["ordinal"], F.size(levels)), lambda j: (j > s["ordinal"]) & (F.coalesce(F.get(levels, j), F.lit(0)) <= s["level"]))
+    return F.transform(heads, lambda s: F.struct(
+        s["ordinal"].alias("ordinal"), s["level"].alias("level"), s["heading"].alias("heading"), F.array_max(before(s)).alias("parent"), s["body"].alias("body"),
+        F.concat(s["body"], F.array_join(F.slice(pieces, s["ordinal"] + 2, F.array_min(after(s)) - s["ordinal"] - 1), "")).alias("whole"),
+    ))
+
+
 def section(text: Column, name: str) -> Column:
     """Body of the section called ``name``, up to the next heading of its level or a higher one; empty where there is none.
 

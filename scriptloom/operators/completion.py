@@ -68,6 +68,7 @@ class Retrying:
 
 
 ANSWER = "text string, stop_reason string, model string, input_tokens long, output_tokens long"
+STORED = "hash string, model string, answer struct<text: string, stop_reason: string, model: string, input_tokens: bigint, output_tokens: bigint>"
 
 
 def completed(rows: DataFrame, prompt: str, backend: Backend | None = None, key: str | None = None, batch: int = 16) -> DataFrame:
@@ -87,6 +88,24 @@ def completed(rows: DataFrame, prompt: str, backend: Backend | None = None, key:
     return rows.withColumn("answer", run(prompt))
 
 
+def answered_once(rows: DataFrame, prompt: str, store: str, model: str = "offline", backend: Backend | None = None, batch: int = 16, parts: int = 1) -> DataFrame:
+    """``rows`` with the struct ``answer``, from the lasting table of answers at ``store`` (a folder that all executors share): each prompt is asked once a model, ever.
+
+    Prompts are known by a hash of model and text. Only those without an answer are asked, equal ones once, in ``parts`` that are written one after the other: what is written is
+    never asked again, by whatever run, and a task that is lost takes none but its own answers with it. A null prompt counts as the empty one.
+    """
+    spark = rows.sparkSession
+    key = F.sha2(F.concat(F.lit(f"{model}\x00"), F.coalesce(F.col(prompt), F.lit(""))), 256)
+    wanted = rows.select(key.alias("hash_"), F.coalesce(F.col(prompt), F.lit("")).alias("prompt_")).dropDuplicates(["hash_"])
+    spark.createDataFrame([], STORED).write.mode("append").parquet(store)  # so that there is a table
+    known = lambda: spark.read.parquet(store)
+    for part in range(parts):
+        some = wanted.filter(F.pmod(F.xxhash64("hash_"), F.lit(parts)) == part) if parts > 1 else wanted
+        left = some.join(known().select(F.col("hash").alias("hash_")), "hash_", "left_anti")
+        completed(left, "prompt_", backend, batch=batch).select(F.col("hash_").alias("hash"), F.lit(model).alias("model"), "answer").write.mode("append").parquet(store)
+    return rows.withColumn("hash_", key).join(known().select(F.col("hash").alias("hash_"), "answer").dropDuplicates(["hash_"]), "hash_", "left").drop("hash_")
+
+
 def answer_fault(answer: Column, least_chars: int = 1, models: Column | None = None, kind: Column | None = None, role: Column | None = None, least_words: int = 0) -> Column:
     """The first level at which an answer is invalid, null if it is valid: its kind and role (where given), how it ended, content, text, usage, model."""
     text, stop = answer["text"], answer["stop_reason"]

@@ -55,7 +55,7 @@ def items(plans: DataFrame, key: str = "doc_id", topic_required: int = 15, qa_op
 
 
 def rollup(checked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a document: passes iff every required item is covered (null isn't), with the counts as text."""
+    """One row a document: passes iff every required item is covered (null isn't), with the counts as text, and how many items ``review_list`` holds."""
     got = F.coalesce(F.col("covered"), F.lit(False))
     required, optional = F.col("required"), ~F.col("required")
     n = lambda c: F.count_if(c).cast("string")
@@ -63,7 +63,7 @@ def rollup(checked: DataFrame, key: str = "doc_id") -> DataFrame:
         F.bool_and(got | optional).alias("passes"),
         F.concat_ws("/", n(got & required), n(required)).alias("required_coverage"),
         F.concat_ws("/", n(got & optional), n(optional)).alias("optional_coverage"),
-        F.count_if(F.col("confidence") == "low").alias("to_review"),
+        F.count_if(~got | F.coalesce(F.col("confidence").isin("low", "medium"), F.lit(False))).alias("to_review"),
     )
 
 

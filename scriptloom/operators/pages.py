@@ -40,39 +40,74 @@ def missing_classes(html: Column, names=CLASSES) -> Column:
     return F.filter(F.array(*(F.lit(f".{n}") for n in names)), lambda n: ~F.contains(style, n))
 
 
+#: Fixed values of HTML: elements without an end; elements that a start tag ends (of each group those that are open within the bound); what ends a paragraph.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+ENDED_BY = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")), "optgroup": (("optgroup", "option"), ("select",)),
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "thead": (("tbody", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tfoot": (("thead", "tbody", "tr", "td", "th", "caption", "colgroup"), ("table",)), "rt": (("rt", "rp"), ("ruby",)), "rp": (("rt", "rp"), ("ruby",)),
+}
+BLOCKS = (
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dd", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+)
+#: Fixed values of HTML: an end tag doesn't reach beyond these.
+WALLS = ("html", "table", "td", "th", "caption", "button", "object", "template")
+
+
 class _Selector(HTMLParser):
-    """Text of elements with a tag, a class or an attribute's value, nested ones included; a paragraph ends where the next one begins, and all end with the page."""
+    """Text of elements with a tag, a class or both, nested ones included, in the order of their ends.
+
+    Open elements are a stack, on which start tags end what they imply to have ended, end tags what is open up to theirs, and the page everything.
+    """
 
     def __init__(self, tag: str | None, css: str | None):
         super().__init__(convert_charrefs=True)
-        self.tag, self.css, self.open, self.found = tag, css, [], []
-
-    def _ended(self, done) -> None:
-        for entry in [e for e in self.open if done(e)]:
-            self.open.remove(entry)
-            self.found.append(" ".join("".join(entry[2]).split()))
+        self.tag, self.css, self.stack, self.pieces, self.found = tag, css, [], [], []
+
+    def _end(self, depth: int) -> None:
+        """Elements from ``depth`` on end."""
+        while len(self.stack) > depth:
+            start = self.stack.pop()[1]
+            if start is not None:
+                self.found.append(" ".join("".join(self.pieces[start:]).split()))
+
+    def _within(self, tags, walls) -> int | None:
+        """The outermost open element of ``tags`` above the nearest of ``walls``."""
+        at = None
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] in tags:
+                at = depth
+            elif self.stack[depth][0] in walls:
+                break
+        return at
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p":
-            self._ended(lambda e: e[0] == "p")
+        if tag in BLOCKS and (at := self._within(("p",), WALLS)) is not None:
+            self._end(at)
+        if tag in ENDED_BY and (at := self._within(*ENDED_BY[tag])) is not None:
+            self._end(at)
         classes = (dict(attrs).get("class") or "").split()
-        for entry in self.open:
-            entry[1] += tag == entry[0]
-        if (self.tag in (None, tag)) and (self.css is None or self.css in classes):
-            self.open.append([tag, 1, []])
+        chosen = self.tag in (None, tag) and (self.css is None or self.css in classes)
+        self.stack.append((tag, len(self.pieces) if chosen else None))
+        if tag in VOID:
+            self._end(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        for entry in self.open:
-            entry[1] -= tag == entry[0]
-        self._ended(lambda e: e[1] == 0)
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] == tag:
+                return self._end(depth)
+            if self.stack[depth][0] in WALLS and not (tag in ("table", "tr", "tbody", "thead", "tfoot") and self.stack[depth][0] in ("td", "th", "caption")) and tag not in ("html", "body"):
+                return None  # an end tag of what isn't open
+        return None
 
     def handle_data(self, data):
-        for entry in self.open:
-            entry[2].append(data)
+        self.pieces.append(data)
 
     def close(self):
         super().close()
-        self._ended(lambda e: True)
+        self._end(0)
 
 
 def select(tag: str | None = None, css: str | None = None):

@@ -62,7 +62,7 @@ MOST_TOKENS, LEAST_TIMEOUT = 200_000, 10
 
 def model_violations(models: DataFrame, book: DataFrame) -> DataFrame:
     """rule, severity, name, message: models (name, model, max_tokens, timeout) that the price book lacks, and limits that can't be or are doubtful."""
-    known = models.join(F.broadcast(book.select(F.col("model").alias("m_")).distinct().limit(10_000)), F.col("model") == F.col("m_"), "left")
+    known = models.join(book.select(F.col("model").alias("m_")).distinct(), F.col("model") == F.col("m_"), "left")
     row = lambda rule, severity, bad, message: F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message")))
     tokens, timeout = F.col("max_tokens"), F.col("timeout")
     found = F.array_compact(F.array(
@@ -94,14 +94,25 @@ def doubts(spark: SparkSession, settings: Settings | dict) -> DataFrame:
 def violations(spark: SparkSession, settings: Settings | dict) -> DataFrame:
     """rule, name, message of every rule that the settings break."""
     given = settings if isinstance(settings, dict) else asdict(settings)
-    rows = [(f.name, float(given[f.name]) if isinstance(given.get(f.name), (int, float)) and not isinstance(given.get(f.name), bool) else None) for f in fields(Settings)]
-    values = spark.createDataFrame(rows, "name string, value double")
-    ranges = spark.createDataFrame([(n, float(a), float(b)) for n, a, b in RANGES], "name string, low double, high double")
-    orders = spark.createDataFrame(list(ORDERS), "name string, other string")
-    no_number = values.filter("value IS NULL").select(F.lit("number").alias("rule"), "name", F.lit("not a number").alias("message"))
-    out = values.join(F.broadcast(ranges), "name").filter(~F.col("value").between(F.col("low"), F.col("high")))
-    out = out.select(F.lit("range").alias("rule"), "name", F.format_string("%s is not in [%s, %s]", "value", "low", "high").alias("message"))
-    positive = values.join(F.broadcast(ranges), "name", "left_anti").filter("value <= 0").select(F.lit("positive").alias("rule"), "name", F.format_string("%s", "value").alias("message"))
-    pair = values.join(F.broadcast(orders), "name").join(values.select(F.col("name").alias("other"), F.col("value").alias("most")), "other").filter("value >= most")
-    pair = pair.select(F.lit("order").alias("rule"), "name", F.concat(F.lit("not below "), F.col("other")).alias("message"))
+    text = lambda v: str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+    rows = spark.createDataFrame([(0, f.name, text(given.get(f.name))) for f in fields(Settings)], "profile int, name string, value string")
+    return table_violations(rows).drop("profile")
+
+
+def table_violations(rows: DataFrame, profile: str = "profile") -> DataFrame:
+    """profile, rule, name, message of every rule that a table of settings (profile, name, value as text) breaks: one profile is one set of them.
+
+    Names that there are no rules for count as positive numbers. The rules are a few rows and broadcast; an order is checked within the profile.
+    """
+    spark = rows.sparkSession
+    values = rows.select(F.col(profile).alias("profile"), "name", F.expr("try_cast(value AS double)").alias("value"))
+    values = values.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    ranges = F.broadcast(spark.createDataFrame([(n, float(a), float(b)) for n, a, b in RANGES], "name string, low double, high double"))
+    orders = F.broadcast(spark.createDataFrame(list(ORDERS), "name string, other string"))
+    no_number = values.filter("value IS NULL").select("profile", F.lit("number").alias("rule"), "name", F.lit("not a number").alias("message"))
+    out = values.join(ranges, "name").filter(~F.col("value").between(F.col("low"), F.col("high")))
+    out = out.select("profile", F.lit("range").alias("rule"), "name", F.format_string("%s is not in [%s, %s]", "value", "low", "high").alias("message"))
+    positive = values.join(ranges, "name", "left_anti").filter("value <= 0").select("profile", F.lit("positive").alias("rule"), "name", F.format_string("%s", "value").alias("message"))
+    pair = values.join(orders, "name").join(values.select("profile", F.col("name").alias("other"), F.col("value").alias("most")), ["profile", "other"]).filter("value >= most")
+    pair = pair.select("profile", F.lit("order").alias("rule"), "name", F.concat(F.lit("not below "), F.col("other")).alias("message"))
     return no_number.unionByName(out).unionByName(positive).unionByName(pair)

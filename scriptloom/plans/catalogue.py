@@ -253,7 +253,7 @@ def fuzzy_grounding(spark, sf_dir):
     i AS (SELECT doc_id, t, length(line) * 100 >= n * 15 AS required, list_slice({_DISTINCT_KEYS.format('line')}, 1, 10) AS k FROM e),
     h AS (SELECT doc_id, required, len(list_filter(k, lambda x: contains(t, x))) AS n, len(k) AS m FROM i), c AS (SELECT *, m = 0 OR n >= 2 OR n / m >= 0.5 AS high, n >= 1 AS medium FROM h)
     SELECT doc_id, bool_and(high OR medium OR NOT required) AS passes, count(*) FILTER (required AND (high OR medium)) || '/' || count(*) FILTER (required) AS required_coverage,
-           count(*) FILTER (NOT required AND (high OR medium)) || '/' || count(*) FILTER (NOT required) AS optional_coverage, count(*) FILTER (NOT high AND NOT medium) AS to_review FROM c GROUP BY doc_id
+           count(*) FILTER (NOT required AND (high OR medium)) || '/' || count(*) FILTER (NOT required) AS optional_coverage, count(*) FILTER (NOT high) AS to_review FROM c GROUP BY doc_id
     """,
 )
 def coverage_rollup(spark, sf_dir):
@@ -581,7 +581,11 @@ for _entity, _char in X.ENTITIES.items():
     _INNER = f"replace({_INNER}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
 
 
-@query("page_elements", rf"SELECT page_id, ordinal, trim(regexp_replace(replace({_INNER}, '&amp;', '&'), '[ \t\n\r\f\v\x{{A0}}]+', ' ', 'g')) AS body FROM (SELECT page_id, generate_subscripts({_P}, 1) - 1 AS ordinal, regexp_replace(string_split_regex(unnest({_P}), '(?i)</p>')[1], '<[^>]*>', '', 'g') AS p FROM pages)")
+#: What ends a paragraph besides its own end: the start or end of an element around text.
+_BLOCK = "body|html|" + "|".join(b for b in pages.BLOCKS if b != "p")
+
+
+@query("page_elements", rf"SELECT page_id, ordinal, trim(regexp_replace(replace({_INNER}, '&amp;', '&'), '[ \t\n\r\f\v\x{{A0}}]+', ' ', 'g')) AS body FROM (SELECT page_id, generate_subscripts({_P}, 1) - 1 AS ordinal, regexp_replace(string_split_regex(unnest({_P}), '(?i)</p>|</?(?:{_BLOCK})[ />]')[1], '<[^>]*>', '', 'g') AS p FROM pages)")
 def page_elements(spark, sf_dir):
     """Texts of paragraphs, nested markup included."""
     p = table(spark, sf_dir, "pages", "page_id", "html")
@@ -609,14 +613,24 @@ def offline_completion(spark, sf_dir):
 @query(
     "settings_violations",
     """
-    SELECT * FROM (VALUES ('number', 'lookahead', 'not a number'), ('range', 'fuzzy_threshold', '1.5 is not in [0.0, 1.0]'), ('positive', 'abstract_min_words', '-1.0'), ('order', 'fuzzy_threshold', 'not below fuzzy_early_stop'),
-                          ('order', 'chunk_overlap', 'not below chunk_size')) v(rule, name, message)
+    WITH s AS (SELECT s_suppkey AS profile, s_acctbal / 10000 AS threshold, s_nationkey * 100 AS overlap, s_suppkey % 3 - 1 AS least, s_suppkey % 5 = 0 AS word FROM supplier)
+    SELECT profile, 'number' AS rule, 'lookahead' AS name FROM s WHERE word
+    UNION ALL SELECT profile, 'range', 'fuzzy_threshold' FROM s WHERE threshold NOT BETWEEN 0 AND 1
+    UNION ALL SELECT profile, 'positive', 'abstract_min_words' FROM s WHERE least <= 0
+    UNION ALL SELECT profile, 'order', 'fuzzy_threshold' FROM s WHERE threshold >= 0.98
+    UNION ALL SELECT profile, 'order', 'chunk_overlap' FROM s WHERE overlap >= 1500
+    UNION ALL SELECT profile, 'positive', 'chunk_overlap' FROM s WHERE overlap <= 0
     """,
 )
 def settings_violations(spark, sf_dir):
-    """What is wrong with settings out of range and order."""
-    broken = settings.asdict(settings.Settings()) | {"fuzzy_threshold": 1.5, "chunk_overlap": 2000, "abstract_min_words": -1, "lookahead": "ten"}
-    return settings.violations(spark, broken)
+    """What is wrong with the settings of each supplier, some of which come from its row."""
+    rows = table(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal", "s_nationkey").withColumn("profile", F.col("s_suppkey"))
+    own = {
+        "fuzzy_threshold": F.col("s_acctbal").cast("double") / 10_000, "fuzzy_early_stop": F.lit(0.98), "chunk_overlap": F.col("s_nationkey") * 100, "chunk_size": F.lit(1500),
+        "abstract_min_words": F.col("profile") % 3 - 1, "lookahead": F.when(F.col("profile") % 5 == 0, "ten").otherwise("10"),
+    }
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in own.items()))).alias("p")
+    return settings.table_violations(rows.select("profile", pairs).select("profile", "p.*")).select("profile", "rule", "name")
 
 
 from scriptloom.plans import derived, varied  # noqa: E402, F401  (they register their queries here)

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptloom.functions import parse
 from scriptloom.functions import text as X
-from scriptloom.operators import generation, grounding, pages, patching
+from scriptloom.operators import completion, generation, grounding, pages, patching
 from scriptloom.plans.catalogue import query
 from scriptloom.plans.derived import _D, _docs, _i, _rows, _s, _text
 from scriptloom.sources import artifacts
+from scriptloom.sources.tables import scratch, table
 
 #: A text of nothing but small letters, with one blank between words, in SQL and in Spark.
 _LETTERS = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z \n]', '', 'g'), '[ \n]+', ' ', 'g'))"
@@ -196,3 +198,72 @@ def graded_claims(spark, sf_dir):
     references = claims.select("doc_id", "quote", F.lit(False).alias("beside")).unionByName(beside)
     kept = grounding.references_kept(references, docs).filter("NOT beside").select("doc_id", F.lit(True).alias("kept"))
     return quotes.join(terms, "doc_id").join(kept, "doc_id", "left").na.fill(False, ["kept"])
+
+
+@query(
+    "all_sections",
+    rf"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {_D}),
+    h AS (SELECT *, CASE WHEN length(line) % 4 > 0 AND regexp_matches(line, '^[A-Za-z]') THEN (length(line) % 4)::INTEGER END AS level FROM l),
+    n AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS o, lead(i) OVER (PARTITION BY doc_id, level IS NULL ORDER BY i) AS next FROM h),
+    s AS (SELECT * FROM n WHERE level IS NOT NULL),
+    p AS (SELECT a.doc_id, a.o, max(b.o) AS parent FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.o < a.o AND b.level < a.level GROUP BY ALL),
+    z AS (SELECT a.doc_id, a.o, min(b.i) AS stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.o > a.o AND b.level <= a.level GROUP BY ALL),
+    x AS (SELECT s.doc_id, s.o, sum(CASE WHEN n.level IS NULL THEN length(n.line) ELSE length(n.line) + n.level + 1 END) AS n FROM s LEFT JOIN z USING (doc_id, o) JOIN n ON n.doc_id = s.doc_id AND n.i > s.i AND (stop IS NULL OR n.i < stop) GROUP BY ALL),
+    y AS (SELECT doc_id, o, sum(length(line)) AS n FROM n WHERE level IS NULL GROUP BY ALL)
+    SELECT s.doc_id, s.o::INTEGER AS ordinal, s.level, trim(s.line) AS heading, coalesce(parent, -1)::INTEGER AS parent, coalesce(y.n, 0)::INTEGER AS body, coalesce(x.n, 0)::INTEGER AS whole
+    FROM s LEFT JOIN p USING (doc_id, o) LEFT JOIN x USING (doc_id, o) LEFT JOIN y ON y.doc_id = s.doc_id AND y.o = s.o
+    """,
+)
+def all_sections(spark, sf_dir):
+    """Every section of every level of whole texts, whose lines are headings of a level by their lengths; bodies by the characters of their lines."""
+    mark = lambda x: F.when((F.length(x) % 4 > 0) & x.rlike("^[A-Za-z]"), F.concat(F.repeat(F.lit("#"), F.length(x) % 4), F.lit(" "), x)).otherwise(x)
+    docs = _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), mark), "\n").alias("text"))
+    letters = lambda c: F.length(F.replace(c, F.lit("\n")))
+    rows = docs.select("doc_id", F.inline(parse.all_sections(F.col("text"))))
+    return rows.select("doc_id", "ordinal", "level", "heading", F.coalesce("parent", F.lit(-1)).alias("parent"), letters("body").alias("body"), letters("whole").alias("whole"))
+
+
+@query(
+    "implied_elements",
+    r"""
+    WITH p AS (SELECT page_id, page_id % 4 + 1 AS n, page_id::VARCHAR AS i FROM pages)
+    SELECT page_id, array_to_string(list_transform(range(1, n + 1), lambda k: 'item ' || k) || ['inner', 'outer ' || i || 'inner', 'last'], '|') AS items, 'term ' || i || '|other' AS terms, 'meaning|more said' AS meanings,
+           'a ' || i || '|in|c|b inc d|' || 'e' AS cells, 'inc|a ' || i || 'b inc d|e' AS lines, 'One ' || i || '|two|three' AS paragraphs, 'one|two' AS options FROM p
+    """,
+)
+def implied_elements(spark, sf_dir):
+    """Lists, definitions, tables within tables, paragraphs and choices without end tags, of as many items as the page's number says, in front of the page."""
+    p = table(spark, sf_dir, "pages", "page_id", "html")
+    i = F.col("page_id").cast("string")
+    items = F.array_join(F.transform(F.sequence(F.lit(1), F.col("page_id") % 4 + 1), lambda k: F.concat(F.lit("<li class=x>item "), k.cast("string"))), "\n")
+    html = _text(
+        "<ul>", items, "<li class=x>outer ", i, "<ul><li class=x>inner</ul><li class=x>last</ul><dl><dt class=x>term ", i, "<dd class=x>mean<b>ing<dt class=x>other<dd class=x>more<br>\nsaid</dl>",
+        "<table><tr class=x><td class=x>a ", i, "<td class=x>b <table><tr class=x><td class=x>in<td class=x>c</table> d<tr class=x><td class=x>e</table>",
+        "<p class=x>One ", i, "<p class=x>two<div><p class=x>three</div></p>", "<select><option class=x>one<option class=x>two</select>", F.coalesce("html", F.lit("")))
+    of = lambda tag, css="x": F.array_join(pages.select(tag, css)("html"), "|")
+    return p.select("page_id", html.alias("html")).select(
+        "page_id", of("li").alias("items"), of("dt").alias("terms"), of("dd").alias("meanings"), of("td").alias("cells"), of("tr").alias("lines"), of("p").alias("paragraphs"), of("option").alias("options"))
+
+
+@query(
+    "answers_once",
+    rf"""
+    WITH p AS (SELECT doc_id, trim('Which language is ' || l || '?' || chr(10) || chr(10) || left(string_split(text, chr(10))[1], 20), E' 	
+
+') AS p FROM {_D}),
+    a AS (SELECT *, list_filter(string_split_regex(string_split(p, chr(10) || chr(10))[-1], '[ 	
+
+]+'), lambda w: w <> '')[1:50] AS w FROM p)
+    SELECT doc_id, array_to_string(w, ' ') AS answer, (SELECT count(DISTINCT 'Which language is ' || l || '?' || chr(10) || chr(10) || left(string_split(text, chr(10))[1], 20)) FROM {_D}) AS asked FROM a
+    """,
+)
+def answers_once(spark, sf_dir):
+    """Prompts of which many are equal, answered twice over: the second time none is asked."""
+    docs = _docs(spark, sf_dir)
+    rows = docs.select("doc_id", _text("Which language is ", F.coalesce("lang", F.lit("xx")), "?\n\n", F.left(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), F.lit(20))).alias("prompt"))
+    store = scratch(spark, "answers")
+    completion.answered_once(rows, "prompt", store, parts=2)
+    again = completion.answered_once(rows, "prompt", store, parts=2)
+    asked = spark.read.parquet(store).agg(F.count("*").alias("asked"))
+    return again.select("doc_id", F.col("answer.text").alias("answer")).crossJoin(F.broadcast(asked))

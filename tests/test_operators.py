@@ -9,7 +9,7 @@ from hypothesis import settings as hypothesis_settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptloom.functions import offsets, similarity
+from scriptloom.functions import offsets, parse, similarity
 from scriptloom.operators import alignment, completion, coverage, generation, grounding, pages, patching, patterns, questions, settings, usage
 from scriptloom.sources import artifacts
 from scriptloom.streaming import usage as stream
@@ -551,3 +551,74 @@ def test_lists_of_quotes_become_one_with_kinds(spark):
     got = sorted(map(tuple, pages.typed_quotes({"emphasis": told, "reference": cited}).collect()))
     assert got == [(1, 0, "emphasis", "a", "y"), (1, 1, "emphasis", "b", "x"), (1, 2, "reference", "d", "z"), (2, 0, "emphasis", "c", None), (3, 0, "reference", "e", "w")]
     assert pages.typed_quotes({"emphasis": told.limit(0), "reference": cited.limit(0)}).count() == 0
+
+
+def test_elements_that_end_by_themselves(spark):
+    html = "<ul><li>a<li>b<ol><li>c</ol>d<li>e</ul><table><tr><td>1<td>2<tr><th>3<td><table><tr><td>4</td></table>5</table><dl><dt>t<dd>u<br>v<dt>w</dl></p><p>x<div>y</div>z<img src=q><p>s<b>t</p>u</b><hr>v"
+    of = lambda tag: pages.select(tag)("h")
+    got = spark.createDataFrame([(html,), ("<td>lone</table></li>",), ("",), (None,)], "h string").select(*(of(t).alias(t) for t in ("li", "td", "tr", "dt", "dd", "p", "b", "img"))).collect()
+    assert got[0].asDict() == {"li": ["a", "c", "bcd", "e"], "td": ["1", "2", "4", "45"], "tr": ["12", "4", "345"], "dt": ["t", "w"], "dd": ["uv"], "p": ["x", "st"], "b": ["t"], "img": [""]}
+    assert got[1].td == ["lone"] and all(x == [] for r in got[2:] for x in r)
+
+
+def test_deep_pages_and_long_ones(spark):
+    deep = "<div>" * 3000 + "x" + "<li>" * 3000
+    df = spark.createDataFrame([(deep,)], "h string").select(pages.select("div")("h").alias("d"), pages.select("li")("h").alias("l")).first()
+    assert df.d == ["x"] * 3000 and df.l == [""] * 3000
+
+
+def test_sections_of_all_levels(spark):
+    text = "before\n# A\nbody a\n### B\nb\n## C\n#not one\n####### nor this\n# D"
+    got = spark.createDataFrame([(text,), ("none",), ("",), (None,), ("## X",)], "t string").select(parse.all_sections(F.col("t")).alias("s")).collect()
+    assert [(s.ordinal, s.level, s.heading, s.parent, s.body, s.whole) for s in got[0].s] == [
+        (0, 1, "A", None, "body a\n", "body a\n### B\nb\n## C\n#not one\n####### nor this\n"), (1, 3, "B", 0, "b\n", "b\n"),
+        (2, 2, "C", 0, "#not one\n####### nor this\n", "#not one\n####### nor this\n"), (3, 1, "D", None, "", "")]
+    assert [r.s for r in got[1:4]] == [[], [], None] and len(got[4].s) == 1
+
+
+def test_prompts_are_asked_once_even_if_a_run_is_lost(spark, tmp_path):
+    class Counting:
+        """Notes each prompt in a file; breaks at one of them as long as a file says so."""
+
+        def complete(self, prompts):
+            out = []
+            for p in prompts:
+                if p == "p7" and (tmp_path / "break").exists():
+                    raise ConnectionError("lost")
+                with open(tmp_path / f"asked-{p}", "a") as f:
+                    f.write("x")
+                out.append({"text": p.upper(), "stop_reason": "end_turn", "model": "m", "input_tokens": 1, "output_tokens": 1})
+            return out
+
+    rows = spark.createDataFrame([(i, f"p{i % 10}") for i in range(60)] + [(99, None)], "doc_id long, prompt string")
+    store = str(tmp_path / "answers")
+    (tmp_path / "break").write_text("")
+    with pytest.raises(Exception, match="lost"):
+        completion.answered_once(rows, "prompt", store, backend=Counting(), parts=4).collect()
+    kept = {r.answer.text for r in spark.read.parquet(store).collect()}
+    (tmp_path / "break").unlink()
+    got = completion.answered_once(rows, "prompt", store, backend=Counting(), parts=4)
+    assert {r.doc_id: r.answer.text for r in got.collect()} == {i: f"P{i % 10}" for i in range(60)} | {99: ""}
+    times = {p: (tmp_path / f"asked-{p}").read_text() for p in [*(f"p{i}" for i in range(10)), ""]}
+    assert all(times[p.lower()] == "x" for p in kept) and kept
+    before = dict(times)
+    again = completion.answered_once(rows.unionByName(rows), "prompt", store, backend=Counting())
+    assert again.count() == 122 and {p: (tmp_path / f"asked-{p}").read_text() for p in before} == before
+    other = completion.answered_once(rows.limit(1), "prompt", store, model="other", backend=Counting())
+    assert other.first().answer.text == "P0" and (tmp_path / "asked-p0").read_text() == before["p0"] + "x"
+    assert completion.answered_once(rows.limit(0), "prompt", store).count() == 0
+
+
+def test_settings_of_many_profiles(spark):
+    rows = spark.createDataFrame([("a", "chunk_size", "100"), ("a", "chunk_overlap", "100"), ("b", "chunk_size", "200"), ("b", "chunk_overlap", "100"), ("c", "fuzzy_threshold", "NaN"), ("c", "lookahead", None), ("d", "fuzzy_threshold", "-0.5")], "p string, name string, value string")
+    got = {(r.profile, r.rule, r.name) for r in settings.table_violations(rows, "p").collect()}
+    assert got == {("a", "order", "chunk_overlap"), ("c", "number", "fuzzy_threshold"), ("c", "number", "lookahead"), ("d", "range", "fuzzy_threshold")}
+
+
+def test_bands_and_books_of_any_size(spark):
+    bands = spark.range(12_000).select(F.format_string("K%d", "id").alias("category"), F.lit(10).alias("low"), F.lit(20).alias("high"))
+    items = spark.createDataFrame([("a fine quote of five words", 15, "K11999"), ("a fine quote of five words", 15, "K12001")], "quote string, score int, category string")
+    assert [len(r.faults) for r in patterns.judged_items(items, bands).orderBy("category").collect()] == [0, 1]
+    book = spark.range(12_000).select(F.format_string("m%05d", "id").alias("model"))
+    models = spark.createDataFrame([("x", "m11999", 100, 60), ("y", "none", 100, 60)], "name string, model string, max_tokens int, timeout int")
+    assert [(r.name, r.rule) for r in settings.model_violations(models, book).collect()] == [("y", "model")]
