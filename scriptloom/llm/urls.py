@@ -8,8 +8,9 @@ don't speak against it, merge into one, and their children are pooled. A branch
 urls, smoothed with its parent's; a host's is smoothed with that of the whole table. A url without a rule is blocked when its own template holds
 labelled urls and its purity reaches ``REJECT``: without labels of its own a template passes, whatever its parents hold.
 
-DataFrame functions only; equal templates are counted before anything is shuffled, the tree is joined level by level and never collected,
-and the number of levels is that of the longest path that two urls share. Nodes are named by 64-bit hashes of their templates.
+DataFrame functions only; equal templates are counted before anything is shuffled, the tree is joined level by level and never collected. It is a radix tree: segments that
+all paths of a node have in common are passed in one step, so that the number of levels is that of branchings on a way, not of segments. Rows of hot children stay where they are. Nodes are
+named by 64-bit hashes of their templates.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict of that template (allow, as no rule labels it);
 of rules of equal length the first declared wins; an empty table gives no rows; repeated rows each get a row and count each; very long urls are followed
@@ -23,7 +24,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import read, settle
+from scriptloom.llm import common
+from scriptloom.llm.common import join_by_key, read, settle
 
 #: (verdict, host, path)
 RULES = (
@@ -71,35 +73,57 @@ def segments(path: Column) -> Column:
     return F.transform(F.slice(F.split(path, "/", -1), F.lit(2), F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0))), typed)
 
 
-def _grown(now: DataFrame, depth: int) -> DataFrame:
-    """``now`` (paths with the node they have reached) one level further down."""
-    ahead = now.withColumns({"s": F.get("segments", F.lit(depth)), "b": F.coalesce(F.concat(F.lit("/"), F.get("segments", F.lit(depth + 1))), F.lit(""))})
-    kids = ahead.groupBy("node", "s").agg(F.sum("n").alias("n"))
+def _passed(now: DataFrame) -> DataFrame:
+    """``now`` (paths with the node they have reached) moved on over the segments that all paths of a node have in common.
+
+    A node of one child changes nothing but the smoothing of its purity, which is repeated for each segment; so a chain of such nodes is one step, however long it is.
+    """
+    rest = F.slice("segments", F.col("depth") + 1, F.greatest(F.size("segments") - F.col("depth"), F.lit(0)))
+    ends = now.filter("paths > 1").groupBy("node").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))  # all others lie between
+    least = F.least(F.size("lo"), F.size("hi"))
+    shared = F.array_min(F.filter(F.sequence(F.lit(0), least), lambda i: (i == least) | (F.get("lo", i) != F.get("hi", i))))
+    ways = ends.select("node", shared.alias("common"), F.concat_ws("/", F.slice("lo", F.lit(1), shared)).alias("names")).filter("common > 0")
+    smooth = F.aggregate(F.sequence(F.lit(1), F.col("common")), F.col("purity"), lambda p, _: (F.col("all_bad") + WEIGHT * p) / (F.col("seen") + WEIGHT))
+    on = F.col("common").isNotNull()
+    return now.join(ways, "node", "left").withColumns({
+        "node": F.when(on, F.xxhash64("node", "names")).otherwise(F.col("node")), "template": F.when(on, F.concat_ws("/", "template", "names")).otherwise(F.col("template")),
+        "purity": F.when(on, smooth).otherwise(F.col("purity")), "depth": F.col("depth") + F.coalesce("common", F.lit(0)),
+    }).drop("common", "names")
+
+
+def _grown(now: DataFrame) -> DataFrame:
+    """``now`` one branching further down."""
+    ahead = now.withColumns({"s": F.get("segments", F.col("depth")), "b": F.coalesce(F.concat(F.lit("/"), F.get("segments", F.col("depth") + 1)), F.lit(""))})
+    kids = ahead.groupBy("node", "s").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    size = kids.agg(F.sum("rows"), F.max("rows")).first()
+    hot = size[1] > max(size[0] // common.HOT_SHARE, common.HOT_ROWS)
+    meet = lambda facts: join_by_key(ahead, settle(facts), ["node", "s"], "rows") if hot else ahead.join(facts, ["node", "s"])
     tops = kids.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("children"))
     rare = (F.col("children") > MAX_CHILDREN) & (F.col("n") * MAX_CHILDREN < F.col("total"))
-    named = kids.join(tops, "node").select("node", "s", "total", F.when(rare, "{*}").otherwise(F.col("s")).alias("t"))
+    named = kids.join(tops, "node").select("node", "s", "rows", "total", F.when(rare, "{*}").otherwise(F.col("s")).alias("t"))
     spread = settle(
-        ahead.join(named, ["node", "s"]).groupBy("node", "s", "t", "b", "total")
+        meet(named).groupBy("node", "s", "t", "b", "total")
         .agg(*(F.sum(c).alias(c) for c in ("n", "bad", "known")), F.count("*").alias("paths"))
     )
     by_end = spread.groupBy("node", "t", "b", "total").agg(F.sum("n").alias("n"))
     pooled = by_end.groupBy("node", "b").agg(F.sum("n").alias("pooled"))
     branch = spread.groupBy("node", "t").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "known", "paths")))
-    every = branch.groupBy("node").agg(F.sum("t_bad").alias("all_bad"), F.sum("t_known").alias("all_known"))
+    every = branch.groupBy("node").agg(F.sum("t_bad").alias("sum_bad"), F.sum("t_known").alias("sum_known"))
     # Bhattacharyya overlap of a branch's next segments with all siblings': 1 - overlap is the squared Hellinger distance
     overlap = (
         by_end.join(pooled, ["node", "b"]).join(branch.select("node", "t", "t_n"), ["node", "t"])
         .groupBy("node", "t").agg(F.sum(F.sqrt(F.col("n") / F.col("t_n") * F.col("pooled") / F.col("total"))).alias("overlap"))
     )
-    gap = F.abs(F.try_divide(F.col("t_bad"), F.col("t_known")) - F.try_divide(F.col("all_bad"), F.col("all_known")))
+    gap = F.abs(F.try_divide(F.col("t_bad"), F.col("t_known")) - F.try_divide(F.col("sum_bad"), F.col("sum_known")))
     close = (1 - F.col("overlap") <= CLOSE * CLOSE) & ((F.col("t_known") == 0) | (gap <= PURITY_GAP))
-    merged = settle(branch.join(overlap, ["node", "t"]).join(every, "node").withColumn("m", F.when(close, "{~}").otherwise(F.col("t"))))
+    merged = branch.join(overlap, ["node", "t"]).join(every, "node").withColumn("m", F.when(close, "{~}").otherwise(F.col("t")))
     group = merged.groupBy("node", "m").agg(F.count("*").alias("members"), F.min("t").alias("only"), *(F.sum(f"t_{c}").alias(f"m_{c}") for c in ("bad", "known", "paths")))
     child = merged.select("node", "t", "m").join(group, ["node", "m"]).withColumn("name", F.when(F.col("members") == 1, F.col("only")).otherwise(F.col("m")))
-    child = named.select("node", "s", "t").join(child, ["node", "t"]).select("node", "s", "name", "m_bad", "m_known", "m_paths")
-    return ahead.join(child, ["node", "s"]).select(
+    child = named.select("node", "s", "t", "rows").join(child, ["node", "t"]).select("node", "s", "rows", "name", "m_bad", "m_known", "m_paths")
+    return meet(child).select(
         "host", "segments", "n", "bad", "known", F.xxhash64("node", "name").alias("node"), F.concat_ws("/", "template", "name").alias("template"),
-        ((F.col("m_bad") + WEIGHT * F.col("purity")) / (F.col("m_known") + WEIGHT)).alias("purity"), F.col("m_known").alias("seen"), F.col("m_paths").alias("paths"), F.lit(depth + 1).alias("depth"),
+        ((F.col("m_bad") + WEIGHT * F.col("purity")) / (F.col("m_known") + WEIGHT)).alias("purity"), F.col("m_bad").alias("all_bad"), F.col("m_known").alias("seen"), F.col("m_paths").alias("paths"),
+        (F.col("depth") + 1).alias("depth"),
     )
 
 
@@ -112,17 +136,16 @@ def template_tree(urls: DataFrame) -> DataFrame:
     prior = (total[0] + 1) / (total[1] + 2)
     now = leaf.join(hosts, "host").select(
         "host", "segments", "n", "bad", "known", F.xxhash64("host").alias("node"), F.col("host").alias("template"),
-        ((F.col("all_bad") + WEIGHT * prior) / (F.col("seen") + WEIGHT)).alias("purity"), "seen", "paths", F.lit(0).alias("depth"),
+        ((F.col("all_bad") + WEIGHT * prior) / (F.col("seen") + WEIGHT)).alias("purity"), "all_bad", "seen", "paths", F.lit(0).alias("depth"),
     )
-    done, now, depth = [], settle(now), 0
+    ahead = (F.size("segments") > F.col("depth")) & (F.col("paths") > 1)
+    done, now = [], settle(_passed(now))
     while True:
-        ahead = (F.size("segments") > depth) & (F.col("paths") > 1)
         done.append(now.filter(~ahead))
         now = now.filter(ahead)
         if now.isEmpty():
             break
-        now = settle(_grown(now, depth))
-        depth += 1
+        now = settle(_passed(_grown(now)))
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)

@@ -144,6 +144,25 @@ def test_empty_table_and_repeated_rows(spark):
     assert urls.judge(spark.createDataFrame([(1, "http://a.b/c")] * 3 + [(None, None)], "page_id long, url string")).count() == 4
 
 
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_long_ways_in_common_are_one_step(spark, monkeypatch, hot):
+    import time
+
+    from scriptloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
+    steps = []
+    grown = urls._grown
+    monkeypatch.setattr(urls, "_grown", lambda now: steps.append(1) or grown(now))
+    way = "/".join(f"s{i}" for i in range(300))
+    rows = [f"http://l.net/{way}/{end}" for end in ("a", "b", "b/x", "c/d/e", "c/d/f", "")] + [f"http://l.net/{way}"] + [f"http://m.net/es/{way}/{i % 3}/z" for i in range(9)] + ["http://m.net/de/" + way + "/1/z"]
+    began = time.monotonic()
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules=RULES).collect()}
+    assert time.monotonic() - began < 60 and len(steps) <= 4
+    assert [(got[i].template, got[i].purity, got[i].n_labels, got[i].verdict) for i in range(len(rows))] == brute(rows, RULES)
+
+
 def test_very_long_urls(spark):
     long = "http://long.org/" + "/".join(f"part{i}" for i in range(3000))
     df = spark.createDataFrame([(1, long), (2, long + "?q=1"), (3, "http://other.org/" + "x" * 200_000), (4, "http://other.org/y")], "page_id long, url string")
