@@ -23,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptloom.llm import common
 from scriptloom.llm.common import read, settle, text_of
 
 SIZE, LITERALS, COVER = 5, 2, 0.8
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|h|min|s|ms|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|metres?|meters?|grams?|litres?|liters?|dollars?|euros?|cents?|percent|degrees?"
 #: Windows up to this many are broadcast (about 100 bytes each); beyond, a bitmap of their hashes sieves the documents' ones, and what is left is shuffled.
 BROADCAST_WINDOWS, BROADCAST_KEYS = 100_000, 200_000
+#: Items without an eligible window are keyed by so many words at most, and broadcast with their documents up to so many characters.
+PREFIX, BROADCAST_CHARS = 8, 16 << 20
 
 _ONES = "one|two|three|four|five|six|seven|eight|nine"
 _TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
@@ -109,13 +112,20 @@ def _worded(rows: DataFrame) -> DataFrame:
 
 
 def _forms(rows: DataFrame, *columns: str) -> DataFrame:
-    """A row for each window and form: ``columns``, at, hash, form (0, or 1 for the wide one where it differs), own (canonical words)."""
-    both = F.arrays_zip(F.col("hashes").alias("h"), F.col("wide_hashes").alias("w"))
-    each = rows.select(*columns, "canon", "wide", F.posexplode(both).alias("at", "x"))
-    form = F.explode(F.when(F.col("x.h") == F.col("x.w"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
-    each = each.select("*", form.alias("form"))
-    words = F.when(F.col("form") == 0, F.col("canon")).otherwise(F.col("wide"))
-    return each.select(*columns, "at", F.when(F.col("form") == 0, F.col("x.h")).otherwise(F.col("x.w")).alias("hash"), "form", F.slice(words, F.col("at") + 1, SIZE).alias("own"))
+    """A row for each window and form: ``columns``, at, hash, form (0, or 1 for the wide one where it differs), and its canonical words (own), those of the first form (plain) and the raw ones.
+
+    Windows are cut before they become rows, so that a row holds no more than its own words.
+    """
+    cut = lambda c, i: F.slice(c, i + 1, SIZE).alias(c)
+    window = F.transform(
+        F.sequence(F.lit(0), F.size("canon") - SIZE),
+        lambda i: F.struct(i.alias("at"), F.get("hashes", i).alias("h"), F.get("wide_hashes", i).alias("w"), cut("canon", i), cut("wide", i), cut("raw", i)),
+    )
+    # (outer: else the optimiser repeats the hashing in a filter)
+    each = rows.select(*columns, F.inline_outer(F.when(F.size("canon") >= SIZE, window))).filter("at IS NOT NULL")
+    each = each.select("*", F.explode(F.when(F.col("h") == F.col("w"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("form"))
+    first = F.col("form") == 0
+    return each.select(*columns, "at", F.when(first, F.col("h")).otherwise(F.col("w")).alias("hash"), "form", F.when(first, F.col("canon")).otherwise(F.col("wide")).alias("own"), F.col("canon").alias("plain"), "raw")
 
 
 def _literals(canon: str | Column) -> Column:
@@ -129,10 +139,9 @@ def value(raw: Column) -> Column:
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """Eligible windows of the items: item, its number of them, place, hash, canonical and raw words."""
-    rows = _forms(_worded(_prepared(items, key, text)), "key", "print", "raw", "canon")
-    rows = rows.select(
+    rows = _forms(_worded(_prepared(items, key, text)), "key", "print").select(
         F.col("key").alias("item"), "print", F.col("at").alias("item_at"), "hash", F.col("form").alias("item_form"),
-        F.slice("canon", F.col("at") + 1, SIZE).alias("item_plain"), F.col("own").alias("item_canon"), F.slice("raw", F.col("at") + 1, SIZE).alias("item_raw"),
+        F.col("plain").alias("item_plain"), F.col("own").alias("item_canon"), F.col("raw").alias("item_raw"),
     ).distinct()
     rows = settle(rows.filter(_literals("item_plain") >= LITERALS).drop("item_plain"))
     count = rows.filter("item_form = 0").groupBy("item", "print").agg(F.count("*").alias("windows"))
@@ -154,18 +163,46 @@ def short_items(items: DataFrame, key: str = "item_id", text: str = "text") -> D
 
 
 def _verbatim(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame | None:
-    """Rows of ``leaks`` for short items, None if there are none."""
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # a few different numbers of words
-    if not lengths:
+    """Rows of ``leaks`` for short items, None if there are none.
+
+    Documents and items meet by the hash of an item's first words, PREFIX at most; then the texts of those documents are searched for the whole items.
+    """
+    items = items.withColumn("k", F.least("n", F.lit(PREFIX)))
+    sizes = sorted(r.k for r in items.select("k").distinct().collect())  # PREFIX numbers at most
+    if not sizes:
         return None
+    windows = lambda k: F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.xxhash64(F.lit(k), F.slice("words", i, k)))
+    keyed = items.select("item", "item_print", F.xxhash64("k", F.slice("item_words", F.lit(1), F.col("k"))).alias("hash"))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("print"), _whole(text).alias("words"))
-    rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(F.size("words") >= F.col("n"))
-    at = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
-    each = rows.select("key", "print", "n", F.explode(F.array_distinct(F.transform(at, lambda i: F.slice("words", i, F.col("n"))))).alias("item_words"))
-    few = items.count() <= BROADCAST_WINDOWS
-    found = each.join(F.broadcast(items) if few else items, ["n", "item_words"]).select("key", "print", "item", "item_print").distinct()
+    none = F.array().cast("array<bigint>")
+    every = F.concat(*(F.when(F.size("words") >= k, windows(k)).otherwise(none) for k in sizes))
+    pairs = _met(rows.select("key", "print", F.explode_outer(F.array_distinct(every)).alias("hash")), keyed, items.count() <= BROADCAST_WINDOWS).select("key", "print", "item", "item_print").distinct()
+    words = items.select(F.col("item").alias("i"), F.col("item_print").alias("ip"), F.concat(F.lit(" "), F.array_join("item_words", " "), F.lit(" ")).alias("body"))
+    found = pairs.join(words, F.col("item").eqNullSafe(F.col("i")) & (F.col("item_print") == F.col("ip")))
+    held = settle(found.groupBy(F.col("key").alias("k"), F.col("print").alias("p")).agg(F.collect_list(F.struct("item", "item_print", "body")).alias("some")))  # items of one document
+    size = held.agg(F.count("*"), F.sum(F.aggregate("some", F.lit(0).cast("long"), lambda n, x: n + F.length(x["body"]) + 40))).first()
+    side = F.broadcast(held) if (size[1] or 0) <= BROADCAST_CHARS else held
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text_of(text)).alias("print"))
+    own = own.join(side, own["key"].eqNullSafe(F.col("k")) & (F.col("print") == F.col("p"))).withColumn("all", F.concat(F.lit(" "), F.array_join(_whole("text"), " "), F.lit(" ")))
+    there = F.inline(F.filter("some", lambda x: F.contains(F.col("all"), x["body"])))
     one = F.lit(1).cast("long")
-    return found.select("key", "print", "item", one.alias("windows"), one.alias("matched"), F.lit(1.0).alias("cover"), F.lit(0).cast("long").alias("slots"), F.lit("verbatim").alias("kind"))
+    return own.select("key", "print", there).select("key", "print", "item", "item_print").distinct().select(
+        "key", "print", "item", one.alias("windows"), one.alias("matched"), F.lit(1.0).alias("cover"), F.lit(0).cast("long").alias("slots"), F.lit("verbatim").alias("kind"))
+
+
+def _met(hashed: DataFrame, keyed: DataFrame, few: bool) -> DataFrame:
+    """Join by hash: ``keyed`` is broadcast if it is small; else ``hashed`` is sieved, the keys of hashes that many rows have are broadcast, and only the rest is shuffled."""
+    if few:
+        return hashed.join(F.broadcast(keyed), "hash")
+    rows = settle(_sieved(hashed, keyed))
+    often = rows.groupBy("hash").agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = settle(often.filter(F.col("n") > max(total // common.HOT_SHARE, common.HOT_ROWS)).select("hash"))  # fewer than HOT_SHARE
+    mine = keyed.join(F.broadcast(hot), "hash", "left_semi")
+    if not 0 < mine.count() <= BROADCAST_WINDOWS:
+        return rows.join(keyed, "hash")
+    rest = rows.join(F.broadcast(hot), "hash", "left_anti").join(keyed.join(F.broadcast(hot), "hash", "left_anti"), "hash")
+    return rows.join(F.broadcast(mine), "hash").unionByName(rest)
 
 
 def _sieved(hashed: DataFrame, known: DataFrame) -> DataFrame:
@@ -192,10 +229,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     # 1. by hashes alone: the pairs that share enough of the item's windows, on narrow rows
     # (outer: else the optimiser repeats the hashing in a filter)
     hashed = _prepared(docs, key, text).select("key", "print", F.explode_outer(F.array_distinct(F.concat("hashes", "wide_hashes"))).alias("hash"))
-    if not few:
-        hashed = _sieved(hashed, of_items)
-    keyed = side(of_items.select("hash", "item", "item_print", "item_at", "windows"), few)
-    shared = hashed.join(keyed, "hash").drop("hash").distinct()
+    shared = _met(hashed, of_items.select("hash", "item", "item_print", "item_at", "windows"), few).drop("hash").distinct()
     pairs = shared.groupBy("key", "print", "item", "item_print", "windows").agg(F.count("*").alias("n"))
     pairs = settle(pairs.filter(F.col("n") >= COVER * F.col("windows")).drop("n", "windows"))
     # 2. the words and slots of those documents
@@ -203,13 +237,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     suspects = pairs.select(F.col("key").alias("k"), F.col("print").alias("p")).distinct()
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     own = own.join(side(suspects, small), own["key"].eqNullSafe(F.col("k")) & (F.xxhash64(text_of("text")) == F.col("p")), "left_semi")
-    rows = _forms(_worded(_prepared(own, "key", "text")), "key", "print", "raw")
-    hit = rows.join(side(of_items, few), "hash").filter(F.col("own") == F.col("item_canon"))
+    rows = _forms(_worded(_prepared(own, "key", "text")), "key", "print").drop("plain")
+    hit = _met(rows, of_items, few).filter(F.col("own") == F.col("item_canon"))
     chosen = pairs.select(*(F.col(c).alias(f"c_{c}") for c in ("key", "print", "item", "item_print")))
     same = [hit["key"].eqNullSafe(F.col("c_key")), hit["print"] == F.col("c_print"), hit["item"].eqNullSafe(F.col("c_item")), hit["item_print"] == F.col("c_item_print")]
     hit = hit.join(side(chosen, small), same, "left_semi")
     slot = F.filter(
-        F.arrays_zip(F.col("item_canon").alias("c"), F.col("item_raw").alias("a"), F.slice("raw", F.col("at") + 1, SIZE).alias("b")),
+        F.arrays_zip(F.col("item_canon").alias("c"), F.col("item_raw").alias("a"), F.col("raw").alias("b")),
         lambda x: x["c"].isin(_NAME, _NUMBER, _UNIT),
     )
     hit = settle(hit.select("key", "print", "item", "item_print", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"),

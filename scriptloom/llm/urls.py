@@ -94,13 +94,13 @@ def _passed(now: DataFrame) -> DataFrame:
 def _grown(now: DataFrame) -> DataFrame:
     """``now`` one branching further down."""
     ahead = now.withColumns({"s": F.get("segments", F.col("depth")), "b": F.coalesce(F.concat(F.lit("/"), F.get("segments", F.col("depth") + 1)), F.lit(""))})
-    kids = ahead.groupBy("node", "s").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    size = kids.agg(F.sum("rows"), F.max("rows")).first()
-    hot = size[1] > max(size[0] // common.HOT_SHARE, common.HOT_ROWS)
-    meet = lambda facts: join_by_key(ahead, settle(facts), ["node", "s"], "rows") if hot else ahead.join(facts, ["node", "s"])
+    kids = settle(ahead.groupBy("node", "s").agg(F.sum("n").alias("n"), F.count("*").alias("rows")))
     tops = kids.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("children"))
     rare = (F.col("children") > MAX_CHILDREN) & (F.col("n") * MAX_CHILDREN < F.col("total"))
     named = kids.join(tops, "node").select("node", "s", "rows", "total", F.when(rare, "{*}").otherwise(F.col("s")).alias("t"))
+    size = kids.agg(F.sum("rows"), F.max("rows")).first()
+    hot = size[1] > max(size[0] // common.HOT_SHARE, common.HOT_ROWS)
+    meet = lambda facts: join_by_key(ahead, settle(facts), ["node", "s"], "rows") if hot else ahead.join(facts, ["node", "s"])
     spread = settle(
         meet(named).groupBy("node", "s", "t", "b", "total")
         .agg(*(F.sum(c).alias(c) for c in ("n", "bad", "known")), F.count("*").alias("paths"))

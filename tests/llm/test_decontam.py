@@ -123,3 +123,102 @@ def test_items_without_a_window_are_found_word_for_word(spark):
     found = leaks_of(spark, [d for d in docs if d[0]], items)
     assert found == [(1, 1, "verbatim"), (1, 6, "verbatim"), (3, 2, "verbatim")]
     assert decontam.leaks(spark.createDataFrame(docs[-1:], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 2
+
+
+UNIT_WORDS = {x for u in decontam.UNITS.split("|") for x in ((u[:-2], u[:-1]) if u.endswith("s?") else (u,))}
+
+
+def both_forms(text):
+    """(words, canonical words of the first form, of the wide form) by a loop over the words, which looks at each word and the one before."""
+    words = re.sub("[\x01-\x04]+", "", text or "").strip("\x20\t\n\x0b\x0c\r")
+    words = re.split("[\x20\x09-\x0D]+", words) if words else [""]
+    first, wide, number, wide_number, before = [], [], False, False, ""
+    for w in words:
+        bare = re.sub(r"[\W_]+", "", w).lower()
+        is_number = bool(re.match(r"^(?:\W|_)*[0-9]", w))
+        is_unit = not is_number and number and bool(re.match(rf"^(?:{decontam.UNITS})(?:\W|_)*$", w))
+        capital = bool(re.match(r"^[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:\W|_|\d)*$", w))
+        is_name = not is_number and not is_unit and capital and bool(re.search(r"[a-zß-öø-ÿ,;]$", before))
+        loose = bool(re.match(r"^(?:\W|_)*[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['\u2019]s)?(?:\W|_|\d)*$", w))
+        first.append("\x02" if is_number else "\x03" if is_unit else "\x01" if is_name else bare)
+        said = is_number or (not is_unit and bare in decontam._NUMBER_WORDS)
+        plain_unit = bare in UNIT_WORDS and not is_name and not loose and not is_unit
+        wide.append("\x02" if said else "\x01" if is_name or (loose and not is_unit) else "\x03" if is_unit or (plain_unit and wide_number) else bare)
+        number, wide_number, before = is_number, said, w
+    return words, first, wide
+
+
+def bare_value(w):
+    return re.sub(r"(?:['\u2019]s)?(?:\W|_)*$", "", re.sub(r"^(?:\W|_)+", "", w))
+
+
+def brute_wide(docs, items):
+    """(document, item, windows, matched) found by windows of either form, whether or not the first form finds them."""
+    slots = ("\x01", "\x02", "\x03")
+    plain = lambda c: sum(x not in ("", *slots) for x in c)
+    cut = lambda x, i: tuple(x[i : i + 5])
+    out = set()
+    for d, text in docs:
+        raw, *forms = both_forms(text)
+        for k, body in items:
+            item_raw, *own = both_forms(body)
+            eligible = [i for i in range(len(item_raw) - 4) if plain(cut(own[0], i)) >= 2]
+            shifts = {}
+            for i in eligible:
+                for j in range(len(raw) - 4):
+                    for a, mine in enumerate(own):
+                        for b, theirs in enumerate(forms):
+                            c = cut(mine, i)
+                            if c != cut(theirs, j) or a == 1 and own[0][i : i + 5] == list(c) or b == 1 and forms[0][j : j + 5] == list(c):
+                                continue  # the wide form counts where it differs
+                            pairs = [(t, bare_value(x), bare_value(y)) for t, x, y in zip(c, cut(item_raw, i), cut(raw, j)) if t in slots]
+                            if a == b == 0 or plain(c) >= 2 or not any(t == "\x01" and x != y for t, x, y in pairs):
+                                places, held = shifts.setdefault(j - i, (set(), set()))
+                                places.add(i)
+                                held |= {(x, y) for _, x, y in pairs}
+            good = [p for p, s in shifts.values() if len({x for x, _ in s}) == len(s)]
+            places = set().union(*good)
+            if eligible and len(places) >= 0.8 * len(eligible):
+                out.add((d, k, len(eligible), len(places)))
+    return out
+
+
+@pytest.mark.parametrize("limit, seed", [(0, 1), (100_000, 2), (0, 3), (100_000, 4)])
+def test_the_wide_form_against_brute_force(spark, limit, seed, monkeypatch):
+    """Questions of names, numbers in digits and words, units and punctuation, copied, re-parameterised, and broken by one inconsistent slot."""
+    import random
+
+    from scriptloom.llm import common
+
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", limit)
+    if not limit:
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 60)  # the hot windows' keys are broadcast, the rest is shuffled
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "HOT_SHARE", 30)
+    rng = random.Random(seed)
+    names, numbers = ["Anna", "Maria", "Eva", "Bob", "Ünal", "Zoë"], ["3", "12", "seven", "twelve", "twenty", "4.5"]
+    shapes = [
+        "{A} has {n} red apples. {B} takes {m} of them home. How many apples does {A} have now?", "Yesterday {A} ran {n} km in {m} hours. {A}'s friend {B} ran {m} miles. Who ran further?",
+        "\"{A} and {B} share {n} plums,\" says the oldest girl in the yard; {A} eats {m}.", "A box of {n} kg costs {m} dollars at {A}'s shop, while {B} sells {n} boxes.", "{A} {n} {m} {B} is it so",
+    ]
+    make = lambda: {"A": rng.choice(names), "B": rng.choice(names), "n": rng.choice(numbers), "m": rng.choice(numbers)}
+    items = [(i, rng.choice(shapes).format(**make())) for i in range(8)] + [(8, None), (9, "short one"), (10, ""), (11, shapes[0].format(**make()))]
+    filler = ["Intro words here.", "and so on", "They say:", "(", ""]
+    docs = [(i, f"{rng.choice(filler)} {rng.choice(shapes).format(**make())} {rng.choice(filler)}") for i in range(40)] + [(50, items[0][1]), (51, None), (52, ""), (None, items[1][1]), (53, items[2][1].upper())]
+    docs += [(60 + i, rng.choice(filler) + " " + items[i % 8][1].replace("apples", "apples", 1).replace("Anna", "Bob", 1)) for i in range(8)]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    strict, either = brute(docs, items), brute_wide(docs, items)
+    known = {x[:2] for x in strict}
+    want = {x[:4] for x in strict} | {x for x in either if x[:2] not in known}
+    assert {(r.key, r.item, r.windows, r.matched) for r in got if r.item != 9} == want
+    assert {x[:2] for x in either} - known, "some are found by the wide form alone"
+
+
+def test_long_items_without_windows_are_keyed_by_their_first_words(spark, monkeypatch):
+    numbers = " ".join(str(i) for i in range(500))
+    items = [(1, numbers + " word"), (2, "9 9 9 9 9 9 9 9 9 9 word"), (3, "x")]
+    docs = [(1, f"here {numbers} word, and more"), (2, f"{numbers} other"), (3, "9 " * 30 + "word"), (4, "X marks"), (5, "xx"), (6, None), (7, "9 9 9 word")]
+    for limit in (100_000, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+        monkeypatch.setattr(decontam, "BROADCAST_CHARS", limit)
+        assert leaks_of(spark, docs, items) == [(1, 1, "verbatim"), (3, 2, "verbatim"), (4, 3, "verbatim")]
