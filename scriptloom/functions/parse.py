@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptloom.functions.text import let
+
 _QUOTE_OPEN, _QUOTE_CLOSE = '["“]', '["”]'
 
 
@@ -44,22 +46,36 @@ def headed_sections(text: Column) -> Column:
     return F.transform(found, lambda s: F.struct(F.trim(F.regexp_replace(s["heading"], r"[*_#]|^\d+[.)]\s*", "")).alias("heading"), s["content"].alias("content")))
 
 
+def _nearest(levels: Column, more: int) -> Column:
+    """For each level of an array the place of the nearest one before it that is lower (or as low, with ``more`` 1), -1 if there is none; one pass."""
+    start = F.struct(F.array_repeat(F.lit(-1), 6).alias("last"), F.array().cast("array<int>").alias("out"))
+    step = lambda seen, x: F.struct(
+        F.transform(seen["last"], lambda v, p: F.when(p == x["level"] - 1, x["place"]).otherwise(v)).alias("last"),
+        F.concat(seen["out"], F.array(F.coalesce(F.array_max(F.slice(seen["last"], F.lit(1), x["level"] - 1 + more)), F.lit(-1)))).alias("out"),
+    )
+    return F.aggregate(F.transform(levels, lambda v, i: F.struct(v.alias("level"), i.alias("place"))), start, step, lambda seen: seen["out"])
+
+
 def all_sections(text: Column) -> Column:
     """Array of (ordinal, level, heading, parent, body, whole) of all headings with one to six hashes, in one scan of the text.
 
     ``parent`` is the ordinal of the nearest heading before with fewer hashes, null if there is none; ``body`` ends at the next heading, ``whole`` at the next one of as many hashes or fewer.
-    What stands before the first heading isn't in it. The text is cut at its headings once; levels and parents come from the heads of the pieces alone.
+    What stands before the first heading isn't in it. The text is cut at its headings once; parents and ends come from one pass each over the levels.
     """
-    pieces = F.filter(F.split(text, r"(?m)^(?=#{1,6}[ \t]+\S)"), lambda p: p.rlike(r"\A#{1,6}[ \t]+\S"))
-    level = lambda p: F.length(F.regexp_extract(p, r"\A(#{1,6})", 1))
-    heads = F.transform(pieces, lambda p, i: F.struct(
-        i.alias("ordinal"), level(p).alias("level"), F.trim(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("heading"), F.regexp_replace(p, r"\A[^\n]*\n?", "").alias("body")))
-    levels = F.transform(pieces, level)
-    before = lambda s: F.filter(F.sequence(F.lit(0), s["ordinal"]), lambda j: F.get(levels, j) < s["level"])
-    after = lambda s: F.filter(F.sequence(s["ordinal"], F.size(levels)), lambda j: (j > s["ordinal"]) & (F.coalesce(F.get(levels, j), F.lit(0)) <= s["level"]))
-    return F.transform(heads, lambda s: F.struct(
-        s["ordinal"].alias("ordinal"), s["level"].alias("level"), s["heading"].alias("heading"), F.array_max(before(s)).alias("parent"), s["body"].alias("body"),
-        F.concat(s["body"], F.array_join(F.slice(pieces, s["ordinal"] + 2, F.array_min(after(s)) - s["ordinal"] - 1), "")).alias("whole"),
+    cut = F.filter(F.split(text, r"(?m)^(?=#{1,6}[ \t]+\S)"), lambda p: p.rlike(r"\A#{1,6}[ \t]+\S"))
+    body = lambda p: F.regexp_replace(p, r"\A[^\n]*\n?", "")
+
+    def found(pieces: Column, levels: Column, parents: Column, ends: Column) -> Column:
+        n = F.size(pieces)
+        stop = lambda i: F.when(F.get(ends, n - 1 - i) < 0, n).otherwise(n - 1 - F.get(ends, n - 1 - i))
+        return F.transform(pieces, lambda p, i: F.struct(
+            i.alias("ordinal"), F.get(levels, i).alias("level"), F.trim(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("heading"),
+            F.when(F.get(parents, i) >= 0, F.get(parents, i)).alias("parent"), body(p).alias("body"), F.concat(body(p), F.array_join(F.slice(pieces, i + 2, stop(i) - i - 1), "")).alias("whole"),
+        ))
+
+    return let(cut, lambda pieces: let(
+        F.transform(pieces, lambda p: F.length(F.regexp_extract(p, r"\A(#{1,6})", 1))),
+        lambda levels: let(_nearest(levels, 0), lambda parents: let(_nearest(F.reverse(levels), 1), lambda ends: found(pieces, levels, parents, ends))),
     ))
 
 
@@ -122,9 +138,9 @@ def key_terms(text: Column) -> Column:
     """Array of (term, definition): headings and ``**Term**: text`` merged, the first spelling of a term wins."""
     headed = _all(text, r"(?ms)^###[ \t]+([^\n]+)\n(.*?)(?=^#|\z)", "term", "definition")
     bold = _all(text, r"(?m)^(?:[-*][ \t]+)?\*\*([^*\n:]+):?\*\*:?[ \t]*([^\n]*)$", "term", "definition")
-    placed = F.transform(F.concat(headed, bold), lambda t, i: F.struct(F.lower(t["term"]).alias("k"), i.alias("i"), t.alias("t")))
-    firsts = F.filter(placed, lambda x: ~F.exists(placed, lambda y: (y["k"] == x["k"]) & (y["i"] < x["i"])))
-    return F.transform(firsts, lambda x: x["t"])
+    placed = F.array_sort(F.transform(F.concat(headed, bold), lambda t, i: F.struct(F.lower(t["term"]).alias("k"), i.alias("i"), t.alias("t"))))
+    firsts = let(placed, lambda all_: F.filter(all_, lambda x, j: (j == 0) | (F.get(all_, j - 1)["k"] != x["k"])))  # of equal terms the first in its order
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
 
 
 def labelled_quotes(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ _STOPS = "[.,!?;:—\\-'\"()]"
 SPOKEN_FILLERS = ("so", "again", "just", "really", "uh", "um", "you know", "i mean", "like", "actually", "basically")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pieces(text: Column) -> Column:
     """What white space (Unicode) parts, with an empty piece before it at the start and after it at the end."""
     return F.split(text, _BLANK, -1)

@@ -48,23 +48,40 @@ def match(claims: DataFrame, docs: DataFrame, probes: Mapping[str, Column | str]
     return each.select(*(F.col(doc) if c == doc else F.col("claim_")[c].alias(c) for c in claims.columns), *(c.alias(n) for n, c in found.items()), *extra)
 
 
+#: Claims without an inner word are looked for in every text up to so many; beyond, texts and claims meet by GRAM characters first.
+EVERYWHERE, GRAM = 10_000, 3
+
+
 def exact_grounding(claims: DataFrame, docs: DataFrame, claim: str, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """Pairs of claims and documents that contain them word for word.
 
     A claim's longest word with white space on both sides is a whole word of every text that contains the claim, and keys the
     join: words meet on rows of key, hash and word alone, and the texts are joined once, for the pairs that are left. Claims without such a word are broadcast and looked
-    for in every text.
+    for in every text if they are EVERYWHERE at most; if there are more, their first GRAM characters are their key in the same way, and only shorter ones, of which there are few different ones, are broadcast.
     """
     inner = F.filter(F.slice(X.pieces(F.col(claim)), 2, F.greatest(F.size(X.pieces(F.col(claim))) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = claims.withColumn("w_", longest)
     inside = F.contains(F.col(text), F.col(claim))
-    key = keyed.filter("w_ IS NOT NULL")
-    each = docs.select(F.col(doc).alias("d_"), F.xxhash64(text).alias("h_"), F.explode(F.array_distinct(X.words(F.col(text)))).alias("w_"))
+    found = _keyed_pairs(keyed.filter("w_ IS NOT NULL"), docs, X.words(F.col(text)), text, doc).filter(inside)
+    bare = keyed.filter("w_ IS NULL").drop("w_")
+    if bare.count() > EVERYWHERE:
+        grams = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substr(F.col(text), i, F.lit(GRAM)))
+        long = bare.filter(F.length(claim) >= GRAM).withColumn("w_", F.left(claim, F.lit(GRAM)))
+        found = found.unionByName(_keyed_pairs(long, docs, F.when(F.length(text) >= GRAM, grams), text, doc).filter(inside))
+        bare = bare.filter(F.length(claim) < GRAM)
+        few = bare.select(claim).distinct()  # of short claims the different ones meet the texts, then all with those words
+        met = docs.join(F.broadcast(few), inside)
+        return found.unionByName(met.withColumnRenamed(claim, "same_").join(bare, F.col("same_") == F.col(claim)).drop("same_"))
+    return found.unionByName(docs.join(F.broadcast(bare), inside))
+
+
+def _keyed_pairs(key: DataFrame, docs: DataFrame, words: Column, text: str, doc: str) -> DataFrame:
+    """Documents beside the claims whose key ``w_`` is one of their ``words``."""
+    each = docs.select(F.col(doc).alias("d_"), F.xxhash64(text).alias("h_"), F.explode(F.array_distinct(words)).alias("w_"))
     pairs = each.join(key.select("w_").distinct(), "w_", "left_semi").distinct().join(key, "w_").drop("w_")
     have = docs.withColumn("h2_", F.xxhash64(text))
-    by_word = have.join(pairs, have[doc].eqNullSafe(pairs["d_"]) & (have["h2_"] == pairs["h_"])).drop("d_", "h_", "h2_").filter(inside)
-    return by_word.unionByName(docs.join(F.broadcast(keyed.filter("w_ IS NULL").drop("w_")), inside))
+    return have.join(pairs, have[doc].eqNullSafe(pairs["d_"]) & (have["h2_"] == pairs["h_"])).drop("d_", "h_", "h2_")
 
 
 def band(first: Column, second: Column, bands: tuple) -> Column:

@@ -267,3 +267,167 @@ def answers_once(spark, sf_dir):
     again = completion.answered_once(rows, "prompt", store, parts=2)
     asked = spark.read.parquet(store).agg(F.count("*").alias("asked"))
     return again.select("doc_id", F.col("answer.text").alias("answer")).crossJoin(F.broadcast(asked))
+
+
+_WORDS_OF = f"(SELECT doc_id, list_filter(string_split({_LETTERS}, ' '), lambda w: w <> '') AS w, length(coalesce(text, '')) AS c FROM documents)"
+
+
+def _worded(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.filter(F.split(_letters(), " "), lambda x: x != "").alias("w"), F.length(F.coalesce("text", F.lit(""))).alias("c"))
+
+
+def _lines(n, line):
+    """``line(i)`` for i from 0 on, ``n`` times, as one text."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), line), "")).otherwise(F.lit(""))
+
+
+@query(
+    "varied_topics",
+    rf"""
+    WITH t AS (SELECT doc_id, doc_id % 3 AS f, list_transform(range(0, least(c % 7, len(w))), lambda i: {{'i': i, 'name': 'T' || i || ' ' || w[i + 1], 'p': (length(w[i + 1]) * 7 + i * 3) % 40}}) AS t FROM {_WORDS_OF}),
+    r AS (SELECT doc_id, f, list_filter(t, lambda x: x.p >= 5) AS strict, list_transform(t, lambda x: {{'i': x.i, 'name': x.name, 'p': greatest(5, 100 - x.i * 10)}}) AS ranked FROM t),
+    x AS (SELECT doc_id, CASE WHEN f = 0 AND len(strict) > 0 THEN strict ELSE ranked END AS x FROM r)
+    SELECT doc_id, array_to_string(list_transform(x, lambda y: y.name || ':' || y.p), ',') AS topics,
+           array_to_string(list_transform(list_sort(list_transform(x, lambda y: {{'k': -y.p, 'i': y.i, 'name': y.name}}))[1:5], lambda y: y.name || ':' || -y.k), ',') AS largest FROM x
+    """,
+)
+def varied_topics(spark, sf_dir):
+    """Topics in one of three formats, none to six of them, named after the text's words; shares that are too small, and ranks for shares."""
+    n = F.least(F.col("c") % 7, F.size("w"))
+    word = lambda i: F.get("w", i)
+    name = lambda i: F.concat(F.lit("T"), i.cast("string"), F.lit(" "), word(i))
+    share = lambda i: ((F.length(word(i)) * 7 + i * 3) % 40).cast("string")
+    strict = _lines(n, lambda i: F.concat(F.lit("### "), name(i), F.lit("\nAbout "), word(i), F.lit("\n*_"), share(i), F.lit("% of it; Sections 1-3_*\n\n")))
+    heads = _lines(n, lambda i: F.concat(F.lit("### "), name(i), F.lit("\nAbout "), word(i), F.lit("\n\n")))
+    entries = _lines(n, lambda i: F.concat(F.lit("- **"), name(i), F.lit("**: about "), word(i), F.lit("\n")))
+    f = F.col("doc_id") % 3
+    text = _text("## Topics\n\n", F.when(f == 0, strict).when(f == 1, heads).otherwise(entries), "\n## Next\n\n### Not one\n")
+    found = parse.topics(parse.section(F.col("t"), "Topics"))
+    told = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["name"], x["percentage"].cast("string"))), ",")
+    return _worded(spark, sf_dir).withColumn("t", text).select("doc_id", told(found).alias("topics"), told(parse.top_topics(found)).alias("largest"))
+
+
+@query(
+    "varied_terms",
+    rf"""
+    WITH t AS (SELECT doc_id, c, w[1:c % 6] AS head, list_transform(w[c % 4 + 1:c % 9], lambda x: upper(x)) AS bold FROM {_WORDS_OF}),
+    a AS (SELECT doc_id, c, list_concat(head, bold) AS all_, head FROM t)
+    SELECT doc_id, array_to_string(list_filter(all_, lambda x, i: list_position(list_transform(all_, lambda y: lower(y)), lower(x)) = i), ',') AS terms,
+           array_to_string(list_transform(head, lambda x, i: x || '=about ' || i || '=' || CASE WHEN i % 2 = 1 THEN i || '-' || (i + c % 3) ELSE '' END), ';') AS themes,
+           array_to_string(list_transform(head, lambda x, i: CASE WHEN i % 2 = 1 THEN array_to_string(range(i, i + c % 3 + 1), ' ') ELSE '' END), ';') AS sections
+    FROM a
+    """,
+)
+def varied_terms(spark, sf_dir):
+    """Key terms as headings and bold lines, of which some name the same term in capitals; themes with and without the sections that they come from."""
+    head = F.slice("w", F.lit(1), F.col("c") % 6)
+    bold = F.slice("w", F.col("c") % 4 + 1, F.greatest(F.col("c") % 9 - F.col("c") % 4, F.lit(0)))
+    terms = _text(F.array_join(F.transform(head, lambda x: F.concat(F.lit("### "), x, F.lit("\nfirst\n"))), ""), F.array_join(F.transform(bold, lambda x: F.concat(F.lit("**"), F.upper(x), F.lit("**: second\n"))), ""))
+    source = lambda i: F.when(i % 2 == 0, F.concat(F.lit("Source Sections: "), (i + 1).cast("string"), F.lit("-"), (i + 1 + F.col("c") % 3).cast("string"), F.lit("\n"))).otherwise("")
+    themes = F.array_join(F.transform(head, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". **"), x, F.lit("**: about "), (i + 1).cast("string"), F.lit("\n"), source(i))), "")
+    rows = _worded(spark, sf_dir).withColumn("t", _text("# Plan\n\n## Key Terms\n", terms, "\n## Interpretive Themes\n", themes, "\n# End\n**Not**: here\n"))
+    got = parse.themes(parse.section(F.col("t"), "Interpretive Themes"))
+    trimmed = lambda c: F.trim(c, F.lit(" \n"))
+    return rows.select(
+        "doc_id", F.array_join(F.transform(parse.key_terms(parse.section(F.col("t"), "Key Terms")), lambda x: x["term"]), ",").alias("terms"),
+        F.array_join(F.transform(got, lambda x: F.concat_ws("=", x["name"], trimmed(x["description"]), x["sections"])), ";").alias("themes"),
+        F.array_join(F.transform(got, lambda x: F.array_join(F.transform(parse.section_range(x["sections"]), lambda n: n.cast("string")), " ")), ";").alias("sections"),
+    )
+
+
+@query(
+    "whole_files",
+    rf"SELECT l AS lang, sum(length(text) + 1)::BIGINT AS n_chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, count(*) FILTER (contains(text, 'the '))::BIGINT AS n_the, TRUE AS listed FROM {_D} GROUP BY l",
+)
+def whole_files(spark, sf_dir):
+    """Texts written as files, read whole, checked and listed: characters and lines of each language, and a folder of names without texts."""
+    folder = scratch(spark, "files")
+    docs = _docs(spark, sf_dir).select(F.coalesce("lang", F.lit("xx")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("lang").text(folder)
+    files = artifacts.checked(artifacts.read_texts(spark, folder, "*.txt"))
+    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
+    sums = files.groupBy(lang.alias("lang")).agg(F.sum(F.length("text")).alias("n_chars"), F.sum(F.length(F.regexp_replace("text", "[^\n]", ""))).cast("long").alias("n_lines"))
+    the = docs.groupBy("lang").agg(F.count_if(F.contains("text", F.lit("the "))).alias("n_the"))
+    listed = artifacts.listing(spark, folder, "*.txt").select(lang.alias("lang")).distinct().withColumn("listed", F.lit(True))
+    return sums.join(the, "lang").join(listed, "lang", "left")
+
+
+@query(
+    "lexicon_terms",
+    """
+    WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN '# ' ELSE '  ' END || p_name || CASE WHEN p_partkey % 4 = 1 THEN '.' ELSE '' END AS line FROM part),
+    t AS (SELECT lower(trim(line)) AS term FROM l WHERE NOT starts_with(trim(line), '#'))
+    SELECT term, regexp_replace(term, '[.]$', '') IN (SELECT regexp_replace(regexp_replace(term, '[#*_`]', '', 'g'), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') FROM t) AS skipped FROM t
+    """,
+)
+def lexicon_terms(spark, sf_dir):
+    """A lexicon and a list of words to skip, from lines with comments, blanks and punctuation."""
+    key = F.col("p_partkey") % 4
+    lines = table(spark, sf_dir, "part", "p_partkey", "p_name").select(F.concat(F.when(key == 0, "# ").otherwise("  "), F.col("p_name"), F.when(key == 1, ".").otherwise("")).alias("value")).distinct()
+    lines.write.text(folder := scratch(spark, "lexicon"))
+    words = artifacts.skip_words(spark, folder).withColumn("skipped", F.lit(True))
+    terms = artifacts.lexicon(spark, folder)
+    return terms.withColumn("word", F.regexp_replace("term", "[.]$", "")).join(words, "word", "left").select("term", F.coalesce("skipped", F.lit(False)).alias("skipped"))
+
+
+@query(
+    "kept_versions",
+    rf"""
+    WITH d AS (SELECT doc_id, text, length(text) % 3 AS k FROM {_D})
+    SELECT doc_id, v::INTEGER AS version, md5(CASE WHEN v = 0 OR k = 2 THEN 'draft ' || doc_id || ' one' WHEN v = 1 OR k = 1 THEN 'draft ' || doc_id || ' two' ELSE 'draft ' || doc_id || ' three' END || chr(10) || text) AS version_md5 FROM d, range(0, 3) t(v)
+    """,
+)
+def kept_versions(spark, sf_dir):
+    """Two rounds of patching in turn over whole texts, of which some change twice, some once and some never; every version is kept."""
+    docs = _docs(spark, sf_dir).select("doc_id", (F.length(F.coalesce("text", F.lit(""))) % 3).alias("k"), _text("draft ", _i(), " one\n", F.coalesce("text", F.lit(""))).alias("text"))
+
+    def find(now):
+        head = F.substring_index(F.col("text"), "\n", 1)
+        new = F.when(head.endswith(" one") & (F.col("k") < 2), F.replace(head, F.lit(" one"), F.lit(" two"))).when(head.endswith(" two") & (F.col("k") == 0), F.replace(head, F.lit(" two"), F.lit(" three")))
+        return now.select("doc_id", F.lit(0).alias("ordinal"), head.alias("original_text"), new.alias("suggested_correction")).filter("suggested_correction IS NOT NULL")
+
+    versions = patching.fixed_rounds(docs, find)
+    return versions.select("doc_id", "version", F.md5(F.col("text").cast("binary")).alias("version_md5"))
+
+
+class _Unsteady(completion.OfflineBackend):
+    """Fails at every second call: what Retrying is for."""
+
+    calls = 0
+
+    def complete(self, prompts):
+        _Unsteady.calls += 1
+        if _Unsteady.calls % 2:
+            raise ConnectionError("not now")
+        return super().complete(prompts)
+
+
+def _no_wait(_seconds):
+    return None
+
+
+@query(
+    "retried_answers",
+    r"""
+    SELECT doc_id, array_to_string(list_filter(string_split_regex(string_split(trim('Tell.' || chr(10) || chr(10) || coalesce(text, ''), E' \t\n\r\f\v'), chr(10) || chr(10))[-1], '[ \t\n\r\f\v]+'), lambda w: w <> '')[1:3], ' ') AS said FROM documents
+    """,
+)
+def retried_answers(spark, sf_dir):
+    """Answers of a backend that fails at every second call, asked again until it answers."""
+    rows = _docs(spark, sf_dir).select("doc_id", X.fill("Tell.\n\n{{ text }}", {"text": F.col("text")}).alias("prompt"))
+    got = completion.completed(rows, "prompt", completion.Retrying(_Unsteady(), 3, 0.0, _no_wait))
+    return got.select("doc_id", F.array_join(F.slice(F.filter(F.split("answer.text", " "), lambda w: w != ""), 1, 3), " ").alias("said"))
+
+
+@query(
+    "written_audits",
+    rf"""SELECT doc_id, CASE WHEN length(text) % 4 = 0 THEN -1 ELSE length(text) % 101 END AS score, CASE WHEN length(text) % 4 = 0 THEN '' ELSE s || ' "so"' END AS verdict FROM {_D}""",
+)
+def written_audits(spark, sf_dir):
+    """Audits read from answers, of which some can't be read, written as JSON lines and read back."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    answer = F.when(size % 4 == 0, F.lit("no verdict")).otherwise(_text("So: ```json\n", F.to_json(F.struct((size % 101).alias("overall_score"), _text(_s(), ' "so"').alias("verdict"))), "\n```"))
+    audits = _docs(spark, sf_dir).select("doc_id", parse.voice_audit(answer).alias("audit"))
+    artifacts.write_audits(audits, folder := scratch(spark, "audits"))
+    read = spark.read.schema("doc_id long, audit struct<overall_score: double, verdict: string>").json(folder)
+    return read.select("doc_id", F.coalesce(F.col("audit.overall_score").cast("long"), F.lit(-1)).alias("score"), F.coalesce("audit.verdict", F.lit("")).alias("verdict"))

@@ -17,7 +17,7 @@ from scriptloom.functions import text as X
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, name, text, length of whole files, without a byte-order mark."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     p = F.col("_metadata.file_path")
     return raw.select(p.alias("path"), F.url_decode(F.element_at(F.split(p, "/"), -1)).alias("name"), F.regexp_replace("value", "^﻿", "").alias("text"), F.col("_metadata.file_size").alias("length"))
 

@@ -244,10 +244,11 @@ def test_settings(spark):
 
 
 def test_artifacts(spark, tmp_path):
-    for n, t in (("A - B - 2020.txt", "\ufeffhello"), ("A - B - 2020_v2.txt", "two"), ("A - B - 2020_v10.txt", "ten"), ("note.md", "x")):
+    for n, t in (("A - B - 2020.txt", "\ufeffhello"), ("A - B - 2020_v2.txt", "two\nlines\n"), ("A - B - 2020_v10.txt", "ten"), ("note.md", "x")):
         (tmp_path / n).write_text(t)
     files = artifacts.read_texts(spark, str(tmp_path), "*.txt")
     assert {r.name: r.text for r in files.collect()}["A - B - 2020.txt"] == "hello"
+    assert {r.name: r.text for r in files.collect()}["A - B - 2020_v2.txt"] == "two\nlines\n" and files.count() == 3
     assert [(r.base, r.version, r.text) for r in artifacts.latest(files).collect()] == [("A - B - 2020", 10, "ten")]
     assert [r.name for r in artifacts.listing(spark, str(tmp_path), "*.md").collect()] == ["note.md"]
     assert [r.base for r in artifacts.base_names(files).collect()] == ["A - B - 2020"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from scriptloom.operators import grounding
 from scriptloom.plans import catalogue
 
@@ -13,8 +15,10 @@ def test_prompts_hold_whole_texts(spark, tmp_path):
     assert got == {1: len("lastparagraphofall") // 4, 2: 5000 // 4, 3: len("shorttext") // 4}
 
 
-def test_claims_are_found_wherever_texts_hold_them(spark):
-    claims = ["Where are the keys now", "Where are", "keys", " padded claim", "padded claim ", "a\u2003b c", "", None, "the the the", "Where are the keys now"]
+@pytest.mark.parametrize("everywhere", [10_000, 0])
+def test_claims_are_found_wherever_texts_hold_them(spark, everywhere, monkeypatch):
+    monkeypatch.setattr(grounding, "EVERYWHERE", everywhere)
+    claims = ["Where are the keys now", "Where are", "keys", " padded claim", "padded claim ", "a\u2003b c", "", None, "ey", "k", "the the the", "Where are the keys now"]
     texts = ['He asked "Where are the keys now?"', "(Where are the keys nowhere)", "-Where are the  keys now", "monkeyskin", "x padded claim y", "xpadded claimy", "za\u2003b cz", "", None, "bathe the them", "Where are"]
     left = spark.createDataFrame(list(enumerate(claims)), "item_id long, claim string")
     right = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
