@@ -170,6 +170,21 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / CHARS_PER_TOKEN).cast("long")
 
 
+def is_large(text: Column) -> Column:
+    """A text that is worth a cache of its own."""
+    return F.length(text) > LARGE_TEXT
+
+
+def ends_well(text: Column) -> Column:
+    """The last hundred characters end a sentence."""
+    return F.trim(F.right(text, F.lit(100))).rlike(r"""[.!?"']\z""")
+
+
+def cut_off(text: Column) -> Column:
+    """The text holds a marker of a text that was cut off, in any case."""
+    return let(F.lower(text), lambda low: F.exists(F.array(*(F.lit(m.lower()) for m in TRUNCATION_MARKERS)), lambda m: F.contains(low, m)))
+
+
 def over_budget(text: Column, most: int) -> Column:
     return token_estimate(text) > most * BUDGET_SHARE
 

@@ -71,10 +71,9 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 )
 def document_quality(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
-    cut = F.exists(F.array(*(F.lit(m.lower()) for m in X.TRUNCATION_MARKERS)), lambda m: F.contains(F.lower(text), m))
     return _docs(spark, sf_dir).select(
         "doc_id", X.word_count(text).alias("n_words"), X.token_estimate(text).alias("n_tokens"), X.over_budget(text, 8000).alias("over_budget"),
-        (F.length(text) > X.LARGE_TEXT).alias("large"), F.trim(F.right(text, F.lit(100))).rlike(r"""[.!?"']\z""").alias("ends_well"), cut.alias("cut_off"),
+        X.is_large(text).alias("large"), X.ends_well(text).alias("ends_well"), X.cut_off(text).alias("cut_off"),
     )
 
 
@@ -521,14 +520,18 @@ def turn_share(spark, sf_dir):
 @query(
     "notable_exchanges",
     r"""
-    SELECT conv_id, turn, left(string_split(regexp_replace(trim(text), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(31), 'g'), chr(31))[1], 100) AS opening
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user' AND length(trim(text)) > 200) WHERE r <= 3
+    SELECT conv_id, r AS ordinal, left(string_split(regexp_replace(trim(text, E' \n'), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(31), 'g'), chr(31))[1], 100) AS opening
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations WHERE role = 'user' AND length(trim(text, E' \n')) > 200) WHERE r < 3
     """,
 )
 def notable_exchanges(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & (F.length(F.trim("text")) > 200))
-    first = turns.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).filter("r <= 3")
-    return first.select("conv_id", "turn", F.left(F.get(X.sentences(F.trim("text")), F.lit(0)), F.lit(100)).alias("opening"))
+    """Openings of long turns of those who ask, in conversations as texts whose other speakers are doctors."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = F.trim(F.coalesce("text", F.lit("")), F.lit(" \n"))
+    line = F.concat(F.lit("**"), F.when(F.col("role") == "user", "Guest").otherwise("Dr Lee"), F.lit(":** "), said, F.lit("\n\n"))
+    texts = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "").alias("t"))  # of one conversation
+    rows = texts.select("conv_id", F.posexplode(questions.notable_exchanges(F.col("t"))).alias("ordinal", "opening"))
+    return rows.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 # -- pages
