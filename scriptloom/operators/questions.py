@@ -100,5 +100,6 @@ def qa_topics(text: Column) -> Column:
 def notable_exchanges(text: Column, most: int = 3) -> Column:
     """First sentences (100 characters) of long turns of speakers without a doctor's title."""
     groups = [F.regexp_extract_all(text, F.lit(r"(?s)\*\*([^*\n]+?):\*\*(.*?)(?=\*\*[^*\n]+?:\*\*|\z)"), F.lit(i)).alias(n) for i, n in ((1, "who"), (2, "said"))]
-    turns = F.filter(F.arrays_zip(*groups), lambda t: (F.length(F.trim(t["said"])) > 200) & ~F.contains(t["who"], F.lit("Dr")))
-    return F.slice(F.transform(turns, lambda t: F.left(F.get(F.split(F.trim(t["said"]), r"(?<=[.!?])\s+"), F.lit(0)), F.lit(100))), 1, most)
+    strip = lambda c: F.trim(c, F.lit(" \t\n\r\f\x0b"))
+    turns = F.filter(F.arrays_zip(*groups), lambda t: (F.length(strip(t["said"])) > 200) & ~F.contains(t["who"], F.lit("Dr")))
+    return F.slice(F.transform(turns, lambda t: F.left(F.get(F.split(strip(t["said"]), r"(?<=[.!?])\s+"), F.lit(0)), F.lit(100))), 1, most)
