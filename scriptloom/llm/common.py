@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of the window and shingle operators: maximal runs without ASCII white space, unchanged.
@@ -161,3 +162,20 @@ def labelled_sample(
     rows = docs.filter(F.length(text).between(1, max_chars)).select(F.col(key).alias("key"), F.col(text).alias("body"))
     got = rows.join(side, "key").select("label", "key", "body").collect()
     return sorted(((r["label"], r["key"], r["body"]) for r in got), key=lambda r: (str(r[0]), r[1], r[2]))
+
+
+def ranked_sample(docs: DataFrame, agreed_labels: DataFrame, per_label: int, max_chars: int, text: str = "text", key: str = "doc_id") -> list[tuple]:
+    """``labelled_sample`` of any number of labels, which are never collected: the first rows of each label in the order of a hash, round by round through the labels, until ``per_label`` of each or SAMPLE_TOTAL characters are reached.
+
+    With more labels than rows that fit, some have none.
+    """
+    order = F.xxhash64(F.col("key").cast("string"))
+    rank = F.row_number().over(W.partitionBy("label").orderBy(order, "key"))
+    picked = agreed_labels.withColumn("rank", rank).filter(F.col("rank") <= per_label)
+    ids = picked.orderBy("rank", order, "label", "key").limit(max(1, SAMPLE_TOTAL // max_chars)).select("label", "key").collect()
+    if not ids:
+        return []
+    chosen = docs.sparkSession.createDataFrame(ids, agreed_labels.select("label", "key").schema)
+    rows = docs.filter(F.length(text).between(1, max_chars)).select(F.col(key).alias("key"), F.col(text).alias("body"))
+    got = rows.join(F.broadcast(chosen), "key").select("label", "key", "body").collect()
+    return sorted(((r["label"], r["key"], r["body"]) for r in got), key=lambda r: (str(r[0]), r[1], r[2]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.common import agreed, fold, labelled_sample, read, slices, tidy
+from scriptloom.llm.common import agreed, fold, ranked_sample, read, slices, tidy
 
 #: Learning takes at most this many texts a language, of at most this many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 20_000
@@ -182,9 +182,7 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> LanguageModel:
     """Learn from the texts with a language, a bounded sample of them (see SAMPLE_ROWS)."""
-    known = agreed(docs.select(key, lang), lang, key)
-    values = sorted(r["label"] for r in known.select("label").distinct().collect())  # languages, not rows
-    rows = labelled_sample(docs, known, values, SAMPLE_ROWS, SAMPLE_CHARS, text, key)
+    rows = ranked_sample(docs, agreed(docs.select(key, lang), lang, key), SAMPLE_ROWS, SAMPLE_CHARS, text, key)
     texts: dict[str, list[bytes]] = {}
     for label, _, body in rows:
         texts.setdefault(label, []).append(body.encode("utf-8", "surrogatepass"))

@@ -246,3 +246,17 @@ def test_dictionaries_hold_all_learning_texts():
 def test_languages_of_an_empty_table(spark):
     model = language.learn({"en": [b"word and words"]})
     assert language.identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_samples_of_any_number_of_labels(spark, monkeypatch):
+    """The same rows as with labels that are known beforehand; with many of them no more than fit, taken in turn."""
+    rows = [(i, f"text {i}", f"l{i % 3}") for i in range(200)] + [(7, "again", "l1"), (8, "other", "l0"), (900, None, "l0"), (901, "", "l1"), (902, "x" * 50, "l2"), (903, "none", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = common.agreed(df.select("doc_id", "lang"), "lang")
+    values = sorted(r["label"] for r in known.select("label").distinct().collect())
+    assert common.ranked_sample(df, known, 20, 30) == common.labelled_sample(df, known, values, 20, 30)
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 100}") for i in range(1000)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(common, "SAMPLE_TOTAL", 30 * 40)
+    got = common.ranked_sample(many, common.agreed(many.select("doc_id", "lang"), "lang"), 20, 30)
+    assert len(got) == 40 == len({r[0] for r in got})
+    assert common.ranked_sample(df.limit(0), common.agreed(df.limit(0).select("doc_id", "lang"), "lang"), 20, 30) == []
