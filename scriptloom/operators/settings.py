@@ -38,25 +38,47 @@ class Settings:
     chars_per_token: int = 4
     budget_margin: float = 0.8
     usage_warning: float = 0.9
-
-
-#: (name, low, high), both allowed; names not listed have only to be positive
-RANGES = (
-    ("fuzzy_threshold", 0, 1), ("fuzzy_early_stop", 0, 1), ("fuzzy_auto_apply", 0, 1), ("fuzzy_review", 0, 1), ("fuzzy_reject", 0, 1), ("stall_threshold", 0, 1),
-    ("mismatch_tolerance", 0, 0.5), ("opening_share", 0, 0.5), ("closing_share", 0, 0.5), ("qa_share", 0, 0.5), ("abstract_share", 0, 0.5), ("budget_margin", 0, 1), ("usage_warning", 0, 1),
-    ("chunk_size", 100, 100_000), ("lookahead", 1, 100), ("max_iterations", 1, 100), ("chars_per_token", 1, 16),
-)
-#: (smaller, larger)
+    max_stalled: int = 2
+    fuzzy_hallucination: float = 0.85
+    extracts_min_share: float = 0.04
+    extracts_target_share: float = 0.07
+    extracts_words: int = 150
+    extracts_words_from: int = 1000
+    extracts_words_least: int = 50
+    extracts_chars: int = 500
+    key_terms_chars: int = 100
+    blog_chars: int = 1000
+    abstract_chars: int = 50
+    temperature_strict: float = 0.0
+    temperature_analysis: float = 0.2
+    temperature_balanced: float = 0.3
+    temperature_creative: float = 0.4
+    tokens_formatting: int = 32_000
+    tokens_summary: int = 32_000
+    tokens_extraction: int = 8192
+    tokens_audit: int = 2000
+    tokens_headers: int = 32_000
+    timeout_formatting: int = 1200
+    timeout_summary: int = 900
+    timeout_default: int = 300
+
+
+#: Shares, ratios and temperatures: from 0 to 1, both allowed. All other settings have to be positive.
+RANGES = tuple((f.name, 0, 1) for f in fields(Settings) if f.type == "float")
+#: (smaller, larger, whether they may be equal)
 ORDERS = (
-    ("fuzzy_threshold", "fuzzy_early_stop"), ("chunk_overlap", "chunk_size"), ("context_min_words", "context_max_words"), ("fuzzy_reject", "fuzzy_review"), ("fuzzy_review", "fuzzy_auto_apply"),
+    ("fuzzy_threshold", "fuzzy_early_stop", True), ("chunk_overlap", "chunk_size", False), ("context_min_words", "context_max_words", False), ("fuzzy_reject", "fuzzy_review", True),
+    ("fuzzy_review", "fuzzy_auto_apply", True), ("extracts_min_share", "extracts_target_share", True),
 )
+#: Shares that leave less than half for the rest if they sum to more than this.
+PARTS, MOST_PARTS = ("opening_share", "closing_share", "qa_share"), 0.5
 
 
 #: (name, low, high): beyond, a setting is allowed but doubtful
-DOUBTS = (("chunk_size", 500, 10_000), ("transcript_min_words", 100, 100_000), ("blog_min_words", 100, 10_000), ("abstract_min_words", 50, 1_000), ("summary_words", 100, 5_000))
+DOUBTS = (("chunk_size", 500, 10_000), ("transcript_min_words", 100, 100_000), ("blog_min_words", 100, 10_000), ("abstract_min_words", 50, 1_000), ("summary_words", 100, 5_000),
+          *((f.name, 1, 200_000) for f in fields(Settings) if f.name.startswith("tokens_")), *((f.name, 10, 86_400) for f in fields(Settings) if f.name.startswith("timeout_")))
 #: settings that count something
-WHOLE = ("fuzzy_prefix", "chunk_size", "chunk_overlap", "context_min_words", "context_max_words", "unique_words", "max_iterations", "lookahead", "abstract_min_words", "summary_words",
-         "transcript_min_words", "blog_min_words", "chars_per_token")
+WHOLE = tuple(f.name for f in fields(Settings) if f.type == "int" and not f.name.startswith("timeout_"))
 MOST_TOKENS, LEAST_TIMEOUT = 200_000, 10
 
 
@@ -88,7 +110,26 @@ def doubts(spark: SparkSession, settings: Settings | dict) -> DataFrame:
     values = spark.createDataFrame([(n, number(v)) for n, v in given.items()], "name string, value double")
     usual = spark.createDataFrame([(n, float(a), float(z)) for n, a, z in DOUBTS], "name string, low double, high double")
     out = values.join(F.broadcast(usual), "name").filter(~F.col("value").between(F.col("low"), F.col("high"))).select(F.lit("usual").alias("rule"), "name", F.format_string("outside [%s, %s]", "low", "high").alias("message"))
-    return out.unionByName(values.filter(F.col("name").isin(*WHOLE) & (F.col("value") != F.floor("value"))).select(F.lit("whole").alias("rule"), "name", F.lit("not a whole number").alias("message")))
+    shares = values.filter(F.col("name").isin(*PARTS)).agg(F.sum("value").alias("s")).filter(F.col("s") > MOST_PARTS)
+    shares = shares.select(F.lit("shares").alias("rule"), F.lit(PARTS[0]).alias("name"), F.format_string("parts sum to %s", F.round("s", 6)).alias("message"))
+    whole = values.filter(F.col("name").isin(*WHOLE) & (F.col("value") != F.floor("value"))).select(F.lit("whole").alias("rule"), "name", F.lit("not a whole number").alias("message"))
+    return out.unionByName(whole).unionByName(shares)
+
+
+def set_violations(sets: DataFrame, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """rule, severity, name, message of settings that are sets (name, values as an array): a missing one is an error, an empty one a warning; values that ``known`` lacks for the name are errors."""
+    allowed = F.create_map(*(x for k, v in (known or {}).items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if known else F.lit(None).cast("map<string,array<string>>")
+    rows = sets.withColumns({"ok_": allowed[F.col("name")], "odd_": F.array_except(F.coalesce("values", F.array().cast("array<string>")), F.coalesce(allowed[F.col("name")], F.array().cast("array<string>")))})
+    bad = (F.when(F.col("values").isNull(), F.struct(F.lit("error").alias("severity"), F.lit("no set").alias("message")))
+           .when(F.size("values") == 0, F.struct(F.lit("warning").alias("severity"), F.lit("empty").alias("message")))
+           .when(F.col("ok_").isNotNull() & (F.size("odd_") > 0), F.struct(F.lit("error").alias("severity"), F.concat(F.lit("unknown: "), F.array_join(F.array_sort("odd_"), ", ")).alias("message"))))
+    return rows.withColumn("b_", bad).filter("b_ IS NOT NULL").select(F.lit("set").alias("rule"), "b_.severity", "name", "b_.message")
+
+
+def missing_files(wanted: DataFrame, listing: DataFrame, name: str = "name", file: str = "file") -> DataFrame:
+    """rule, severity, name, message of files that settings name (name, file) and a listing (name) lacks."""
+    have = listing.select(F.col(name).alias(file)).distinct()
+    return wanted.join(have, file, "left_anti").select(F.lit("file").alias("rule"), F.lit("warning").alias("severity"), "name", F.concat(F.lit("missing: "), F.coalesce(F.col(file), F.lit("null"))).alias("message"))
 
 
 def violations(spark: SparkSession, settings: Settings | dict) -> DataFrame:
@@ -108,11 +149,12 @@ def table_violations(rows: DataFrame, profile: str = "profile") -> DataFrame:
     values = rows.select(F.col(profile).alias("profile"), "name", F.expr("try_cast(value AS double)").alias("value"))
     values = values.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     ranges = F.broadcast(spark.createDataFrame([(n, float(a), float(b)) for n, a, b in RANGES], "name string, low double, high double"))
-    orders = F.broadcast(spark.createDataFrame(list(ORDERS), "name string, other string"))
+    orders = F.broadcast(spark.createDataFrame(list(ORDERS), "name string, other string, equal boolean"))
     no_number = values.filter("value IS NULL").select("profile", F.lit("number").alias("rule"), "name", F.lit("not a number").alias("message"))
     out = values.join(ranges, "name").filter(~F.col("value").between(F.col("low"), F.col("high")))
     out = out.select("profile", F.lit("range").alias("rule"), "name", F.format_string("%s is not in [%s, %s]", "value", "low", "high").alias("message"))
     positive = values.join(ranges, "name", "left_anti").filter("value <= 0").select("profile", F.lit("positive").alias("rule"), "name", F.format_string("%s", "value").alias("message"))
-    pair = values.join(orders, "name").join(values.select("profile", F.col("name").alias("other"), F.col("value").alias("most")), ["profile", "other"]).filter("value >= most")
-    pair = pair.select("profile", F.lit("order").alias("rule"), "name", F.concat(F.lit("not below "), F.col("other")).alias("message"))
-    return no_number.unionByName(out).unionByName(positive).unionByName(pair)
+    pair = values.join(orders, "name").join(values.select("profile", F.col("name").alias("other"), F.col("value").alias("most")), ["profile", "other"]).filter("value > most OR (value = most AND NOT equal)")
+    pair = pair.select("profile", F.lit("order").alias("rule"), "name", F.concat(F.when(F.col("equal"), "above ").otherwise("not below "), F.col("other")).alias("message"))
+    whole = values.filter(F.col("name").isin(*WHOLE) & (F.col("value") != F.floor("value"))).select("profile", F.lit("whole").alias("rule"), "name", F.lit("not a whole number").alias("message"))
+    return no_number.unionByName(out).unionByName(positive).unionByName(pair).unionByName(whole)

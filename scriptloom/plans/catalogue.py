@@ -620,7 +620,8 @@ def offline_completion(spark, sf_dir):
     SELECT profile, 'number' AS rule, 'lookahead' AS name FROM s WHERE word
     UNION ALL SELECT profile, 'range', 'fuzzy_threshold' FROM s WHERE threshold NOT BETWEEN 0 AND 1
     UNION ALL SELECT profile, 'positive', 'abstract_min_words' FROM s WHERE least <= 0
-    UNION ALL SELECT profile, 'order', 'fuzzy_threshold' FROM s WHERE threshold >= 0.98
+    UNION ALL SELECT profile, 'order', 'fuzzy_threshold' FROM s WHERE threshold > 0.9
+    UNION ALL SELECT profile, 'whole', 'summary_words' FROM s WHERE profile % 4 <> 0
     UNION ALL SELECT profile, 'order', 'chunk_overlap' FROM s WHERE overlap >= 1500
     UNION ALL SELECT profile, 'positive', 'chunk_overlap' FROM s WHERE overlap <= 0
     """,
@@ -629,7 +630,7 @@ def settings_violations(spark, sf_dir):
     """What is wrong with the settings of each supplier, some of which come from its row."""
     rows = table(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal", "s_nationkey").withColumn("profile", F.col("s_suppkey"))
     own = {
-        "fuzzy_threshold": F.col("s_acctbal").cast("double") / 10_000, "fuzzy_early_stop": F.lit(0.98), "chunk_overlap": F.col("s_nationkey") * 100, "chunk_size": F.lit(1500),
+        "fuzzy_threshold": F.col("s_acctbal").cast("double") / 10_000, "fuzzy_early_stop": F.lit(0.9), "summary_words": F.lit(600) + F.col("profile") / 4, "chunk_overlap": F.col("s_nationkey") * 100, "chunk_size": F.lit(1500),
         "abstract_min_words": F.col("profile") % 3 - 1, "lookahead": F.when(F.col("profile") % 5 == 0, "ten").otherwise("10"),
     }
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in own.items()))).alias("p")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import parse
 from scriptloom.functions import text as X
-from scriptloom.operators import completion, generation, grounding, pages, patching
+from scriptloom.operators import completion, generation, grounding, pages, patching, settings
 from scriptloom.plans.catalogue import query
 from scriptloom.plans.derived import _D, _docs, _i, _rows, _s, _text
 from scriptloom.sources import artifacts
@@ -431,3 +431,28 @@ def written_audits(spark, sf_dir):
     artifacts.write_audits(audits, folder := scratch(spark, "audits"))
     read = spark.read.schema("doc_id long, audit struct<overall_score: double, verdict: string>").json(folder)
     return read.select("doc_id", F.coalesce(F.col("audit.overall_score").cast("long"), F.lit(-1)).alias("score"), F.coalesce("audit.verdict", F.lit("")).alias("verdict"))
+
+
+@query(
+    "paths_and_sets",
+    """
+    WITH p AS (SELECT s_name AS name, s_suppkey % 5 <> 0 AS there, s_suppkey % 7 <> 0 AS folder, s_suppkey % 3 <> 0 AS writable, s_suppkey % 2 = 0 AS needed FROM supplier),
+    b AS (SELECT p_brand AS name, list_sort(list(DISTINCT CASE WHEN p_size <= 3 THEN 'level ' || p_size END)) AS v FROM part WHERE p_size <= 4 GROUP BY p_brand)
+    SELECT 'path' AS rule, CASE WHEN NOT there AND needed OR there AND NOT folder THEN 'error' ELSE 'warning' END AS severity, name, CASE WHEN NOT there THEN 'missing' WHEN NOT folder THEN 'no folder' ELSE 'not writable' END AS message
+    FROM p WHERE NOT (there AND folder AND writable)
+    UNION ALL SELECT 'set', CASE WHEN len(list_filter(v, lambda x: x IS NOT NULL)) = 0 THEN 'warning' ELSE 'error' END, name, CASE WHEN len(list_filter(v, lambda x: x IS NOT NULL)) = 0 THEN 'empty' ELSE 'unknown: level 3' END
+    FROM b WHERE len(list_filter(v, lambda x: x IS NOT NULL)) = 0 OR substr(name, 7)::INTEGER <= 12 AND list_contains(v, 'level 3')
+    UNION ALL SELECT 'file', 'warning', s_name, 'missing: ' || s_suppkey % 40 FROM supplier WHERE s_suppkey % 40 NOT IN (SELECT n_nationkey FROM nation)
+    """,
+)
+def paths_and_sets(spark, sf_dir):
+    """Paths, sets of levels and named files that settings may not have: of suppliers, brands and nations."""
+    n = F.col("s_suppkey")
+    supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    paths = supplier.select(F.col("s_name").alias("name"), (n % 5 != 0).alias("exists"), (n % 7 != 0).alias("folder"), (n % 3 != 0).alias("writable"), (n % 2 == 0).alias("needed"))
+    levels = F.collect_set(F.when(F.col("p_size") <= 3, F.concat(F.lit("level "), F.col("p_size").cast("string"))))
+    brands = table(spark, sf_dir, "part", "p_brand", "p_size").filter("p_size <= 4").groupBy(F.col("p_brand").alias("name")).agg(levels.alias("values"))
+    known = {f"Brand#{i}": ("level 1", "level 2") for i in range(1, 13)}
+    wanted = supplier.select(F.col("s_name").alias("name"), (n % 40).cast("string").alias("file"))
+    there = table(spark, sf_dir, "nation", "n_nationkey").select(F.col("n_nationkey").cast("string").alias("name"))
+    return settings.path_violations(paths).unionByName(settings.set_violations(brands, known)).unionByName(settings.missing_files(wanted, there))

@@ -623,3 +623,18 @@ def test_bands_and_books_of_any_size(spark):
     book = spark.range(12_000).select(F.format_string("m%05d", "id").alias("model"))
     models = spark.createDataFrame([("x", "m11999", 100, 60), ("y", "none", 100, 60)], "name string, model string, max_tokens int, timeout int")
     assert [(r.name, r.rule) for r in settings.model_violations(models, book).collect()] == [("y", "model")]
+
+
+def test_orders_shares_sets_and_files_of_settings(spark):
+    equal = settings.asdict(settings.Settings()) | {"fuzzy_review": 0.95, "fuzzy_reject": 0.95, "chunk_overlap": 1500, "max_stalled": 1.5, "temperature_creative": 1.2, "tokens_audit": 0}
+    assert {(r.rule, r.name) for r in settings.violations(spark, equal).collect()} == {("order", "chunk_overlap"), ("whole", "max_stalled"), ("range", "temperature_creative"), ("positive", "tokens_audit")}
+    odd = settings.asdict(settings.Settings()) | {"opening_share": 0.4, "tokens_summary": 250_000, "timeout_default": 5}
+    assert {(r.rule, r.name) for r in settings.doubts(spark, odd).collect()} == {("shares", "opening_share"), ("usual", "tokens_summary"), ("usual", "timeout_default")}
+    assert settings.doubts(spark, settings.Settings()).count() == 0
+    sets = spark.createDataFrame([("apply", ["high"]), ("review", ["medium", "odd"]), ("types", []), ("skip", None), ("free", ["any"])], "name string, values array<string>")
+    levels = {"apply": ("high", "medium", "low"), "review": ("high", "medium", "low")}
+    assert {(r.name, r.severity, r.message) for r in settings.set_violations(sets, levels).collect()} == {("review", "error", "unknown: odd"), ("types", "warning", "empty"), ("skip", "error", "no set")}
+    assert settings.set_violations(sets).count() == 2
+    wanted = spark.createDataFrame([("format", "a.md"), ("terms", "b.md"), ("none", None)], "name string, file string")
+    found = settings.missing_files(wanted, spark.createDataFrame([("a.md",), ("a.md",), ("c.md",)], "name string"))
+    assert {(r.name, r.message) for r in found.collect()} == {("terms", "missing: b.md"), ("none", "missing: null")}
