@@ -73,70 +73,88 @@ def segments(path: Column) -> Column:
     return F.transform(F.slice(F.split(path, "/", -1), F.lit(2), F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0))), typed)
 
 
+def _ends(rest: Column) -> list[Column]:
+    """First and last of the ways that lie ahead, as ``lo`` and ``hi``; all others lie between."""
+    return [F.min(rest).alias("lo"), F.max(rest).alias("hi")]
+
+
+def _shared(paths: str) -> tuple[Column, Column]:
+    """``common`` (null for none) and ``names``: the segments that all paths of a node have in common, by its ``lo`` and ``hi``."""
+    least = F.least(F.size("lo"), F.size("hi"))
+    n = F.array_min(F.filter(F.sequence(F.lit(0), least), lambda i: (i == least) | (F.get("lo", i) != F.get("hi", i))))
+    n = F.when((F.col(paths) > 1) & (n > 0), n)
+    return n.alias("common"), F.concat_ws("/", F.slice("lo", F.lit(1), F.coalesce(n, F.lit(0)))).alias("names")
+
+
 def _passed(now: DataFrame) -> DataFrame:
-    """``now`` (paths with the node they have reached) moved on over the segments that all paths of a node have in common.
+    """``now`` (paths with the node they have reached, its ``common`` and ``names``) moved on over the segments that all paths of a node have in common.
 
     A node of one child changes nothing but the smoothing of its purity, which is repeated for each segment; so a chain of such nodes is one step, however long it is.
     """
-    rest = F.slice("segments", F.col("depth") + 1, F.greatest(F.size("segments") - F.col("depth"), F.lit(0)))
-    ends = now.filter("paths > 1").groupBy("node").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))  # all others lie between
-    least = F.least(F.size("lo"), F.size("hi"))
-    shared = F.array_min(F.filter(F.sequence(F.lit(0), least), lambda i: (i == least) | (F.get("lo", i) != F.get("hi", i))))
-    ways = ends.select("node", shared.alias("common"), F.concat_ws("/", F.slice("lo", F.lit(1), shared)).alias("names")).filter("common > 0")
     smooth = F.aggregate(F.sequence(F.lit(1), F.col("common")), F.col("purity"), lambda p, _: (F.col("all_bad") + WEIGHT * p) / (F.col("seen") + WEIGHT))
     on = F.col("common").isNotNull()
-    return now.join(ways, "node", "left").withColumns({
+    return now.withColumns({
         "node": F.when(on, F.xxhash64("node", "names")).otherwise(F.col("node")), "template": F.when(on, F.concat_ws("/", "template", "names")).otherwise(F.col("template")),
         "purity": F.when(on, smooth).otherwise(F.col("purity")), "depth": F.col("depth") + F.coalesce("common", F.lit(0)),
     }).drop("common", "names")
 
 
 def _grown(now: DataFrame) -> DataFrame:
-    """``now`` one branching further down."""
+    """``now`` one branching further down, and over what its new nodes have in common.
+
+    The paths are read twice: counted by the two segments ahead, and joined with the facts of their child. All else is worked out on the counts, each
+    table written once: the driver holds the plan of every table that is derived anew.
+    """
     ahead = now.withColumns({"s": F.get("segments", F.col("depth")), "b": F.coalesce(F.concat(F.lit("/"), F.get("segments", F.col("depth") + 1)), F.lit(""))})
-    kids = settle(ahead.groupBy("node", "s").agg(F.sum("n").alias("n"), F.count("*").alias("rows")))
-    tops = kids.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("children"))
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+    rest = F.slice("segments", F.col("depth") + 2, F.size("segments") - F.col("depth") - 1)
+    cells = settle(ahead.groupBy("node", "s", "b").agg(*sums("n", "bad", "known"), F.count("*").alias("paths"), *_ends(rest)))
+    kids = settle(cells.groupBy("node", "s").agg(*sums("n"), F.sum("paths").alias("rows"), F.count("*").alias("cells")))
+    tops = settle(kids.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("children")))
     rare = (F.col("children") > MAX_CHILDREN) & (F.col("n") * MAX_CHILDREN < F.col("total"))
-    named = kids.join(tops, "node").select("node", "s", "rows", "total", F.when(rare, "{*}").otherwise(F.col("s")).alias("t"))
-    size = kids.agg(F.sum("rows"), F.max("rows")).first()
-    hot = size[1] > max(size[0] // common.HOT_SHARE, common.HOT_ROWS)
-    meet = lambda facts: join_by_key(ahead, settle(facts), ["node", "s"], "rows") if hot else ahead.join(facts, ["node", "s"])
-    spread = settle(
-        meet(named).groupBy("node", "s", "t", "b", "total")
-        .agg(*(F.sum(c).alias(c) for c in ("n", "bad", "known")), F.count("*").alias("paths"))
-    )
-    by_end = spread.groupBy("node", "t", "b", "total").agg(F.sum("n").alias("n"))
+    named = kids.join(tops, "node").select("node", "s", "rows", "cells", "total", F.when(rare, "{*}").otherwise(F.col("s")).alias("t"))
+    size = kids.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("rows", "cells") for f in (F.sum, F.max))).first()
+
+    def meet(rows: DataFrame, facts: DataFrame, n: str) -> DataFrame:
+        hot = size[f"max_{n}"] > max(size[f"sum_{n}"] // common.HOT_SHARE, common.HOT_ROWS)
+        return join_by_key(rows, settle(facts), ["node", "s"], n) if hot else rows.join(facts, ["node", "s"])
+
+    facts = named.select("node", "s", "cells", "t", "total")
+    by_end = settle(meet(cells, facts, "cells").groupBy("node", "t", "b", "total").agg(*sums("n", "bad", "known", "paths"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     pooled = by_end.groupBy("node", "b").agg(F.sum("n").alias("pooled"))
-    branch = spread.groupBy("node", "t").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "known", "paths")))
+    branch = settle(by_end.groupBy("node", "t").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "bad", "known", "paths")), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     every = branch.groupBy("node").agg(F.sum("t_bad").alias("sum_bad"), F.sum("t_known").alias("sum_known"))
     # Bhattacharyya overlap of a branch's next segments with all siblings': 1 - overlap is the squared Hellinger distance
     overlap = (
-        by_end.join(pooled, ["node", "b"]).join(branch.select("node", "t", "t_n"), ["node", "t"])
+        by_end.select("node", "t", "b", "total", "n").join(pooled, ["node", "b"]).join(branch.select("node", "t", "t_n"), ["node", "t"])
         .groupBy("node", "t").agg(F.sum(F.sqrt(F.col("n") / F.col("t_n") * F.col("pooled") / F.col("total"))).alias("overlap"))
     )
     gap = F.abs(F.try_divide(F.col("t_bad"), F.col("t_known")) - F.try_divide(F.col("sum_bad"), F.col("sum_known")))
     close = (1 - F.col("overlap") <= CLOSE * CLOSE) & ((F.col("t_known") == 0) | (gap <= PURITY_GAP))
-    merged = branch.join(overlap, ["node", "t"]).join(every, "node").withColumn("m", F.when(close, "{~}").otherwise(F.col("t")))
-    group = merged.groupBy("node", "m").agg(F.count("*").alias("members"), F.min("t").alias("only"), *(F.sum(f"t_{c}").alias(f"m_{c}") for c in ("bad", "known", "paths")))
-    child = merged.select("node", "t", "m").join(group, ["node", "m"]).withColumn("name", F.when(F.col("members") == 1, F.col("only")).otherwise(F.col("m")))
-    child = named.select("node", "s", "t", "rows").join(child, ["node", "t"]).select("node", "s", "rows", "name", "m_bad", "m_known", "m_paths")
-    return meet(child).select(
+    merged = settle(branch.join(overlap, ["node", "t"]).join(every, "node").withColumn("m", F.when(close, "{~}").otherwise(F.col("t"))).drop("overlap", "sum_bad", "sum_known", "t_n"))
+    group = merged.groupBy("node", "m").agg(
+        F.count("*").alias("members"), F.min("t").alias("only"), *(F.sum(f"t_{c}").alias(f"m_{c}") for c in ("bad", "known", "paths")), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
+    group = settle(group.select("node", "m", F.when(F.col("members") == 1, F.col("only")).otherwise(F.col("m")).alias("name"), "m_bad", "m_known", "m_paths", *_shared("m_paths")))
+    child = named.select("node", "s", "t", "rows").join(merged.select("node", "t", "m"), ["node", "t"]).join(group, ["node", "m"]).drop("t", "m")
+    return _passed(meet(ahead, child, "rows").select(
         "host", "segments", "n", "bad", "known", F.xxhash64("node", "name").alias("node"), F.concat_ws("/", "template", "name").alias("template"),
         ((F.col("m_bad") + WEIGHT * F.col("purity")) / (F.col("m_known") + WEIGHT)).alias("purity"), F.col("m_bad").alias("all_bad"), F.col("m_known").alias("seen"), F.col("m_paths").alias("paths"),
-        (F.col("depth") + 1).alias("depth"),
-    )
+        (F.col("depth") + 1).alias("depth"), "common", "names",
+    ))
 
 
 def template_tree(urls: DataFrame) -> DataFrame:
     """Template, purity and seen (labelled urls) of each (host, segments): ``urls`` has host, segments (typed) and block (true, false or null)."""
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     leaf = settle(urls.groupBy("host", "segments").agg(F.count("*").alias("n"), count(F.col("block"))("bad"), count(F.col("block").isNotNull())("known")))
-    hosts = leaf.groupBy("host").agg(F.sum("bad").alias("all_bad"), F.sum("known").alias("seen"), F.count("*").alias("paths"))
+    hosts = leaf.groupBy("host").agg(F.sum("bad").alias("all_bad"), F.sum("known").alias("seen"), F.count("*").alias("paths"), *_ends(F.col("segments")))
+    hosts = settle(hosts.select("host", "all_bad", "seen", "paths", *_shared("paths")))
     total = hosts.agg(F.coalesce(F.sum("all_bad"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()  # two numbers
     prior = (total[0] + 1) / (total[1] + 2)
-    now = leaf.join(hosts, "host").select(
+    now = join_by_key(leaf, hosts, ["host"], "paths").select(
         "host", "segments", "n", "bad", "known", F.xxhash64("host").alias("node"), F.col("host").alias("template"),
-        ((F.col("all_bad") + WEIGHT * prior) / (F.col("seen") + WEIGHT)).alias("purity"), "all_bad", "seen", "paths", F.lit(0).alias("depth"),
+        ((F.col("all_bad") + WEIGHT * prior) / (F.col("seen") + WEIGHT)).alias("purity"), "all_bad", "seen", "paths", F.lit(0).alias("depth"), "common", "names",
     )
     ahead = (F.size("segments") > F.col("depth")) & (F.col("paths") > 1)
     done, now = [], settle(_passed(now))
@@ -145,7 +163,7 @@ def template_tree(urls: DataFrame) -> DataFrame:
         now = now.filter(ahead)
         if now.isEmpty():
             break
-        now = settle(_passed(_grown(now)))
+        now = settle(_grown(now))
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
