@@ -638,3 +638,11 @@ def test_orders_shares_sets_and_files_of_settings(spark):
     wanted = spark.createDataFrame([("format", "a.md"), ("terms", "b.md"), ("none", None)], "name string, file string")
     found = settings.missing_files(wanted, spark.createDataFrame([("a.md",), ("a.md",), ("c.md",)], "name string"))
     assert {(r.name, r.message) for r in found.collect()} == {("terms", "missing: b.md"), ("none", "missing: null")}
+
+
+def test_sentences_and_quotes_keep_letters_at_their_ends(spark):
+    """White space is trimmed, the vertical tab too; the letter v, which DuckDB reads for E'\\v', is no white space."""
+    docs = spark.createDataFrame([(1, "\x0bvery well v. Vivid v! \x0b")], "doc_id long, text string")
+    assert [(r.sentence, r.before, r.after) for r in patterns.sentence_rows(docs).orderBy("ordinal").collect()] == [
+        ("very well v.", "", "Vivid v!"), ("Vivid v!", "very well v.", "")]
+    assert [tuple(r) for r in docs.select(F.inline(parse.labelled_quotes(F.lit('> **A:** "very v"')))).collect()] == [("A", "very v")]
