@@ -32,8 +32,10 @@ from scriptloom.llm.common import read, slices, text_of, tidy
 
 #: Pieces up to this many characters are memoised, up to this many of them; then the memo starts anew.
 MEMO_CHARS, MEMO_SIZE = 48, 150_000
-#: Compatible or incompatible pairs that are remembered, about 200 bytes each.
+#: Compatible or incompatible pairs that are remembered, about 150 bytes each.
 PAIR_MEMO = 150_000
+#: Bytes of text that are coded at once: texts, ids and decoded bytes of one slice lie in memory together, each as Python objects and in Arrow.
+SLICE_BYTES = 512 << 10
 
 
 class _Memo(dict):
@@ -62,7 +64,7 @@ class BytePairCodec:
         self.lengths = [len(t) for t in self.tokens]
         self.parts: list[tuple[int, int]] = []
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by first * number of entries + second
         self._undo_merges()
         self.shorter = [next((self.ranks[t[:cut]] for cut in range(len(t) - 1, 0, -1) if t[:cut] in self.ranks), -1) for t in self.tokens]
         self.automaton = ahocorasick.Automaton()
@@ -109,7 +111,7 @@ class BytePairCodec:
             return [whole]
         if not raw:
             return []
-        lengths, fits, shorter = self.lengths, self.fits, self.shorter
+        lengths, fits, shorter, many = self.lengths, self.fits, self.shorter, len(self.tokens)
         if len(fits) > PAIR_MEMO:
             fits.clear()
         n = len(raw)
@@ -123,9 +125,9 @@ class BytePairCodec:
                 if closed is None or not closed[at + lengths[token]]:
                     if last < 0:
                         break
-                    fit = fits.get((last, token))
+                    fit = fits.get(last * many + token)
                     if fit is None:
-                        fit = fits[last, token] = self._compatible(last, token)
+                        fit = fits[last * many + token] = self._compatible(last, token)
                     if fit:
                         break
                 token = shorter[token]
@@ -180,7 +182,7 @@ def _mapped(df: DataFrame, source: str, out: str, work, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = work()
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE_BYTES):
             got = pa.array([f(x) for x in b.column(0).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], got], names=[*kept, out])
 
@@ -222,10 +224,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(*v.value)
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE_BYTES):
             ids = [codec.encode(t) if t else b"" for t in b.column(0).to_pylist()]
             both = [pa.array(ids, type=pa.binary()), pa.array([codec.decode(x) for x in ids], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *both], names=[*kept, "ids", "decoded"])
+            del ids  # one slice at a time
+            out = pa.RecordBatch.from_arrays([*b.columns[1:], *both], names=[*kept, "ids", "decoded"])
+            del both
+            yield out
+            del out
         codec.forget()
 
     added = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]

@@ -79,3 +79,18 @@ def test_bad_vocabularies_are_refused():
         bpe.BytePairCodec(base64.b64encode(b"a") + b" 0\n", P.PATTERN)
     with pytest.raises(ValueError):
         bpe.BytePairCodec(base64.b64encode(b"a") + b" 3\n", P.PATTERN)
+
+
+def test_a_worker_codes_a_batch_in_small_slices(spark, monkeypatch):
+    """Of a batch of 10,000 rows a worker holds ids and decoded bytes of one small slice at a time; a text is never cut."""
+    import pyarrow as pa
+
+    found, df = [], spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: found.append(f) or self)
+    bpe.round_trip(df, PATH, P.PATTERN)
+    texts = [f"word{i} " * (100 + i % 7) for i in range(9000)] + ["x y " * 500_000, "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "doc_id"])
+    out = list(found[0](iter([batch])))
+    assert b"".join(x or b"" for b in out for x in b.column("decoded").to_pylist()).decode() == "".join(t or "" for t in texts)
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert max(b.column("decoded").nbytes for b in out[:-1]) < 1 << 20  # the last one holds the long text
